@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varstrip.functions.scalar import non_negative_part
@@ -60,42 +60,32 @@ def norm_cdf(x: Column) -> Column:
     return F.when(F.isnan(x), x).otherwise(cdf_from_tail(x, upper_tail(F.abs(x))))
 
 
-def d_one(forward: Column, strike: Column, t: Column, iv: Column) -> Column:
-    return (F.ln(forward / strike) + F.lit(0.5) * iv * iv * t) / (iv * F.sqrt(t))
-
-
 def d_two(d1: Column, t: Column, iv: Column) -> Column:
     return d1 - iv * F.sqrt(t)
 
 
-def call_from_d(forward: Column, strike: Column, d1: Column, d2: Column) -> Column:
-    """Undiscounted call from its d-values."""
-    return forward * norm_cdf(d1) - strike * norm_cdf(d2)
-
-
-def put_from_d(forward: Column, strike: Column, d1: Column, d2: Column) -> Column:
-    """Undiscounted put from its d-values."""
-    return strike * norm_cdf(-d2) - forward * norm_cdf(-d1)
-
+def with_option_prices(df: DataFrame, forward: Column, strike: Column, t: Column, iv: Column, rate: float = 0.0) -> DataFrame:
+    """Add Black-76 ``call`` and ``put``.
 
-def _guarded(forward, strike, t, rate, iv, intrinsic, value) -> Column:
-    discount = F.exp(-rate * t)
-    priced = F.when((t <= 0) | (iv <= 0), intrinsic * discount).otherwise(value * discount)
-    usable = (forward > 0) & ~F.isnan(forward) & (strike > 0) & ~F.isnan(strike)
-    return F.when(usable, priced).otherwise(F.lit(0.0))
-
-
-def bs_call(forward: Column, strike: Column, t: Column, iv: Column, rate: Column | float = 0.0) -> Column:
-    """Black-76 call. Expired or zero-vol gives discounted intrinsic; bad prices give 0."""
-    rate = rate if isinstance(rate, Column) else F.lit(float(rate))
-    d1 = d_one(forward, strike, t, iv)
-    value = call_from_d(forward, strike, d1, d_two(d1, t, iv))
-    return _guarded(forward, strike, t, rate, iv, non_negative_part(forward - strike), value)
-
-
-def bs_put(forward: Column, strike: Column, t: Column, iv: Column, rate: Column | float = 0.0) -> Column:
-    """Black-76 put, with the same edge rules as the call."""
-    rate = rate if isinstance(rate, Column) else F.lit(float(rate))
-    d1 = d_one(forward, strike, t, iv)
-    value = put_from_d(forward, strike, d1, d_two(d1, t, iv))
-    return _guarded(forward, strike, t, rate, iv, non_negative_part(strike - forward), value)
+    Expired or zero-vol gives discounted intrinsic value; non-positive prices give 0. Built
+    step by step as columns: one nested expression would repeat its d-values dozens of times
+    and outgrow what the JVM compiles.
+    """
+    df = df.withColumns({"_f": forward, "_k": strike, "_t": t, "_v": iv})
+    f, k, years, vol = F.col("_f"), F.col("_k"), F.col("_t"), F.col("_v")
+    usable = (f > 0) & ~F.isnan(f) & (k > 0) & ~F.isnan(k)
+    intrinsic_only = (years <= 0) | (vol <= 0)
+    d1 = (F.ln(f / F.when(usable, k)) + F.lit(0.5) * vol * vol * years) / F.when(~intrinsic_only, vol * F.sqrt(years))
+    df = df.withColumn("_d1", d1)
+    df = df.withColumn("_d2", d_two(F.col("_d1"), years, vol))
+    df = df.withColumn("_n1", upper_tail(F.abs("_d1"))).withColumn("_n2", upper_tail(F.abs("_d2")))
+    df = df.withColumn("_discount", F.exp(F.lit(-float(rate)) * years))
+
+    def price(intrinsic: Column, value: Column) -> Column:
+        amount = F.when(intrinsic_only, non_negative_part(intrinsic)).otherwise(value)
+        return F.when(usable, amount * F.col("_discount")).otherwise(F.lit(0.0))
+
+    c1, c2 = cdf_from_tail(F.col("_d1"), F.col("_n1")), cdf_from_tail(F.col("_d2"), F.col("_n2"))
+    p1, p2 = cdf_from_tail(-F.col("_d1"), F.col("_n1")), cdf_from_tail(-F.col("_d2"), F.col("_n2"))
+    df = df.withColumns({"call": price(f - k, f * c1 - k * c2), "put": price(k - f, k * p2 - f * p1)})
+    return df.drop("_f", "_k", "_t", "_v", "_d1", "_d2", "_n1", "_n2", "_discount")

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from varstrip.functions.scalar import is_finite, seconds_between, years_to_minutes
 from varstrip.operators.chain import pick_expiries
@@ -150,7 +151,7 @@ def blend(active: DataFrame, venues_expected: int = VENUES_EXPECTED, target_stri
     return grouped.withColumn("confidence", score)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _little_endian(values: pd.Series) -> pd.Series:
     """Doubles of each array as little-endian bytes; Spark SQL has no such conversion."""
     return values.map(lambda a: np.asarray(a, dtype="<f8").tobytes())

@@ -10,7 +10,7 @@ from varstrip.operators.index import index_points, interpolate_30d
 from varstrip.operators.strip import variance_from_integral
 from varstrip.params import MIN_QUOTED_USD, MIN_STRIP_QUOTES
 
-CHAIN = ["snapshot_ts", "asset", "expiry"]
+CHAIN = ["snapshot_ts", "venue", "asset", "expiry"]
 QUOTES = ("mid", "mark", "bid", "ask")
 
 
@@ -68,7 +68,7 @@ def with_forward(legs: DataFrame, keys: list[str]) -> DataFrame:
     return df.withColumn("k_zero", k_zero).filter(F.col("k_zero").isNotNull()).drop("_best", "_n")
 
 
-def otm_strip(legs: DataFrame, keys: list[str], intrinsic_filter: bool = True, tolerance: float = 1e-9) -> DataFrame:
+def otm_strip(legs: DataFrame, keys: list[str], intrinsic_filter: bool | Column = True, tolerance: float = 1e-9) -> DataFrame:
     """Out-of-the-money strip after wing termination: rows (keys, strike, q).
 
     Walking out from K0 on either side, zero quotes are skipped and the wing ends at the
@@ -76,9 +76,9 @@ def otm_strip(legs: DataFrame, keys: list[str], intrinsic_filter: bool = True, t
     """
     k, f = F.col("strike"), F.col("forward")
     put, call = F.col("put"), F.col("call")
-    if intrinsic_filter:
-        put = F.when(put + tolerance >= F.greatest(k - f, F.lit(0.0)), put).otherwise(F.lit(0.0))
-        call = F.when(call + tolerance >= F.greatest(f - k, F.lit(0.0)), call).otherwise(F.lit(0.0))
+    unfiltered = F.lit(not intrinsic_filter) if isinstance(intrinsic_filter, bool) else ~intrinsic_filter
+    put = F.when(unfiltered | (put + tolerance >= F.greatest(k - f, F.lit(0.0))), put).otherwise(F.lit(0.0))
+    call = F.when(unfiltered | (call + tolerance >= F.greatest(f - k, F.lit(0.0))), call).otherwise(F.lit(0.0))
     side = F.when(k < F.col("k_zero"), "put").when(k > F.col("k_zero"), "call").otherwise("center")
     df = legs.withColumns({"_put": put, "_call": call, "side": side})
     price = F.when(F.col("side") == "put", F.col("_put")).when(F.col("side") == "call", F.col("_call")).otherwise(
@@ -111,7 +111,7 @@ def strike_intervals(strip: DataFrame, keys: list[str]) -> DataFrame:
     return strip.withColumn("delta_k", delta).filter(F.col("delta_k").isNotNull())
 
 
-def listed_variance(legs: DataFrame, keys: list[str], intrinsic_filter: bool = True) -> DataFrame:
+def listed_variance(legs: DataFrame, keys: list[str], intrinsic_filter: bool | Column = True) -> DataFrame:
     """Variance per chain as a sum over listed strikes; ``sigma_sq`` may come out negative."""
     strip = strike_intervals(otm_strip(with_forward(legs, keys), keys, intrinsic_filter), keys)
     k = F.col("strike")
@@ -125,6 +125,15 @@ def listed_variance(legs: DataFrame, keys: list[str], intrinsic_filter: bool = T
     )
 
 
+def listed_chains(legs: DataFrame, keys: list[str], intrinsic_filter: bool | Column = True) -> DataFrame:
+    """Every chain that qualifies for the expiry choice, with its variance where it has one."""
+    chains = legs.groupBy(*keys).agg(F.count(F.lit(1)).alias("listed_strikes"))
+    chains = chains.withColumn("t", year_fraction(F.col("snapshot_ts"), F.col("expiry")))
+    chains = chains.filter((F.col("listed_strikes") >= MIN_STRIP_QUOTES) & (F.col("t") > 0))
+    variance = listed_variance(legs, keys, intrinsic_filter).select(*keys, "forward", "k_zero", "sigma_sq")
+    return chains.join(variance, keys, "left")
+
+
 def index_from_picked(picked: DataFrame) -> DataFrame:
     """30-day index of (snapshot, asset) rows holding near and next structs."""
     minutes = {s: F.col(f"{s}.t") * F.lit(365.0 * 1440.0) for s in ("near", "next")}

@@ -8,8 +8,6 @@ on (key, bucket). A key that holds a third of all rows is thus spread over its b
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,36 +18,50 @@ _KINDS = {
 }
 
 
-def _null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    return left.join(right, keys, "left")
-
-
 def running(
     df: DataFrame,
     keys: list[str],
     order: list[str],
     bucket: Column,
     values: dict[str, tuple[str, Column]],
+    before: dict[str, str] | None = None,
 ) -> DataFrame:
     """Add running sum/max/min columns, the current row included.
 
-    ``bucket`` must never decrease along ``order`` within a key.
+    ``bucket`` must never decrease along ``order`` within a key. ``before`` maps further
+    column names to entries of ``values`` and gives their state just before the row. The
+    input is read twice (rows and bucket summaries): cut its lineage first if it is costly.
     """
+    before = before or {}
     parts = [*keys, "_bucket"]
     df = df.withColumns({"_bucket": bucket, **{f"_in_{n}": col for n, (_, col) in values.items()}})
-    frame = Window.partitionBy(*parts).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = df.withColumns({f"_local_{n}": _KINDS[k][0](f"_in_{n}").over(frame) for n, (k, _) in values.items()})
+    ordered = Window.partitionBy(*parts).orderBy(*order)
+    here = ordered.rowsBetween(Window.unboundedPreceding, 0)
+    ahead = ordered.rowsBetween(Window.unboundedPreceding, -1)
+    local = df.withColumns(
+        {
+            **{f"_local_{n}": _KINDS[k][0](f"_in_{n}").over(here) for n, (k, _) in values.items()},
+            **{f"_ahead_{b}": _KINDS[values[n][0]][0](f"_in_{n}").over(ahead) for b, n in before.items()},
+        }
+    )
     totals = df.groupBy(*parts).agg(*[_KINDS[k][0](f"_in_{n}").alias(f"_tot_{n}") for n, (k, _) in values.items()])
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select(
-        *parts, *[_KINDS[k][0](f"_tot_{n}").over(before).alias(f"_carry_{n}") for n, (k, _) in values.items()]
+        *parts, *[_KINDS[k][0](f"_tot_{n}").over(earlier).alias(f"_carry_{n}") for n, (k, _) in values.items()]
     )
-    joined = _null_safe(local, carry, parts)
+    joined = local.join(carry, parts, "left")
+
+    def combined(name: str, column: str) -> Column:
+        return _KINDS[values[name][0]][1](F.col(f"_carry_{name}"), F.col(column))
+
     joined = joined.withColumns(
-        {n: _KINDS[k][1](F.col(f"_carry_{n}"), F.col(f"_local_{n}")) for n, (k, _) in values.items()}
+        {
+            **{n: combined(n, f"_local_{n}") for n in values},
+            **{b: combined(n, f"_ahead_{b}") for b, n in before.items()},
+        }
     )
     temporary = [f"{p}{n}" for n in values for p in ("_in_", "_local_", "_carry_")]
-    return joined.drop("_bucket", *temporary)
+    return joined.drop("_bucket", *temporary, *[f"_ahead_{b}" for b in before])
 
 
 def previous(
@@ -67,11 +79,7 @@ def previous(
     carry = last.select(
         *parts, F.lag("_last").over(Window.partitionBy(*keys).orderBy("_bucket")).alias("_carry")
     )
-    joined = _null_safe(local, carry, parts)
+    joined = local.join(carry, parts, "left")
     chosen = F.when(F.col("_local").isNotNull(), F.col("_local")).otherwise(F.col("_carry"))
     joined = joined.withColumns({n: chosen[n] for n in columns})
     return joined.drop("_bucket", "_row", "_local", "_carry")
-
-
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from varstrip.functions.scalar import bucket_start, is_finite
 from varstrip.operators.index import median_of
-from varstrip.operators.ordered import previous, running
+from varstrip.operators.ordered import running
 from varstrip.params import OutlierConfig
+from varstrip.session import cut_lineage
 
 TICK = ["index_id", "snapshot_ts"]
 VENUE = ["index_id", "venue"]
@@ -39,31 +40,51 @@ def deviations(values: DataFrame, config: OutlierConfig = OutlierConfig()) -> Da
 
 
 def streaks(values: DataFrame, config: OutlierConfig = OutlierConfig(), bucket_seconds: int = 86_400) -> DataFrame:
-    """Add ``streak``: consecutive out-of-band ticks so far, untouched by non-evaluable ticks."""
-    df = deviations(values, config)
-    day = bucket_start(F.col("snapshot_ts"), bucket_seconds)
-    df = running(df, VENUE, ["snapshot_ts"], day, {"_seen": ("sum", F.col("evaluable").cast("long"))})
+    """Add ``streak``: consecutive out-of-band ticks so far, untouched by non-evaluable ticks.
+
+    ``_seen`` numbers the evaluable ticks of a venue, ``_reset`` is the number of its last
+    in-band tick, so their difference is the streak. Both come from one pass over day buckets.
+    """
+    df = deviations(values, config).withColumn("_day", bucket_start(F.col("snapshot_ts"), bucket_seconds))
     in_band = F.col("evaluable") & ~F.col("out_of_band")
-    df = running(df, VENUE, ["snapshot_ts"], day, {"_reset": ("max", F.when(in_band, F.col("_seen")))})
-    return df.withColumn("streak", F.col("_seen") - F.coalesce("_reset", F.lit(0)))
+    day = Window.partitionBy(*VENUE, "_day").orderBy("snapshot_ts")
+    here = day.rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn("_n", F.sum(F.col("evaluable").cast("long")).over(here))
+    df = df.withColumn("_last", F.max(F.when(in_band, F.col("_n"))).over(here))
+    days = df.groupBy(*VENUE, "_day").agg(F.max("_n").alias("_total"), F.max("_last").alias("_day_last"))
+    earlier = Window.partitionBy(*VENUE).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.withColumn("_base", F.coalesce(F.sum("_total").over(earlier), F.lit(0)))
+    days = days.withColumn("_base_reset", F.max(F.col("_base") + F.col("_day_last")).over(earlier))
+    df = df.join(days.select(*VENUE, "_day", "_base", "_base_reset"), [*VENUE, "_day"])
+    df = df.withColumn("_seen", F.col("_base") + F.col("_n"))
+    df = df.withColumn("_reset", F.coalesce(F.col("_base") + F.col("_last"), F.col("_base_reset"), F.lit(0)))
+    return df.withColumn("streak", F.col("_seen") - F.col("_reset")).drop("_n", "_last", "_base", "_base_reset")
 
 
 def evaluate(values: DataFrame, config: OutlierConfig = OutlierConfig(), bucket_seconds: int = 86_400) -> DataFrame:
     """Mark every venue row as active or not, with the transitions of its tick.
 
-    ``values`` holds index_id, snapshot_ts, venue, value and whatever should be carried.
+    ``values`` holds index_id, snapshot_ts, venue, value and whatever should be carried. It
+    has one row per venue and snapshot, tiny next to the quotes behind it, and is written
+    once because the running values below read it more than once.
     """
-    day = bucket_start(F.col("snapshot_ts"), bucket_seconds)
-    df = streaks(values, config, bucket_seconds)
+    df = streaks(cut_lineage(values), config, bucket_seconds)
     at_limit = F.col("out_of_band") & (F.col("streak") >= config.streak)
     df = df.withColumn("_at_limit", at_limit)
     df = df.withColumn("_someone_stays", F.max(~F.col("_at_limit")).over(Window.partitionBy(*TICK)))
     takes_effect = F.col("_at_limit") & F.col("_someone_stays")
-    df = running(df, VENUE, ["snapshot_ts"], day, {"_drop": ("max", F.when(takes_effect, F.col("_seen")))})
-    # _seen counts evaluable ticks, so it orders the last drop against the last reset.
-    df = df.withColumn("dropped", F.coalesce(F.col("_drop") > F.coalesce("_reset", F.lit(0)), F.lit(False)))
-    df = previous(df, VENUE, ["snapshot_ts"], day, {"_was_dropped": F.col("dropped")})
-    was = F.coalesce("_was_dropped", F.lit(False))
+    in_band = F.col("evaluable") & ~F.col("out_of_band")
+    df = running(
+        df,
+        VENUE,
+        ["snapshot_ts"],
+        F.col("_day"),
+        {"_drop": ("max", F.when(takes_effect, F.col("_seen"))), "_r": ("max", F.when(in_band, F.col("_seen")))},
+        {"_drop_before": "_drop", "_reset_before": "_r"},
+    )
+    # _seen orders the last drop against the last reset; an in-band tick is a reset itself.
+    df = df.withColumn("dropped", F.coalesce(F.col("_drop") > F.col("_reset"), F.lit(False)))
+    was = F.coalesce(F.col("_drop_before") > F.coalesce("_reset_before", F.lit(0)), F.lit(False))
     df = df.withColumns(
         {
             "newly_dropped": F.col("dropped") & ~was,
@@ -81,7 +102,7 @@ def evaluate(values: DataFrame, config: OutlierConfig = OutlierConfig(), bucket_
     # Publishing something always wins: with nobody left, every present venue is used.
     anyone = F.max("_stays").over(Window.partitionBy(*TICK))
     return df.withColumn("active", F.col("_stays") | ~anyone).drop(
-        "_seen", "_reset", "_at_limit", "_someone_stays", "_drop", "_was_dropped", "_returned", "_stays"
+        "_seen", "_reset", "_at_limit", "_someone_stays", "_drop", "_drop_before", "_r", "_reset_before", "_returned", "_stays", "_day"
     )
 
 

@@ -5,7 +5,7 @@ Amounts are whole numbers: collateral in 6 decimals, prices in 1e8 fixed point.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varstrip.functions.fixedpoint import mul_div, truncated_div, wide
@@ -110,56 +110,51 @@ def liquidation_settlement(positions: DataFrame, config: PerpConfig = DEFAULTS)
     return df.withColumn("vault_gain", wide(wide(F.col("collateral")) - F.col("reward")))
 
 
-def triggered_orders(orders: DataFrame, marks: DataFrame, window: int = DAY) -> DataFrame:
-    """First mark after placement that meets each order's trigger; untriggered orders are absent.
+# Nested search windows in seconds, each a multiple of the next.
+TRIGGER_LEVELS = (30 * DAY, DAY, 900)
 
-    Marks are summarised per (index, time window) by their extremes. An order finds the first
-    window whose extreme reaches its trigger, then the first qualifying mark inside that window
-    only. The window holding the placement itself is searched directly, as part of it lies
-    before the order. No order is ever paired with all marks of its index.
-    """
-    w = F.floor(F.col("at") / window)
-    m = marks.withColumn("_w", w)
-    extremes = m.groupBy("index_id", "_w").agg(F.max("mark").alias("_high"), F.min("mark").alias("_low"))
-    o = orders.withColumn("_w0", F.floor(F.col("placed_at") / window))
 
-    first_window = _first_window(o, extremes)
-    own = o.withColumn("_w", F.col("_w0"))
-    found_own = _first_mark(own, m)
-    rest = o.join(found_own.select("order_id"), "order_id", "left_anti").join(first_window, "order_id")
-    found_later = _first_mark(rest, m)
-    return found_own.unionByName(found_later)
+def triggered_orders(orders: DataFrame, marks: DataFrame, levels: tuple[int, ...] = TRIGGER_LEVELS) -> DataFrame:
+    """First mark at or after placement that meets each order's trigger.
 
+    Orders that never trigger are absent. Marks are summarised by the extremes of nested time
+    windows. An order looks for the first window that reaches its trigger, coarse to fine, and
+    meets single marks only inside one finest window per level, so no order is ever paired
+    with all marks of its index however many there are.
+    """
+    n = len(levels)
+    finest = n - 1
+    ids = ["order_id", "index_id", "trigger_above", "trigger_price", "placed_at"]
+    m = marks.select("index_id", "seq", "at", "mark", *[F.floor(F.col("at") / w).alias(f"_m{i}") for i, w in enumerate(levels)])
+    o = orders.select(*ids, *[F.floor(F.col("placed_at") / w).alias(f"_o{i}") for i, w in enumerate(levels)])
 
-def _first_mark(orders: DataFrame, marks: DataFrame) -> DataFrame:
-    """First qualifying mark inside the window ``_w`` of each order.
+    def extremes(i: int) -> DataFrame:
+        keys = ["index_id", *([f"_m{i - 1}"] if i else []), f"_m{i}"]
+        return m.groupBy(*keys).agg(F.max("mark").alias("_high"), F.min("mark").alias("_low"))
+
+    reach = F.when(F.col("trigger_above"), F.col("_high") >= F.col("trigger_price")).otherwise(
+        F.col("_low") <= F.col("trigger_price")
+    )
+    found = o.select(*ids, F.col(f"_o{finest}").alias("_w"))
+    for i in range(n):
+        parent = {f"_o{i - 1}": f"_m{i - 1}"} if i else {}
+        side = o.withColumnsRenamed(parent).join(extremes(i), ["index_id", *parent.values()])
+        hits = side.filter((F.col(f"_m{i}") > F.col(f"_o{i}")) & reach).groupBy(*ids).agg(F.min(f"_m{i}").alias(f"_m{i}"))
+        for d in range(i + 1, n):
+            inner = hits.join(extremes(d), ["index_id", f"_m{d - 1}"]).filter(reach)
+            hits = inner.groupBy(*ids).agg(F.min(f"_m{d}").alias(f"_m{d}"))
+        found = found.unionByName(hits.select(*ids, F.col(f"_m{finest}").alias("_w")))
 
-    Distinct (index, window, direction, trigger, placement) probes keep copies of an order
-    from multiplying the work.
-    """
-    probe = ["index_id", "_w", "trigger_above", "trigger_price", "placed_at"]
     hit = F.when(F.col("trigger_above"), F.col("mark") >= F.col("trigger_price")).otherwise(
         F.col("mark") <= F.col("trigger_price")
     )
-    pairs = orders.select(*probe).distinct().join(marks, ["index_id", "_w"]).filter(hit & (F.col("at") >= F.col("placed_at")))
-    first = pairs.groupBy(*probe).agg(F.min(F.struct("at", "seq", "mark")).alias("_hit"))
-    keep = [c for c in orders.columns if not c.startswith("_")]
-    return orders.join(first, probe).select(
-        *keep, F.col("_hit.at").alias("executed_at"), F.col("_hit.mark").alias("executed_mark")
+    pairs = found.join(m.withColumnRenamed(f"_m{finest}", "_w"), ["index_id", "_w"])
+    first = pairs.filter(hit & (F.col("at") >= F.col("placed_at"))).groupBy("order_id").agg(
+        F.min(F.struct("at", "seq", "mark")).alias("_hit")
     )
-
-
-def _first_window(orders: DataFrame, extremes: DataFrame) -> DataFrame:
-    """(order_id, _w): first window after the order's own whose extreme meets the trigger.
-
-    Orders meet window extremes only, one row per index and window, whose number is bounded by
-    the span of time and not by the number of marks.
-    """
-    reach = F.when(F.col("trigger_above"), F.col("_high") >= F.col("trigger_price")).otherwise(
-        F.col("_low") <= F.col("trigger_price")
+    return orders.join(first, "order_id").select(
+        *orders.columns, F.col("_hit.at").alias("executed_at"), F.col("_hit.mark").alias("executed_mark")
     )
-    joined = orders.select("order_id", "index_id", "trigger_above", "trigger_price", "_w0").join(extremes, "index_id")
-    return joined.filter((F.col("_w") > F.col("_w0")) & reach).groupBy("order_id").agg(F.min("_w").alias("_w"))
 
 
 def executions(triggered: DataFrame, live_positions: DataFrame) -> DataFrame:

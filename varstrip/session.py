@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -21,6 +23,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )
@@ -36,3 +39,16 @@ def shared_path(spark: SparkSession, name: str) -> str | None:
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     return f"{root.rstrip('/')}/{name}" if root else None
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write a small, costly intermediate once, so that later branches read it back.
+
+    Uses the reliable checkpoint folder the cluster names in ``spark.checkpoint.dir``; where
+    none is set, as in tests, a folder of this process. Files outlive lost executors.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(root or tempfile.mkdtemp(prefix="varstrip-checkpoint-"))
+    return df.checkpoint()
