@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -96,9 +96,12 @@ def venue_index(chains: DataFrame, near_rule: str = "max") -> DataFrame:
 
 
 def with_venue_freshness(venues: DataFrame) -> DataFrame:
-    """Replace ``latest_ts`` by the newest quote of the venue over all of its assets."""
-    newest = venues.groupBy("snapshot_ts", "venue").agg(F.max("latest_ts").alias("latest_ts"))
-    return venues.drop("latest_ts").join(newest, ["snapshot_ts", "venue"])
+    """Replace ``latest_ts`` by the newest quote of the venue over all of its assets.
+
+    A window over the few assets of one venue and snapshot: one pass, where a join would
+    compute the venue rows twice.
+    """
+    return venues.withColumn("latest_ts", F.max("latest_ts").over(Window.partitionBy("snapshot_ts", "venue")))
 
 
 def for_indices(venues: DataFrame, dimension: DataFrame) -> DataFrame:

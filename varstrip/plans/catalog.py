@@ -18,7 +18,7 @@ from varstrip.operators import benchmark as bm
 from varstrip.operators import chain, health, index, listed, outlier, perp, quality, rollup, strip
 from varstrip.params import INDEX_DIMENSION, OutlierConfig
 from varstrip.plans import backtest, frames, index_pipeline, inputs
-from varstrip.session import prepare
+from varstrip.session import cut_lineage, prepare
 from varstrip.sources import historical, messages, sinks, venues
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -196,6 +196,7 @@ def strip_envelopes(spark, sf):
     primary = evaluated.filter("active").groupBy("index_id", "asset").agg(
         F.max_by("venue", F.struct("snapshot_ts", F.lit(0) - F.ascii("venue"))).alias("venue"), F.max("snapshot_ts").alias("snapshot_ts")
     )
+    primary = cut_lineage(primary)
     wanted = chains.join(primary.select("snapshot_ts", "venue", "asset"), KEY, "left_semi")
     sides = index.venue_strips(wanted)
     one = F.struct("forward", "k_zero", "t", "quotes")

@@ -14,6 +14,7 @@ from varstrip.params import (
     OutlierConfig,
     QualityConfig,
 )
+from varstrip.session import cut_lineage
 
 
 def legs_from_ticks(
@@ -70,7 +71,7 @@ def hashed_index(legs: DataFrame, dimension: DataFrame, config: OutlierConfig =
 
 def published_rows(legs: DataFrame, dimension: DataFrame, config: OutlierConfig = OutlierConfig(), indices=INDEX_DIMENSION) -> DataFrame:
     """A row for every expected (index, snapshot), with the reason where there is no value."""
-    venues = venue_indices(legs)
+    venues = cut_lineage(venue_indices(legs))
     evaluated = evaluated_venues(venues, dimension, config)
     blended = index.blend(evaluated.filter("active")).select("index_id", "snapshot_ts", "value", "confidence")
     return index.publish_rows(index.snapshot_grid(venues, indices), blended)

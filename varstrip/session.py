@@ -12,6 +12,10 @@ def prepare(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    # A few kilobytes of chains unfold into millions of grid points, so small shuffle
+    # partitions must not be merged into one task just because their bytes are few.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.parallelismFirst", "true")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "16k")
     return spark
 
 
