@@ -325,9 +325,9 @@ closes AS (SELECT id, opened_at + 172800 AS closed_at FROM positions WHERE id %
 liqs AS (SELECT id, opened_at + 259200 AS closed_at FROM positions WHERE id % 7 = 0 AND id % 3 <> 0),
 open_pos AS (SELECT * FROM positions WHERE id NOT IN (SELECT id FROM closes) AND id NOT IN (SELECT id FROM liqs)),
 marks AS (
-  SELECT {INDEX} AS index_id, event_id AS seq, CAST(floor(epoch(ts)) AS BIGINT) AS at, (4000 + CAST(round(value * 10) AS BIGINT)) * 1000000 AS mark
+  SELECT {INDEX} AS index_id, event_id AS seq, CAST(floor(epoch(ts)) AS BIGINT) AS "at", (4000 + CAST(round(value * 10) AS BIGINT)) * 1000000 AS mark
   FROM ev),
-last_marks AS (SELECT index_id, last(mark ORDER BY at, seq) AS mark, max(at) AS mark_at FROM marks GROUP BY index_id),
+last_marks AS (SELECT index_id, last(mark ORDER BY "at", seq) AS mark, max("at") AS mark_at FROM marks GROUP BY index_id),
 orders0 AS (
   SELECT event_id AS order_id, '0xAb' || lpad(CAST(user_id AS VARCHAR), 4, '0') AS trader, {INDEX} AS index_id,
          CASE event_id % 3 WHEN 0 THEN 'limit' WHEN 1 THEN 'tp' ELSE 'sl' END AS kind,
@@ -335,7 +335,7 @@ orders0 AS (
          (4000 + CAST(k AS BIGINT) * 20) * 1000000 AS trigger_price, event_id % 2 = 0 AS trigger_above, CAST(floor(epoch(ts)) AS BIGINT) AS placed_at
   FROM ev WHERE event_type = 'signup'),
 flows AS (
-  SELECT event_id AS seq, CAST(floor(epoch(ts)) AS BIGINT) AS at, CASE WHEN event_type = 'click' THEN 'deposit' ELSE 'withdraw' END AS event_type,
+  SELECT event_id AS seq, CAST(floor(epoch(ts)) AS BIGINT) AS "at", CASE WHEN event_type = 'click' THEN 'deposit' ELSE 'withdraw' END AS event_type,
          CASE WHEN event_type = 'click' THEN CAST(round(value * 1000000) AS BIGINT) * 3 ELSE CAST(round(value * 1000000) AS BIGINT) // 3 END AS assets
   FROM ev WHERE event_type IN ('click', 'view'))
 """

@@ -159,7 +159,7 @@ def tick_messages(spark, sf):
     msg = messages.tick_messages(inputs.raw_ticks(spark, sf))
     p = F.from_json("payload", "expiry string, received_at string, ts string, kind string, bid double, mid double")
     return msg.select("seq", "topic", p["expiry"].alias("expiry"), p["received_at"].alias("received_at"), p["ts"].alias("ts"),
-                      p["kind"].alias("kind"), p["bid"].alias("bid"), F.col("payload").contains('"bid":null').alias("bid_null"))
+                      p["kind"].alias("kind"), p["bid"].alias("bid"), p["mid"].alias("mid"), F.col("payload").contains('"bid":null').alias("bid_null"))
 
 
 @query
