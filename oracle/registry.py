@@ -925,3 +925,33 @@ add(
 SELECT *, {CLOCK - 86_400 + 3600} - mark_at <= 3600 AS usable FROM g
 """,
 )
+
+add(
+    "thinned_polls",
+    (*PERP, """
+polls AS (SELECT (m."at" // 900 + 1) * 900 AS poll, last(mark ORDER BY m."at", seq) FILTER (WHERE index_id = 'BTCV30') AS a0,
+                 last(mark ORDER BY m."at", seq) FILTER (WHERE index_id = 'ETHV30') AS b0 FROM marks m GROUP BY 1),
+pairs0 AS (SELECT poll, last_value(a0 IGNORE NULLS) OVER w AS a, last_value(b0 IGNORE NULLS) OVER w AS b FROM polls
+           WINDOW w AS (ORDER BY poll ROWS UNBOUNDED PRECEDING)),
+pairs AS MATERIALIZED (SELECT poll, a, b, row_number() OVER (ORDER BY poll) AS rn FROM pairs0 WHERE a <> 0 AND b <> 0),
+walk AS (
+  SELECT rn, poll AS ea, a, b, 'init' AS reason FROM pairs WHERE rn = 1
+  UNION ALL
+  SELECT p.rn, CASE WHEN r.reason IS NULL THEN w.ea ELSE p.poll END, CASE WHEN r.reason IS NULL THEN w.a ELSE p.a END,
+         CASE WHEN r.reason IS NULL THEN w.b ELSE p.b END, r.reason
+  FROM walk w JOIN pairs p ON p.rn = w.rn + 1,
+       LATERAL (SELECT CASE WHEN abs(p.a - w.a) * 10000 // w.a >= 1500 OR abs(p.b - w.b) * 10000 // w.b >= 1500 THEN 'deviation'
+                            WHEN p.poll - w.ea >= 7200 THEN 'heartbeat' END AS reason) r)
+"""),
+    'SELECT ea AS "at", a, b, reason FROM walk WHERE reason IS NOT NULL',
+    True,
+)
+add(
+    "ticks_to_venue_index",
+    F,
+    """
+, s AS (SELECT DISTINCT venue, asset, CASE WHEN ts = date_trunc('day', ts) THEN ts ELSE date_trunc('day', ts) + INTERVAL 1 DAY END AS snapshot_ts
+        FROM classified WHERE drop_reason = 'pass')
+SELECT venue, asset, 'no_next_expiry' AS status, count(*) AS n FROM s GROUP BY ALL
+""",
+)

@@ -15,8 +15,8 @@ from varstrip.functions import fixedpoint as fx
 from varstrip.functions import pricing, scalar
 from varstrip.functions.instruments import GRAMMARS, decompose
 from varstrip.operators import benchmark as bm
-from varstrip.operators import chain, health, index, listed, outlier, perp, quality, rollup, strip
-from varstrip.params import INDEX_DIMENSION, OutlierConfig
+from varstrip.operators import chain, health, index, listed, outlier, perp, quality, rollup, strip, thinning
+from varstrip.params import INDEX_DIMENSION, OutlierConfig, ThinningConfig
 from varstrip.plans import backtest, frames, index_pipeline, inputs
 from varstrip.session import cut_lineage, prepare
 from varstrip.sources import historical, messages, sinks, venues
@@ -1088,3 +1088,9 @@ def liquidation_prices(spark, sf):
 def mark_staleness(spark, sf):
     m = perp.latest_marks(inputs.marks(spark, sf).withColumn("index_id", F.concat("index_id", F.lit("/"), F.floor(F.col("at") / 43_200) % 61)), ["at", "seq"])
     return perp.fresh_marks(m, F.lit(CLOCK - 86_400 + 3600)).select("index_id", "mark", "mark_at", "usable")
+
+
+@query
+def thinned_polls(spark, sf):
+    pairs = thinning.poll_pairs(inputs.marks(spark, sf), *INDEX_IDS, 900)
+    return thinning.thin(pairs, ThinningConfig(deviation_bps=1500, heartbeat_seconds=7200))
