@@ -109,8 +109,13 @@ def assemble_chains(legs: DataFrame, rate: float = 0.0) -> DataFrame:
     land in one array. All chains of a (snapshot, venue, asset) are placed together, so the
     expiry choice and the per-venue index need no further shuffle.
     """
+    strike_ok = is_finite(F.col("strike")) & (F.col("strike") > 0)
     prepared = legs.repartition("snapshot_ts", "venue", "asset").withColumns(
-        {"_iv": usable_iv(), "_two_sided": is_two_sided(), "_gap": F.abs(F.col("call_mid") - F.col("put_mid"))}
+        {
+            "_iv": F.when(strike_ok, usable_iv()),
+            "_two_sided": strike_ok & is_two_sided(),
+            "_gap": F.abs(F.col("call_mid") - F.col("put_mid")),
+        }
     )
     chains = prepared.groupBy(*CHAIN).agg(
         F.expr(

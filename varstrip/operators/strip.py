@@ -89,13 +89,12 @@ def fit_segments(chains: DataFrame) -> DataFrame:
             "_ys": F.when(good, F.transform("knots", lambda q: q["iv"])),
         }
     )
-    df = df.withColumns(
-        {
-            "_xs": F.transform("_ks", lambda k: F.ln(k / F.col("forward"))),
-            "k_min": F.element_at("_ks", 1),
-            "k_max": F.element_at("_ks", -1),
-        }
-    )
+    df = df.withColumn("_xs", F.transform("_ks", lambda k: F.ln(k / F.col("forward"))))
+    # Repeated strikes would divide by zero further down; such a chain has no curve.
+    flat = F.exists(F.sequence(F.lit(0), F.size("_xs") - 2), lambda i: F.get("_xs", i + 1) <= F.get("_xs", i))
+    df = df.withColumn("strip_status", F.when(good & flat, "spline_fit").otherwise(F.col("strip_status")))
+    df = df.withColumns({c: F.when(good, F.col(c)) for c in ("_ks", "_xs", "_ys")})
+    df = df.withColumns({"k_min": F.element_at("_ks", 1), "k_max": F.element_at("_ks", -1)})
     df = df.withColumn("step", (F.col("k_max") - F.col("k_min")) / F.lit(float(LAST)))
     df = df.withColumn("_ms", second_derivatives(F.col("_xs"), F.col("_ys")))
 
@@ -177,7 +176,8 @@ def trapezoid_weight() -> Column:
 
 def variance_from_integral(integral: Column, t: Column, forward: Column, k_zero: Column, rate: float = 0.0) -> Column:
     """Annualised variance from the strip integral, less the forward-vs-K0 correction."""
-    ratio = forward / k_zero - F.lit(1.0)
+    t = F.when(t > 0, t)
+    ratio = forward / F.when(k_zero > 0, k_zero) - F.lit(1.0)
     return F.lit(2.0) * F.exp(F.lit(float(rate)) * t) / t * integral - ratio * ratio / t
 
 

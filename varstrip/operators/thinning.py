@@ -2,16 +2,17 @@
 
 A poll is emitted first of all, then whenever either value moved enough against the last
 *emitted* pair, or the last emission is too old. That is a walk: each emission decides the
-next. The walk is cut into chunks of time. Only polls within one heartbeat of a chunk's end
-can be the last emission before the next chunk, so each chunk is solved for those few
-entries in parallel, the resulting entry-to-exit tables are chained, and the chunks then
-emit their rows in parallel. No task ever sees more than one chunk of polls.
+next. The walk is cut into chunks of time. The last emission before a chunk is either one of
+the few polls within a heartbeat of the chunk, or so old that the chunk's first poll is
+emitted whatever it was. So each chunk is solved for those few entries in parallel, the
+resulting entry-to-exit tables are chained, and the chunks then emit their rows in parallel.
+No task ever sees more than one chunk of polls.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varstrip.operators.ordered import running
@@ -69,15 +70,16 @@ def thin(pairs: DataFrame, config: ThinningConfig = ThinningConfig(), chunk_seco
     bps, heartbeat = config.deviation_bps, config.heartbeat_seconds
     polls = pairs.filter((F.col("a") != 0) & (F.col("b") != 0)).withColumn("chunk", F.floor(F.col("at") / chunk_seconds))
 
-    in_chunk = Window.partitionBy("chunk")
-    tail = polls.withColumn("_last", F.max("at").over(in_chunk)).filter(F.col("at") > F.col("_last") - heartbeat)
-    tails = tail.groupBy("chunk").agg(F.collect_list(F.struct("at", "a", "b")).alias("tail"))
-    # One short row per chunk: the entries of a chunk are the tail of the chunk before it.
-    entries = tails.select("chunk", F.lag("tail").over(Window.orderBy("chunk")).alias("entries"))
-    entry_rows = entries.select("chunk", F.explode_outer("entries").alias("e")).select("chunk", "e.at", "e.a", "e.b")
+    # A poll can be the last emission before the chunks that begin within a heartbeat of it.
+    reached = F.floor((F.col("at") + heartbeat) / chunk_seconds)
+    later = F.when(reached > F.col("chunk"), F.sequence(F.col("chunk") + 1, reached))
+    entry_rows = polls.select(F.explode(later).alias("at_chunk"), *[F.col(c).alias(f"e_{c}") for c in ("at", "a", "b")])
 
     def solve(key, rows_pdf: pd.DataFrame, entry_pdf: pd.DataFrame) -> pd.DataFrame:
         rows = _rows(rows_pdf)
+        columns = ["chunk", "entry_at", "at", "a", "b"]
+        if not rows:
+            return pd.DataFrame(columns=columns)
         exits: dict[int, int] = {}
 
         def exit_from(i: int) -> int:
@@ -93,15 +95,15 @@ def thin(pairs: DataFrame, config: ThinningConfig = ThinningConfig(), chunk_seco
                 exits[p] = exits[j]
             return exits[i]
 
+        # None stands for any older emission: the first poll is then emitted in any case.
         out = []
-        for at, a, b in zip(entry_pdf["at"], entry_pdf["a"], entry_pdf["b"]):
-            state = None if pd.isna(at) else (int(at), int(a), int(b))
+        for state in [None, *_rows(entry_pdf.rename(columns=lambda c: c.removeprefix("e_")))]:
             first = next(_walk(state, rows, 0, bps, heartbeat), None)
             leave = state if first is None else rows[exit_from(first[0])]
-            out.append((key[0], None if state is None else state[0], *leave))
-        return pd.DataFrame(out, columns=["chunk", "entry_at", "at", "a", "b"]).astype({"entry_at": "Int64"})
+            out.append((key[0], state and state[0], *leave))
+        return pd.DataFrame(out, columns=columns).astype({"entry_at": "Int64"})
 
-    solved = polls.groupBy("chunk").cogroup(entry_rows.groupBy("chunk")).applyInPandas(
+    solved = polls.groupBy("chunk").cogroup(entry_rows.groupBy("at_chunk")).applyInPandas(
         solve, "chunk bigint, entry_at bigint, at bigint, a bigint, b bigint"
     )
 
@@ -112,13 +114,17 @@ def thin(pairs: DataFrame, config: ThinningConfig = ThinningConfig(), chunk_seco
 
     def advance(acc, c):
         state = acc["state"]
-        hit = F.filter(c["exits"], lambda e: e["entry_at"].eqNullSafe(state["at"]))[0]
+        known = F.get(F.filter(c["exits"], lambda e: e["entry_at"] == state["at"]), F.lit(0))
+        older = F.get(F.filter(c["exits"], lambda e: e["entry_at"].isNull()), F.lit(0))
+        hit = F.coalesce(known, older)
         leave = F.struct(hit["at"].alias("at"), hit["a"].alias("a"), hit["b"].alias("b"))
         entered = F.concat(acc["out"], F.array(F.struct(c["chunk"].alias("chunk"), state.alias("state"))))
         return F.struct(leave.alias("state"), entered.alias("out"))
 
     start = F.struct(nothing.alias("state"), F.array().cast(f"array<struct<chunk:bigint,state:{STATE}>>").alias("out"))
-    entered = chain.select(F.inline(F.aggregate("chunks", start, advance)["out"])).select("chunk", "state.at", "state.a", "state.b")
+    entered = chain.select(F.inline(F.aggregate("chunks", start, advance)["out"])).select(
+        F.col("chunk").alias("at_chunk"), "state.at", "state.a", "state.b"
+    )
 
     def emit(rows_pdf: pd.DataFrame, entry_pdf: pd.DataFrame) -> pd.DataFrame:
         rows = _rows(rows_pdf)
@@ -127,4 +133,4 @@ def thin(pairs: DataFrame, config: ThinningConfig = ThinningConfig(), chunk_seco
         out = [(*rows[i], why) for i, why in _walk(state, rows, 0, bps, heartbeat)]
         return pd.DataFrame(out, columns=["at", "a", "b", "reason"])
 
-    return polls.groupBy("chunk").cogroup(entered.groupBy("chunk")).applyInPandas(emit, "at bigint, a bigint, b bigint, reason string")
+    return polls.groupBy("chunk").cogroup(entered.groupBy("at_chunk")).applyInPandas(emit, "at bigint, a bigint, b bigint, reason string")

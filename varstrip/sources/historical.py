@@ -52,4 +52,5 @@ def read_snapshots(spark: SparkSession, path: str, currency: str | None = None)
         df = df.filter(F.col("currency") == currency)
     days = df.select("currency", "date", "is_partial").distinct()
     best = days.groupBy("currency", "date").agg(F.min("is_partial").alias("is_partial"))
-    return df.join(best, ["currency", "date", "is_partial"], "left_semi")
+    kept = df.join(best, ["currency", "date", "is_partial"], "left_semi")
+    return kept.withColumn("is_partial", F.col("is_partial").cast("boolean"))
