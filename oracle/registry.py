@@ -955,3 +955,15 @@ add(
 SELECT venue, asset, 'no_next_expiry' AS status, count(*) AS n FROM s GROUP BY ALL
 """,
 )
+
+add(
+    "lp_claims",
+    (*DELTAS[:1], c.POSITIONS.replace("SELECT event_id AS seq, CAST(floor(epoch(ts)) AS BIGINT) AS \"at\", CASE WHEN event_type = 'click'",
+                                      "SELECT event_id AS seq, user_id AS holder, CAST(floor(epoch(ts)) AS BIGINT) AS \"at\", CASE WHEN event_type = 'click'"), *DELTAS[2:]),
+    """
+, t AS (SELECT CAST(sum(delta) AS HUGEINT) AS assets, CAST(sum(delta) FILTER (WHERE kind = 'deposit') AS HUGEINT) AS supply FROM deltas WHERE kind <> 'withdraw'),
+h AS (SELECT holder, CAST(sum(assets) AS HUGEINT) AS shares FROM flows WHERE event_type = 'deposit' GROUP BY holder)
+SELECT count(*) AS holders, CAST(sum(shares * t.assets // t.supply) AS BIGINT) AS claims, CAST(any_value(t.assets) AS BIGINT) AS assets,
+       CAST(any_value(t.supply) AS BIGINT) AS supply, sum(shares * t.assets // t.supply) <= any_value(t.assets) AS within FROM h, t
+""",
+)

@@ -51,38 +51,43 @@ def pivot_sides(rows: DataFrame, price: Column, keys: list[str], order: str, bot
     return wide.filter(F.col("call").isNotNull() & F.col("put").isNotNull()) if both else wide
 
 
-def with_forward(legs: DataFrame, keys: list[str]) -> DataFrame:
+def with_forward(legs: DataFrame, keys: list[str], priced_only: bool = True) -> DataFrame:
     """Add T, the parity forward, K0 (largest listed strike at or below it) and the leg count.
 
     Legs of one expiry are the listed strikes, so the windows stay small. Chains that are too
-    thin, expired or without a forward drop out.
+    thin or expired drop out, and with ``priced_only`` those without a forward and K0.
     """
     chain = Window.partitionBy(*keys)
     two_sided = (F.col("call") > MIN_QUOTED_USD) & (F.col("put") > MIN_QUOTED_USD)
     gap = F.struct(F.abs(F.col("call") - F.col("put")), F.col("strike"))
     best = F.min(F.when(two_sided, F.struct(gap.alias("gap"), "call", "put", "strike"))).over(chain)
     df = legs.withColumns({"t": year_fraction(F.col("snapshot_ts"), F.col("expiry")), "_best": best, "_n": F.count(F.lit(1)).over(chain)})
-    df = df.filter((F.col("_n") >= MIN_STRIP_QUOTES) & (F.col("t") > 0) & F.col("_best").isNotNull())
+    df = df.filter((F.col("_n") >= MIN_STRIP_QUOTES) & (F.col("t") > 0))
     df = df.withColumn("forward", F.col("_best.strike") + (F.col("_best.call") - F.col("_best.put")))
     k_zero = F.max(F.when(F.col("strike") <= F.col("forward"), F.col("strike"))).over(chain)
-    return df.withColumn("k_zero", k_zero).filter(F.col("k_zero").isNotNull()).drop("_best", "_n")
+    df = df.withColumn("k_zero", k_zero).drop("_best", "_n")
+    return df.filter(F.col("k_zero").isNotNull()) if priced_only else df
 
 
 def otm_strip(legs: DataFrame, keys: list[str], intrinsic_filter: bool | Column = True, tolerance: float = 1e-9) -> DataFrame:
     """Out-of-the-money strip after wing termination: rows (keys, strike, q).
 
     Walking out from K0 on either side, zero quotes are skipped and the wing ends at the
-    first two zeros in a row. A quote below intrinsic value counts as zero.
+    first two zeros in a row. A quote below intrinsic value counts as zero. A chain without a
+    K0 keeps its rows, on no side and without a price.
     """
     k, f = F.col("strike"), F.col("forward")
     put, call = F.col("put"), F.col("call")
     unfiltered = F.lit(not intrinsic_filter) if isinstance(intrinsic_filter, bool) else ~intrinsic_filter
     put = F.when(unfiltered | (put + tolerance >= F.greatest(k - f, F.lit(0.0))), put).otherwise(F.lit(0.0))
     call = F.when(unfiltered | (call + tolerance >= F.greatest(f - k, F.lit(0.0))), call).otherwise(F.lit(0.0))
-    side = F.when(k < F.col("k_zero"), "put").when(k > F.col("k_zero"), "call").otherwise("center")
+    k_zero = F.col("k_zero")
+    side = F.when(k_zero.isNull(), "none").when(k < k_zero, "put").when(k > k_zero, "call").otherwise("center")
     df = legs.withColumns({"_put": put, "_call": call, "side": side})
-    price = F.when(F.col("side") == "put", F.col("_put")).when(F.col("side") == "call", F.col("_call")).otherwise(
-        F.lit(0.5) * (F.col("_put") + F.col("_call"))
+    price = (
+        F.when(F.col("side") == "put", F.col("_put"))
+        .when(F.col("side") == "call", F.col("_call"))
+        .when(F.col("side") == "center", F.lit(0.5) * (F.col("_put") + F.col("_call")))
     )
     distance = F.abs(k - F.col("k_zero"))
     df = df.withColumns({"q": price, "_distance": distance, "_zero": (price <= 0).cast("int")})
@@ -90,7 +95,7 @@ def otm_strip(legs: DataFrame, keys: list[str], intrinsic_filter: bool | Column
     df = df.withColumn("_pair", (F.col("_zero") == 1) & (F.coalesce(F.lag("_zero").over(outward), F.lit(0)) == 1))
     ended = F.max(F.col("_pair").cast("int")).over(outward.rowsBetween(Window.unboundedPreceding, 0))
     kept = df.withColumn("_ended", ended).filter(
-        (F.col("side") == "center") | ((F.col("_ended") == 0) & (F.col("_zero") == 0))
+        F.col("side").isin("center", "none") | ((F.col("_ended") == 0) & (F.col("_zero") == 0))
     )
     return kept.drop("_put", "_call", "_distance", "_zero", "_pair", "_ended")
 
@@ -98,7 +103,7 @@ def otm_strip(legs: DataFrame, keys: list[str], intrinsic_filter: bool | Column
 def strike_intervals(strip: DataFrame, keys: list[str]) -> DataFrame:
     """Add ``delta_k``: half the gap between neighbours, one-sided at the ends.
 
-    A strip of a single strike has no interval and is rejected.
+    A strip of a single strike has no interval, hence NULL.
     """
     w = Window.partitionBy(*keys).orderBy("strike")
     before, after = F.lag("strike").over(w), F.lead("strike").over(w)
@@ -108,16 +113,20 @@ def strike_intervals(strip: DataFrame, keys: list[str]) -> DataFrame:
         .when(after.isNotNull(), after - k)
         .when(before.isNotNull(), k - before)
     )
-    return strip.withColumn("delta_k", delta).filter(F.col("delta_k").isNotNull())
+    return strip.withColumn("delta_k", delta)
 
 
-def listed_variance(legs: DataFrame, keys: list[str], intrinsic_filter: bool | Column = True) -> DataFrame:
-    """Variance per chain as a sum over listed strikes; ``sigma_sq`` may come out negative."""
-    strip = strike_intervals(otm_strip(with_forward(legs, keys), keys, intrinsic_filter), keys)
+def listed_chains(legs: DataFrame, keys: list[str], intrinsic_filter: bool | Column = True) -> DataFrame:
+    """Every chain that qualifies for the expiry choice, with its variance where it has one.
+
+    ``sigma_sq`` is NULL without a forward or with a single kept strike, and may come out
+    negative. All windows and the aggregation run on one placement by ``keys``.
+    """
+    strip = otm_strip(with_forward(legs, keys, priced_only=False), keys, intrinsic_filter)
     k = F.col("strike")
-    total = strip.groupBy(*keys).agg(
+    total = strike_intervals(strip, keys).groupBy(*keys).agg(
         F.sum(F.col("delta_k") / (k * k) * F.col("q")).alias("integral"),
-        F.count(F.lit(1)).alias("strikes"),
+        F.count("q").alias("strikes"),
         *[F.max(c).alias(c) for c in ("t", "forward", "k_zero")],
     )
     return total.withColumn(
@@ -125,13 +134,9 @@ def listed_variance(legs: DataFrame, keys: list[str], intrinsic_filter: bool | C
     )
 
 
-def listed_chains(legs: DataFrame, keys: list[str], intrinsic_filter: bool | Column = True) -> DataFrame:
-    """Every chain that qualifies for the expiry choice, with its variance where it has one."""
-    chains = legs.groupBy(*keys).agg(F.count(F.lit(1)).alias("listed_strikes"))
-    chains = chains.withColumn("t", year_fraction(F.col("snapshot_ts"), F.col("expiry")))
-    chains = chains.filter((F.col("listed_strikes") >= MIN_STRIP_QUOTES) & (F.col("t") > 0))
-    variance = listed_variance(legs, keys, intrinsic_filter).select(*keys, "forward", "k_zero", "sigma_sq")
-    return chains.join(variance, keys, "left")
+def listed_variance(legs: DataFrame, keys: list[str], intrinsic_filter: bool | Column = True) -> DataFrame:
+    """Variance of the chains that have one."""
+    return listed_chains(legs, keys, intrinsic_filter).filter(F.col("sigma_sq").isNotNull())
 
 
 def index_from_picked(picked: DataFrame) -> DataFrame:

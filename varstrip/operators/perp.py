@@ -272,3 +272,16 @@ def reserve_reconciliation(opened: DataFrame, *ended: DataFrame) -> DataFrame:
 
     out = rows.agg(pick("reserved").alias("reserved"), pick("released").alias("released"), pick("open").alias("open_notional"))
     return out.withColumn("balanced", F.col("reserved") - F.col("released") == F.col("open_notional"))
+
+
+def lp_claims(balances: DataFrame, supply: int, assets: int) -> DataFrame:
+    """Check that what all holders could redeem, each floored, stays within the vault's assets.
+
+    ``balances`` holds one row per holder with its ``shares``; the two totals are plain numbers.
+    """
+    s, a = F.lit(supply).cast("bigint"), F.lit(assets).cast("bigint")
+    claim = to_assets(F.col("shares"), s, a)
+    out = balances.agg(F.count(F.lit(1)).alias("holders"), F.sum(claim).alias("claims"))
+    return out.select("holders", whole(F.col("claims")).alias("claims"), a.alias("assets"), s.alias("supply")).withColumn(
+        "within", F.col("claims") <= F.col("assets")
+    )

@@ -814,7 +814,7 @@ def _zeroed(legs: DataFrame) -> DataFrame:
 def strike_intervals(spark, sf):
     legs = _zeroed(backtest.listed_legs(_rows(spark, sf)))
     s = listed.otm_strip(listed.with_forward(legs, listed.CHAIN), listed.CHAIN)
-    return listed.strike_intervals(s, listed.CHAIN).groupBy("snapshot_ts", "asset", "expiry").agg(
+    return listed.strike_intervals(s, listed.CHAIN).filter("delta_k IS NOT NULL").groupBy("snapshot_ts", "asset", "expiry").agg(
         F.count(F.lit(1)).alias("strikes"), F.sum("delta_k").alias("width"), F.sum(F.col("delta_k") * F.col("strike")).alias("weighted"),
     )
 
@@ -1065,6 +1065,17 @@ def share_conversion(spark, sf):
                     fx.wide(perp.to_assets(F.col("assets"), supply, total)).cast("bigint").alias("redeemed"))
 
 
+@query
+def lp_claims(spark, sf):
+    """Redeemable claims of all depositors against vault assets grown by fees and losses."""
+    deposits = inputs.vault_flows(spark, sf).filter(F.col("event_type") == "deposit")
+    balances = deposits.groupBy("holder").agg(F.sum("assets").alias("shares"))
+    total = _deltas(spark, sf).filter("kind <> 'withdraw'").agg(
+        F.sum("delta").alias("assets"), F.sum(F.when(F.col("kind") == "deposit", F.col("delta"))).alias("supply")
+    ).first()
+    return perp.lp_claims(balances, total.supply, total.assets)
+
+
 @query
 def fee_report(spark, sf):
     return perp.fee_report(perp.open_ticket(inputs.positions(spark, sf)), _closed(spark, sf))

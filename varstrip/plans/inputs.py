@@ -294,6 +294,7 @@ def vault_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     deposit = c("event_type") == "click"
     return ev.select(
         c("event_id").alias("seq"),
+        F.concat(F.lit("0xAb"), F.lpad(c("user_id").cast("string"), 4, "0")).alias("holder"),
         F.unix_seconds("ts").alias("at"),
         F.when(deposit, "deposit").otherwise("withdraw").alias("event_type"),
         F.when(deposit, amount * 3).otherwise((amount - amount % 3) / 3).cast("bigint").alias("assets"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,24 +36,27 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
     return prepare(spark)
 
 
-def shared_path(spark: SparkSession, name: str) -> str | None:
-    """A folder below the cluster's shared checkpoint folder, or None where none is set.
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder for intermediate tables.
 
-    The folder is read from ``spark.checkpoint.dir`` so that it survives the loss of
-    any executor or driver host. Callers without one must pass their own location.
+    Read from ``spark.checkpoint.dir`` (or the checkpoint folder already set on the context);
+    where neither is set, as in tests, a folder of this process.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{root.rstrip('/')}/{name}" if root else None
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not root:
+        root = tempfile.mkdtemp(prefix="varstrip-shared-")
+        context.setCheckpointDir(root)
+    return root.rstrip("/")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write a small, costly intermediate once, so that later branches read it back.
 
-    Uses the reliable checkpoint folder the cluster names in ``spark.checkpoint.dir``; where
-    none is set, as in tests, a folder of this process. Files outlive lost executors.
+    A table in the shared folder outlives lost executors like a checkpoint does, but is
+    computed once, is columnar, and carries statistics for the joins that follow. Each call
+    takes a new name below ``varstrip-intermediate``, for the cluster to expire.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(root or tempfile.mkdtemp(prefix="varstrip-checkpoint-"))
-    return df.checkpoint()
+    path = f"{shared_folder(df.sparkSession)}/varstrip-intermediate/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
