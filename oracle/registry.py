@@ -724,7 +724,7 @@ SUMMARY = "count(*) AS n, round(avg(rel), 6) AS bias, round(median(ab), 6) AS me
 add(
     "error_summary",
     SER,
-    f"SELECT asset, CAST(snapshot_ts AS DATE) AS date, {SUMMARY} FROM errs GROUP BY asset, CAST(snapshot_ts AS DATE) UNION ALL SELECT 'all', NULL, {SUMMARY} FROM errs",
+    f"SELECT asset, strftime(snapshot_ts, '%Y-%m-%d') AS date, {SUMMARY} FROM errs GROUP BY asset, strftime(snapshot_ts, '%Y-%m-%d') UNION ALL SELECT 'all', NULL, {SUMMARY} FROM errs",
 )
 add("benchmark_correlation", SER, "SELECT asset, round(corr(index_value, benchmark), 6) AS correlation FROM joined GROUP BY asset")
 add("worst_errors", SER, "SELECT index_id, snapshot_ts, round(ab, 6) AS abs_err FROM errs ORDER BY ab DESC, index_id, snapshot_ts LIMIT 20")
@@ -756,7 +756,7 @@ add(
     "status_breakdown",
     BACK,
     """
-, g AS (SELECT asset, CAST(snapshot_ts AS DATE) AS date, count(*) FILTER (WHERE status = 'ok') AS ok, count(*) FILTER (WHERE status = 'no_expiry_pair') AS no_expiry_pair,
+, g AS (SELECT asset, strftime(snapshot_ts, '%Y-%m-%d') AS date, count(*) FILTER (WHERE status = 'ok') AS ok, count(*) FILTER (WHERE status = 'no_expiry_pair') AS no_expiry_pair,
                count(*) FILTER (WHERE starts_with(status, 'compute_err')) AS compute_err, count(*) AS n FROM back GROUP BY ALL)
 SELECT asset, date, ok, no_expiry_pair, compute_err, round(ok / n, 6) AS success_rate, ok / n >= 0.95e0 AS passed FROM g
 """,

@@ -36,7 +36,7 @@ def canonical(df: pd.DataFrame) -> list[tuple]:
         elif pd.api.types.is_numeric_dtype(df[c]) and not pd.api.types.is_bool_dtype(df[c]):
             df[c] = df[c].astype(float)
     rows = df.astype(object).where(df.notna(), None).itertuples(index=False, name=None)
-    return sorted((tuple(str(v)[:10] if hasattr(v, "isoformat") and not hasattr(v, "hour") else str(v) for v in r) for r in rows))
+    return sorted(tuple(str(v) for v in r) for r in rows)
 
 
 @pytest.mark.parametrize("name", CHECKED)

@@ -36,7 +36,8 @@ def strip_status() -> Column:
 def second_derivatives(xs: Column, ys: Column) -> Column:
     """Second derivatives of the natural cubic spline through (xs, ys), ends zero.
 
-    Forward elimination and back substitution of the tridiagonal system as two folds.
+    Forward elimination and back substitution of the tridiagonal system as two folds. Pass
+    plain array columns: an expression would be evaluated again for every element looked up.
     """
     n = F.size(xs)
 

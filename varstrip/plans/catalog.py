@@ -441,7 +441,8 @@ def spline_curvature(spark, sf):
     fit = _near_next(spark, sf).filter(strip.strip_status() == "ok")
     xs = F.transform("knots", lambda q: F.ln(q["k"] / F.col("forward")))
     ys = F.transform("knots", lambda q: q["iv"])
-    fit = fit.withColumn("xs", xs).withColumn("ms", strip.second_derivatives(F.col("xs"), ys))
+    fit = fit.withColumns({"xs": xs, "ys": ys})
+    fit = fit.withColumn("ms", strip.second_derivatives(F.col("xs"), F.col("ys")))
     rows = fit.select(*KEY, "side", F.posexplode("ms").alias("pos", "m"))
     m = F.col("m")
     return rows.groupBy(*KEY, "side").agg(
@@ -860,9 +861,9 @@ def _errors(spark, sf):
 
 @query
 def error_summary(spark, sf):
-    e = _errors(spark, sf).withColumn("date", F.to_date("snapshot_ts"))
+    e = _errors(spark, sf).withColumn("date", F.date_format("snapshot_ts", "yyyy-MM-dd"))
     per_day = bm.error_summary(e, ["asset", "date"])
-    overall = bm.error_summary(e).select(F.lit("all").alias("asset"), F.lit(None).cast("date").alias("date"), "n", "bias", "median_abs", "p95_abs", "hit_share")
+    overall = bm.error_summary(e).select(F.lit("all").alias("asset"), F.lit(None).cast("string").alias("date"), "n", "bias", "median_abs", "p95_abs", "hit_share")
     return rounded(per_day.unionByName(overall), "bias", "median_abs", "p95_abs", "hit_share")
 
 
@@ -885,7 +886,7 @@ def listed_backtest(spark, sf):
 
 @query
 def status_breakdown(spark, sf):
-    b = backtest.listed_backtest(_rows(spark, sf), inputs.benchmark(spark, sf)).withColumn("date", F.to_date("snapshot_ts"))
+    b = backtest.listed_backtest(_rows(spark, sf), inputs.benchmark(spark, sf)).withColumn("date", F.date_format("snapshot_ts", "yyyy-MM-dd"))
     return rounded(bm.status_breakdown(b, ["asset", "date"], ["ok", "no_expiry_pair", "compute_err"]), "success_rate")
 
 
