@@ -334,7 +334,7 @@ add(
     "strip_points",
     GRID,
     """
-SELECT s.snapshot_ts, s.venue, s.asset, s.side, count(*) AS points, count(DISTINCT j) AS distinct_points, round(min(strike), 6) AS k_min, round(max(strike), 6) AS k_max,
+SELECT s.snapshot_ts, s.venue, s.asset, s.side, count(*) AS points, CAST(sum(j) AS BIGINT) AS j_sum, round(min(strike), 6) AS k_min, round(max(strike), 6) AS k_max,
        round(sum(q), 4) AS q_sum, round(sum(iv), 4) AS iv_sum, round(max(q), 6) AS q_max, round(max(CASE WHEN j = j0 THEN strike END), 6) AS k_zero
 FROM pts JOIN sides s USING (cid) GROUP BY ALL
 """,

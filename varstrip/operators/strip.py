@@ -91,8 +91,12 @@ def fit_segments(chains: DataFrame) -> DataFrame:
         }
     )
     df = df.withColumn("_xs", F.transform("_ks", lambda k: F.ln(k / F.col("forward"))))
-    # Repeated strikes would divide by zero further down; such a chain has no curve.
-    flat = F.exists(F.sequence(F.lit(0), F.size("_xs") - 2), lambda i: F.get("_xs", i + 1) <= F.get("_xs", i))
+    # Repeated strikes would divide by zero further down; such a chain has no curve. Looked up
+    # in the knots themselves: a filter on the status may be pushed below derived arrays.
+    def log_k(i: Column) -> Column:
+        return F.ln(F.get("knots", i)["k"] / F.col("forward"))
+
+    flat = F.exists(F.sequence(F.lit(0), F.size("knots") - 2), lambda i: log_k(i + 1) <= log_k(i))
     df = df.withColumn("strip_status", F.when(good & flat, "spline_fit").otherwise(F.col("strip_status")))
     df = df.withColumns({c: F.when(good, F.col(c)) for c in ("_ks", "_xs", "_ys")})
     df = df.withColumns({"k_min": F.element_at("_ks", 1), "k_max": F.element_at("_ks", -1)})
@@ -212,7 +216,7 @@ def strip_variance(chains: DataFrame, keys: list[str], carry: list[str] | None =
 def strip_quotes(chains: DataFrame, keys: list[str], rate: float = 0.0) -> DataFrame:
     """The full strip of every good chain as an array of (strike, q, iv), 801 long."""
     ids = [*keys, "t", "forward", "k_zero", "listed_strikes", "strip_status"]
-    pts = grid_points(fit_segments(chains), ids, rate).filter(F.col("strip_status") == "ok")
+    pts = grid_points(fit_segments(chains), ids, rate).filter(F.col("j").isNotNull())
     return pts.groupBy(*ids).agg(F.array_sort(F.collect_list(F.struct("strike", "q", "iv"))).alias("quotes"))
 
 

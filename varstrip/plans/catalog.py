@@ -443,7 +443,7 @@ def spline_curvature(spark, sf):
     ys = F.transform("knots", lambda q: q["iv"])
     fit = fit.withColumns({"xs": xs, "ys": ys})
     fit = fit.withColumn("ms", strip.second_derivatives(F.col("xs"), F.col("ys")))
-    rows = fit.select(*KEY, "side", F.posexplode("ms").alias("pos", "m"))
+    rows = fit.select(*KEY, "side", F.posexplode_outer("ms").alias("pos", "m"))
     m = F.col("m")
     return rows.groupBy(*KEY, "side").agg(
         F.count(F.lit(1)).alias("knots"), r(F.sum(F.abs(m)), 4).alias("total"), r(F.sum(m * F.col("pos")), 3).alias("weighted"),
@@ -455,9 +455,9 @@ def spline_curvature(spark, sf):
 def strip_points(spark, sf):
     """Count, extremes and sums of every priced 801-point strip."""
     pts = strip.grid_points(strip.fit_segments(_near_next(spark, sf)), [*KEY, "side", "strip_status"])
-    good = pts.filter(F.col("strip_status") == "ok")
+    good = pts.filter(F.col("j").isNotNull())
     return good.groupBy(*KEY, "side").agg(
-        F.count(F.lit(1)).alias("points"), F.countDistinct("j").alias("distinct_points"),
+        F.count(F.lit(1)).alias("points"), F.sum("j").alias("j_sum"),
         r(F.min("strike")).alias("k_min"), r(F.max("strike")).alias("k_max"),
         r(F.sum("q"), 4).alias("q_sum"), r(F.sum("iv"), 4).alias("iv_sum"), r(F.max("q")).alias("q_max"),
         r(F.max(F.when(F.col("j") == F.col("k_zero_index"), F.col("strike")))).alias("k_zero"),
@@ -470,7 +470,7 @@ def iv_clamp(spark, sf):
     chains = _near_next(spark, sf)
     wild = F.transform("knots", lambda q: F.struct(q["k"].alias("k"), ((q["iv"] - F.lit(0.5)) * F.lit(20.0)).alias("iv")))
     pts = strip.grid_points(strip.fit_segments(chains.withColumn("knots", wild)), [*KEY, "side", "strip_status"])
-    good = pts.filter(F.col("strip_status") == "ok")
+    good = pts.filter(F.col("j").isNotNull())
     return good.groupBy(*KEY, "side").agg(
         F.count_if(F.col("iv") == 1e-4).alias("at_floor"), F.count_if(F.col("iv") == 5.0).alias("at_cap")
     )
