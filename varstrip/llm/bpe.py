@@ -13,6 +13,9 @@ The vocabulary is read by every task from a path that all executors have (a para
 never changes a result, only the time; it is local to a task, because moving chunks through a
 shuffle costs more than encoding them again. Nothing is shuffled.
 
+A fresh chunk of a tokenizer that drops white space is put together from the ids of its words,
+which are kept in a second bounded cache and encoded in batches; other tokenizers encode it whole.
+
 Defined results: a NULL or empty text has no ids and decodes to the empty text; texts of any length
 are encoded whole; repeated rows and NULL ids are rows like any other; other columns are ignored.
 """
@@ -20,6 +23,7 @@ are encoded whole; repeated rows and NULL ids are rows like any other; other col
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -32,9 +36,16 @@ from pyspark.sql import functions as F
 
 from varstrip.llm import text as tx
 
-SPAN, CUT_BITS, LONGEST = 16, 9, 1 << 14
-CACHED = 30_000
+SPAN, CUT_BITS, LONGEST = 16, 10, 1 << 14
+# Entries of each of the two generations of a cache.
+CACHED, CACHED_WORDS = 15_000, 150_000
 BLANK = re.compile(rb"[\x20\x09-\x0D]+")
+SOLID = re.compile(rb"[^\x20\x09-\x0D]+")
+# Words encoded as one line.
+LINE = 400
+# The mark of a piece's last token, and a split pattern whose pieces never contain or look at white space.
+END = "</w>"
+BLANK_FREE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class Chunk(NamedTuple):
@@ -82,16 +93,56 @@ def cut_points(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
 def edge_words(data: bytes) -> tuple[tuple[int, int] | None, tuple[int, int] | None]:
     """Ends of the cut word and of the guard word behind it at the head, and the same at the tail.
 
-    The head's guard word ends before a blank, the tail's begins after one.
+    The head's guard word ends before a blank, the tail's begins after one; cut and guard word are
+    looked for from their own end only.
     """
-    blanks = [m.span() for m in BLANK.finditer(data)]
-    inner = [b for b in blanks if b[1] < len(data)] if blanks else []
-    # Head: the cut word up to the first blank, then one word up to the next.
-    head = (blanks[0][0], blanks[1][0]) if len(blanks) >= 2 else None
-    tail = (inner[-1][1], inner[-2][1]) if len(inner) >= 2 else None
+    ahead = BLANK.finditer(data)
+    first, second = next(ahead, None), next(ahead, None)
+    head = (first.start(), second.start()) if second else None
+    for reach in (256, len(data)):
+        base = max(0, len(data) - reach)
+        # A blank at the very end leaves an empty cut word, which is as good as any.
+        blanks = [m.end() for m in BLANK.finditer(data, base) if m.start() > base or base == 0]
+        if len(blanks) >= 2 or base == 0:
+            break
+    tail = (blanks[-1], blanks[-2]) if len(blanks) >= 2 else None
     return head, tail
 
 
+class Generations:
+    """A dictionary that forgets what was not used for a generation of ``size`` entries."""
+
+    def __init__(self, size: int):
+        self.size = size
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def get(self, key):
+        value = self.young.get(key)
+        if value is None and (value := self.old.get(key)) is not None:
+            self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= self.size:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+
+def _separable(tokenizer) -> bool:
+    """Whether words between blanks are encoded independently of each other."""
+    stated = json.loads(tokenizer.to_str())
+    steps = (stated.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    split = steps[0]
+    normal = (stated.get("normalizer") or {}).get("normalizers") or []
+    return (
+        stated["model"].get("end_of_word_suffix") == END
+        and split.get("type") == "Split" and split.get("behavior") == "Removed" and split.get("invert") is True
+        and split["pattern"].get("Regex") == BLANK_FREE and {n["type"] for n in normal} <= {"NFC", "Lowercase", "Replace"}
+        and all(n["pattern"] == {"Regex": r"\s+"} and n["content"] == " " for n in normal if n["type"] == "Replace")
+    )
+
+
 class Encoder:
     """The tokenizer of a worker with its chunk cache."""
 
@@ -105,59 +156,95 @@ class Encoder:
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.tokens = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
         self.numbers = [str(i) for i in range(size)]
-        self.young: dict[bytes, Chunk] = {}
-        self.old: dict[bytes, Chunk] = {}
-        self.joins: dict[tuple[bytes, bytes], np.ndarray] = {}
+        self.kind = np.uint16 if size <= 1 << 16 else np.uint32
+        self.separable = _separable(self.tokenizer)
+        self.ends_piece = np.array([t.endswith(END) for t in self.tokens])
+        self.kept = Generations(CACHED)
+        self.words = Generations(CACHED_WORDS)
+        self.joins = Generations(CACHED)
         self.encoded = self.reused = self.merged = 0
         self._batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        out = self._batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
-        return [np.array(e.ids, np.uint32) for e in out]
-
-    def _put(self, key: bytes, chunk: Chunk) -> None:
-        if len(self.young) >= CACHED:
-            self.old, self.young = self.young, {}
-        self.young[key] = chunk
-
-    def chunks(self, keys: list[bytes]) -> list[Chunk]:
-        """The chunks of ``keys``, encoding those that are not at hand."""
-        known: dict[bytes, Chunk] = {}
-        fresh = []
-        for key in keys:
-            if key in known:
-                self.reused += 1
+        """Ids of byte strings, each for itself."""
+        return self.encode_text([t.decode("utf-8", "replace") for t in texts])
+
+    def encode_text(self, texts: list[str]) -> list[np.ndarray]:
+        out = self._batch(texts, add_special_tokens=False) if texts else []
+        return [np.array(e.ids, self.kind) for e in out]
+
+    def _word_ids(self, fresh: list[bytes]) -> list[bytes]:
+        """Ids of words. Plain ones are encoded in lines and cut again where their pieces end.
+
+        A word of letters is one piece, with a mark of punctuation behind it two; never fewer, so
+        a line with just the expected number of pieces has each word's share right.
+        """
+        texts = [w.decode("utf-8", "replace") for w in fresh]
+        pieces = np.array([1 if t.isalpha() else 2 * (len(t) > 1 and t[-1] in ".,;:!?" and t[:-1].isalpha()) for t in texts], np.int64)
+        out: list[bytes] = [b""] * len(fresh)
+        plain = np.flatnonzero(pieces)
+        alone = np.flatnonzero(pieces == 0).tolist()
+        lines = [plain[i : i + LINE] for i in range(0, len(plain), LINE)]
+        for line, ids in zip(lines, self.encode_text([" ".join([texts[i] for i in line.tolist()]) for line in lines]), strict=True):
+            ends = np.flatnonzero(self.ends_piece[ids]) + 1
+            if len(ends) != pieces[line].sum():
+                alone += line.tolist()
                 continue
-            chunk = self.young.get(key)
-            if chunk is None and (chunk := self.old.get(key)) is not None:
-                self._put(key, chunk)
-            if chunk is None:
-                fresh.append(key)
+            stops = ends[np.cumsum(pieces[line]) - 1] * ids.itemsize
+            whole, at = ids.tobytes(), 0
+            for i, stop in zip(line.tolist(), stops.tolist(), strict=True):
+                out[i] = whole[at:stop]
+                at = stop
+        for i, ids in zip(alone, self.encode_text([texts[i] for i in alone]), strict=True):
+            out[i] = ids.tobytes()
+        return out
+
+    def _by_words(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of texts from those of their words."""
+        split = [SOLID.findall(t) for t in texts]
+        known = {}
+        fresh = []
+        for word in set().union(*split):
+            ids = self.words.get(word)
+            if ids is None:
+                fresh.append(word)
             else:
-                self.reused += 1
-            known[key] = chunk
-        self.encoded += len(fresh)
-        edges = [edge_words(k) for k in fresh]
+                known[word] = ids
+        for word, ids in zip(fresh, self._word_ids(fresh), strict=True):
+            known[word] = ids
+            self.words.put(word, ids)
+        return [np.frombuffer(b"".join([known[w] for w in ws]), self.kind) for ws in split]
+
+    def _fresh(self, keys: list[bytes]) -> Iterator[Chunk]:
+        """Chunks encoded now. The words at their ends must come out alone as they do inside."""
+        edges = [edge_words(k) for k in keys]
         pieces = []
-        for key, (head, tail) in zip(fresh, edges, strict=True):
+        for key, (head, tail) in zip(keys, edges, strict=True):
             pieces += [key[: head[0]], key[: head[1]]] if head else []
             pieces += [key[tail[0] :], key[tail[1] :]] if tail else []
-        ids = iter(self.encode(fresh + pieces))
-        whole = [next(ids) for _ in fresh]
-        for key, all_ids, (head, tail) in zip(fresh, whole, edges, strict=True):
-            h = [next(ids), next(ids)] if head else None
-            t = [next(ids), next(ids)] if tail else None
-            # The ends must come out alone as they do inside the chunk.
-            if h is not None and not np.array_equal(all_ids[: len(h[1])], h[1]):
+        whole = (self._by_words if self.separable else self.encode)(keys + pieces)
+        ends = iter(whole[len(keys) :])
+        for key, ids, (head, tail) in zip(keys, whole, edges, strict=False):
+            h = [next(ends), next(ends)] if head else None
+            t = [next(ends), next(ends)] if tail else None
+            if h is not None and not np.array_equal(ids[: len(h[1])], h[1]):
                 h = None
-            if t is not None and not np.array_equal(all_ids[len(all_ids) - len(t[1]) :], t[1]):
+            if t is not None and not np.array_equal(ids[len(ids) - len(t[1]) :], t[1]):
                 t = None
-            known[key] = Chunk(
-                all_ids.astype(np.uint16) if len(self.tokens) <= 1 << 16 else all_ids,
-                key[: head[1]] if h else None, key[tail[1] :] if t else None,
+            yield Chunk(
+                ids, key[: head[1]] if h else None, key[tail[1] :] if t else None,
                 len(h[0]) if h else 0, len(h[1]) if h else 0, len(t[0]) if t else 0, len(t[1]) if t else 0,
             )
-            self._put(key, known[key])
+
+    def chunks(self, keys: list[bytes]) -> list[Chunk]:
+        """The chunks of ``keys``, encoding those that are not at hand."""
+        known = {key: self.kept.get(key) for key in dict.fromkeys(keys)}
+        fresh = [key for key, chunk in known.items() if chunk is None]
+        self.encoded += len(fresh)
+        self.reused += len(keys) - len(fresh)
+        for key, chunk in zip(fresh, self._fresh(fresh), strict=True):
+            known[key] = chunk
+            self.kept.put(key, chunk)
         return [known[k] for k in keys]
 
     def _join(self, left: Chunk, right: Chunk) -> np.ndarray | None:
@@ -167,9 +254,8 @@ class Encoder:
         key = (left.tail, right.head)
         ids = self.joins.get(key)
         if ids is None:
-            if len(self.joins) >= CACHED:
-                self.joins.clear()
-            ids = self.joins[key] = self.encode([left.tail + right.head])[0]
+            ids = self.encode([left.tail + right.head])[0]
+            self.joins.put(key, ids)
         guard, after = left.tail_all - left.tail_cut, right.head_all - right.head_cut
         agrees = (
             guard > 0 and after > 0 and len(ids) >= guard + after
@@ -181,7 +267,7 @@ class Encoder:
     def text_ids(self, data: bytes, ends: np.ndarray, chunks: list[Chunk]) -> np.ndarray:
         """Ids of one text from its chunks, every join repaired."""
         if not chunks:
-            return np.zeros(0, np.uint32)
+            return np.zeros(0, self.kind)
         parts: list[np.ndarray] = []
         start, low, current = int(ends[0]), 0, chunks[0]
         for k in range(1, len(chunks)):
