@@ -41,7 +41,7 @@ def test_scores(frame, odd, labels):
     trusted = {r.doc_id for r in labels.collect() if r.quality == 1 and r.doc_id is not None}
     raw, target, grams = {}, {}, {}
     for doc_id, text in odd:
-        w = [x[-3:] for x in solid(text)]
+        w = [x[-3:] for x in solid((text or "").translate(str.maketrans(quality_rules.LETTERS, quality_rules.SHAPES)))]
         grams[doc_id] = [bucket(x) for x in w] + [bucket(a, b) for a, b in zip(w, w[1:])]
         for g in grams[doc_id]:
             raw[g] = raw.get(g, 0) + 1
@@ -96,7 +96,7 @@ def test_long_runs_do_not_blow_up(frame):
 def test_disclosing_terms(frame):
     """A codename beside one address on unlike pages is disclosed; page copies are no evidence."""
     rng = random.Random(1)
-    filler = [f"word{i}" for i in range(40)]
+    filler = ["é", *[f"word{i}" for i in range(40)]]
     prose = lambda n: " ".join(rng.choice(filler) for _ in range(n))
     docs = [(i, prose(200)) for i in range(40)]
     docs += [(100 + i, f"{prose(30)} é bluefalcon {rng.choice(filler)} bob@corp.example {prose(30)}") for i in range(6)]
@@ -124,7 +124,7 @@ def test_url_filter_matches_sql(spark, small):
     odd = spark.createDataFrame([(1, None), (None, "http://a.b.example.com/x"), (2, "nonsense"), (3, "HTTP://u:p@Sub.Example.COM.:80/"), (3, "http://" + "a." * 300 + "com"), (4, "http://localhost/")], "page_id long, url string")
     pages = pages.unionByName(odd)
     con = duckdb.connect()
-    con.register("pages", pages.toPandas().astype({"page_id": "Int64"}))
+    con.register("pages", pages.toPandas().astype({"page_id": "Int64"}).convert_dtypes())
     got = url_filter.op7(pages).toPandas()
     want = con.execute(url_filter.OP7_SQL).df()
     key = lambda df: sorted(tuple("" if x is None or x != x else str(x)[:10] if "-" in str(x)[:5] else str(x).removesuffix(".0") for x in r) for r in df[sorted(got.columns)].astype(object).itertuples(index=False))

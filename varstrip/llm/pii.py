@@ -51,7 +51,7 @@ FILTER = 1 << 20
 
 def luhn(digits: Column) -> Column:
     """Whether a string of digits passes the Luhn check."""
-    reversed_ = F.split(F.reverse(digits), "(?!^)")
+    reversed_ = F.filter(F.split(F.reverse(digits), ""), lambda d: d != "")
 
     def value(d, i):
         n = d.cast("int") * F.when(i % 2 == 1, 2).otherwise(1)
@@ -100,21 +100,20 @@ def entities(documents: DataFrame) -> DataFrame:
     lines = lines.withColumn("at", F.coalesce(F.sum("n").over(before), F.lit(0)))
     none = F.array().cast("array<struct<kind:string,i:int,value:string,gap:int>>")
     found = F.concat(*[F.coalesce(_matches(F.col("line"), k), none) for k in PATTERNS])
-    hits = lines.filter((F.col("line").isNotNull()) | (F.coalesce("ln", F.lit(0)) == 0))
-    hits = hits.withColumn("x", F.explode_outer(F.when(F.col("line").isNotNull(), found)))
-    hits = hits.select("row", "doc_id", "ln", "at", "line", "x.*").filter(F.col("kind").isNotNull() | (F.coalesce("ln", F.lit(0)) == 0))
+    own = F.array(F.struct(F.lit(None).cast("string").alias("kind"), F.lit(0).alias("i"), F.lit("").alias("value"), F.lit(0).alias("gap")))
+    rows = F.concat(F.when(F.col("line").isNotNull(), found).otherwise(none), F.when(F.coalesce("ln", F.lit(0)) == 0, own).otherwise(none))
+    hits = lines.withColumn("x", F.explode(rows)).select("row", "doc_id", "ln", "at", "line", "x.*")
     upto = Window.partitionBy("row", "ln", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     hits = hits.withColumn("stop", F.sum(F.col("gap") + F.length("value")).over(upto).cast("int"))
     hits = hits.withColumn("begin", F.col("stop") - F.length("value"))
     hits = hits.filter(F.col("kind").isNull() | valid(F.col("kind"), F.col("value")))
     low = F.greatest(F.lit(0), F.col("begin") - REACH)
+    some = F.col("kind").isNotNull()
     out = hits.select(
-        "row", "doc_id", "kind", (F.col("at") + F.col("begin")).cast("int").alias("start"), (F.col("at") + F.col("stop")).cast("int").alias("end"), "value",
-        F.substring("line", low + 1, F.col("begin") - low).alias("left"), F.substring("line", F.col("stop") + 1, F.lit(REACH)).alias("right"),
+        "row", "doc_id", "kind", F.when(some, F.col("at") + F.col("begin")).cast("int").alias("start"), F.when(some, F.col("at") + F.col("stop")).cast("int").alias("end"), F.when(some, F.col("value")).alias("value"),
+        F.when(some, F.substring("line", low + 1, F.col("begin") - low)).alias("left"), F.when(some, F.substring("line", F.col("stop") + 1, F.lit(REACH))).alias("right"),
     )
-    # A document whose first line has entities has no row of its own yet.
-    own = docs.select("row", "doc_id", *[F.lit(None).cast(t).alias(c) for c, t in out.dtypes[2:]])
-    return written(out.filter("kind IS NOT NULL").unionByName(own), "entities")
+    return written(out, "entities")
 
 
 def _words_of(side: Column, base: Column) -> Column:
@@ -189,6 +188,9 @@ def _joined(spans: Column) -> Column:
 def op5(documents: DataFrame) -> DataFrame:
     """The contract's digest of ``sanitise``."""
     spans = F.col("spans")
-    counts = [F.size(F.filter(spans, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS[:4]]
+
+    def count(k: int) -> Column:
+        return F.size(F.filter(spans, lambda s: s["k"] == k)).cast("long").alias(f"n_{KINDS[k]}")
+
     base = F.filter(spans, lambda s: s["k"] < 4)
-    return sanitise(documents).select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(spans).alias("spans"))
+    return sanitise(documents).select("doc_id", *[count(k) for k in range(4)], F.sha2(_joined(base), 256).alias("base_sha256"), _joined(spans).alias("spans"))

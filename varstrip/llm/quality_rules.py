@@ -3,8 +3,10 @@
 Two multinomials over ``BUCKETS`` hashed n-grams are counted: one over every document (raw corpus),
 one over the trusted target. A document's score is the sum over its n-grams of
 log p_target - log p_raw, divided by their number; it is kept if the score reaches a fixed
-threshold and no base rule fails. N-grams are unigrams and bigrams of word endings (``ENDING``
-code points): whole words of an open vocabulary would fill the buckets with noise.
+threshold and no base rule fails. N-grams are unigrams and bigrams of the shapes of word endings
+(``ENDING`` code points, letters as a or A, digits as 0, other characters as they are): whole words
+of an open vocabulary would fill the buckets with noise, and a target that happens to lack a
+language would condemn it.
 
 The target is fitted on labelled rows, at most ``TRUSTED`` of them (the lowest ids, a parameter);
 raw counts and scores cover all documents. What is broadcast is bounded by these two constants.
@@ -24,6 +26,10 @@ from pyspark.sql import functions as F
 BLANKS = " \t\n\x0b\f\r"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
+# Latin letters up to U+024F, lower and upper case.
+_LATIN = [chr(i) for i in range(0x250) if chr(i).isalpha()]
+LETTERS = "".join(_LATIN) + "0123456789"
+SHAPES = "".join("a" if c == c.lower() else "A" for c in _LATIN) + "0" * 10
 BUCKETS = 1 << 16
 ENDING = 3
 TRUSTED = 20_000
@@ -39,6 +45,11 @@ def word_array(text: Column) -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, BLANK_RUN, -1))
 
 
+def shape_array(text: Column) -> Column:
+    """Words with their letters and digits as classes."""
+    return word_array(F.translate(text, LETTERS, SHAPES))
+
+
 def ending(word: Column) -> Column:
     return F.right(word, F.lit(ENDING))
 
@@ -64,7 +75,7 @@ def fit(documents: DataFrame, labels: DataFrame, trusted: int = TRUSTED, prior:
     """
     ids = labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy("doc_id").limit(trusted)
     ids = F.broadcast(ids.withColumn("_trusted", F.lit(1)))
-    docs = documents.select("doc_id", word_array(F.col("text")).alias("_words")).join(ids, "doc_id", "left")
+    docs = documents.select("doc_id", shape_array(F.col("text")).alias("_words")).join(ids, "doc_id", "left")
     rows = gram_rows(docs.select("_trusted", "_words"), "_words")
     counts = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("_trusted").alias("target"))
     totals = counts.agg(F.sum("raw").alias("all_raw"), F.sum("target").alias("all_target"))
@@ -114,17 +125,20 @@ def judged(documents: DataFrame, weights: Column, threshold: float = THRESHOLD)
     The n-grams of a text are summed in the order of its words, so a score is the same wherever
     and however often it is computed.
     """
-    df = statistics(documents)
+    df = statistics(documents).withColumn("_shapes", shape_array(F.col("text")))
 
     def gram_weight(word, i):
-        after = F.get("_words", i + 1)
+        after = F.get("_shapes", i + 1)
         pair = F.when(after.isNotNull(), F.get(weights, bucket(ending(word), ending(after))))
         return F.get(weights, bucket(ending(word))) + F.coalesce(pair, F.lit(0.0))
 
-    total = F.aggregate(F.transform("_words", gram_weight), F.lit(0.0), lambda a, x: a + x)
+    total = F.aggregate(F.transform("_shapes", gram_weight), F.lit(0.0), lambda a, x: a + x)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    df = df.withColumns({"score": F.when(F.col("n_words") > 0, total / (2 * F.col("n_words") - 1)).otherwise(0.0), "base_failed": failed}).drop("_words")
-    return df.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+    df = df.withColumns({"score": F.when(F.col("n_words") > 0, total / (2 * F.col("n_words") - 1)).otherwise(0.0), "base_failed": failed}).drop("_words", "_shapes")
+    df = df.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+    # A generator keeps later filters above: pushed down, they would repeat the nested expressions
+    # of every step below, and planning would take exponential time.
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
 
 
 def op8(documents: DataFrame, labels: DataFrame) -> DataFrame:

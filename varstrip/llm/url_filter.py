@@ -56,14 +56,14 @@ def judged(captures: DataFrame, events: DataFrame, last_day: Column) -> DataFram
     cut = intervals(events).filter(F.col("since") <= last_day)
     cut = cut.withColumn("_month", F.explode(F.sequence(month(F.col("since")), month(end), F.expr("interval 1 month"))))
     rows = captures.select("page_id", "fetched", host_of(F.col("url")).alias("host")).withColumn("_row", F.monotonically_increasing_id())
-    asked = rows.select("_row", "fetched", F.explode(domains(F.col("host"))).alias("domain"), month(F.col("fetched")).alias("_month")).filter("fetched IS NOT NULL")
-    met = asked.join(cut, ["domain", "_month"]).filter((F.col("fetched") >= F.col("since")) & (F.col("until").isNull() | (F.col("fetched") < F.col("until"))))
-    best = F.max(F.struct(F.length("domain").alias("n"), "domain", "since", "action"))
-    hits = met.groupBy("_row").agg(F.count(F.lit(1)).alias("n_active"), best.alias("_best"))
-    out = rows.join(hits, "_row", "left")
+    asked = rows.withColumns({"domain": F.explode_outer(domains(F.col("host"))), "_month": month(F.col("fetched"))})
+    active = (F.col("fetched") >= F.col("since")) & (F.col("until").isNull() | (F.col("fetched") < F.col("until")))
+    met = asked.join(cut, ["domain", "_month"], "left").withColumn("_active", F.coalesce(active, F.lit(False)))
+    best = F.max(F.when(F.col("_active"), F.struct(F.length("domain").alias("n"), "domain", "since", "action")))
+    out = met.groupBy("_row", "page_id", "host", "fetched").agg(F.count_if("_active").alias("n_active"), best.alias("_best"))
     return out.select(
-        "page_id", "host", "fetched", F.coalesce("n_active", F.lit(0).cast("long")).alias("n_active"), F.col("_best.domain").alias("entry"),
-        F.col("_best.since").alias("since"), F.coalesce("_best.action", F.lit("none")).alias("action"), F.coalesce(F.col("_best.action") == "block", F.lit(False)).alias("blocked"),
+        "page_id", "host", "fetched", "n_active", F.col("_best.domain").alias("entry"), F.col("_best.since").alias("since"),
+        F.coalesce("_best.action", F.lit("none")).alias("action"), F.coalesce(F.col("_best.action") == "block", F.lit(False)).alias("blocked"),
     )
 
 
@@ -107,7 +107,7 @@ d AS (
   SELECT DISTINCT rid, array_to_string(list_slice(string_split(host, '.'), i, len(string_split(host, '.'))), '.') AS domain
   FROM (SELECT rid, host, unnest(range(1, greatest(1, len(string_split(host, '.')) - 1) + 1)) AS i FROM c WHERE host IS NOT NULL)
 ), n AS (
-  SELECT domain, list_transform([0, 1, 2, 3, 4, 5], k -> CAST('0x' || substr(md5(domain || '#' || k), 1, 4) AS INTEGER)) AS r
+  SELECT domain, list_transform([0, 1, 2, 3, 4, 5], lambda k: CAST('0x' || substr(md5(domain || '#' || k), 1, 4) AS INTEGER)) AS r
   FROM (SELECT DISTINCT domain FROM d)
 ), e AS (
   SELECT domain, DATE '2024-01-01' + r[3] % 120 AS listed, CASE WHEN r[2] % 2 = 0 THEN 2 ELSE 1 END AS rank FROM n WHERE r[1] % 3 = 0
