@@ -1,13 +1,56 @@
-"""Corpus cleaning: STAGES applied in order to ``documents``, each written and read again."""
+"""Corpus cleaning: STAGES applied in order to ``documents``, each written and read again.
+
+Every stage but the last returns the columns of its input; what one removes, no later one sees.
+Rows of any kind pass through: NULL texts fail the quality rules, repeated rows become one in the
+near-duplicate stage, NULL ids are documents like any other, further columns are carried along.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from varstrip.llm import bpe, decontaminate, jaccard_join, quality_rules, secret_scan
 from varstrip.llm.queries import table
 from varstrip.llm.store import written
 
-STAGES: list = []
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the quality rules go."""
+    return quality_rules.filtered(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every group of documents linked by shingle similarity the first one stays."""
+    return jaccard_join.one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a passage of the benchmark go."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are masked; all documents stay."""
+    out = secret_scan.redact(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts, and digests of ids and decoded text, of every document that is left."""
+    return bpe.digests(docs, TOKENIZER)
+
+
+STAGES = [
+    ("quality_rules", quality),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("secret_scans", secrets),
+    ("bpe", tokens),
+]
 # Hashes, regular expressions and byte-pair encoding are not expressible in SQL; the tests hold
 # the result against a brute-force version.
 ORACLE_SQL = None
@@ -18,4 +61,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir) if STAGES else docs
+    return STAGES[-1][1](spark, docs, sf_dir)

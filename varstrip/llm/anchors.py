@@ -42,7 +42,7 @@ BLOCK_BYTES = 8 << 20
 PART_BYTES = 4 << 20
 GRAM_BYTES = 6  # of a gram's hash that travel; a chance agreement only costs a needless record
 
-BLOCKS = "block long, doc_ids array<long>, offsets array<long>, data binary"
+BLOCKS = "block long, doc_ids array<long>, keys array<long>, offsets array<long>, data binary"
 
 
 class Units(NamedTuple):
@@ -84,14 +84,17 @@ def _block_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         for s in tx.slices(batch.column(1), BLOCK_BYTES):
             data = zstandard.ZstdCompressor(level=3).compress(s.data.tobytes())
-            row = (block, batch.column(0)[s.rows].to_pylist(), s.offsets.tolist(), data)
-            kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=["block", "doc_ids", "offsets", "data"])
+            row = (block, batch.column(0)[s.rows].to_pylist(), tx.text_keys(batch.column(1)[s.rows]), s.offsets.tolist(), data)
+            kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=["block", "doc_ids", "keys", "offsets", "data"])
             block += 1
 
 
 def blocks(documents: DataFrame) -> DataFrame:
-    """Documents (doc_id, text) packed into blocks, stored; the text is compressed here, once."""
+    """Documents (doc_id, text) packed into blocks, stored; the text is compressed here, once.
+
+    ``keys`` are hashes of the texts, to find rows of ``documents`` again.
+    """
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return written(rows.mapInArrow(_block_batches, BLOCKS), "blocks", "none")
 

@@ -34,7 +34,7 @@ WINDOW = 10
 BLOCK_BYTES = 8 << 20
 # Candidate places looked at together in a task.
 PLACES = 1 << 20
-INDEX = "shard long, doc_ids array<long>, first array<int>, terms binary, starts binary, positions binary"
+INDEX = "shard long, doc_ids array<long>, keys array<long>, first array<int>, terms binary, starts binary, positions binary"
 HITS = "shard long, row int, ranges array<struct<lo:int,hi:int>>, items array<string>"
 
 
@@ -52,13 +52,13 @@ def _index_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             # Positions of a term are stored as steps, which compress well.
             steps = order.astype(np.int64)
             steps[1:] -= np.where(fresh[1:], 0, order[:-1])
-            row = [shard, ids[s.rows].to_pylist(), w.first.astype(np.int32).tolist(), ordered[fresh].tobytes(), starts.tobytes(), steps.astype(np.uint32).tobytes()]
+            row = [shard, ids[s.rows].to_pylist(), tx.text_keys(batch.column(1)[s.rows]), w.first.astype(np.int32).tolist(), ordered[fresh].tobytes(), starts.tobytes(), steps.astype(np.uint32).tobytes()]
             shard += 1
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, _INDEX_TYPES, strict=True)], names=_INDEX_NAMES)
 
 
 _INDEX_NAMES = [c.split()[0] for c in INDEX.split(", ")]
-_INDEX_TYPES = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary()]
+_INDEX_TYPES = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary()]
 
 
 def build_index(documents: DataFrame) -> DataFrame:
@@ -256,18 +256,26 @@ def _united(ranges: Column) -> Column:
 def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row per document: words, words hit by a benchmark window, and the items behind them.
 
-    Columns: doc_id, n_words, n_hit, n_items, items (sorted), contaminated.
+    Columns: doc_id, key (of its text), n_words, n_hit, n_items, items (sorted), contaminated.
     """
     index = build_index(documents)
     hits = search(index, benchmark, window)
     # Only documents with hits get here; one met by several blocks has its ranges united.
     hits = hits.groupBy("shard", "row").agg(F.flatten(F.collect_list("ranges")).alias("ranges"), F.flatten(F.collect_list("items")).alias("items"))
     hits = hits.select("shard", "row", _united(F.col("ranges")).alias("n_hit"), F.array_sort(F.array_distinct("items")).alias("items"))
-    docs = index.select("shard", "first", F.posexplode("doc_ids").alias("row", "doc_id"))
-    docs = docs.select("shard", "row", "doc_id", (F.get("first", F.col("row") + 1) - F.get("first", F.col("row"))).cast("long").alias("n_words"))
+    docs = index.select("shard", "first", "keys", F.posexplode("doc_ids").alias("row", "doc_id"))
+    docs = docs.select("shard", "row", "doc_id", F.get("keys", F.col("row")).alias("key"), (F.get("first", F.col("row") + 1) - F.get("first", F.col("row"))).cast("long").alias("n_words"))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     items = F.coalesce("items", F.array().cast("array<string>"))
-    return docs.join(hits, ["shard", "row"], "left").select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"), (n_hit > 0).alias("contaminated"))
+    return docs.join(hits, ["shard", "row"], "left").select("doc_id", "key", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"), (n_hit > 0).alias("contaminated"))
+
+
+def clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``documents`` without the contaminated ones, all columns kept."""
+    bad = contamination(documents, benchmark, window).filter("contaminated").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
+    keyed = documents.withColumn("_own", F.xxhash64(F.col("text").cast("string")))
+    same = keyed["doc_id"].eqNullSafe(bad["_id"]) & (keyed["_own"] == bad["_key"])
+    return keyed.join(bad, same, "left_anti").select(*documents.columns)
 
 
 def op1(documents: DataFrame, benchmark: DataFrame) -> DataFrame:

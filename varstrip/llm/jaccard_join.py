@@ -102,7 +102,7 @@ def overlap_needed(n, m):
     return -(-NEED * (n + m) // (100 + NEED))
 
 
-_DOCS = pa.struct([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64())])
+_DOCS = pa.struct([("doc_id", pa.int64()), ("key", pa.int64()), ("node", pa.int64()), ("n", pa.int64())])
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,7 +114,8 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             s = block_sets(b)
             counts += np.bincount((s.shingles % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
             size = np.diff(s.first)
-            docs = [{"doc_id": d, "node": node_id(b.block, k) if k >= 0 else None, "n": int(size[k]) if k >= 0 else 0} for d, k in zip(b.doc_ids, s.node.tolist(), strict=True)]
+            keys = batch.column("keys")[i].as_py()
+            docs = [{"doc_id": d, "key": h, "node": node_id(b.block, k) if k >= 0 else None, "n": int(size[k]) if k >= 0 else 0} for d, h, k in zip(b.doc_ids, keys, s.node.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([None], pa.binary()), pa.array([docs], pa.list_(_DOCS))], names=names)
     if counts.any():
         parts = [an.packed(x.astype(np.uint64)) for x in np.split(counts, CHUNKS)]
@@ -286,11 +287,14 @@ def _candidates(table: pa.Table) -> pa.Table:
 
 
 def linked(documents: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id."""
+    """One row per document: doc_id, key (of its text), n_shingles, component_id, component_key.
+
+    A component's first document, which names it, is the one with the smallest (doc_id, key).
+    """
     spark = documents.sparkSession
     stored = an.blocks(documents)
-    columns = ["block", "offsets", "doc_ids", "data"]
-    counted = written(stored.select(*columns).mapInArrow(_count_batches, "chunk int, counts binary, docs array<struct<doc_id:long,node:long,n:long>>"), "sketch", "zstd")
+    columns = ["block", "offsets", "doc_ids", "keys", "data"]
+    counted = written(stored.select(*columns).mapInArrow(_count_batches, "chunk int, counts binary, docs array<struct<doc_id:long,key:long,node:long,n:long>>"), "sketch", "zstd")
     sums = counted.filter("chunk >= 0").groupBy("chunk").applyInArrow(_summed, "chunk int, counts binary").orderBy("chunk").collect()
     sketch = np.concatenate([np.frombuffer(r.counts, np.uint64) for r in sums]) if sums else np.zeros(SKETCH, np.uint64)
     sketch = spark.sparkContext.broadcast(sketch.astype(np.int64))
@@ -325,12 +329,29 @@ def linked(documents: DataFrame) -> DataFrame:
     if not rest.isEmpty():
         links = links.unionByName(written(search(stored, rest), "links"))
         known = written(components(links), "components")
-    named = docs.join(known, "node", "left").select("doc_id", "node", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("_c"))
-    least = named.filter("_c IS NOT NULL").groupBy("_c").agg(F.min("doc_id").alias("component_id"))
-    out = named.join(least, "_c", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("_c").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    named = docs.join(known, "node", "left").select("doc_id", "key", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("_c"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("_first")
+    out = named.join(named.filter("_c IS NOT NULL").groupBy("_c").agg(first), "_c", "left")
+    alone = F.col("_c").isNull()
+    return out.select(
+        "doc_id", "key", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("_first.doc_id")).alias("component_id"),
+        F.when(alone, F.col("key")).otherwise(F.col("_first.key")).alias("component_key"),
+    )
+
+
+def one_of_each(documents: DataFrame) -> DataFrame:
+    """``documents`` with the first document of every component, all columns kept.
+
+    Rows with the same id and text are one document.
+    """
+    rows = linked(documents).filter("doc_id <=> component_id AND key = component_key")
+    kept = rows.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
+    keyed = documents.withColumn("_own", F.xxhash64(F.col("text").cast("string")))
+    same = keyed["doc_id"].eqNullSafe(kept["_id"]) & (keyed["_own"] == kept["_key"])
+    out = keyed.join(kept, same, "left_semi").withColumn("_id", F.col("doc_id"))
+    return out.dropDuplicates(["_id", "_own"]).select(*documents.columns)
 
 
 def op4(documents: DataFrame) -> DataFrame:
     """The contract's columns."""
-    return linked(documents)
+    return linked(documents).select("doc_id", "n_shingles", "component_id")

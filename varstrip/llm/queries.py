@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from varstrip.llm import bpe, decontaminate, license_scan, pii, quality_rules, secret_scan, substring_dedup, suffix_dedup, url_filter
+from varstrip.llm import bpe, decontaminate, jaccard_join, license_scan, pii, quality_rules, secret_scan, substring_dedup, suffix_dedup, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.op3(table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.op4(table(spark, sf_dir, "documents"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.op5(table(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ALL = (
-    op1_decontamination, op2_suffix_dedup, op3_secret_scan, op5_pii, op6_bpe, op7_url_filter,
+    op1_decontamination, op2_suffix_dedup, op3_secret_scan, op4_ngram_jaccard_join, op5_pii, op6_bpe, op7_url_filter,
     op8_quality_rules, op9_license_scan, op10_substring_dedup,
 )
 QUERIES = {f.__name__: f for f in _ALL}

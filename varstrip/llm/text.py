@@ -11,6 +11,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 MIX1, MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -71,6 +72,15 @@ def range_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mixed(h + (ends - starts).astype(np.uint64) * MIX1)
 
 
+def text_keys(column: pa.Array) -> list[int]:
+    """Spark's ``xxhash64`` of every text, NULL included: with the id it names a row."""
+    present = column.is_valid().to_pylist()
+    data, at = raw(column)
+    whole = data.tobytes()
+    keys = [xxhash.xxh64_intdigest(whole[a:b], 42) if p else 42 for p, a, b in zip(present, at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    return np.array(keys, np.uint64).view(np.int64).tolist()
+
+
 class Slice(NamedTuple):
     """Texts of some rows as one run of bytes; ``offsets`` has one more entry than rows."""
 
