@@ -315,25 +315,64 @@ def listed_variance(name: str, legs: str, intrinsic: bool = True) -> str:
 """
 
 
+def tdiv(a: str, b: str) -> str:
+    """Division cut toward zero on huge integers."""
+    return f"(CASE WHEN ({b}) = 0 THEN NULL ELSE sign({a}) * (abs(CAST({a} AS HUGEINT)) // abs(CAST({b} AS HUGEINT))) * sign({b}) END)"
+
+
+def valued(name: str, source: str, now: str, own_mark: bool = False) -> str:
+    notional = "CAST(p.collateral AS HUGEINT) * p.leverage"
+    m = "p" if own_mark else "m"
+    raw_pnl = tdiv(f"({notional}) * (CAST({m}.mark AS HUGEINT) - p.entry_price)", "p.entry_price")
+    return f"""
+{name}_0 AS (
+  SELECT p.*{"" if own_mark else ", m.mark"}, {notional} AS notional, least(CASE WHEN p.is_long THEN {raw_pnl} ELSE -{raw_pnl} END, {notional}) AS pnl,
+         ({notional}) * 30 * (({now}) - p.opened_at) // (CAST(10000 AS HUGEINT) * 86400) AS funding
+  FROM {source} p{"" if own_mark else " JOIN last_marks m USING (index_id)"}),
+{name} AS (
+  SELECT *, greatest(0, collateral + pnl - funding) AS equity, collateral + pnl - funding <= collateral * 2000 // 10000 AS liquidatable,
+         collateral + pnl <= collateral * 2000 // 10000 AS liquidatable_price_only
+  FROM {name}_0)
+"""
+
+
 POSITIONS = f"""
-positions AS (
+requests AS (
   SELECT event_id AS id, '0xAb' || lpad(CAST(user_id AS VARCHAR), 4, '0') AS trader, {INDEX} AS index_id, event_id % 2 = 0 AS is_long,
          CAST(round(value * 1000000) AS BIGINT) AS collateral, CAST(1 + k % 10 AS BIGINT) AS leverage,
-         (4000 + CAST(k AS BIGINT) * 20) * 1000000 AS entry_price, CAST(floor(epoch(ts)) AS BIGINT) AS opened_at
+         CAST(floor(epoch(ts)) AS BIGINT) AS opened_at, (4000 + CAST(k AS BIGINT) * 20) * 1000000 AS stop_price
   FROM ev WHERE event_type = 'purchase'),
-closes AS (SELECT id, opened_at + 172800 AS closed_at FROM positions WHERE id % 3 = 0),
-liqs AS (SELECT id, opened_at + 259200 AS closed_at FROM positions WHERE id % 7 = 0 AND id % 3 <> 0),
-open_pos AS (SELECT * FROM positions WHERE id NOT IN (SELECT id FROM closes) AND id NOT IN (SELECT id FROM liqs)),
+tries AS (
+  SELECT id, opened_at + 172800 AS "at", 'close' AS kind, 0 AS ref FROM requests WHERE id % 3 = 0
+  UNION ALL SELECT id, opened_at + d * 86400, 'liquidate', 0 FROM requests CROSS JOIN (SELECT unnest([1, 3]) AS d)),
 marks AS (
   SELECT {INDEX} AS index_id, event_id AS seq, CAST(floor(epoch(ts)) AS BIGINT) AS "at", (4000 + CAST(round(value * 10) AS BIGINT)) * 1000000 AS mark
   FROM ev),
 last_marks AS (SELECT index_id, last(mark ORDER BY "at", seq) AS mark, max("at") AS mark_at FROM marks GROUP BY index_id),
+marks1 AS (SELECT index_id, "at" AS mark_at, arg_max(mark, seq) AS mark FROM marks GROUP BY ALL),
 orders0 AS (
-  SELECT event_id AS order_id, '0xAb' || lpad(CAST(user_id AS VARCHAR), 4, '0') AS trader, {INDEX} AS index_id,
-         CASE event_id % 3 WHEN 0 THEN 'limit' WHEN 1 THEN 'tp' ELSE 'sl' END AS kind,
-         CASE WHEN event_id % 3 <> 0 THEN event_id - k % 10 END AS position_id,
+  SELECT event_id AS order_id, '0xAb' || lpad(CAST(user_id AS VARCHAR), 4, '0') AS trader, {INDEX} AS index_id, 'limit' AS kind, CAST(NULL AS BIGINT) AS position_id,
          (4000 + CAST(k AS BIGINT) * 20) * 1000000 AS trigger_price, event_id % 2 = 0 AS trigger_above, CAST(floor(epoch(ts)) AS BIGINT) AS placed_at
-  FROM ev WHERE event_type = 'signup'),
+  FROM ev WHERE event_type = 'signup'
+  UNION ALL SELECT id, trader, index_id, CASE WHEN id % 8 = 0 THEN 'tp' ELSE 'sl' END, id, stop_price, id % 8 = 0, opened_at + CASE WHEN id % 32 = 0 THEN 172801 ELSE 600 END
+  FROM requests WHERE id % 4 = 0),
+trig AS (
+  SELECT o.order_id, o.trader, o.kind, o.position_id, o.trigger_price, min(struct_pack(a := m."at", b := m.seq, c := m.mark)) AS hit
+  FROM orders0 o JOIN marks m ON m.index_id = o.index_id AND m."at" >= o.placed_at
+   AND CASE WHEN o.trigger_above THEN m.mark >= o.trigger_price ELSE m.mark <= o.trigger_price END GROUP BY ALL),
+asked AS (SELECT r.*, m.mark, m.mark_at, COALESCE(r.opened_at - m.mark_at <= 3600, FALSE) AS usable
+          FROM requests r ASOF LEFT JOIN marks1 m ON r.index_id = m.index_id AND r.opened_at >= m.mark_at),
+tickets AS (SELECT *, CAST(collateral AS HUGEINT) * leverage * 10 // 10000 AS open_fee FROM asked),
+ticketed AS (SELECT *, CASE WHEN collateral = 0 THEN 'zero_collateral' WHEN leverage = 0 OR leverage > 10 THEN 'invalid_leverage' WHEN NOT usable THEN 'stale_price'
+                            WHEN collateral <= open_fee THEN 'collateral_below_open_fee' END AS reject_reason FROM tickets),
+positions AS (SELECT id, trader, index_id, is_long, CAST(collateral - open_fee AS BIGINT) AS collateral, leverage, mark AS entry_price, opened_at FROM ticketed WHERE reject_reason IS NULL),
+tried0 AS (
+  SELECT t.*, p.* EXCLUDE (id) FROM (FROM tries UNION ALL SELECT position_id, hit.a, 'order', order_id FROM trig WHERE position_id IS NOT NULL) t
+  JOIN positions p USING (id) WHERE t."at" >= p.opened_at),
+tried AS (SELECT t.*, m.mark, m.mark_at FROM tried0 t ASOF JOIN marks1 m ON t.index_id = m.index_id AND t."at" >= m.mark_at),
+{valued("ends0", "(SELECT * FROM tried WHERE \"at\" - mark_at <= 3600)", "p.\"at\"", True)},
+endings AS (SELECT * FROM ends0 WHERE kind <> 'liquidate' OR liquidatable QUALIFY row_number() OVER (PARTITION BY id ORDER BY "at", kind, ref) = 1),
+open_pos AS (SELECT * FROM positions WHERE id NOT IN (SELECT id FROM endings)),
 flows AS (
   SELECT event_id AS seq, CAST(floor(epoch(ts)) AS BIGINT) AS "at", CASE WHEN event_type = 'click' THEN 'deposit' ELSE 'withdraw' END AS event_type,
          CASE WHEN event_type = 'click' THEN CAST(round(value * 1000000) AS BIGINT) * 3 ELSE CAST(round(value * 1000000) AS BIGINT) // 3 END AS assets
@@ -341,25 +380,5 @@ flows AS (
 """
 
 
-def tdiv(a: str, b: str) -> str:
-    """Division cut toward zero on huge integers."""
-    return f"(CASE WHEN ({b}) = 0 THEN NULL ELSE sign({a}) * (abs(CAST({a} AS HUGEINT)) // abs(CAST({b} AS HUGEINT))) * sign({b}) END)"
-
-
-def valued(name: str, source: str, now: str) -> str:
-    notional = "CAST(p.collateral AS HUGEINT) * p.leverage"
-    raw_pnl = tdiv(f"({notional}) * (CAST(m.mark AS HUGEINT) - p.entry_price)", "p.entry_price")
-    return f"""
-{name}0 AS (
-  SELECT p.*, m.mark, {notional} AS notional, least(CASE WHEN p.is_long THEN {raw_pnl} ELSE -{raw_pnl} END, {notional}) AS pnl,
-         ({notional}) * 30 * (({now}) - p.opened_at) // (CAST(10000 AS HUGEINT) * 86400) AS funding
-  FROM {source} p JOIN last_marks m USING (index_id)),
-{name} AS (
-  SELECT *, greatest(0, collateral + pnl - funding) AS equity, collateral + pnl - funding <= collateral * 2000 // 10000 AS liquidatable,
-         collateral + pnl <= collateral * 2000 // 10000 AS liquidatable_price_only
-  FROM {name}0)
-"""
-
-
 def with_(*parts: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}" + ",".join(p.strip() for p in parts) + "\n"

@@ -809,50 +809,44 @@ add(
     OPEN,
     "SELECT id, CAST(notional AS BIGINT) AS notional, CAST(pnl AS BIGINT) AS pnl, CAST(funding AS BIGINT) AS funding, CAST(equity AS BIGINT) AS equity, liquidatable, liquidatable_price_only FROM val",
 )
-TICKETS = """
-tickets AS (SELECT *, CAST(collateral AS HUGEINT) * leverage * 10 // 10000 AS open_fee FROM __SRC__),
-ticketed AS (SELECT *, CASE WHEN collateral = 0 THEN 'zero_collateral' WHEN leverage = 0 OR leverage > 10 THEN 'invalid_leverage'
-                            WHEN collateral <= open_fee THEN 'collateral_below_open_fee' END AS reject_reason FROM tickets)
-"""
 ODDP = """
-oddp AS (SELECT * REPLACE (CASE WHEN id % 13 = 0 THEN 0 WHEN id % 17 = 0 THEN 11 WHEN id % 31 = 0 THEN 1000 ELSE leverage END AS leverage,
-                           CASE WHEN id % 11 = 0 THEN 0 ELSE collateral END AS collateral) FROM positions)
+oddp AS (SELECT * REPLACE (CASE WHEN id % 13 = 0 THEN 0 WHEN id % 17 = 0 THEN 11 ELSE leverage END AS leverage, CASE WHEN id % 11 = 0 THEN 0 ELSE collateral END AS collateral) FROM asked),
+oddt AS (SELECT *, CAST(collateral AS HUGEINT) * leverage * 10 // 10000 AS open_fee FROM oddp),
+oddr AS (SELECT *, CASE WHEN collateral = 0 THEN 'zero_collateral' WHEN leverage = 0 OR leverage > 10 THEN 'invalid_leverage' WHEN NOT usable THEN 'stale_price'
+                        WHEN collateral <= open_fee THEN 'collateral_below_open_fee' END AS reject_reason FROM oddt)
 """
 add(
     "open_tickets",
-    (*PERP, ODDP, TICKETS.replace("__SRC__", "oddp")),
+    (*PERP, ODDP),
     """
 SELECT id, CAST(open_fee AS BIGINT) AS open_fee, reject_reason, CASE WHEN reject_reason IS NULL THEN CAST(collateral - open_fee AS BIGINT) END AS working_collateral,
-       CASE WHEN reject_reason IS NULL THEN CAST((collateral - open_fee) * leverage AS BIGINT) END AS open_notional FROM ticketed
+       CASE WHEN reject_reason IS NULL THEN CAST((collateral - open_fee) * leverage AS BIGINT) END AS open_notional FROM oddr
 """,
 )
-CLOSED = """
-cl0 AS (SELECT p.*, c.closed_at FROM positions p JOIN closes c USING (id)),
-lq0 AS (SELECT p.*, c.closed_at FROM positions p JOIN liqs c USING (id))
-"""
-SETTLED = (CLOSED, c.valued("clv", "cl0", "p.closed_at"), c.valued("lqv", "lq0", "p.closed_at"), """
-cls AS (SELECT *, least(notional * 10 // 10000, equity) AS close_fee, equity - least(notional * 10 // 10000, equity) AS payout FROM clv),
-lqs AS (SELECT *, least(collateral * 100 // 10000, equity) AS reward FROM lqv WHERE liquidatable)
-""")
+SETTLED = ("""
+cls AS (SELECT *, least(notional * 10 // 10000, equity) AS close_fee, equity - least(notional * 10 // 10000, equity) AS payout FROM endings WHERE kind <> 'liquidate'),
+lqs AS (SELECT *, least(CAST(collateral AS HUGEINT) * 100 // 10000, equity) AS reward FROM endings WHERE kind = 'liquidate')
+""",)
+add(
+    "position_endings",
+    PERP,
+    'SELECT p.id, p.entry_price, p.collateral, p.opened_at, e.kind, e.ref, e."at" AS ended_at, e.mark AS end_mark FROM positions p LEFT JOIN endings e ON e.id = p.id',
+)
 add(
     "close_settlements",
     (*PERP, *SETTLED),
-    "SELECT id, CAST(pnl AS BIGINT) AS pnl, CAST(equity AS BIGINT) AS equity, CAST(close_fee AS BIGINT) AS close_fee, CAST(payout AS BIGINT) AS payout, CAST(collateral - payout AS BIGINT) AS vault_delta FROM cls",
+    "SELECT id, kind, CAST(pnl AS BIGINT) AS pnl, CAST(equity AS BIGINT) AS equity, CAST(close_fee AS BIGINT) AS close_fee, CAST(payout AS BIGINT) AS payout, CAST(collateral - payout AS BIGINT) AS vault_delta FROM cls",
 )
 add("liquidation_settlements", (*PERP, *SETTLED), "SELECT id, CAST(equity AS BIGINT) AS equity, CAST(reward AS BIGINT) AS reward, CAST(collateral - reward AS BIGINT) AS vault_gain FROM lqs")
-TRIG = """
-trig AS (
-  SELECT o.order_id, o.trader, o.kind, o.position_id, o.trigger_price, min(struct_pack(a := m."at", b := m.seq, c := m.mark)) AS hit
-  FROM orders0 o JOIN marks m ON m.index_id = o.index_id AND m."at" >= o.placed_at
-   AND CASE WHEN o.trigger_above THEN m.mark >= o.trigger_price ELSE m.mark <= o.trigger_price END GROUP BY ALL)
-"""
-add("triggered_orders", (*PERP, TRIG), "SELECT order_id, kind, trigger_price, hit.a AS executed_at, hit.c AS executed_mark FROM trig")
+add("triggered_orders", PERP, "SELECT order_id, kind, trigger_price, hit.a AS executed_at, hit.c AS executed_mark FROM trig")
 add(
     "order_executions",
-    (*PERP, TRIG),
+    PERP,
     """
-SELECT t.order_id, t.position_id, CASE WHEN t.kind = 'limit' THEN 'open' WHEN p.trader = t.trader THEN 'close' ELSE 'clear' END AS action
-FROM trig t LEFT JOIN open_pos p ON p.id = t.position_id
+SELECT t.order_id, t.position_id,
+       CASE WHEN t.kind = 'limit' THEN 'open'
+            WHEN p.trader = t.trader AND p.opened_at <= t.hit.a AND (e."at" IS NULL OR t.hit.a < e."at" OR (e.kind = 'order' AND e.ref = t.order_id)) THEN 'close' ELSE 'clear' END AS action
+FROM trig t LEFT JOIN positions p ON p.id = t.position_id LEFT JOIN endings e ON e.id = t.position_id
 """,
 )
 add("trader_rows", PERP, "SELECT id, trader FROM open_pos WHERE trader IN (SELECT trader FROM open_pos WHERE leverage = 10)")
@@ -862,12 +856,12 @@ add(
     PERP,
     "SELECT count(*) AS open_positions, count(*) FILTER (WHERE is_long) AS longs, count(*) FILTER (WHERE NOT is_long) AS shorts, CAST(sum(collateral * leverage) AS BIGINT) AS reserved FROM open_pos",
 )
-DELTAS = (*PERP, TICKETS.replace("__SRC__", "positions"), *SETTLED, """
+DELTAS = (*PERP, *SETTLED, """
 deltas AS (
   SELECT "at", seq, event_type AS kind, CASE WHEN event_type = 'deposit' THEN assets ELSE -assets END AS delta FROM flows
   UNION ALL SELECT opened_at, id, 'open_fee', CAST(open_fee AS BIGINT) FROM ticketed WHERE reject_reason IS NULL
-  UNION ALL SELECT closed_at, id, 'close', CAST(collateral - payout AS BIGINT) FROM cls
-  UNION ALL SELECT closed_at, id, 'liquidation', CAST(collateral - reward AS BIGINT) FROM lqs)
+  UNION ALL SELECT "at", id, 'close', CAST(collateral - payout AS BIGINT) FROM cls
+  UNION ALL SELECT "at", id, 'liquidation', CAST(collateral - reward AS BIGINT) FROM lqs)
 """)
 add("vault_history", DELTAS, 'SELECT "at", seq, kind, delta, CAST(sum(delta) OVER (ORDER BY "at", seq, kind ROWS UNBOUNDED PRECEDING) AS BIGINT) AS assets FROM deltas')
 add("vault_totals", DELTAS, "SELECT kind, count(*) AS n, CAST(sum(delta) AS BIGINT) AS total FROM deltas GROUP BY kind")
@@ -904,7 +898,7 @@ add(
     PERP,
     """
 SELECT CAST((SELECT sum(collateral * leverage) FROM positions) AS BIGINT) AS reserved,
-       CAST((SELECT sum(collateral * leverage) FROM positions WHERE id IN (SELECT id FROM closes UNION ALL SELECT id FROM liqs)) AS BIGINT) AS released,
+       CAST((SELECT sum(collateral * leverage) FROM positions WHERE id IN (SELECT id FROM endings)) AS BIGINT) AS released,
        CAST((SELECT sum(collateral * leverage) FROM open_pos) AS BIGINT) AS open_notional, TRUE AS balanced
 """,
 )

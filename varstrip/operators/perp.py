@@ -5,7 +5,7 @@ Amounts are whole numbers: collateral in 6 decimals, prices in 1e8 fixed point.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from varstrip.functions.fixedpoint import mul_div, truncated_div, wide
@@ -58,6 +58,34 @@ def with_marks(positions: DataFrame, latest: DataFrame) -> DataFrame:
     return positions.join(latest, "index_id")
 
 
+MAX_MARK_AGE = 3600
+
+
+def marks_as_of(events: DataFrame, marks: DataFrame, at: str, max_age: int = MAX_MARK_AGE, bucket_seconds: int = 600) -> DataFrame:
+    """Add ``mark``, ``mark_at`` and ``usable``: the newest mark of the event's index at its time.
+
+    A mark older than ``max_age`` is refused, so a mark matters to its own time bucket and the few
+    that follow: no range join, and no window over a whole index. A mark of the same second counts;
+    of several the one with the highest ``seq``.
+    """
+    own = marks.groupBy("index_id", "at").agg(F.max_by("mark", "seq").alias("mark"))
+    bucket = lambda c: F.floor(c / bucket_seconds)
+    own = own.withColumn("_b", bucket(F.col("at")))
+    ends = own.groupBy("index_id", "_b").agg(F.max_by("mark", "at").alias("_mark"), F.max("at").alias("_mark_at"))
+    reach = -(-max_age // bucket_seconds)
+    carried = ends.withColumn("_b", F.explode(F.sequence(F.col("_b") + 1, F.col("_b") + reach)))
+    carried = carried.groupBy("index_id", "_b").agg(F.max_by("_mark", "_mark_at").alias("_mark"), F.max("_mark_at").alias("_mark_at"))
+    row = F.struct(*events.columns)
+    asked = events.select("index_id", F.col(at).alias("_at"), bucket(F.col(at)).alias("_b"), F.lit(1).alias("_side"), row.alias("_row"), F.lit(None).cast("bigint").alias("_m"))
+    told = own.select("index_id", F.col("at").alias("_at"), "_b", F.lit(0).alias("_side"), F.lit(None).cast(asked.schema["_row"].dataType).alias("_row"), F.col("mark").cast("bigint").alias("_m"))
+    before = Window.partitionBy("index_id", "_b").orderBy("_at", "_side")
+    seen = F.last(F.when(F.col("_m").isNotNull(), F.struct("_m", "_at")), ignorenulls=True).over(before)
+    rows = asked.unionByName(told).withColumn("_seen", seen).filter("_side = 1").join(carried, ["index_id", "_b"], "left")
+    rows = rows.select("_row.*", F.coalesce("_seen._m", "_mark").alias("mark"), F.coalesce("_seen._at", "_mark_at").alias("mark_at"))
+    usable = F.col("mark").isNotNull() & (F.col(at) - F.col("mark_at") <= max_age)
+    return rows.withColumn("usable", F.coalesce(usable, F.lit(False)))
+
+
 def fresh_marks(latest: DataFrame, now: Column, max_age: int = 3600) -> DataFrame:
     """Flag marks that may be traded on: set, and not older than an hour."""
     usable = F.col("mark").isNotNull() & (F.col("mark_at") > 0) & (now - F.col("mark_at") <= max_age)
@@ -80,12 +108,16 @@ def valued(marked: DataFrame, now: Column, config: PerpConfig = DEFAULTS) -> Dat
 
 
 def open_ticket(requests: DataFrame, config: PerpConfig = DEFAULTS) -> DataFrame:
-    """Economics of opening: fee, working collateral, notional, or why it is refused."""
+    """Economics of opening: fee, working collateral, notional, or why it is refused.
+
+    ``requests`` carry the mark as of their time (``marks_as_of``).
+    """
     fee = mul_div(wide(F.col("collateral")) * wide(F.col("leverage")), F.lit(config.open_fee_bps), F.lit(BPS))
     df = requests.withColumn("open_fee", fee)
     reason = (
         F.when(F.col("collateral") == 0, "zero_collateral")
         .when((F.col("leverage") == 0) | (F.col("leverage") > config.max_leverage), "invalid_leverage")
+        .when(~F.col("usable"), "stale_price")
         .when(F.col("collateral") <= F.col("open_fee"), "collateral_below_open_fee")
     )
     df = df.withColumn("reject_reason", reason)
@@ -95,18 +127,39 @@ def open_ticket(requests: DataFrame, config: PerpConfig = DEFAULTS) -> DataFrame
     return df.withColumn("open_notional", wide(F.col("working_collateral") * wide(F.col("leverage"))))
 
 
-def close_settlement(positions: DataFrame, config: PerpConfig = DEFAULTS) -> DataFrame:
-    """Close fee, payout and vault change of valued positions closed at their mark."""
+def positions_of(tickets: DataFrame) -> DataFrame:
+    """Positions of the accepted tickets: their collateral is net of the fee, their entry the mark."""
+    return tickets.filter(F.col("reject_reason").isNull()).select(
+        "id", "trader", "index_id", "is_long", whole(F.col("working_collateral")).alias("collateral"), "leverage", F.col("mark").alias("entry_price"), "opened_at"
+    )
+
+
+def endings(positions: DataFrame, attempts: DataFrame, marks: DataFrame, config: PerpConfig = DEFAULTS) -> DataFrame:
+    """How each position ended: the first attempt (id, at, kind, ref) that its mark allowed.
+
+    ``kind`` is close, liquidate or order. Every attempt needs a fresh mark and a position that is
+    open by then, a liquidation also one below its maintenance. An attempt that fails changes
+    nothing. The row holds the position valued at the attempt's own mark and time.
+    """
+    tried = attempts.join(positions, "id").filter(F.col("at") >= F.col("opened_at"))
+    tried = valued(marks_as_of(tried, marks, "at"), F.col("at"), config).filter("usable")
+    tried = tried.filter((F.col("kind") != "liquidate") | F.col("liquidatable"))
+    order = Window.partitionBy("id").orderBy("at", "kind", "ref")  # a few attempts per position
+    return tried.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+
+
+def close_settlement(ended: DataFrame, config: PerpConfig = DEFAULTS) -> DataFrame:
+    """Close fee, payout and vault change of the endings by their owners or their orders."""
     fee = F.least(mul_div(F.col("notional"), F.lit(config.close_fee_bps), F.lit(BPS)), F.col("equity"))
-    df = positions.withColumn("close_fee", wide(fee))
+    df = ended.filter("kind <> 'liquidate'").withColumn("close_fee", wide(fee))
     df = df.withColumn("payout", wide(F.col("equity") - F.col("close_fee")))
     return df.withColumn("vault_delta", wide(wide(F.col("collateral")) - F.col("payout")))
 
 
-def liquidation_settlement(positions: DataFrame, config: PerpConfig = DEFAULTS) -> DataFrame:
-    """Reward and vault gain of the liquidatable among valued positions."""
+def liquidation_settlement(ended: DataFrame, config: PerpConfig = DEFAULTS) -> DataFrame:
+    """Reward and vault gain of the liquidations."""
     reward = F.least(mul_div(F.col("collateral"), F.lit(config.liq_reward_bps), F.lit(BPS)), F.col("equity"))
-    df = positions.filter("liquidatable").withColumn("reward", wide(reward))
+    df = ended.filter("kind = 'liquidate'").withColumn("reward", wide(reward))
     return df.withColumn("vault_gain", wide(wide(F.col("collateral")) - F.col("reward")))
 
 
@@ -157,16 +210,18 @@ def triggered_orders(orders: DataFrame, marks: DataFrame, levels: tuple[int, ...
     )
 
 
-def executions(triggered: DataFrame, live_positions: DataFrame) -> DataFrame:
-    """What each triggered order does: open, close its position, or just be cleared."""
-    live = live_positions.select(F.col("id").alias("position_id"), F.col("trader").alias("_owner"))
-    df = triggered.join(live, "position_id", "left")
-    action = (
-        F.when(F.col("kind") == "limit", "open")
-        .when(F.col("_owner") == F.col("trader"), "close")
-        .otherwise("clear")
-    )
-    return df.withColumn("action", action).drop("_owner")
+def executions(triggered: DataFrame, positions: DataFrame, ended: DataFrame) -> DataFrame:
+    """What each triggered order does: open, close its position, or just be cleared.
+
+    It closes a position of its own trader that is open when it fires, the one it ends included.
+    """
+    life = positions.join(ended.select("id", F.col("at").alias("_end"), F.col("kind").alias("_by"), F.col("ref").alias("_ref")), "id", "left")
+    life = life.select(F.col("id").alias("position_id"), F.col("trader").alias("_owner"), "opened_at", "_end", "_by", "_ref")
+    df = triggered.join(life, "position_id", "left")
+    ends_it = (F.col("_by") == "order") & (F.col("_ref") == F.col("order_id"))
+    live = (F.col("_owner") == F.col("trader")) & (F.col("opened_at") <= F.col("executed_at")) & (F.col("_end").isNull() | (F.col("executed_at") < F.col("_end")) | ends_it)
+    action = F.when(F.col("kind") == "limit", "open").when(F.coalesce(live, F.lit(False)), "close").otherwise("clear")
+    return df.withColumn("action", action).drop("_owner", "opened_at", "_end", "_by", "_ref")
 
 
 def of_trader(rows: DataFrame, trader: str) -> DataFrame:
@@ -191,20 +246,16 @@ def book_stats(open_rows: DataFrame) -> DataFrame:
 
 
 def vault_deltas(flows: DataFrame, tickets: DataFrame, closed: DataFrame, liquidated: DataFrame) -> DataFrame:
-    """Every change of the vault's assets in one table (at, seq, kind, delta)."""
+    """Every change of the vault's assets in one table (at, seq, kind, delta); amounts stay wide."""
     lp = flows.select(
         "at", "seq", F.col("event_type").alias("kind"),
-        F.when(F.col("event_type") == "deposit", F.col("assets")).otherwise(-F.col("assets")).cast("bigint").alias("delta"),
+        wide(F.when(F.col("event_type") == "deposit", F.col("assets")).otherwise(-F.col("assets"))).alias("delta"),
     )
     fees = tickets.filter(F.col("reject_reason").isNull()).select(
-        F.col("opened_at").alias("at"), F.col("id").alias("seq"), F.lit("open_fee").alias("kind"), whole(F.col("open_fee")).alias("delta")
-    )
-    ends = closed.select(
-        F.col("closed_at").alias("at"), F.col("id").alias("seq"), F.lit("close").alias("kind"), whole(F.col("vault_delta")).alias("delta")
-    )
-    liq = liquidated.select(
-        F.col("closed_at").alias("at"), F.col("id").alias("seq"), F.lit("liquidation").alias("kind"), whole(F.col("vault_gain")).alias("delta")
+        F.col("opened_at").alias("at"), F.col("id").alias("seq"), F.lit("open_fee").alias("kind"), wide(F.col("open_fee")).alias("delta")
     )
+    ends = closed.select("at", F.col("id").alias("seq"), F.lit("close").alias("kind"), F.col("vault_delta").alias("delta"))
+    liq = liquidated.select("at", F.col("id").alias("seq"), F.lit("liquidation").alias("kind"), F.col("vault_gain").alias("delta"))
     return lp.unionByName(fees).unionByName(ends).unionByName(liq)
 
 
@@ -274,14 +325,13 @@ def reserve_reconciliation(opened: DataFrame, *ended: DataFrame) -> DataFrame:
     return out.withColumn("balanced", F.col("reserved") - F.col("released") == F.col("open_notional"))
 
 
-def lp_claims(balances: DataFrame, supply: int, assets: int) -> DataFrame:
+def lp_claims(balances: DataFrame, totals: DataFrame) -> DataFrame:
     """Check that what all holders could redeem, each floored, stays within the vault's assets.
 
-    ``balances`` holds one row per holder with its ``shares``; the two totals are plain numbers.
+    ``balances`` holds one row per holder with its ``shares``; ``totals`` is one row (supply, assets).
     """
-    s, a = F.lit(supply).cast("bigint"), F.lit(assets).cast("bigint")
-    claim = to_assets(F.col("shares"), s, a)
-    out = balances.agg(F.count(F.lit(1)).alias("holders"), F.sum(claim).alias("claims"))
-    return out.select("holders", whole(F.col("claims")).alias("claims"), a.alias("assets"), s.alias("supply")).withColumn(
-        "within", F.col("claims") <= F.col("assets")
-    )
+    one = F.broadcast(totals.select(F.lit(1).alias("_k"), wide(F.col("supply")).alias("supply"), wide(F.col("assets")).alias("assets")))
+    held = balances.withColumn("_k", F.lit(1)).join(one, "_k")
+    held = held.withColumn("_claim", to_assets(F.col("shares"), F.col("supply"), F.col("assets")))
+    out = held.agg(F.count(F.lit(1)).alias("holders"), wide(F.sum("_claim")).alias("claims"), F.max("assets").alias("assets"), F.max("supply").alias("supply"))
+    return out.withColumn("within", F.col("claims") <= F.col("assets"))

@@ -923,8 +923,26 @@ def stage_diff(spark, sf):
 # ---------------------------------------------------------------- perp book
 
 
+def _tickets(spark, sf):
+    return perp.open_ticket(perp.marks_as_of(inputs.requests(spark, sf), inputs.marks(spark, sf), "opened_at"))
+
+
+def _positions(spark, sf):
+    return perp.positions_of(_tickets(spark, sf))
+
+
+def _triggered(spark, sf):
+    return perp.triggered_orders(inputs.orders(spark, sf), inputs.marks(spark, sf))
+
+
+def _endings(spark, sf):
+    fired = _triggered(spark, sf).filter(F.col("position_id").isNotNull())
+    fired = fired.select(F.col("position_id").alias("id"), F.col("executed_at").alias("at"), F.lit("order").alias("kind"), F.col("order_id").alias("ref"))
+    return perp.endings(_positions(spark, sf), inputs.attempts(spark, sf).unionByName(fired), inputs.marks(spark, sf))
+
+
 def _open(spark, sf):
-    return perp.open_positions(inputs.positions(spark, sf), inputs.closes(spark, sf), inputs.liquidations(spark, sf))
+    return perp.open_positions(_positions(spark, sf), _endings(spark, sf))
 
 
 def _latest_marks(spark, sf):
@@ -958,10 +976,10 @@ def position_values(spark, sf):
 
 @query
 def open_tickets(spark, sf):
-    p = inputs.positions(spark, sf)
+    p = perp.marks_as_of(inputs.requests(spark, sf), inputs.marks(spark, sf), "opened_at")
     odd = p.withColumns(
         {
-            "leverage": F.when(F.col("id") % 13 == 0, 0).when(F.col("id") % 17 == 0, 11).when(F.col("id") % 31 == 0, 1000).otherwise(F.col("leverage")).cast("bigint"),
+            "leverage": F.when(F.col("id") % 13 == 0, 0).when(F.col("id") % 17 == 0, 11).otherwise(F.col("leverage")).cast("bigint"),
             "collateral": F.when(F.col("id") % 11 == 0, 0).otherwise(F.col("collateral")).cast("bigint"),
         }
     )
@@ -970,21 +988,24 @@ def open_tickets(spark, sf):
 
 
 def _closed(spark, sf):
-    p = inputs.positions(spark, sf).join(inputs.closes(spark, sf), "id")
-    v = perp.valued(perp.with_marks(p, _latest_marks(spark, sf)), F.col("closed_at"))
-    return perp.close_settlement(v)
+    return perp.close_settlement(_endings(spark, sf))
 
 
 def _liquidated(spark, sf):
-    p = inputs.positions(spark, sf).join(inputs.liquidations(spark, sf), "id")
-    v = perp.valued(perp.with_marks(p, _latest_marks(spark, sf)), F.col("closed_at"))
-    return perp.liquidation_settlement(v)
+    return perp.liquidation_settlement(_endings(spark, sf))
+
+
+@query
+def position_endings(spark, sf):
+    """Life of every position: opened, ended by whom, at which mark."""
+    e = _endings(spark, sf).select("id", "kind", "ref", F.col("at").alias("ended_at"), F.col("mark").alias("end_mark"))
+    return _positions(spark, sf).join(e, "id", "left").select("id", "entry_price", "collateral", "opened_at", "kind", "ref", "ended_at", "end_mark")
 
 
 @query
 def close_settlements(spark, sf):
     c = _closed(spark, sf)
-    return longs(c.select("id", "pnl", "equity", "close_fee", "payout", "vault_delta"), "pnl", "equity", "close_fee", "payout", "vault_delta")
+    return longs(c.select("id", "kind", "pnl", "equity", "close_fee", "payout", "vault_delta"), "pnl", "equity", "close_fee", "payout", "vault_delta")
 
 
 @query
@@ -995,14 +1016,13 @@ def liquidation_settlements(spark, sf):
 
 @query
 def triggered_orders(spark, sf):
-    t = perp.triggered_orders(inputs.orders(spark, sf), inputs.marks(spark, sf))
+    t = _triggered(spark, sf)
     return t.select("order_id", "kind", "trigger_price", "executed_at", "executed_mark")
 
 
 @query
 def order_executions(spark, sf):
-    t = perp.triggered_orders(inputs.orders(spark, sf), inputs.marks(spark, sf))
-    return perp.executions(t, _open(spark, sf)).select("order_id", "position_id", "action")
+    return perp.executions(_triggered(spark, sf), _positions(spark, sf), _endings(spark, sf)).select("order_id", "position_id", "action")
 
 
 @query
@@ -1024,25 +1044,24 @@ def book_stats(spark, sf):
 
 
 def _deltas(spark, sf):
-    tickets = perp.open_ticket(inputs.positions(spark, sf))
-    return perp.vault_deltas(inputs.vault_flows(spark, sf), tickets, _closed(spark, sf), _liquidated(spark, sf))
+    return perp.vault_deltas(inputs.vault_flows(spark, sf), _tickets(spark, sf), _closed(spark, sf), _liquidated(spark, sf))
 
 
 @query
 def vault_history(spark, sf):
-    return longs(perp.vault_history(_deltas(spark, sf)).select("at", "seq", "kind", "delta", "assets"), "assets")
+    return longs(perp.vault_history(_deltas(spark, sf)).select("at", "seq", "kind", "delta", "assets"), "delta", "assets")
 
 
 @query
 def vault_totals(spark, sf):
     d = _deltas(spark, sf).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum("delta").alias("total"))
-    return d
+    return longs(d, "total")
 
 
 @query
 def vault_report(spark, sf):
     """Vault assets, supply, reserve and the ratios a pool page shows."""
-    assets = _deltas(spark, sf).agg(F.sum("delta").alias("assets"))
+    assets = longs(_deltas(spark, sf).agg(F.sum("delta").alias("assets")), "assets")
     flows = inputs.vault_flows(spark, sf).agg(
         F.sum(F.when(F.col("event_type") == "deposit", F.col("assets")).otherwise(-F.col("assets"))).alias("supply")
     )
@@ -1071,20 +1090,20 @@ def lp_claims(spark, sf):
     """Redeemable claims of all depositors against vault assets grown by fees and losses."""
     deposits = inputs.vault_flows(spark, sf).filter(F.col("event_type") == "deposit")
     balances = deposits.groupBy("holder").agg(F.sum("assets").alias("shares"))
-    total = _deltas(spark, sf).filter("kind <> 'withdraw'").agg(
+    totals = _deltas(spark, sf).filter("kind <> 'withdraw'").agg(
         F.sum("delta").alias("assets"), F.sum(F.when(F.col("kind") == "deposit", F.col("delta"))).alias("supply")
-    ).first()
-    return perp.lp_claims(balances, total.supply, total.assets)
+    )
+    return longs(perp.lp_claims(balances, totals), "claims", "assets", "supply")
 
 
 @query
 def fee_report(spark, sf):
-    return perp.fee_report(perp.open_ticket(inputs.positions(spark, sf)), _closed(spark, sf))
+    return perp.fee_report(_tickets(spark, sf), _closed(spark, sf))
 
 
 @query
 def reserve_reconciliation(spark, sf):
-    return longs(perp.reserve_reconciliation(inputs.positions(spark, sf), inputs.closes(spark, sf), inputs.liquidations(spark, sf)), "reserved", "released", "open_notional")
+    return longs(perp.reserve_reconciliation(_positions(spark, sf), _endings(spark, sf)), "reserved", "released", "open_notional")
 
 
 @query

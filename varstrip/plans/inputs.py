@@ -238,8 +238,8 @@ def history_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Position-opened rows; collateral in 6-decimal units, prices in 1e8 fixed point."""
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests to open a position; collateral in 6-decimal units, before any fee."""
     ev = events(spark, sf_dir).filter(c("event_type") == "purchase")
     return ev.select(
         c("event_id").alias("id"),
@@ -248,20 +248,20 @@ def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
         (c("event_id") % 2 == 0).alias("is_long"),
         F.round(c("value") * 1_000_000).cast("bigint").alias("collateral"),
         (1 + c("k") % 10).cast("bigint").alias("leverage"),
-        ((F.lit(4000) + c("k").cast("bigint") * 20) * 1_000_000).alias("entry_price"),
         F.unix_seconds("ts").alias("opened_at"),
+        ((F.lit(4000) + c("k").cast("bigint") * 20) * 1_000_000).alias("stop_price"),
     )
 
 
-def closes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids closed by their owners (every third position), two days after opening."""
-    return positions(spark, sf_dir).filter(c("id") % 3 == 0).select("id", (c("opened_at") + 2 * 86_400).alias("closed_at"))
-
-
-def liquidations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids liquidated (every seventh position not closed), three days after opening."""
-    rows = positions(spark, sf_dir).filter((c("id") % 7 == 0) & (c("id") % 3 != 0))
-    return rows.select("id", (c("opened_at") + 3 * 86_400).alias("closed_at"))
+def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attempts to end a position: every third by its owner after two days, and liquidators who
+    try every position after one and after three days."""
+    rows = requests(spark, sf_dir)
+    day = lambda n: (c("opened_at") + n * 86_400).alias("at")
+    ref = F.lit(0).cast("bigint").alias("ref")
+    own = rows.filter(c("id") % 3 == 0).select("id", day(2), F.lit("close").alias("kind"), ref)
+    liquidators = [rows.select("id", day(n), F.lit("liquidate").alias("kind"), ref) for n in (1, 3)]
+    return own.unionByName(liquidators[0]).unionByName(liquidators[1])
 
 
 def marks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -272,19 +272,28 @@ def marks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conditional orders: limit opens, take-profits and stop-losses."""
+    """Conditional orders: limit opens, and take-profits and stop-losses of a quarter of the requests.
+
+    Every eighth stop names its position too late to matter: after another two days.
+    """
     ev = events(spark, sf_dir).filter(c("event_type") == "signup")
-    kind = F.when(c("event_id") % 3 == 0, "limit").when(c("event_id") % 3 == 1, "tp").otherwise("sl")
-    return ev.select(
+    trader = F.concat(F.lit("0xAb"), F.lpad(c("user_id").cast("string"), 4, "0"))
+    limits = ev.select(
         c("event_id").alias("order_id"),
-        F.concat(F.lit("0xAb"), F.lpad(c("user_id").cast("string"), 4, "0")).alias("trader"),
+        trader.alias("trader"),
         index_of(c("user_id")).alias("index_id"),
-        kind.alias("kind"),
-        F.when(kind != "limit", c("event_id") - c("k") % 10).alias("position_id"),
+        F.lit("limit").alias("kind"),
+        F.lit(None).cast("bigint").alias("position_id"),
         ((F.lit(4000) + c("k").cast("bigint") * 20) * 1_000_000).alias("trigger_price"),
         (c("event_id") % 2 == 0).alias("trigger_above"),
         F.unix_seconds("ts").alias("placed_at"),
     )
+    stops = requests(spark, sf_dir).filter(c("id") % 4 < 1).select(
+        c("id").alias("order_id"), "trader", "index_id", F.when(c("id") % 8 == 0, "tp").otherwise("sl").alias("kind"), c("id").alias("position_id"),
+        c("stop_price").alias("trigger_price"), (c("id") % 8 == 0).alias("trigger_above"),
+        (c("opened_at") + F.when(c("id") % 32 == 0, 2 * 86_400 + 1).otherwise(600)).alias("placed_at"),
+    )
+    return limits.unionByName(stops)
 
 
 def vault_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
