@@ -8,10 +8,10 @@ Documents are sets of five-word shingles; two link if their similarity is at lea
   documents share stays out of their prefixes, while any order gives the same links.
 * Prefix postings are dealt by shingle; those of a single document are dropped.
 * Connected documents need no further comparison, so lists are not expanded into pairs. Each
-  document is first compared with one member of a list it shares most with; after every round only
-  lists that still join different components are *open*. When rounds find no more, all pairs of an
-  open list that lie in different components and pass the length and position filters are compared,
-  so no link between different components is lost.
+  document is first compared with the first member of a list it shares most with. Then all pairs of
+  a list that lie in different components and pass the length and position filters are compared, so
+  no link between different components is lost. A list with very many such pairs is first compared
+  with one member of its largest component, round by round until a round finds nothing new.
 * A comparison is a T-occurrence search: the members of a block are indexed by shingle, and a query
   needs T occurrences in the lists of its own shingles. DivideSkip sets the L longest lists aside,
   merges the short ones with a heap, keeps members with T - L occurrences, and probes the long
@@ -49,6 +49,7 @@ CHUNKS = 64
 SEEDS = 6  # postings per document that look for a partner in a round
 MEMBERS = 256
 SET_BYTES = 6
+CROSS = 4096  # pairs of different components that a list may have to be compared at once
 MU = 0.02  # weight of a probe in DivideSkip's choice of L
 
 
@@ -259,6 +260,8 @@ def search(stored: DataFrame, pairs: DataFrame) -> DataFrame:
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).select("query", "salt", "node")
     asked = salted.unionByName(salted.select("query", "salt", F.col("query").alias("node")).distinct())
     asked = asked.groupBy(block_of(F.col("node")).alias("block")).agg(F.collect_list(F.struct("query", "salt", "node")).alias("asked"))
+    # Stored, so that its size is known: Spark moves the texts only if there is much to ask.
+    asked = written(asked, "asked")
     sets = stored.join(asked, "block").mapInArrow(_set_batches, "query long, salt int, node long, shingles binary")
     return sets.groupBy("query", "salt").applyInArrow(_search, "a long, b long")
 
@@ -269,21 +272,61 @@ def _with_blocks(pairs: DataFrame) -> DataFrame:
     return pairs.join(sizes, "query")
 
 
-def _candidates(table: pa.Table) -> pa.Table:
-    """Pairs of a list in different components that may reach the overlap they need."""
-    c = {x: table.column(x).to_numpy() for x in ("node", "n", "place", "component")}
-    names, number, count = np.unique(c["component"], return_inverse=True, return_counts=True)
-    most = int(count.argmax())
-    out = []
-    for i in np.flatnonzero(number != most).tolist():
-        # Members of smaller components meet each other once, by the order of their numbers.
-        other = (number != number[i]) & ((number == most) | (number < number[i]))
-        n, m = int(c["n"][i]), c["n"]
-        best = np.minimum(n - int(c["place"][i]), m - c["place"])
-        hit = np.flatnonzero(other & (best >= overlap_needed(n, m)))
-        out.append((np.full(len(hit), c["node"][i]), c["node"][hit]))
-    query, node = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
-    return pa.table({"query": query, "node": node})
+def _pairs_of_lists(starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of rows (i, j), j before i, inside each of some small lists."""
+    group, rank = tx.runs(counts)
+    which, back = tx.runs(rank)
+    i = starts[group[which]] + rank[which]
+    j = starts[group[which]] + back
+    return i, j
+
+
+def _candidates(every: bool):
+    """Pairs of a part's lists in different components that may reach the overlap they need.
+
+    A list with more than ``CROSS`` such pairs gives its members but one for each component the
+    first member of its largest component to compare with, and stays open, unless ``every``.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        c = {x: table.column(x).to_numpy() for x in ("token", "node", "n", "place", "component")}
+        order = np.lexsort((c["component"], c["token"]))
+        c = {k: v[order].astype(np.int64) for k, v in c.items()}
+        fresh = np.flatnonzero(np.concatenate([[True], c["token"][1:] != c["token"][:-1]]))
+        counts = np.diff(np.append(fresh, len(order)))
+        several = c["component"][fresh] != c["component"][fresh + counts - 1]
+        fresh, counts = fresh[several], counts[several]
+
+        def may_link(i, j):
+            best = np.minimum(c["n"][i] - c["place"][i], c["n"][j] - c["place"][j])
+            return (c["component"][i] != c["component"][j]) & (best >= overlap_needed(c["n"][i], c["n"][j]))
+
+        found, still_open = [], []
+        small = counts <= 64
+        for k in range(0, int(small.sum()), 4096):
+            i, j = _pairs_of_lists(fresh[small][k : k + 4096], counts[small][k : k + 4096])
+            hit = may_link(i, j)
+            found.append((c["node"][i[hit]], c["node"][j[hit]]))
+        for start, count in zip(fresh[~small].tolist(), counts[~small].tolist(), strict=True):
+            rows = np.arange(start, start + count)
+            _, at, sizes = np.unique(c["component"][rows], return_index=True, return_counts=True)
+            if not every and (count * count - int((sizes**2).sum())) // 2 > CROSS:
+                still_open.append(int(c["token"][start]))
+                pivot = np.full(count, start + at[sizes.argmax()])
+                hit = may_link(rows, pivot)
+                found.append((c["node"][rows[hit]], c["node"][pivot[hit]]))
+                continue
+            for i in rows[1:].tolist():
+                j = np.arange(start, i)
+                hit = j[may_link(np.full(len(j), i), j)]
+                found.append((np.full(len(hit), c["node"][i]), c["node"][hit]))
+        a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+        opened = pa.array([None] * pairs.shape[1] + still_open, pa.int64())
+        none = [None] * len(still_open)
+        return pa.table({"query": pa.array(pairs[0].tolist() + none, pa.int64()), "node": pa.array(pairs[1].tolist() + none, pa.int64()), "token": opened})
+
+    return run
 
 
 def linked(documents: DataFrame) -> DataFrame:
@@ -300,34 +343,32 @@ def linked(documents: DataFrame) -> DataFrame:
     sketch = spark.sparkContext.broadcast(sketch.astype(np.int64))
     docs = counted.filter("chunk < 0").select(F.inline("docs"))
 
-    sent = stored.select(*columns).mapInArrow(_posting_batches(sketch, an.parts_for(stored)), "part long, block long, postings binary")
+    parts = an.parts_for(stored)
+    sent = stored.select(*columns).mapInArrow(_posting_batches(sketch, parts), "part long, block long, postings binary")
     lists = written(sent.groupBy("part").applyInArrow(_shared_lists, SHARED), "lists")
-    pairs = lists.filter("pivot IS NOT NULL").groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("n"))
-    links = None
-    known = None
-    for attempt in range(4):
-        best = pairs.groupBy("node").agg(F.max(F.struct("n", "pivot")).alias("x")).select(F.col("x.pivot").alias("query"), "node")
-        best = written(_with_blocks(best), "pairs")
-        new = written(search(stored, best), "links")
-        # A round that settles nothing is the last of its kind.
-        idle = new.isEmpty()
-        links = new if links is None else links.unionByName(new)
-        known = known if idle and known is not None else written(components(links), "components")
+    # First round: every node meets the first node of the lists that it shares most of its seeds with.
+    seeds = lists.filter("pivot IS NOT NULL").groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("n"))
+    first = seeds.groupBy("node").agg(F.max(F.struct("n", "pivot")).alias("x"))
+    pairs = written(_with_blocks(first.select(F.least("node", "x.pivot").alias("query"), F.greatest("node", "x.pivot").alias("node")).distinct()), "pairs")
+    links, tested = written(search(stored, pairs), "links"), pairs.select("query", "node")
+    lists, every = lists.select("token", "node", "n", "place"), False
+    while True:
+        known = written(components(links), "components")
         named = lists.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        opened = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("token")
-        open_lists = written(named.join(opened, "token", "left_semi").select("token", "node", "n", "place", "component"), "open")
-        if idle or attempt == 3 or open_lists.isEmpty():
+        part = F.pmod(F.xxhash64("token"), F.lit(parts)).alias("part")
+        found = written(named.select(part, *named.columns).groupBy("part").applyInArrow(_candidates(every), "query long, node long, token long"), "candidates")
+        pairs = found.filter("query IS NOT NULL").select("query", "node").distinct().join(tested, ["query", "node"], "left_anti")
+        pairs = written(_with_blocks(pairs), "pairs")
+        opened = found.filter("token IS NOT NULL").select("token")
+        new = None
+        if not pairs.isEmpty():
+            new = written(search(stored, pairs), "links")
+            links, tested = links.unionByName(new), tested.unionByName(pairs.select("query", "node"))
+        if opened.isEmpty():
             break
-        # Next pivots: of every open list the first member of another component, by size of number.
-        ends = open_lists.groupBy("token").agg(F.min(F.struct("component", "node", "n", "place")).alias("lo"))
-        far = open_lists.join(ends, "token").filter("component <> lo.component")
-        need = F.ceil(F.lit(NEED) * (F.col("n") + F.col("lo.n")) / (100 + NEED))
-        far = far.filter(F.least(F.col("n") - F.col("place"), F.col("lo.n") - F.col("lo.place")) >= need)
-        pairs = far.groupBy("node", F.col("lo.node").alias("pivot")).agg(F.count(F.lit(1)).alias("n"))
-    rest = open_lists.groupBy("token").applyInArrow(_candidates, "query long, node long").distinct()
-    rest = written(_with_blocks(rest), "pairs")
-    if not rest.isEmpty():
-        links = links.unionByName(written(search(stored, rest), "links"))
+        # Only open lists are looked at again; whole ones, once a round finds no link.
+        lists, every = lists.join(opened, "token", "left_semi"), new is None or new.isEmpty()
+    if new is not None:
         known = written(components(links), "components")
     named = docs.join(known, "node", "left").select("doc_id", "key", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("_c"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("_first")
