@@ -102,3 +102,19 @@ def next_update_eta(age_seconds: Column, interval: int = PUBLISH_INTERVAL_SECOND
     """Seconds to the next publish, within [0, interval]. Ages truncate toward zero."""
     whole = F.when(age_seconds < 0, F.ceil(age_seconds)).otherwise(F.floor(age_seconds))
     return F.greatest(F.lit(0), F.least(F.lit(interval), F.lit(interval) - whole)).cast("bigint")
+
+
+# One more than the largest sequence number that a packed order can hold.
+SEQUENCES = 10**19
+
+
+def packed_order(when: Column, sequence: Column | None = None) -> Column:
+    """Order by time, then sequence, as one fixed-width number.
+
+    Latest-value aggregates ordered by a number are hash aggregates; ordered by a struct they sort
+    all rows first. ``when`` is a whole number (microseconds or seconds). Any non-negative bigint
+    fits as ``sequence``, so no tie rule is lost.
+    """
+    if sequence is None:
+        return when.cast("bigint")
+    return when.cast("decimal(19,0)") * F.lit(str(SEQUENCES)).cast("decimal(20,0)") + sequence.cast("decimal(19,0)")

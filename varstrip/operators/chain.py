@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from varstrip.functions.scalar import bucket_end, finite_or_null, is_finite, year_fraction
+from varstrip.functions.scalar import bucket_end, finite_or_null, is_finite, packed_order, year_fraction
 from varstrip.operators.quality import valid_chain_row
 from varstrip.params import (
     BRACKET_YEARS,
@@ -44,9 +44,13 @@ def assign_snapshots(
     return ticks.withColumn("snapshot_ts", F.explode(F.sequence(first, last, step)))
 
 
-def _latest(column: str, when: str = "TRUE", order: str = "struct(ts, seq)") -> Column:
-    """Latest non-null value: NULLs never win, and equal times fall back to ``seq``."""
-    return F.expr(f"max_by({column}, {order}) FILTER (WHERE {column} IS NOT NULL AND {when})")
+def _latest(column: str, when: str = "TRUE") -> Column:
+    """Latest non-null value: NULLs never win, and equal times fall back to ``seq``.
+
+    Rows that do not count get no order, which is how the aggregate skips them.
+    """
+    counts = F.expr(f"{column} IS NOT NULL AND {when}")
+    return F.max_by(column, F.when(counts, packed_order(F.unix_micros("ts"), F.col("seq"))))
 
 
 def latest_quotes(ticks: DataFrame) -> DataFrame:

@@ -16,7 +16,6 @@ from varstrip.functions.scalar import bucket_start, is_finite
 from varstrip.operators.index import median_of
 from varstrip.operators.ordered import running
 from varstrip.params import OutlierConfig
-from varstrip.session import cut_lineage
 
 TICK = ["index_id", "snapshot_ts"]
 VENUE = ["index_id", "venue"]
@@ -65,10 +64,10 @@ def evaluate(values: DataFrame, config: OutlierConfig = OutlierConfig(), bucket_
     """Mark every venue row as active or not, with the transitions of its tick.
 
     ``values`` holds index_id, snapshot_ts, venue, value and whatever should be carried. It
-    has one row per venue and snapshot, tiny next to the quotes behind it, and is written
-    once because the running values below read it more than once.
+    has one row per venue and snapshot, tiny next to the quotes behind it. The running values
+    below read it more than once, from the one exchange that places it by tick.
     """
-    df = streaks(cut_lineage(values), config, bucket_seconds)
+    df = streaks(values, config, bucket_seconds)
     at_limit = F.col("out_of_band") & (F.col("streak") >= config.streak)
     df = df.withColumn("_at_limit", at_limit)
     df = df.withColumn("_someone_stays", F.max(~F.col("_at_limit")).over(Window.partitionBy(*TICK)))

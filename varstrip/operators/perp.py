@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from varstrip.functions.fixedpoint import mul_div, truncated_div, wide
+from varstrip.functions.scalar import packed_order
 from varstrip.operators.ordered import running
 from varstrip.params import PerpConfig
 
@@ -47,9 +48,9 @@ def open_positions(opened: DataFrame, *ended: DataFrame) -> DataFrame:
     return out
 
 
-def latest_marks(marks: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """Newest mark per index, one row each."""
-    by = F.struct(*(order or ["at"]))
+def latest_marks(marks: DataFrame) -> DataFrame:
+    """Newest mark per index, one row each; the highest ``seq`` wins a tie."""
+    by = packed_order(F.col("at"), F.col("seq"))
     return marks.groupBy("index_id").agg(F.max_by("mark", by).alias("mark"), F.max("at").alias("mark_at"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from varstrip.functions.scalar import is_finite, non_negative_part, seconds_between
+from varstrip.functions.scalar import is_finite, non_negative_part, packed_order, seconds_between
 from varstrip.params import ASSETS, KINDS, MAX_FITTED_IV, MIN_FITTED_IV, MIN_STRIP_QUOTES, VENUES, QualityConfig
 
 # Identity of one quote update.
@@ -76,10 +76,9 @@ def deduplicate(ticks: DataFrame, arrival: str = "arrival_ts") -> DataFrame:
     key with very many copies never travels whole.
     """
     rest = [c for c in ticks.columns if c not in DEDUP_KEY]
-    first = F.min_by(F.struct(*rest), F.struct(arrival, *[c for c in ("seq",) if c in rest])).alias("_first")
-    return ticks.groupBy(*DEDUP_KEY).agg(first).select(
-        *[F.col(c) if c in DEDUP_KEY else F.col(f"_first.{c}").alias(c) for c in ticks.columns]
-    )
+    by = packed_order(F.unix_micros(arrival), F.col("seq") if "seq" in rest else None)
+    first = ticks.groupBy(*DEDUP_KEY).agg(*[F.min_by(c, by).alias(c) for c in rest])
+    return first.select(*ticks.columns)
 
 
 def duplicate_counts(ticks: DataFrame) -> DataFrame:

@@ -5,18 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from varstrip.functions.scalar import bucket_start
+from varstrip.functions.scalar import bucket_start, packed_order
 from varstrip.operators.ordered import previous
 from varstrip.params import HISTORY_DEFAULT_LIMIT, HISTORY_INTERVALS, HISTORY_MAX_LIMIT, TIMEFRAMES
 
 
+def tick_order(order: list[str] | None) -> Column:
+    """Order of ticks: a timestamp column, and a sequence number if given."""
+    when, *sequence = order or ["ts"]
+    return packed_order(F.unix_micros(when), F.col(sequence[0]) if sequence else None)
+
+
 def minute_bars(ticks: DataFrame, order: list[str] | None = None) -> DataFrame:
     """One-minute OHLC per index with mergeable parts.
 
     Open and close keep their times, and confidence its sum and count, so that bars of the
     same minute from several batches merge exactly (``merge_bars``).
     """
-    by = F.struct(*(order or ["ts"]))
+    by = tick_order(order)
     return ticks.groupBy("index_id", bucket_start(F.col("ts"), 60).alias("bucket")).agg(
         F.min_by("value", by).alias("open"),
         F.min(by).alias("open_at"),
@@ -87,8 +93,8 @@ def timeframe(bars: DataFrame, name: str, index_id: str | None = None) -> DataFr
 def latest_value(ticks: DataFrame, order: list[str] | None = None) -> DataFrame:
     """The newest row of each index."""
     rest = [c for c in ticks.columns if c != "index_id"]
-    newest = F.max_by(F.struct(*rest), F.struct(*(order or ["ts"])))
-    return ticks.groupBy("index_id").agg(newest.alias("_row")).select("index_id", "_row.*")
+    by = tick_order(order)
+    return ticks.groupBy("index_id").agg(*[F.max_by(c, by).alias(c) for c in rest])
 
 
 def series_stats(bars: DataFrame) -> DataFrame:

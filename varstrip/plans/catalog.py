@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from varstrip.functions import fixedpoint as fx
@@ -18,7 +18,7 @@ from varstrip.operators import benchmark as bm
 from varstrip.operators import chain, health, index, listed, outlier, perp, quality, rollup, strip, thinning
 from varstrip.params import INDEX_DIMENSION, OutlierConfig, ThinningConfig
 from varstrip.plans import backtest, frames, index_pipeline, inputs
-from varstrip.session import cut_lineage, prepare
+from varstrip.session import prepare
 from varstrip.sources import historical, messages, sinks, venues
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -193,10 +193,9 @@ def strip_envelopes(spark, sf):
     chains = chain.assemble_chains(legs)
     dim = inputs.index_dimension(spark)
     evaluated = index_pipeline.evaluated_venues(index.with_venue_freshness(index.venue_index(chains)), dim)
-    primary = evaluated.filter("active").groupBy("index_id", "asset").agg(
-        F.max_by("venue", F.struct("snapshot_ts", F.lit(0) - F.ascii("venue"))).alias("venue"), F.max("snapshot_ts").alias("snapshot_ts")
-    )
-    primary = cut_lineage(primary)
+    newest = F.max("snapshot_ts").over(Window.partitionBy("index_id", "asset"))
+    last = evaluated.filter("active").withColumn("_newest", newest).filter("snapshot_ts = _newest")
+    primary = last.groupBy("index_id", "asset", "snapshot_ts").agg(F.min("venue").alias("venue"))
     wanted = chains.join(primary.select("snapshot_ts", "venue", "asset"), KEY, "left_semi")
     sides = index.venue_strips(wanted)
     one = F.struct("forward", "k_zero", "t", "quotes")
@@ -946,7 +945,7 @@ def _open(spark, sf):
 
 
 def _latest_marks(spark, sf):
-    return perp.latest_marks(inputs.marks(spark, sf), ["at", "seq"])
+    return perp.latest_marks(inputs.marks(spark, sf))
 
 
 def _valued(spark, sf, positions):
@@ -1117,7 +1116,7 @@ def liquidation_prices(spark, sf):
 
 @query
 def mark_staleness(spark, sf):
-    m = perp.latest_marks(inputs.marks(spark, sf).withColumn("index_id", F.concat("index_id", F.lit("/"), F.floor(F.col("at") / 43_200) % 61)), ["at", "seq"])
+    m = perp.latest_marks(inputs.marks(spark, sf).withColumn("index_id", F.concat("index_id", F.lit("/"), F.floor(F.col("at") / 43_200) % 61)))
     return perp.fresh_marks(m, F.lit(CLOCK - 86_400 + 3600)).select("index_id", "mark", "mark_at", "usable")
 
 
