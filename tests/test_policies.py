@@ -215,16 +215,28 @@ def test_streamed_legs_equal_the_batch(spark, small, tmp_path):
     assert got and {tuple(r) for r in got} <= {tuple(r) for r in batch}
 
 
-def test_streamed_bars_equal_the_batch(spark, small, tmp_path):
+@pytest.mark.parametrize("split", ["ts", "value"])
+def test_streamed_bars_equal_the_batch(spark, small, tmp_path, split):
+    """Also when later batches hold ticks of any earlier time."""
     t = inputs.index_ticks(spark, small)
-    src = as_files(t, str(tmp_path / "in"), 4, "ts")
+    src = as_files(t, str(tmp_path / "in"), 4, split)
     stream = spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).parquet(src)
-    run(stream_rollup.write_bars(stream_rollup.minute_bar_stream(stream, "60 days"), str(tmp_path / "bars"), str(tmp_path / "cp")))
+    run(stream_rollup.write_bars(stream, str(tmp_path / "bars"), str(tmp_path / "cp")))
     cols = ["index_id", "bucket", "open", "high", "low", "close", "count"]
     got = {tuple(r) for r in stream_rollup.read_bars(spark, str(tmp_path / "bars")).select(*cols).collect()}
     assert got == {tuple(r) for r in rollup.minute_bars(t, ["ts", "seq"]).select(*cols).collect()}
 
 
+def test_rerun_replaces_a_day(spark, tmp_path):
+    from varstrip.sources import historical
+
+    day = spark.sql("SELECT timestamp'2024-05-01 10:00:00' AS timestamp, 'BTC' AS currency, 'x' AS symbol")
+    for _ in range(2):
+        historical.write_snapshots(day, str(tmp_path / "snap"))
+    historical.write_snapshots(day.withColumn("timestamp", day.timestamp + spark.sql("SELECT INTERVAL 1 DAY AS d").first().d), str(tmp_path / "snap"))
+    assert historical.read_snapshots(spark, str(tmp_path / "snap")).count() == 2
+
+
 def ordered_stream(spark, df, folder, splits):
     """A source whose micro-batches follow ``splits`` (conditions) one by one."""
     import os

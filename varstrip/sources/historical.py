@@ -40,9 +40,12 @@ def clean_chain_rows(raw: DataFrame, currencies: tuple[str, ...] = PREFIXES) ->
 
 
 def write_snapshots(rows: DataFrame, path: str, partial: bool = False) -> None:
-    """Parquet by currency and date; a partial load is kept apart and never replaces a full one."""
+    """Parquet by currency and date; a partial load is kept apart and never replaces a full one.
+
+    A rerun replaces the days it holds and leaves the others.
+    """
     out = rows.withColumns({"date": F.to_date("timestamp"), "is_partial": F.lit(partial)})
-    out.write.mode("append").partitionBy("currency", "date", "is_partial").parquet(path)
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("currency", "date", "is_partial").parquet(path)
 
 
 def read_snapshots(spark: SparkSession, path: str, currency: str | None = None) -> DataFrame:

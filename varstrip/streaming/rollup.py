@@ -10,39 +10,27 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from varstrip.operators.rollup import merge_bars, minute_bars
 from varstrip.operators.thinning import reason_to_emit
 from varstrip.params import ThinningConfig
 
 
-def minute_bar_stream(ticks: DataFrame, lateness: str = "2 minutes") -> DataFrame:
-    """Running one-minute bars, to be written in update mode."""
-    by = F.struct("ts", "seq") if "seq" in ticks.columns else F.struct("ts")
-    bars = ticks.withWatermark("ts", lateness).groupBy("index_id", F.window("ts", "1 minute").alias("w")).agg(
-        F.min_by("value", by).alias("open"),
-        F.max_by("value", by).alias("close"),
-        F.max("value").alias("high"),
-        F.min("value").alias("low"),
-        F.count(F.lit(1)).alias("count"),
-        F.sum("confidence").alias("confidence_sum"),
-    )
-    return bars.select("index_id", F.col("w.start").alias("bucket"), "open", "high", "low", "close", "count", "confidence_sum")
-
+def write_bars(ticks: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
+    """Every batch writes the partial bars of its own ticks into its own folder; replays replace it.
 
-def write_bars(bars: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
-    """Every batch writes the bars it changed into its own folder; replays replace it."""
+    There is no watermark: a tick that is hours late is one more part of its minute.
+    """
+    order = ["ts", "seq"] if "seq" in ticks.columns else ["ts"]
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={epoch}")
+        minute_bars(batch, order).write.mode("overwrite").parquet(f"{path}/batch={epoch}")
 
-    return bars.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+    return ticks.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
 def read_bars(spark: SparkSession, path: str) -> DataFrame:
-    """Newest version of each bar."""
-    df = spark.read.parquet(path)
-    rest = [c for c in df.columns if c not in ("index_id", "bucket", "batch")]
-    newest = df.groupBy("index_id", "bucket").agg(F.max_by(F.struct(*rest), "batch").alias("_b"))
-    return newest.select("index_id", "bucket", "_b.*")
+    """Whole bars, merged from the parts of all batches."""
+    return merge_bars(spark.read.parquet(path).drop("batch"))
 
 
 def thin_stream(pairs: DataFrame, config: ThinningConfig = ThinningConfig()) -> DataFrame:
