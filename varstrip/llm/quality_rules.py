@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 BLANKS = " \t\n\x0b\f\r"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 # Latin letters up to U+024F, lower and upper case.
 _LATIN = [chr(i) for i in range(0x250) if chr(i).isalpha()]
 LETTERS = "".join(_LATIN) + "0123456789"
@@ -45,13 +45,9 @@ def word_array(text: Column) -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, BLANK_RUN, -1))
 
 
-def shape_array(text: Column) -> Column:
-    """Words with their letters and digits as classes."""
-    return word_array(F.translate(text, LETTERS, SHAPES))
-
-
 def ending(word: Column) -> Column:
-    return F.right(word, F.lit(ENDING))
+    """Shape of a word's last code points: letters and digits as classes."""
+    return F.translate(F.substring(word, -ENDING, ENDING), LETTERS, SHAPES)
 
 
 def bucket(*words: Column) -> Column:
@@ -75,7 +71,7 @@ def fit(documents: DataFrame, labels: DataFrame, trusted: int = TRUSTED, prior:
     """
     ids = labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy("doc_id").limit(trusted)
     ids = F.broadcast(ids.withColumn("_trusted", F.lit(1)))
-    docs = documents.select("doc_id", shape_array(F.col("text")).alias("_words")).join(ids, "doc_id", "left")
+    docs = documents.select("doc_id", word_array(F.col("text")).alias("_words")).join(ids, "doc_id", "left")
     rows = gram_rows(docs.select("_trusted", "_words"), "_words")
     counts = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("_trusted").alias("target"))
     totals = counts.agg(F.sum("raw").alias("all_raw"), F.sum("target").alias("all_target"))
@@ -89,16 +85,14 @@ def fit(documents: DataFrame, labels: DataFrame, trusted: int = TRUSTED, prior:
 def statistics(df: DataFrame) -> DataFrame:
     """Add ``_words`` and the base statistics of ``text``."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    bare = lambda chars: F.length(F.translate(text, chars, ""))
     df = df.withColumns(
         {
             "_words": word_array(F.col("text")),
-            "word_chars": bare(BLANKS).cast("long"),
-            "n_symbols": (F.length(text) - bare(SYMBOLS)).cast("long"),
+            "n_symbols": (F.size(F.split(text, SYMBOLS, -1)) - 1).cast("long"),
             "_lines": F.filter(F.split(text, "\n", -1), lambda line: F.trim(line, F.lit(BLANKS)) != ""),
         }
     )
-    df = df.withColumns({"n_words": F.size("_words").cast("long"), "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long")}).drop("_lines")
+    df = df.withColumns({"n_words": F.size("_words").cast("long"), "word_chars": F.length(F.array_join("_words", "")).cast("long"), "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long")}).drop("_lines")
     # Three-word windows by hash; those found twice are neighbours once sorted.
     window = lambda x, i: F.xxhash64(x, F.get("_words", i + 1), F.get("_words", i + 2))
     df = df.withColumn("_windows", F.transform(F.slice("_words", F.lit(1), F.greatest(F.size("_words") - 2, F.lit(0))), window))
@@ -125,12 +119,12 @@ def judged(documents: DataFrame, weights: Column, threshold: float = THRESHOLD)
     The n-grams of a text are summed in the order of its words, so a score is the same wherever
     and however often it is computed.
     """
-    df = statistics(documents).withColumn("_shapes", shape_array(F.col("text")))
+    df = statistics(documents).withColumn("_shapes", F.transform("_words", ending))
 
-    def gram_weight(word, i):
+    def gram_weight(shape, i):
         after = F.get("_shapes", i + 1)
-        pair = F.when(after.isNotNull(), F.get(weights, bucket(ending(word), ending(after))))
-        return F.get(weights, bucket(ending(word))) + F.coalesce(pair, F.lit(0.0))
+        pair = F.when(after.isNotNull(), F.get(weights, bucket(shape, after)))
+        return F.get(weights, bucket(shape)) + F.coalesce(pair, F.lit(0.0))
 
     total = F.aggregate(F.transform("_shapes", gram_weight), F.lit(0.0), lambda a, x: a + x)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
