@@ -38,7 +38,7 @@ from varstrip.llm import text as tx
 
 SPAN, CUT_BITS, LONGEST = 16, 10, 1 << 14
 # Entries of each of the two generations of a cache.
-CACHED, CACHED_WORDS = 15_000, 150_000
+CACHED, CACHED_WORDS = 15_000, 300_000
 BLANK = re.compile(rb"[\x20\x09-\x0D]+")
 SOLID = re.compile(rb"[^\x20\x09-\x0D]+")
 # Words encoded as one line.
