@@ -7,7 +7,7 @@ import pytest
 from brute import op4
 
 from varstrip.llm import jaccard_join
-from varstrip.llm.components import components
+from varstrip.llm.components import components, extended
 
 COLUMNS = ["doc_id", "n_shingles", "component_id"]
 
@@ -87,3 +87,12 @@ def test_components(spark):
     want = {(x, root(x)) for a, b in pairs if a != b for x in (a, b)}
     got = components(spark.createDataFrame(pairs, "a long, b long"))
     assert {tuple(r) for r in got.collect()} == want
+    half = components(spark.createDataFrame(pairs[:70], "a long, b long"))
+    both = extended(half, spark.createDataFrame(pairs[70:], "a long, b long").filter("a <> b"))
+    groups = {}
+    for node, component in both.collect():
+        groups.setdefault(component, set()).add(node)
+    expected = {}
+    for node, component in want:
+        expected.setdefault(component, set()).add(node)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expected.values()))

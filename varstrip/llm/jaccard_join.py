@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from varstrip.llm import anchors as an
 from varstrip.llm import text as tx
-from varstrip.llm.components import components
+from varstrip.llm.components import components, extended
 from varstrip.llm.store import written
 
 SHINGLE, NEED = 5, 75
@@ -260,9 +260,8 @@ def search(stored: DataFrame, pairs: DataFrame) -> DataFrame:
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).select("query", "salt", "node")
     asked = salted.unionByName(salted.select("query", "salt", F.col("query").alias("node")).distinct())
     asked = asked.groupBy(block_of(F.col("node")).alias("block")).agg(F.collect_list(F.struct("query", "salt", "node")).alias("asked"))
-    # Stored, so that its size is known: Spark moves the texts only if there is much to ask.
-    asked = written(asked, "asked")
-    sets = stored.join(asked, "block").mapInArrow(_set_batches, "query long, salt int, node long, shingles binary")
+    # The same plan at every size: what is asked grows with the corpus, so it is not broadcast.
+    sets = stored.join(asked.hint("merge"), "block").mapInArrow(_set_batches, "query long, salt int, node long, shingles binary")
     return sets.groupBy("query", "salt").applyInArrow(_search, "a long, b long")
 
 
@@ -350,11 +349,11 @@ def linked(documents: DataFrame) -> DataFrame:
     seeds = lists.filter("pivot IS NOT NULL").groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("n"))
     first = seeds.groupBy("node").agg(F.max(F.struct("n", "pivot")).alias("x"))
     pairs = written(_with_blocks(first.select(F.least("node", "x.pivot").alias("query"), F.greatest("node", "x.pivot").alias("node")).distinct()), "pairs")
-    links, tested = written(search(stored, pairs), "links"), pairs.select("query", "node")
+    tested = pairs.select("query", "node")
+    known = written(components(search(stored, pairs)), "components")
     lists, every = lists.select("token", "node", "n", "place"), False
     while True:
-        known = written(components(links), "components")
-        named = lists.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        named = lists.join(known.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
         part = F.pmod(F.xxhash64("token"), F.lit(parts)).alias("part")
         found = written(named.select(part, *named.columns).groupBy("part").applyInArrow(_candidates(every), "query long, node long, token long"), "candidates")
         pairs = found.filter("query IS NOT NULL").select("query", "node").distinct().join(tested, ["query", "node"], "left_anti")
@@ -363,13 +362,12 @@ def linked(documents: DataFrame) -> DataFrame:
         new = None
         if not pairs.isEmpty():
             new = written(search(stored, pairs), "links")
-            links, tested = links.unionByName(new), tested.unionByName(pairs.select("query", "node"))
+            known = written(extended(known, new), "components")
+            tested = tested.unionByName(pairs.select("query", "node"))
         if opened.isEmpty():
             break
         # Only open lists are looked at again; whole ones, once a round finds no link.
         lists, every = lists.join(opened, "token", "left_semi"), new is None or new.isEmpty()
-    if new is not None:
-        known = written(components(links), "components")
     named = docs.join(known, "node", "left").select("doc_id", "key", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("_c"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("_first")
     out = named.join(named.filter("_c IS NOT NULL").groupBy("_c").agg(first), "_c", "left")
