@@ -65,6 +65,29 @@ def test_verdicts_on_held_out_labels(spark, small):
     assert bad.filter("kept").count() <= 0.1 * bad.count()
 
 
+def test_words_and_scripts(spark):
+    """Spam in plain letters goes, although its shapes are ordinary; a script the target lacks stays."""
+    rng = random.Random(8)
+    letters = lambda alphabet, n: ["".join(rng.choice(alphabet) for _ in range(rng.randint(3, 9))) for _ in range(n)]
+    latin, cyrillic, spam = letters("abcdefghijklmnopqrstuvwxyz", 300), letters("абвгдежзиклмнопрстуф", 300), letters("abcdefghijklmnopqrstuvwxyz", 60)
+    text = lambda words: " ".join(rng.choice(words) for _ in range(200))
+    docs = [(i, text(latin)) for i in range(80)] + [(100 + i, text(spam)) for i in range(20)] + [(200 + i, text(cyrillic)) for i in range(20)]
+    got = quality_rules.op8(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, 1) for i in range(40)], "doc_id long, quality int")).collect()
+    assert not any(r.base_failed for r in got)
+    assert {r.doc_id for r in got if r.kept} == {d for d, _ in docs if not 100 <= d < 200}
+    assert all(abs(r.word_score) <= quality_rules.LIMIT for r in got)
+    assert len(got) == len(docs)
+
+
+def test_unseen_weights_are_bounded(spark):
+    """A bucket without trusted rows weighs the same however large the target is."""
+    for size in (10**4, 10**9):
+        counts = spark.createDataFrame([(-1, 1, 2 * size, size), (-1, 2, 10, 0), (0, 1, 2 * size, size), (0, 2, size, 0)], "script int, bucket int, raw long, target long")
+        weights = {r.bucket: r.weight for r in quality_rules.shape_weights(counts).collect()}
+        assert weights[2] >= -np.log(1 + quality_rules.UNSEEN) - 1e-9
+        assert min(r.weight for r in quality_rules.word_weights(counts)[0].collect()) == -quality_rules.LIMIT
+
+
 def test_filtered_keeps_columns(frame, odd, labels):
     docs = frame(odd)
     out = quality_rules.filtered(docs, labels)
