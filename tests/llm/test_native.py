@@ -137,6 +137,18 @@ def test_disclosing_terms(frame):
             assert found == {("email", "eve@corp.example")}
 
 
+def test_constant_phrase_discloses(frame):
+    """The same words beside an address on otherwise different pages are evidence."""
+    rng = random.Random(4)
+    prose = lambda n: " ".join(f"word{rng.randrange(40)}" for _ in range(n))
+    docs = [(i, prose(200)) for i in range(40)]
+    docs += [(100 + i, f"{prose(30)} contact bluefalcon jane@corp.example redkite {prose(30)}") for i in range(6)]
+    for doc_id, spans in ((r.doc_id, r.spans) for r in pii.op5(frame(docs)).collect()):
+        text = docs[doc_id - 60 if doc_id >= 100 else doc_id][1]
+        removed = {text[int(a) : int(b)] for k, a, b in (s.split(":") for s in spans.split(",") if s) if k == "removed"}
+        assert removed == ({"contact", "bluefalcon", "redkite"} if doc_id >= 100 else set())
+
+
 def test_pii_of_nothing(frame):
     assert pii.op5(frame([])).count() == 0
     assert len(pii.op5(frame([(None, None), (None, None), (3, "x 1.2.3.4")])).collect()) == 3

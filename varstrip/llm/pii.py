@@ -8,8 +8,8 @@ term t's occurrences that are, t reveals the part
     D(e, t) = PMI(e, t) / IC(e) = 1 - log p(e|t) / log p(e)
 
 of e's information content. Terms from ``GENERALISE`` on are generalised, from ``REMOVE`` on they
-are removed. An entity counts as observed only if it has several contexts of which no pair of
-neighbouring words holds more than half, so that copies of one page are no evidence.
+are removed. An entity counts as observed only if it has several contexts that differ somewhere, so
+that copies of one page are no evidence, and a phrase that always surrounds it on unlike pages is.
 
 Everything runs in built-in functions. Offsets come from the lengths of the text between matches,
 summed by a window over one document's matches. Documents without any candidate character send one
@@ -131,7 +131,8 @@ def _words_of(side: Column, base: Column) -> Column:
 
 
 def contexts(found: DataFrame) -> DataFrame:
-    """Words beside each entity: (row, entity, near, words), at most ``CONTEXT`` on either side.
+    """Words beside each entity: (row, entity, near, words), at most ``CONTEXT`` on either side; ``near``
+    is a hash of them all.
 
     A word cut off by the reach of the context is not one of them.
     """
@@ -141,15 +142,16 @@ def contexts(found: DataFrame) -> DataFrame:
     whole_left = F.filter("_left", lambda w: (F.col("_l") < REACH) | (w["start"] > F.col("start") - REACH))
     whole_right = F.filter("_right", lambda w: (F.col("_r") < REACH) | (w["end"] < F.col("end") + REACH))
     df = df.withColumns({"_left": F.reverse(whole_left), "_right": whole_right})
-    near = F.xxhash64(F.get("_left", F.lit(0))["term"], F.get("_right", F.lit(0))["term"])
-    return df.select("row", "entity", near.alias("near"), F.concat(F.slice("_left", 1, CONTEXT), F.slice("_right", 1, CONTEXT)).alias("words"))
+    df = df.withColumns({"_left": F.slice("_left", 1, CONTEXT), "_right": F.slice("_right", 1, CONTEXT)})
+    near = F.xxhash64(F.col("_left")["term"], F.col("_right")["term"])
+    return df.select("row", "entity", near.alias("near"), F.concat("_left", "_right").alias("words"))
 
 
 def disclosing(documents: DataFrame, around: DataFrame, generalise: float = GENERALISE, least: int = MIN_CONTEXTS) -> DataFrame:
     """(entity, term, disclosure) of the terms that reveal an entity to the degree ``generalise``."""
     per_near = around.groupBy("entity", "near").agg(F.count(F.lit(1)).alias("n"))
-    seen = per_near.groupBy("entity").agg(F.sum("n").alias("n_entity"), F.max("n").alias("most"))
-    seen = seen.filter((F.col("n_entity") >= least) & (2 * F.col("most") <= F.col("n_entity"))).drop("most")
+    seen = per_near.groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count(F.lit(1)).alias("different"))
+    seen = seen.filter(F.col("different") >= least).drop("different")
     pairs = around.join(seen, "entity").select("entity", "n_entity", F.explode(F.array_distinct(F.col("words")["term"])).alias("term"))
     pairs = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_pair"), F.any_value("n_entity").alias("n_entity")).filter(F.col("n_pair") >= least)
     buckets = pairs.select(F.pmod(F.xxhash64("term"), F.lit(FILTER)).alias("_b")).distinct()  # at most FILTER rows
