@@ -5,7 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from varstrip.llm import bpe, decontaminate, jaccard_join, license_scan, pii, quality_rules, secret_scan, substring_dedup, suffix_dedup, url_filter
+from varstrip.llm import (
+    bpe, decontaminate, filter_audit, jaccard_join, license_scan, merkle, minmax_dedup, pii, quality_rules, secret_scan, substring_dedup,
+    suffix_dedup, url_filter,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,9 +55,21 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.op10(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.op11(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.op12(table(spark, sf_dir, "documents"))
+
+
+def op13_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minmax_dedup.op13(table(spark, sf_dir, "documents"))
+
+
 _ALL = (
     op1_decontamination, op2_suffix_dedup, op3_secret_scan, op4_ngram_jaccard_join, op5_pii, op6_bpe, op7_url_filter,
-    op8_quality_rules, op9_license_scan, op10_substring_dedup,
+    op8_quality_rules, op9_license_scan, op10_substring_dedup, op11_filter_audit, op12_merkle_manifest, op13_minmax_dedup,
 )
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLES = {"op7_url_filter": url_filter.OP7_SQL}
+ORACLES = {"op7_url_filter": url_filter.OP7_SQL, "op11_filter_audit": filter_audit.OP11_SQL}
