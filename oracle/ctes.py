@@ -374,7 +374,7 @@ tried AS (SELECT t.*, m.mark, m.mark_at FROM tried0 t ASOF JOIN marks1 m ON t.in
 endings AS (SELECT * FROM ends0 WHERE kind <> 'liquidate' OR liquidatable QUALIFY row_number() OVER (PARTITION BY id ORDER BY "at", kind, ref) = 1),
 open_pos AS (SELECT * FROM positions WHERE id NOT IN (SELECT id FROM endings)),
 flows AS (
-  SELECT event_id AS seq, CAST(floor(epoch(ts)) AS BIGINT) AS "at", CASE WHEN event_type = 'click' THEN 'deposit' ELSE 'withdraw' END AS event_type,
+  SELECT event_id AS seq, '0xAb' || lpad(CAST(user_id AS VARCHAR), 4, '0') AS holder, CAST(floor(epoch(ts)) AS BIGINT) AS "at", CASE WHEN event_type = 'click' THEN 'deposit' ELSE 'withdraw' END AS event_type,
          CASE WHEN event_type = 'click' THEN CAST(round(value * 1000000) AS BIGINT) * 3 ELSE CAST(round(value * 1000000) AS BIGINT) // 3 END AS assets
   FROM ev WHERE event_type IN ('click', 'view'))
 """

@@ -528,11 +528,13 @@ add(
     "published_rows",
     BLEND,
     """
-, seen AS (SELECT DISTINCT snapshot_ts FROM venue_index),
+, ends AS (SELECT min(snapshot_ts) AS low, max(snapshot_ts) AS high FROM venue_index),
+seen AS (SELECT unnest(generate_series(low, high, INTERVAL 1 HOUR)) AS snapshot_ts FROM ends),
+any_quote AS (SELECT DISTINCT snapshot_ts FROM venue_index),
 have AS (SELECT DISTINCT snapshot_ts, CASE asset WHEN 'btc' THEN 'BTCV30' ELSE 'ETHV30' END AS index_id FROM venue_index)
-SELECT i.index_id, s.snapshot_ts, CASE WHEN b.value IS NOT NULL THEN 'ok' WHEN h.index_id IS NOT NULL THEN 'no_venues_live' ELSE 'missing_asset' END AS status, round(b.value, 6) AS value
+SELECT i.index_id, s.snapshot_ts, CASE WHEN b.value IS NOT NULL THEN 'ok' WHEN q.snapshot_ts IS NULL THEN 'no_quotes' WHEN h.index_id IS NOT NULL THEN 'no_venues_live' ELSE 'missing_asset' END AS status, round(b.value, 6) AS value
 FROM seen s CROSS JOIN (SELECT unnest(['BTCV30', 'ETHV30']) AS index_id) i
-LEFT JOIN blended b ON (b.snapshot_ts, b.index_id) = (s.snapshot_ts, i.index_id) LEFT JOIN have h ON (h.snapshot_ts, h.index_id) = (s.snapshot_ts, i.index_id)
+LEFT JOIN blended b ON (b.snapshot_ts, b.index_id) = (s.snapshot_ts, i.index_id) LEFT JOIN have h ON (h.snapshot_ts, h.index_id) = (s.snapshot_ts, i.index_id) LEFT JOIN any_quote q ON q.snapshot_ts = s.snapshot_ts
 """,
     True,
 )
@@ -865,15 +867,64 @@ deltas AS (
 """)
 add("vault_history", DELTAS, 'SELECT "at", seq, kind, delta, CAST(sum(delta) OVER (ORDER BY "at", seq, kind ROWS UNBOUNDED PRECEDING) AS BIGINT) AS assets FROM deltas')
 add("vault_totals", DELTAS, "SELECT kind, count(*) AS n, CAST(sum(delta) AS BIGINT) AS total FROM deltas GROUP BY kind")
+# The share ledger, one event after the other: the state is a row, the balances are a list.
+LEDGER = (*PERP, *SETTLED, """
+book AS (
+  SELECT opened_at AS "at", id AS seq, 'open_fee' AS kind, CAST(open_fee AS HUGEINT) AS assets, CAST(collateral - open_fee AS HUGEINT) * leverage AS reserved FROM ticketed WHERE reject_reason IS NULL
+  UNION ALL SELECT "at", id, 'close', CAST(collateral - payout AS HUGEINT), -notional FROM cls
+  UNION ALL SELECT "at", id, 'liquidation', CAST(collateral - reward AS HUGEINT), -notional FROM lqs),
+holding AS (SELECT holder, row_number() OVER (ORDER BY holder) AS h FROM (SELECT DISTINCT holder FROM flows)),
+moves AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY "at", seq, kind) AS i, * FROM (
+    SELECT "at", seq, event_type AS kind, holder, h, CAST(assets AS HUGEINT) AS amount, CAST(0 AS HUGEINT) AS assets, CAST(0 AS HUGEINT) AS reserved FROM flows JOIN holding USING (holder)
+    UNION ALL SELECT "at", seq, kind, NULL, NULL, 0, assets, reserved FROM book)),
+fold AS (
+  SELECT CAST(0 AS BIGINT) AS i, '' AS status, CAST(0 AS HUGEINT) AS shares, CAST(0 AS HUGEINT) AS paid, CAST(0 AS HUGEINT) AS supply, CAST(0 AS HUGEINT) AS total, CAST(0 AS HUGEINT) AS held,
+         (SELECT list(CAST(0 AS HUGEINT)) FROM holding) AS balances
+  UNION ALL
+  SELECT i, status, shares, paid, supply + shares, total + paid + assets, held + reserved, CASE WHEN h IS NULL THEN balances ELSE list_concat(balances[:h - 1], [balances[h] + shares], balances[h + 1:]) END
+  FROM (
+    SELECT *, CASE WHEN status <> 'ok' THEN 0 WHEN kind = 'deposit' THEN minted ELSE -amount END AS shares, CASE WHEN status <> 'ok' THEN 0 WHEN kind = 'deposit' THEN amount ELSE -redeemed END AS paid
+    FROM (
+      SELECT *, CASE WHEN kind = 'deposit' THEN CASE WHEN amount <= 0 THEN 'zero_assets' WHEN supply > 0 AND total <= 0 THEN 'vault_insolvent' WHEN minted = 0 THEN 'zero_shares' ELSE 'ok' END
+                     WHEN kind = 'withdraw' THEN CASE WHEN amount <= 0 THEN 'zero_shares' WHEN amount > balances[h] THEN 'insufficient_shares' WHEN redeemed = 0 THEN 'zero_assets'
+                                                      WHEN redeemed > greatest(total - held, 0) THEN 'exceeds_available' ELSE 'ok' END END AS status
+      FROM (SELECT m.*, f.supply, f.total, f.held, f.balances, CASE WHEN f.supply = 0 THEN m.amount WHEN f.total <= 0 THEN 0 ELSE m.amount * f.supply // f.total END AS minted,
+                   CASE WHEN f.supply = 0 THEN 0 ELSE m.amount * greatest(f.total, 0) // f.supply END AS redeemed
+            FROM fold f JOIN moves m ON m.i = f.i + 1)))),
+ledger AS (SELECT m."at", m.seq, m.kind, m.holder, m.amount, f.* EXCLUDE (i, balances), f.balances[m.h] AS balance FROM fold f JOIN moves m USING (i)),
+vault AS (SELECT arg_max(supply, i) AS supply, arg_max(total, i) AS assets, arg_max(held, i) AS reserved FROM fold),
+own AS (SELECT holder, CAST(sum(shares) AS HUGEINT) AS shares FROM ledger WHERE holder IS NOT NULL GROUP BY holder)
+""")
 add(
     "vault_report",
-    DELTAS,
+    LEDGER,
     """
-, o AS (SELECT (SELECT CAST(sum(delta) AS BIGINT) FROM deltas) AS assets, (SELECT CAST(sum(CASE WHEN event_type = 'deposit' THEN assets ELSE -assets END) AS BIGINT) FROM flows) AS supply,
-               (SELECT CAST(sum(collateral * leverage) AS BIGINT) FROM open_pos) AS reserved)
+, o AS (SELECT CAST(supply AS BIGINT) AS supply, CAST(assets AS BIGINT) AS assets, CAST(reserved AS BIGINT) AS reserved FROM vault)
 SELECT *, greatest(assets - reserved, 0) AS available, CASE WHEN supply > 0 THEN CAST(assets AS DOUBLE) / CAST(supply AS DOUBLE) ELSE 1e0 END AS share_price,
        CAST(CAST(reserved AS HUGEINT) * 10000 // assets AS DOUBLE) / 100e0 AS utilization_pct FROM o
 """,
+    True,
+)
+add(
+    "share_ledger",
+    LEDGER,
+    """
+SELECT seq, "at", kind, holder, status, CAST(amount AS BIGINT) AS requested, CAST(shares AS BIGINT) AS shares, CAST(paid AS BIGINT) AS assets, CAST(balance AS BIGINT) AS balance,
+       CAST(supply AS BIGINT) AS supply, CAST(total AS BIGINT) AS total_assets, CAST(held AS BIGINT) AS reserved,
+       round(CASE WHEN supply > 0 THEN CAST(total AS DOUBLE) / CAST(supply AS DOUBLE) ELSE 1e0 END, 9) AS share_price FROM ledger WHERE holder IS NOT NULL
+""",
+    True,
+)
+add("holder_shares", LEDGER, "SELECT holder, CAST(shares AS BIGINT) AS shares FROM own", True)
+add(
+    "lp_claims",
+    LEDGER,
+    """
+SELECT count(*) AS holders, CAST(sum(own.shares * v.assets // v.supply) AS BIGINT) AS claims, CAST(any_value(v.assets) AS BIGINT) AS assets,
+       CAST(any_value(v.supply) AS BIGINT) AS supply, sum(own.shares * v.assets // v.supply) <= any_value(v.assets) AS within FROM own, vault v
+""",
+    True,
 )
 add(
     "share_conversion",
@@ -923,8 +974,9 @@ SELECT *, {CLOCK - 86_400 + 3600} - mark_at <= 3600 AS usable FROM g
 add(
     "thinned_polls",
     (*PERP, """
-polls AS (SELECT (m."at" // 900 + 1) * 900 AS poll, last(mark ORDER BY m."at", seq) FILTER (WHERE index_id = 'BTCV30') AS a0,
+moved AS (SELECT (m."at" // 900 + 1) * 900 AS poll, last(mark ORDER BY m."at", seq) FILTER (WHERE index_id = 'BTCV30') AS a0,
                  last(mark ORDER BY m."at", seq) FILTER (WHERE index_id = 'ETHV30') AS b0 FROM marks m GROUP BY 1),
+polls AS (SELECT g.poll, a0, b0 FROM (SELECT unnest(range((SELECT min(poll) FROM moved), (SELECT max(poll) FROM moved) + 1, 900)) AS poll) g LEFT JOIN moved USING (poll)),
 pairs0 AS (SELECT poll, last_value(a0 IGNORE NULLS) OVER w AS a, last_value(b0 IGNORE NULLS) OVER w AS b FROM polls
            WINDOW w AS (ORDER BY poll ROWS UNBOUNDED PRECEDING)),
 pairs AS MATERIALIZED (SELECT poll, a, b, row_number() OVER (ORDER BY poll) AS rn FROM pairs0 WHERE a <> 0 AND b <> 0),
@@ -949,15 +1001,3 @@ add(
 SELECT venue, asset, 'no_next_expiry' AS status, count(*) AS n FROM s GROUP BY ALL
 """,
 )
-
-add(
-    "lp_claims",
-    (*DELTAS[:1], c.POSITIONS.replace("SELECT event_id AS seq, CAST(floor(epoch(ts)) AS BIGINT) AS \"at\", CASE WHEN event_type = 'click'",
-                                      "SELECT event_id AS seq, user_id AS holder, CAST(floor(epoch(ts)) AS BIGINT) AS \"at\", CASE WHEN event_type = 'click'"), *DELTAS[2:]),
-    """
-, t AS (SELECT CAST(sum(delta) AS HUGEINT) AS assets, CAST(sum(delta) FILTER (WHERE kind = 'deposit') AS HUGEINT) AS supply FROM deltas WHERE kind <> 'withdraw'),
-h AS (SELECT holder, CAST(sum(assets) AS HUGEINT) AS shares FROM flows WHERE event_type = 'deposit' GROUP BY holder)
-SELECT count(*) AS holders, CAST(sum(shares * t.assets // t.supply) AS BIGINT) AS claims, CAST(any_value(t.assets) AS BIGINT) AS assets,
-       CAST(any_value(t.supply) AS BIGINT) AS supply, sum(shares * t.assets // t.supply) <= any_value(t.assets) AS within FROM h, t
-""",
-)

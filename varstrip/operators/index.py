@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from varstrip.functions.scalar import is_finite, seconds_between, years_to_minutes
 from varstrip.operators.chain import pick_expiries
 from varstrip.operators.strip import strip_quotes, strip_variance
-from varstrip.params import FRESH_BUDGET_SECONDS, INDEX_DIMENSION, MINUTES_30D, MINUTES_365D, TARGET_STRIKES, VENUES_EXPECTED
+from varstrip.params import FRESH_BUDGET_SECONDS, INDEX_DIMENSION, MINUTES_30D, MINUTES_365D, SNAPSHOT_SECONDS, TARGET_STRIKES, VENUES_EXPECTED
 
 VENUE_KEY = ["snapshot_ts", "venue", "asset"]
 CHAIN_FIELDS = ["expiry", "t", "forward", "listed_strikes", "knots"]
@@ -197,21 +197,37 @@ def strip_hash(strips: DataFrame, active: DataFrame, dimension: DataFrame) -> Da
 def publish_rows(snapshots: DataFrame, results: DataFrame) -> DataFrame:
     """One row per expected (index, snapshot): the value, or NULL with the reason.
 
-    ``snapshots`` lists (index_id, snapshot_ts, had_chains) and ``results`` the blended rows.
+    ``snapshots`` lists (index_id, snapshot_ts, silent, had_chains) and ``results`` the blended rows.
     """
     joined = snapshots.join(results, ["index_id", "snapshot_ts"], "left")
     status = (
         F.when(F.col("value").isNotNull(), F.lit("ok"))
+        .when(F.col("silent"), F.lit("no_quotes"))
         .when(F.col("had_chains"), F.lit("no_venues_live"))
         .otherwise(F.lit("missing_asset"))
     )
-    return joined.withColumn("status", status).drop("had_chains")
+    return joined.withColumn("status", status).drop("silent", "had_chains")
 
 
-def snapshot_grid(venues: DataFrame, indices=INDEX_DIMENSION) -> DataFrame:
-    """Every (index id, asset) pair at every snapshot seen, with whether its asset had a chain."""
-    seen = venues.groupBy("snapshot_ts").agg(F.collect_set("asset").alias("assets"))
+def snapshot_slots(snapshots: DataFrame, cadence: int, bucket_seconds: int = 86_400) -> DataFrame:
+    """Every ``snapshot_ts`` of the cadence from the first to the last one seen, seen or not.
+
+    One row with the ends is cut into time buckets, and the slots are made where those lie.
+    """
+    at = F.unix_seconds("snapshot_ts")
+    ends = snapshots.agg(F.min(at).alias("_low"), F.max(at).alias("_high")).filter("_low IS NOT NULL")
+    width = -(-bucket_seconds // cadence) * cadence
+    step = lambda n: F.lit(n).cast("bigint")
+    pieces = ends.withColumn("_from", F.explode(F.sequence("_low", "_high", step(width)))).repartition("_from")
+    slots = F.sequence(F.col("_from"), F.least(F.col("_high"), F.col("_from") + width - cadence), step(cadence))
+    return pieces.select(F.explode(slots).alias("_at")).select(F.timestamp_seconds("_at").alias("snapshot_ts"))
+
+
+def snapshot_grid(legs: DataFrame, indices=INDEX_DIMENSION, cadence: int = SNAPSHOT_SECONDS) -> DataFrame:
+    """Every (index id, asset) pair at every slot, with whether anything was quoted, and its asset."""
+    seen = legs.groupBy("snapshot_ts").agg(F.collect_set("asset").alias("assets"))
     ids = F.array(*[F.struct(F.lit(i).alias("index_id"), F.lit(a).alias("asset")) for i, a in indices])
-    return seen.select("snapshot_ts", "assets", F.inline(ids)).select(
-        "index_id", "snapshot_ts", F.array_contains("assets", F.col("asset")).alias("had_chains")
+    slots = snapshot_slots(seen, cadence).join(seen, "snapshot_ts", "left")
+    return slots.select("snapshot_ts", "assets", F.inline(ids)).select(
+        "index_id", "snapshot_ts", F.col("assets").isNull().alias("silent"), F.coalesce(F.array_contains("assets", F.col("asset")), F.lit(False)).alias("had_chains")
     )

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from varstrip.functions.scalar import bucket_start, is_finite
 from varstrip.operators.index import median_of
-from varstrip.operators.ordered import running
+from varstrip.operators.ordered import dealt, last_rows, running
 from varstrip.params import OutlierConfig
 
 TICK = ["index_id", "snapshot_ts"]
@@ -44,28 +44,28 @@ def streaks(values: DataFrame, config: OutlierConfig = OutlierConfig(), bucket_s
     ``_seen`` numbers the evaluable ticks of a venue, ``_reset`` is the number of its last
     in-band tick, so their difference is the streak. Both come from one pass over day buckets.
     """
-    df = deviations(values, config).withColumn("_day", bucket_start(F.col("snapshot_ts"), bucket_seconds))
-    in_band = F.col("evaluable") & ~F.col("out_of_band")
-    day = Window.partitionBy(*VENUE, "_day").orderBy("snapshot_ts")
+    df = deviations(values, config)
+    rows, parts, day = dealt(df, VENUE, ["snapshot_ts"], bucket_start(F.col("snapshot_ts"), bucket_seconds))
     here = day.rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("_n", F.sum(F.col("evaluable").cast("long")).over(here))
-    df = df.withColumn("_last", F.max(F.when(in_band, F.col("_n"))).over(here))
-    days = df.groupBy(*VENUE, "_day").agg(F.max("_n").alias("_total"), F.max("_last").alias("_day_last"))
-    earlier = Window.partitionBy(*VENUE).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    days = days.withColumn("_base", F.coalesce(F.sum("_total").over(earlier), F.lit(0)))
-    days = days.withColumn("_base_reset", F.max(F.col("_base") + F.col("_day_last")).over(earlier))
-    df = df.join(days.select(*VENUE, "_day", "_base", "_base_reset"), [*VENUE, "_day"])
-    df = df.withColumn("_seen", F.col("_base") + F.col("_n"))
-    df = df.withColumn("_reset", F.coalesce(F.col("_base") + F.col("_last"), F.col("_base_reset"), F.lit(0)))
-    return df.withColumn("streak", F.col("_seen") - F.col("_reset")).drop("_n", "_last", "_base", "_base_reset")
+    in_band = F.col("_row.evaluable") & ~F.col("_row.out_of_band")
+    rows = rows.withColumn("_total", F.sum(F.col("_row.evaluable").cast("long")).over(here))
+    rows = rows.withColumn("_last", F.max(F.when(in_band, F.col("_total"))).over(here))
+    earlier = Window.partitionBy(*VENUE).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    days = last_rows(rows, parts).withColumn("_base", F.coalesce(F.sum("_total").over(earlier), F.lit(0)))
+    days = days.withColumn("_base_reset", F.max(F.col("_base") + F.col("_last")).over(earlier))
+    rows = rows.join(days.select(*parts, "_base", "_base_reset"), parts)
+    seen = F.col("_base") + F.col("_total")
+    reset = F.coalesce(F.col("_base") + F.col("_last"), F.col("_base_reset"), F.lit(0))
+    own = [F.col(f"_row.{c}").alias(c) for c in df.columns]
+    return rows.select(*own, F.col("_bucket").alias("_day"), seen.alias("_seen"), reset.alias("_reset"), (seen - reset).alias("streak"))
 
 
 def evaluate(values: DataFrame, config: OutlierConfig = OutlierConfig(), bucket_seconds: int = 86_400) -> DataFrame:
     """Mark every venue row as active or not, with the transitions of its tick.
 
     ``values`` holds index_id, snapshot_ts, venue, value and whatever should be carried. It
-    has one row per venue and snapshot, tiny next to the quotes behind it. The running values
-    below read it more than once, from the one exchange that places it by tick.
+    has one row per venue and snapshot, tiny next to the quotes behind it. It is computed once:
+    whatever reads rows twice below reads one exchange twice.
     """
     df = streaks(values, config, bucket_seconds)
     at_limit = F.col("out_of_band") & (F.col("streak") >= config.streak)

@@ -40,14 +40,6 @@ def funding(elapsed: Column, config: PerpConfig = DEFAULTS) -> Column:
     return mul_div(wide(notional()) * F.lit(config.funding_bps_per_day), elapsed, F.lit(BPS * DAY))
 
 
-def open_positions(opened: DataFrame, *ended: DataFrame) -> DataFrame:
-    """Opened positions that were neither closed nor liquidated."""
-    out = opened
-    for e in ended:
-        out = out.join(e.select("id"), "id", "left_anti")
-    return out
-
-
 def latest_marks(marks: DataFrame) -> DataFrame:
     """Newest mark per index, one row each; the highest ``seq`` wins a tie."""
     by = packed_order(F.col("at"), F.col("seq"))
@@ -128,25 +120,50 @@ def open_ticket(requests: DataFrame, config: PerpConfig = DEFAULTS) -> DataFrame
     return df.withColumn("open_notional", wide(F.col("working_collateral") * wide(F.col("leverage"))))
 
 
-def positions_of(tickets: DataFrame) -> DataFrame:
-    """Positions of the accepted tickets: their collateral is net of the fee, their entry the mark."""
-    return tickets.filter(F.col("reject_reason").isNull()).select(
-        "id", "trader", "index_id", "is_long", whole(F.col("working_collateral")).alias("collateral"), "leverage", F.col("mark").alias("entry_price"), "opened_at"
-    )
+def lifecycles(tickets: DataFrame, attempts: DataFrame, marks: DataFrame, config: PerpConfig = DEFAULTS) -> DataFrame:
+    """One row per accepted ticket: what it opened with, its ``open_fee``, and ``ending``, NULL while it is open.
 
+    Collateral is net of the fee, the entry price is the mark. The first attempt (id, at, kind, ref)
+    that its mark allows ends the position: ``kind`` is close, liquidate or order; every attempt needs
+    a fresh mark and a position open by then, a liquidation also one below its maintenance, and an
+    attempt that fails changes nothing. ``ending`` holds at, kind, ref, and the mark, notional, pnl,
+    funding and equity at that time. Attempts travel with their position, so a position is computed
+    once; whatever is asked about open or ended positions is a filter of this table.
+    """
+    good = tickets.filter(F.col("reject_reason").isNull())
+    fields = ["trader", "index_id", "is_long", "collateral", "leverage", "entry_price", "opened_at", "open_fee"]
+    own = good.withColumns({"collateral": whole(F.col("working_collateral")), "entry_price": F.col("mark"), "open_fee": whole(F.col("open_fee"))}).select("id", *fields)
+    tries = attempts.groupBy("id").agg(F.collect_list(F.struct("at", "kind", "ref")).alias("_tries"))  # a few each
+    rows = own.join(tries, "id", "left").withColumn("_try", F.explode_outer("_tries")).drop("_tries")
+    rows = rows.withColumns({"kind": F.col("_try.kind"), "ref": F.col("_try.ref"), "at": F.coalesce("_try.at", "opened_at")}).drop("_try")
+    tried = valued(marks_as_of(rows, marks, "at"), F.col("at"), config)
+    allowed = F.col("usable") & (F.col("at") >= F.col("opened_at")) & ((F.col("kind") != "liquidate") | F.col("liquidatable"))
+    ending = F.struct("at", "kind", "ref", "mark", "notional", "pnl", "funding", "equity")
+    found = tried.groupBy("id").agg(F.first(F.struct(*fields)).alias("_own"), F.min(F.when(allowed, ending)).alias("ending"))
+    return found.select("id", "_own.*", "ending")
 
-def endings(positions: DataFrame, attempts: DataFrame, marks: DataFrame, config: PerpConfig = DEFAULTS) -> DataFrame:
-    """How each position ended: the first attempt (id, at, kind, ref) that its mark allowed.
 
-    ``kind`` is close, liquidate or order. Every attempt needs a fresh mark and a position that is
-    open by then, a liquidation also one below its maintenance. An attempt that fails changes
-    nothing. The row holds the position valued at the attempt's own mark and time.
-    """
-    tried = attempts.join(positions, "id").filter(F.col("at") >= F.col("opened_at"))
-    tried = valued(marks_as_of(tried, marks, "at"), F.col("at"), config).filter("usable")
-    tried = tried.filter((F.col("kind") != "liquidate") | F.col("liquidatable"))
-    order = Window.partitionBy("id").orderBy("at", "kind", "ref")  # a few attempts per position
-    return tried.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+def ended(lives: DataFrame) -> DataFrame:
+    """The positions that ended, with the columns of their endings."""
+    return lives.filter(F.col("ending").isNotNull()).select(*[c for c in lives.columns if c != "ending"], "ending.*")
+
+
+def open_positions(lives: DataFrame) -> DataFrame:
+    """The positions that were neither closed nor liquidated."""
+    return lives.filter(F.col("ending").isNull()).drop("ending")
+
+
+def book_changes(lives: DataFrame, config: PerpConfig = DEFAULTS) -> DataFrame:
+    """What opening and ending positions do to the vault: (at, seq, kind, assets, reserved)."""
+    size = wide(notional())
+    equity = F.col("ending.equity")
+    liquidated = F.col("ending.kind") == "liquidate"
+    kept_back = F.least(F.when(liquidated, mul_div(F.col("collateral"), F.lit(config.liq_reward_bps), F.lit(BPS))).otherwise(mul_div(size, F.lit(config.close_fee_bps), F.lit(BPS))), equity)
+    paid = F.when(liquidated, kept_back).otherwise(equity - kept_back)
+    row = lambda at, kind, assets, reserved: F.struct(at.alias("at"), F.col("id").alias("seq"), kind.alias("kind"), wide(assets).alias("assets"), wide(reserved).alias("reserved"))
+    opening = row(F.col("opened_at"), F.lit("open_fee"), F.col("open_fee"), size)
+    closing = row(F.col("ending.at"), F.when(liquidated, "liquidation").otherwise("close"), wide(F.col("collateral")) - paid, -size)
+    return lives.select(F.inline(F.filter(F.array(opening, F.when(F.col("ending").isNotNull(), closing)), lambda x: x.isNotNull())))
 
 
 def close_settlement(ended: DataFrame, config: PerpConfig = DEFAULTS) -> DataFrame:
@@ -211,13 +228,13 @@ def triggered_orders(orders: DataFrame, marks: DataFrame, levels: tuple[int, ...
     )
 
 
-def executions(triggered: DataFrame, positions: DataFrame, ended: DataFrame) -> DataFrame:
+def executions(triggered: DataFrame, lives: DataFrame) -> DataFrame:
     """What each triggered order does: open, close its position, or just be cleared.
 
     It closes a position of its own trader that is open when it fires, the one it ends included.
     """
-    life = positions.join(ended.select("id", F.col("at").alias("_end"), F.col("kind").alias("_by"), F.col("ref").alias("_ref")), "id", "left")
-    life = life.select(F.col("id").alias("position_id"), F.col("trader").alias("_owner"), "opened_at", "_end", "_by", "_ref")
+    end = lambda c: F.col(f"ending.{c}")
+    life = lives.select(F.col("id").alias("position_id"), F.col("trader").alias("_owner"), "opened_at", end("at").alias("_end"), end("kind").alias("_by"), end("ref").alias("_ref"))
     df = triggered.join(life, "position_id", "left")
     ends_it = (F.col("_by") == "order") & (F.col("_ref") == F.col("order_id"))
     live = (F.col("_owner") == F.col("trader")) & (F.col("opened_at") <= F.col("executed_at")) & (F.col("_end").isNull() | (F.col("executed_at") < F.col("_end")) | ends_it)
@@ -246,18 +263,13 @@ def book_stats(open_rows: DataFrame) -> DataFrame:
     )
 
 
-def vault_deltas(flows: DataFrame, tickets: DataFrame, closed: DataFrame, liquidated: DataFrame) -> DataFrame:
+def vault_deltas(flows: DataFrame, book: DataFrame) -> DataFrame:
     """Every change of the vault's assets in one table (at, seq, kind, delta); amounts stay wide."""
     lp = flows.select(
         "at", "seq", F.col("event_type").alias("kind"),
         wide(F.when(F.col("event_type") == "deposit", F.col("assets")).otherwise(-F.col("assets"))).alias("delta"),
     )
-    fees = tickets.filter(F.col("reject_reason").isNull()).select(
-        F.col("opened_at").alias("at"), F.col("id").alias("seq"), F.lit("open_fee").alias("kind"), wide(F.col("open_fee")).alias("delta")
-    )
-    ends = closed.select("at", F.col("id").alias("seq"), F.lit("close").alias("kind"), F.col("vault_delta").alias("delta"))
-    liq = liquidated.select("at", F.col("id").alias("seq"), F.lit("liquidation").alias("kind"), F.col("vault_gain").alias("delta"))
-    return lp.unionByName(fees).unionByName(ends).unionByName(liq)
+    return lp.unionByName(book.select("at", "seq", "kind", F.col("assets").alias("delta")))
 
 
 def vault_history(deltas: DataFrame, bucket_seconds: int = DAY) -> DataFrame:
@@ -303,26 +315,13 @@ def fee_report(tickets: DataFrame, settled: DataFrame) -> DataFrame:
     return opens.unionByName(ends).groupBy("kind").agg(F.count_if((F.col("kind") != "funding") | (F.col("amount") > 0)).alias("n"), F.sum("amount").alias("amount"))
 
 
-def reserve_reconciliation(opened: DataFrame, *ended: DataFrame) -> DataFrame:
-    """Check that notional reserved less notional released equals the notional still open."""
-    reserved = opened.agg(F.sum(notional()).alias("reserved"))
-    gone = None
-    for e in ended:
-        ids = e.select("id")
-        gone = ids if gone is None else gone.unionByName(ids)
-    released = opened.join(gone, "id", "left_semi").agg(F.coalesce(F.sum(notional()), wide(F.lit(0))).alias("released"))
-    still = open_positions(opened, *ended).agg(F.coalesce(F.sum(notional()), wide(F.lit(0))).alias("open_notional"))
-    parts = [
-        reserved.select(F.lit("reserved").alias("part"), F.col("reserved").alias("v")),
-        released.select(F.lit("released").alias("part"), F.col("released").alias("v")),
-        still.select(F.lit("open").alias("part"), F.col("open_notional").alias("v")),
-    ]
-    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
-
-    def pick(name: str) -> Column:
-        return F.max(F.when(F.col("part") == name, F.col("v")))
-
-    out = rows.agg(pick("reserved").alias("reserved"), pick("released").alias("released"), pick("open").alias("open_notional"))
+def reserve_reconciliation(lives: DataFrame, book: DataFrame) -> DataFrame:
+    """Check that the reserve which the book's changes leave equals the notional still open."""
+    total = lambda c, keep: F.coalesce(wide(F.sum(F.when(keep, c))), wide(F.lit(0)))
+    moved = book.agg(total(F.col("reserved"), F.col("reserved") > 0).alias("reserved"), total(-F.col("reserved"), F.col("reserved") < 0).alias("released"))
+    still = open_positions(lives).agg(total(notional(), F.lit(True)).alias("open_notional"))
+    # One row each.
+    out = moved.withColumn("_k", F.lit(1)).join(F.broadcast(still.withColumn("_k", F.lit(1))), "_k").drop("_k")
     return out.withColumn("balanced", F.col("reserved") - F.col("released") == F.col("open_notional"))
 
 

@@ -15,11 +15,12 @@ from varstrip.functions import fixedpoint as fx
 from varstrip.functions import pricing, scalar
 from varstrip.functions.instruments import GRAMMARS, decompose
 from varstrip.operators import benchmark as bm
-from varstrip.operators import chain, health, index, listed, outlier, perp, quality, rollup, strip, thinning
+from varstrip.operators import chain, health, index, listed, outlier, perp, quality, rollup, shares, strip, thinning
 from varstrip.params import INDEX_DIMENSION, OutlierConfig, ThinningConfig
 from varstrip.plans import backtest, frames, index_pipeline, inputs
 from varstrip.session import prepare
 from varstrip.sources import historical, messages, sinks, venues
+from varstrip.sources.shared import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -606,7 +607,7 @@ def blended_index(spark, sf):
 
 @query
 def published_rows(spark, sf):
-    p = index_pipeline.published_rows(inputs.chain_legs(spark, sf), inputs.index_dimension(spark))
+    p = index_pipeline.published_rows(inputs.chain_legs(spark, sf), inputs.index_dimension(spark), cadence=inputs.HOUR)
     return p.select("index_id", "snapshot_ts", "status", r("value").alias("value"))
 
 
@@ -926,22 +927,18 @@ def _tickets(spark, sf):
     return perp.open_ticket(perp.marks_as_of(inputs.requests(spark, sf), inputs.marks(spark, sf), "opened_at"))
 
 
-def _positions(spark, sf):
-    return perp.positions_of(_tickets(spark, sf))
-
-
 def _triggered(spark, sf):
     return perp.triggered_orders(inputs.orders(spark, sf), inputs.marks(spark, sf))
 
 
-def _endings(spark, sf):
+def _lives(spark, sf):
     fired = _triggered(spark, sf).filter(F.col("position_id").isNotNull())
     fired = fired.select(F.col("position_id").alias("id"), F.col("executed_at").alias("at"), F.lit("order").alias("kind"), F.col("order_id").alias("ref"))
-    return perp.endings(_positions(spark, sf), inputs.attempts(spark, sf).unionByName(fired), inputs.marks(spark, sf))
+    return perp.lifecycles(_tickets(spark, sf), inputs.attempts(spark, sf).unionByName(fired), inputs.marks(spark, sf))
 
 
 def _open(spark, sf):
-    return perp.open_positions(_positions(spark, sf), _endings(spark, sf))
+    return perp.open_positions(_lives(spark, sf))
 
 
 def _latest_marks(spark, sf):
@@ -987,18 +984,18 @@ def open_tickets(spark, sf):
 
 
 def _closed(spark, sf):
-    return perp.close_settlement(_endings(spark, sf))
+    return perp.close_settlement(perp.ended(_lives(spark, sf)))
 
 
 def _liquidated(spark, sf):
-    return perp.liquidation_settlement(_endings(spark, sf))
+    return perp.liquidation_settlement(perp.ended(_lives(spark, sf)))
 
 
 @query
 def position_endings(spark, sf):
     """Life of every position: opened, ended by whom, at which mark."""
-    e = _endings(spark, sf).select("id", "kind", "ref", F.col("at").alias("ended_at"), F.col("mark").alias("end_mark"))
-    return _positions(spark, sf).join(e, "id", "left").select("id", "entry_price", "collateral", "opened_at", "kind", "ref", "ended_at", "end_mark")
+    end = lambda c: F.col(f"ending.{c}")
+    return _lives(spark, sf).select("id", "entry_price", "collateral", "opened_at", end("kind").alias("kind"), end("ref").alias("ref"), end("at").alias("ended_at"), end("mark").alias("end_mark"))
 
 
 @query
@@ -1021,7 +1018,7 @@ def triggered_orders(spark, sf):
 
 @query
 def order_executions(spark, sf):
-    return perp.executions(_triggered(spark, sf), _positions(spark, sf), _endings(spark, sf)).select("order_id", "position_id", "action")
+    return perp.executions(_triggered(spark, sf), _lives(spark, sf)).select("order_id", "position_id", "action")
 
 
 @query
@@ -1043,7 +1040,14 @@ def book_stats(spark, sf):
 
 
 def _deltas(spark, sf):
-    return perp.vault_deltas(inputs.vault_flows(spark, sf), _tickets(spark, sf), _closed(spark, sf), _liquidated(spark, sf))
+    return perp.vault_deltas(inputs.vault_flows(spark, sf), perp.book_changes(_lives(spark, sf)))
+
+
+def _ledger(spark, sf):
+    """The share ledger and the book's changes behind it; a withdrawal's amount is in shares."""
+    flows = inputs.vault_flows(spark, sf).select("seq", "at", "holder", F.col("event_type").alias("kind"), F.col("assets").alias("amount"))
+    book = stored(perp.book_changes(_lives(spark, sf)), "book")
+    return shares.share_ledger(flows, book), book
 
 
 @query
@@ -1059,22 +1063,24 @@ def vault_totals(spark, sf):
 
 @query
 def vault_report(spark, sf):
-    """Vault assets, supply, reserve and the ratios a pool page shows."""
-    assets = longs(_deltas(spark, sf).agg(F.sum("delta").alias("assets")), "assets")
-    flows = inputs.vault_flows(spark, sf).agg(
-        F.sum(F.when(F.col("event_type") == "deposit", F.col("assets")).otherwise(-F.col("assets"))).alias("supply")
-    )
-    reserved = longs(perp.book_stats(_open(spark, sf)).select("reserved"), "reserved")
-    parts = [
-        assets.select(F.lit("assets").alias("part"), F.col("assets").alias("v")),
-        flows.select(F.lit("supply").alias("part"), F.col("supply").alias("v")),
-        reserved.select(F.lit("reserved").alias("part"), F.col("reserved").alias("v")),
-    ]
-    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    one = rows.agg(*[F.max(F.when(F.col("part") == p, F.col("v"))).alias(p) for p in ("assets", "supply", "reserved")])
+    """Vault assets, supply, reserve and the ratios a pool page shows, after every flow and change."""
+    ledger, book = _ledger(spark, sf)
+    one = longs(shares.vault_totals(ledger, book), "supply", "assets", "reserved")
     return one.withColumns(perp.vault_stats(F.col("assets"), F.col("supply"), F.col("reserved")))
 
 
+@query
+def share_ledger(spark, sf):
+    """Every deposit and withdrawal with its verdict, and the vault after it."""
+    amounts = ["requested", "shares", "assets", "balance", "supply", "total_assets", "reserved"]
+    return longs(shares.with_price(_ledger(spark, sf)[0]).select("seq", "at", "kind", "holder", "status", *amounts, r("share_price", 9).alias("share_price")), *amounts)
+
+
+@query
+def holder_shares(spark, sf):
+    return longs(shares.holder_shares(_ledger(spark, sf)[0]), "shares")
+
+
 @query
 def share_conversion(spark, sf):
     f = inputs.vault_flows(spark, sf)
@@ -1086,13 +1092,9 @@ def share_conversion(spark, sf):
 
 @query
 def lp_claims(spark, sf):
-    """Redeemable claims of all depositors against vault assets grown by fees and losses."""
-    deposits = inputs.vault_flows(spark, sf).filter(F.col("event_type") == "deposit")
-    balances = deposits.groupBy("holder").agg(F.sum("assets").alias("shares"))
-    totals = _deltas(spark, sf).filter("kind <> 'withdraw'").agg(
-        F.sum("delta").alias("assets"), F.sum(F.when(F.col("kind") == "deposit", F.col("delta"))).alias("supply")
-    )
-    return longs(perp.lp_claims(balances, totals), "claims", "assets", "supply")
+    """What all holders could redeem against the vault's assets, after every deposit and withdrawal."""
+    ledger, book = _ledger(spark, sf)
+    return longs(perp.lp_claims(shares.holder_shares(ledger), shares.vault_totals(ledger, book)), "claims", "assets", "supply")
 
 
 @query
@@ -1102,7 +1104,8 @@ def fee_report(spark, sf):
 
 @query
 def reserve_reconciliation(spark, sf):
-    return longs(perp.reserve_reconciliation(_positions(spark, sf), _endings(spark, sf)), "reserved", "released", "open_notional")
+    lives = _lives(spark, sf)
+    return longs(perp.reserve_reconciliation(lives, perp.book_changes(lives)), "reserved", "released", "open_notional")
 
 
 @query

@@ -68,9 +68,10 @@ def hashed_index(legs: DataFrame, dimension: DataFrame, config: OutlierConfig =
     )
 
 
-def published_rows(legs: DataFrame, dimension: DataFrame, config: OutlierConfig = OutlierConfig(), indices=INDEX_DIMENSION) -> DataFrame:
-    """A row for every expected (index, snapshot), with the reason where there is no value."""
-    venues = venue_indices(legs)
-    evaluated = evaluated_venues(venues, dimension, config)
+def published_rows(
+    legs: DataFrame, dimension: DataFrame, config: OutlierConfig = OutlierConfig(), indices=INDEX_DIMENSION, cadence: int = SNAPSHOT_SECONDS
+) -> DataFrame:
+    """A row for every index and slot of the cadence, with the reason where there is no value."""
+    evaluated = evaluated_venues(venue_indices(legs), dimension, config)
     blended = index.blend(evaluated.filter("active")).select("index_id", "snapshot_ts", "value", "confidence")
-    return index.publish_rows(index.snapshot_grid(venues, indices), blended)
+    return index.publish_rows(index.snapshot_grid(legs, indices, cadence), blended)

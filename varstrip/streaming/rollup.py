@@ -34,9 +34,9 @@ def read_bars(spark: SparkSession, path: str) -> DataFrame:
 
 
 def thin_stream(pairs: DataFrame, config: ThinningConfig = ThinningConfig()) -> DataFrame:
-    """Emitted polls (at, a, b, reason) of one pair, remembering the last emission.
+    """Emitted polls (at, a, b, reason) of every ``pair`` (one, without the column), remembering its last emission.
 
-    ``pairs`` must deliver polls in order of ``at``.
+    ``pairs`` must deliver each pair's polls in order of ``at``, quiet ones included.
     """
     bps, heartbeat = config.deviation_bps, config.heartbeat_seconds
 
@@ -55,7 +55,8 @@ def thin_stream(pairs: DataFrame, config: ThinningConfig = ThinningConfig()) ->
             state.update(last)
         yield pd.DataFrame(out, columns=["at", "a", "b", "reason"])
 
-    keyed = pairs.select("at", "a", "b").withColumn("pair", F.lit("pair"))
+    keyed = pairs if "pair" in pairs.columns else pairs.withColumn("pair", F.lit("pair"))
+    keyed = keyed.select("pair", "at", "a", "b")
     return keyed.groupBy("pair").applyInPandasWithState(
         advance, "at bigint, a bigint, b bigint, reason string", "at bigint, a bigint, b bigint", "append", GroupStateTimeout.NoTimeout
     )
