@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections import Counter, defaultdict
+from itertools import groupby, permutations
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -192,3 +194,109 @@ def op10(docs, n=35):
                 gone[i : i + n] = [True] * n
         out.append((doc_id, len(w), sum(gone), sha(" ".join(x for x, g in zip(w, gone, strict=True) if not g))))
     return out
+
+
+def _reached(sets, need):
+    """Number of the class of every set, two sets being linked from a similarity of ``need`` percent."""
+    parent = list(range(len(sets)))
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    where = defaultdict(list)
+    for i, s in enumerate(sets):
+        shared = Counter()
+        for g in s:
+            shared.update(where[g])
+            where[g].append(i)
+        for j, n in shared.items():
+            if 100 * n >= need * (len(s) + len(sets[j]) - n):
+                parent[root(i)] = root(j)
+    return [root(i) for i in range(len(sets))]
+
+
+def op11(docs, labels):
+    """``docs``: (doc_id, text, lang); ``labels``: (doc_id, quality, toxic). Every order is walked."""
+    marks = defaultdict(lambda: [0, 0])
+    for doc_id, quality, toxic in labels:
+        if doc_id is not None:
+            marks[doc_id] = [marks[doc_id][0] or int(quality == 1), marks[doc_id][1] or int(toxic == 1)]
+    ids = defaultdict(list)
+    for doc_id, text, _ in docs:
+        if doc_id is not None:
+            ids[text or ""].append(doc_id)
+    rows = defaultdict(list)
+    for doc_id, text, lang in docs:
+        t = text or ""
+        w = solid(t)
+        fails = {"A": len(w) < 200, "B": 100 * len(set(w)) < 50 * len(w), "C": 100 * len(re.findall("[A-Z]", t)) > 3 * len(t), "D": bool(re.search(r"[#$%&*|]", t)), "E": doc_id is not None and min(ids[t]) < doc_id}
+        rows[lang or ""].append(({f for f, x in fails.items() if x}, *(marks[doc_id] if doc_id is not None else (0, 0))))
+    out = []
+    for part, own in rows.items():
+        steps, shares = [], Counter()
+        for order in permutations("ABCDE"):
+            left = own
+            for k, f in enumerate(order, 1):
+                gone = [r for r in left if f in r[0]]
+                left = [r for r in left if f not in r[0]]
+                failing = sum(f in r[0] for r in own)
+                steps.append((part, "".join(order), k, f, len(left), len(gone), failing - len(gone), sum(r[0] == {f} for r in own), sum(r[1] for r in gone), sum(r[2] for r in gone)))
+                shares[f] += len(gone)
+        out += [(*s, shares[s[3]]) for s in steps]
+    return out
+
+
+def op12(rows, fan=16):
+    """``rows``: (doc_id, source, lang, n_chars, text)."""
+
+    def leaf(row):
+        return sha(b"".join(b"-" if v is None else str(len(str(v).encode())).encode() + b":" + str(v).encode() for v in row))
+
+    def tree(digests):
+        levels = [digests]
+        while len(levels[-1]) > 1:
+            last = levels[-1]
+            levels.append([sha("".join(last[i : i + fan])) for i in range(0, len(last), fan)])
+        return levels
+
+    def climb(levels, at, h):
+        siblings = []
+        for level in levels[:-1]:
+            low = at // fan * fan
+            run = level[low : low + fan]
+            siblings += [x for i, x in enumerate(run) if low + i != at]
+            run[at - low] = h
+            h, at = sha("".join(run)), at // fan
+        return siblings, h
+
+    def name(row):
+        return row[1] is not None, (row[1] or "").encode()
+
+    rows = sorted(rows, key=lambda r: (name(r), r[0] is not None, r[0] or 0, leaf(r)))
+    groups = [list(g) for _, g in groupby(rows, key=name)]
+    trees = [tree([leaf(r) for r in g]) for g in groups]
+    top = tree([t[-1][0] for t in trees])
+    out = []
+    for k, (g, t) in enumerate(zip(groups, trees, strict=True)):
+        for i, r in enumerate(g):
+            hit = r[0] is not None and r[4] is not None and zlib.crc32(str(r[0]).encode()) % 5 == 0
+            low, h = climb(t, i, leaf((*r[:4], r[4].translate(FOLD))) if hit else t[0][i])
+            high, h = climb(top, k, h)
+            out.append((r[0], t[0][i], t[-1][0], top[-1][0], sha("".join(low + high)), h, h == top[-1][0]))
+    return out
+
+
+def op13(docs):
+    """Ids must be distinct."""
+    sets = []
+    for _, text in docs:
+        w = solid((text or "").translate(FOLD))
+        sets.append({tuple(w[i : i + 2]) for i in range(max(1, len(w) - 1))} if w else set())
+    root = _reached(sets, 80)
+    low = {}
+    for i, (doc_id, _) in enumerate(docs):
+        low[root[i]] = min(low.get(root[i], doc_id), doc_id)
+    return [(d, len(sets[i]), low[root[i]], d == low[root[i]]) for i, (d, _) in enumerate(docs)]

@@ -1,9 +1,11 @@
 """Quality rules, PII and URL filters against their brute-force versions."""
 
+import math
 import random
+from collections import Counter
 
 import duckdb
-import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from brute import op5, op8, solid
@@ -28,31 +30,34 @@ def test_base_statistics(frame, odd, labels):
     assert rows(quality_rules.op8(frame(odd), labels), BASE) == sorted(op8(odd), key=str)
 
 
-def hashed(*words):
-    seed = 42
-    for w in words:
-        seed = xxhash.xxh64(w.encode(), seed=seed).intdigest()
-    return seed % 2**64
+def word_hash(word):
+    return xxhash.xxh64(word.lower().encode(), seed=42).intdigest()
+
+
+def buckets(text):
+    """The buckets of a text's words and pairs."""
+    h = [word_hash(w) for w in solid(text)]
+    mask = quality_rules.BUCKETS - 1
+    return [x >> 24 & mask for x in h] + [quality_rules.BUCKETS + ((a ^ b >> 20) & mask) for a, b in zip(h, h[1:])]
 
 
 def test_scores(frame, odd, labels):
     """The ratio of the two multinomials, by hand."""
-    bucket = lambda *w: int(np.int64(np.uint64(hashed(*w)))) % quality_rules.BUCKETS
+    docs = [(d, t) for d, t in odd if (t or "").isascii()]  # one script
     trusted = {r.doc_id for r in labels.collect() if r.quality == 1 and r.doc_id is not None}
-    raw, target, grams = {}, {}, {}
-    for doc_id, text in odd:
-        w = [x[-3:] for x in solid((text or "").translate(str.maketrans(quality_rules.LETTERS, quality_rules.SHAPES)))]
-        grams[doc_id] = [bucket(x) for x in w] + [bucket(a, b) for a, b in zip(w, w[1:])]
-        for g in grams[doc_id]:
-            raw[g] = raw.get(g, 0) + 1
-            target[g] = target.get(g, 0) + (doc_id in trusted)
-    n, m, prior = sum(raw.values()), sum(target.values()), quality_rules.PRIOR
-    weight = {g: np.log((target[g] + prior * raw[g] / n) / (m + prior) / (raw[g] / n)) for g in raw}
-    got = {r.doc_id: r for r in quality_rules.op8(frame(odd), labels).collect()}
-    for doc_id, gs in grams.items():
-        want = sum(weight[g] for g in gs) / len(gs) if gs else 0.0
+    raw, target = Counter(), Counter()
+    for doc_id, text in docs:
+        raw.update(buckets(text))
+        target.update(buckets(text) if doc_id in trusted else [])
+    n, m, s = sum(raw.values()), sum(target.values()), quality_rules.SUPPORT
+    weight = {g: round(max(-quality_rules.LIMIT, min(quality_rules.LIMIT, math.log((target[g] + s) / (round(raw[g] * m / n * 1e6) / 1e6 + s)))) * quality_rules.UNIT) for g in raw}
+    got = {r.doc_id: r for r in quality_rules.op8(frame(docs), labels).collect()}
+    for doc_id, text in docs:
+        gs = buckets(text)
+        want = sum(weight[g] for g in gs) / quality_rules.UNIT / len(gs) if gs else 0.0
         assert got[doc_id].score == pytest.approx(want, abs=1e-9)
         assert got[doc_id].kept == (not got[doc_id].base_failed and got[doc_id].score >= quality_rules.THRESHOLD)
+    assert len({r.score for r in got.values()}) > 10
 
 
 def test_verdicts_on_held_out_labels(spark, small):
@@ -75,17 +80,16 @@ def test_words_and_scripts(spark):
     got = quality_rules.op8(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, 1) for i in range(40)], "doc_id long, quality int")).collect()
     assert not any(r.base_failed for r in got)
     assert {r.doc_id for r in got if r.kept} == {d for d, _ in docs if not 100 <= d < 200}
-    assert all(abs(r.word_score) <= quality_rules.LIMIT for r in got)
+    assert all(abs(r.score) <= quality_rules.LIMIT for r in got)
     assert len(got) == len(docs)
 
 
-def test_unseen_weights_are_bounded(spark):
-    """A bucket without trusted rows weighs the same however large the target is."""
+def test_weights_are_bounded(spark):
+    """A bucket without trusted rows weighs the same however large the target is; a script that the target lacks weighs nothing."""
     for size in (10**4, 10**9):
-        counts = spark.createDataFrame([(-1, 1, 2 * size, size), (-1, 2, 10, 0), (0, 1, 2 * size, size), (0, 2, size, 0)], "script int, bucket int, raw long, target long")
-        weights = {r.bucket: r.weight for r in quality_rules.shape_weights(counts).collect()}
-        assert weights[2] >= -np.log(1 + quality_rules.UNSEEN) - 1e-9
-        assert min(r.weight for r in quality_rules.word_weights(counts)[0].collect()) == -quality_rules.LIMIT
+        counts = spark.createDataFrame([(0, 1, 2 * size, size), (0, 2, size, 0), (7, 3, size, 0)], "script int, bucket int, raw long, target long")
+        weights = {r.bucket: r.weight for r in quality_rules.weights(counts).collect()}
+        assert weights[2] == -quality_rules.LIMIT * quality_rules.UNIT and weights[3] == 0 < weights[1]
 
 
 def test_filtered_keeps_columns(frame, odd, labels):
@@ -162,7 +166,7 @@ def test_url_filter_matches_sql(spark, small):
     con.register("pages", pages.toPandas().astype({"page_id": "Int64"}).convert_dtypes())
     got = url_filter.op7(pages).toPandas()
     want = con.execute(url_filter.OP7_SQL).df()
-    key = lambda df: sorted(tuple("" if x is None or x != x else str(x)[:10] if "-" in str(x)[:5] else str(x).removesuffix(".0") for x in r) for r in df[sorted(got.columns)].astype(object).itertuples(index=False))
+    key = lambda df: sorted(tuple("" if pd.isna(x) else str(x)[:10] if "-" in str(x)[:5] else str(x).removesuffix(".0") for x in r) for r in df[sorted(got.columns)].astype(object).itertuples(index=False))
     assert key(got) == key(want)
     assert got.blocked.any() and (got.action == "allow").any()
 
@@ -170,8 +174,8 @@ def test_url_filter_matches_sql(spark, small):
 def test_entries_active_at_fetch_time(spark):
     day = lambda d: F.to_date(d)
     events = spark.createDataFrame([("example.com", "2024-02-01", "block"), ("ok.example.com", "2024-02-10", "allow"), ("example.com", "2024-03-05", "none"), ("example.com", "2024-04-01", "allow"), ("example.com", "2024-04-01", "block"), (None, "2024-01-01", "block")], "domain string, listed string, action string").withColumn("listed", day("listed"))
-    asked = [(1, "2024-01-31", False), (2, "2024-02-01", True), (3, "2024-03-04", True), (4, "2024-03-05", False), (5, "2024-04-01", True), (6, None, False)]
+    asked = [(1, "2024-01-31", False), (2, "2024-02-01", True), (3, "2024-03-04", True), (4, "2024-03-05", False), (5, "2024-04-01", True), (6, None, False), (7, "2026-09-30", True)]
     captures = spark.createDataFrame([(i, "http://www.example.com/", d) for i, d, _ in asked] + [(9, "http://a.ok.example.com", "2024-02-11")], "page_id long, url string, fetched string").withColumn("fetched", day("fetched"))
-    got = {r.page_id: (r.blocked, r.n_active) for r in url_filter.judged(captures, events, F.to_date(F.lit("2024-12-31"))).collect()}
+    got = {r.page_id: (r.blocked, r.n_active) for r in url_filter.judged(captures, events).collect()}
     assert {i: got[i][0] for i, *_ in asked} == {i: b for i, _, b in asked}
     assert got[9] == (False, 2)

@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varstrip.llm import text as tx
+from varstrip.llm.rows import named
 from varstrip.llm.store import written
 
 WINDOW = 10
@@ -272,10 +273,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
 
 def clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``documents`` without the contaminated ones, all columns kept."""
-    bad = contamination(documents, benchmark, window).filter("contaminated").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
-    keyed = documents.withColumn("_own", F.xxhash64(F.col("text").cast("string")))
-    same = keyed["doc_id"].eqNullSafe(bad["_id"]) & (keyed["_own"] == bad["_key"])
-    return keyed.join(bad, same, "left_anti").select(*documents.columns)
+    bad = contamination(documents, benchmark, window).filter("contaminated").select(F.struct("doc_id", "key").alias("_name")).distinct()
+    return named(documents).join(bad, "_name", "left_anti").select("_row.*")
 
 
 def op1(documents: DataFrame, benchmark: DataFrame) -> DataFrame:

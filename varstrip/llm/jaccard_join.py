@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 from varstrip.llm import anchors as an
 from varstrip.llm import text as tx
 from varstrip.llm.components import components, extended
+from varstrip.llm.rows import named, one_of_each_name
 from varstrip.llm.store import written
 
 SHINGLE, NEED = 5, 75
@@ -381,14 +382,10 @@ def linked(documents: DataFrame) -> DataFrame:
 def one_of_each(documents: DataFrame) -> DataFrame:
     """``documents`` with the first document of every component, all columns kept.
 
-    Rows with the same id and text are one document.
+    Rows with the same id and text are one document: the one whose other columns come first stays.
     """
-    rows = linked(documents).filter("doc_id <=> component_id AND key = component_key")
-    kept = rows.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
-    keyed = documents.withColumn("_own", F.xxhash64(F.col("text").cast("string")))
-    same = keyed["doc_id"].eqNullSafe(kept["_id"]) & (keyed["_own"] == kept["_key"])
-    out = keyed.join(kept, same, "left_semi").withColumn("_id", F.col("doc_id"))
-    return out.dropDuplicates(["_id", "_own"]).select(*documents.columns)
+    kept = linked(documents).filter("doc_id <=> component_id AND key = component_key").select(F.struct("doc_id", "key").alias("_name")).distinct()
+    return one_of_each_name(named(documents).join(kept, "_name", "left_semi"))
 
 
 def op4(documents: DataFrame) -> DataFrame:

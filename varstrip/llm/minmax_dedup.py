@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 
 from varstrip.llm import text as tx
 from varstrip.llm.components import components, extended
+from varstrip.llm.rows import named, one_of_each_name
 from varstrip.llm.store import written
 
 SHINGLE, NEED = 2, 80
@@ -265,11 +266,10 @@ def linked(documents: DataFrame) -> DataFrame:
 def deduplicated(documents: DataFrame) -> DataFrame:
     """``documents`` with the first document of every component, all columns kept.
 
-    Rows with the same id and text are one document: the one whose columns come first in order stays.
+    Rows with the same id and text are one document: the one whose other columns come first stays.
     """
     kept = linked(documents).filter("doc_id <=> component_id AND key = component_key").select(F.struct("doc_id", "key").alias("_name")).distinct()
-    packed = documents.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("key")).alias("_name"), F.struct(*documents.columns).alias("_row"))
-    return packed.join(kept, "_name", "left_semi").groupBy("_name").agg(F.min("_row").alias("_row")).select("_row.*")
+    return one_of_each_name(named(documents).join(kept, "_name", "left_semi"))
 
 
 def op13(documents: DataFrame) -> DataFrame:

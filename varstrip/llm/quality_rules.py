@@ -1,25 +1,22 @@
-"""Quality rules: text statistics and two n-gram log-likelihood ratios, all in built-in functions.
+"""Quality rules: text statistics and an n-gram log-likelihood ratio, all in built-in functions.
 
-Multinomials over hashed unigrams and bigrams are counted for every document (raw corpus) and for
-the trusted target. A document's score is the mean of its n-grams' weights; it is kept if both
-scores reach a fixed threshold and no base rule fails.
+Multinomials over hashed n-grams are counted for every document (raw corpus) and for the trusted
+target. The n-grams are whole lower-cased words as they stand, punctuation included, and pairs of
+neighbours; a word is hashed once, and words and pairs have ``BUCKETS`` buckets each. With e the
+count that the target would have at the raw rate, a bucket weighs log((count + SUPPORT) / (e +
+SUPPORT)), at most ``LIMIT`` either way: what the target lacks counts only as far as it was to be
+expected. The rate is that of the word's own script, so a script that the target lacks is no
+evidence. Weights are whole numbers, ``UNIT`` to one.
 
-- ``score``: shapes of word endings (``ENDING`` code points, letters of any script as a or A, digits
-  as 0, other characters as they are) in ``BUCKETS`` buckets, log p_target - log p_raw. It sees odd
-  punctuation and layout, and not words.
-- ``word_score``: whole lower-cased words, in a number of buckets that follows the number of
-  different n-grams up to ``FINEST``. With e the count that the target would have at the raw rate,
-  the weight is log((count + SUPPORT) / (e + SUPPORT)), at most ``LIMIT`` either way: what the target
-  lacks counts only as far as it was to be expected. The rate is that of the word's own script, so
-  a script that the target lacks is no evidence.
-
-The prior of ``score`` is at least 1/``UNSEEN`` of the target, so that no weight of it is below
--log(1 + UNSEEN) however large the target is.
+A document's score is the mean weight of its n-grams (length-normalised); it is kept if the score
+reaches a fixed threshold and no base rule fails. Sums are whole, so a score does not depend on any
+order.
 
 The target is fitted on labelled rows, at most ``TRUSTED`` of them (the lowest ids, a parameter);
-raw counts and scores cover all documents. What is broadcast is bounded by these constants.
-One pass over the texts counts, one scores; a document's n-grams are reduced in the task that reads
-it, so only one row per bucket and task is shuffled, however long or frequent anything is.
+raw counts and scores cover all documents. The number of buckets is the same at every size; what
+goes to the driver and into the plan is one number a bucket. One pass over the texts counts, one
+scores; n-grams are pre-aggregated in the task that reads them, so only one row per bucket, script
+and task is shuffled, however long or frequent anything is.
 
 Defined results: a NULL text has no words; a document without words scores 0; without trusted rows
 every score is 0; repeated rows, repeated and NULL ids are rows like any other; other columns are
@@ -28,9 +25,6 @@ ignored (``filtered`` keeps them).
 
 from __future__ import annotations
 
-import unicodedata
-from typing import NamedTuple
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,24 +33,10 @@ from varstrip.llm.store import written
 BLANKS = " \t\n\x0b\f\r"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
 SYMBOLS = "[#*$%&|<>]"
-# Letters of all scripts in the basic plane; those without case count as lower case.
-_LETTERS = [c for c in map(chr, range(0x10000)) if c.isalpha()]
-_UPPER = {c for c in _LETTERS if unicodedata.category(c) in ("Lu", "Lt")}
-LETTERS = "".join(_LETTERS) + "0123456789"
-SHAPES = "".join("A" if c in _UPPER else "a" for c in _LETTERS) + "0" * 10
-# The same by a short table for Latin and by expressions for what is left.
-_LATIN = [c for c in _LETTERS if c < "\u0250"]
-_SHORT = "".join(_LATIN) + "0123456789", "".join("A" if c in _UPPER else "a" for c in _LATIN) + "0" * 10
-BUCKETS = 1 << 16
-ENDING = 3
+BUCKETS = 1 << 17
 TRUSTED = 20_000
-# Pseudo-counts that pull a bucket's target share to its raw share.
-PRIOR = 200.0
-# The prior is not less than this part of the target, so unseen buckets weigh -log(1 + UNSEEN) at least.
-UNSEEN = 20.0
-# Words: buckets of the count, buckets of the weights at most, pseudo-count, largest weight.
-FINE, FINEST = 1 << 21, 1 << 18
 SUPPORT, LIMIT = 5.0, 3.0
+UNIT = 40  # so that a weight fits one signed byte
 THRESHOLD = -0.25
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
@@ -67,16 +47,18 @@ def word_array(text: Column) -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, BLANK_RUN, -1))
 
 
-def ending(word: Column) -> Column:
-    """Shape of a word's last code points: letters and digits as classes."""
-    short = F.translate(F.substring(word, -ENDING, ENDING), *_SHORT)
-    other = F.regexp_replace(F.regexp_replace(short, r"[\p{Lu}\p{Lt}]", "A"), r"[\p{L}&&[^A]]", "a")
-    return F.when(F.octet_length(short) == F.length(short), short).otherwise(other)
+def word_hash(word: Column) -> Column:
+    return F.xxhash64(F.lower(word))
+
+
+def word_bucket(h: Column) -> Column:
+    """Bucket of a word by its hash: 0 to BUCKETS - 1."""
+    return F.shiftrightunsigned(h, 24).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
 
-def bucket(*words: Column, buckets: int = BUCKETS) -> Column:
-    """Bucket of an n-gram."""
-    return F.pmod(F.xxhash64(*words), F.lit(buckets)).cast("int")
+def pair_bucket(first: Column, second: Column) -> Column:
+    """Bucket of a word and the next one by their hashes: BUCKETS to 2 * BUCKETS - 1."""
+    return (first.bitwiseXOR(F.shiftrightunsigned(second, 20)).bitwiseAND(F.lit(BUCKETS - 1)) + BUCKETS).cast("int")
 
 
 def script(word: Column) -> Column:
@@ -87,21 +69,13 @@ def script(word: Column) -> Column:
 
 
 def gram_rows(df: DataFrame, words: str) -> DataFrame:
-    """``df`` with one row per n-gram (every word, and every word with its next): its ``script``,
-    -1 for shapes, and its ``bucket``, of ``BUCKETS`` for shapes and of ``FINE`` for words."""
+    """``df`` with one row per n-gram (every word, and every word with its next): ``script`` and ``bucket``."""
     df = df.withColumn("_next", F.slice(F.col(words), F.lit(2), F.greatest(F.size(words), F.lit(1))))
     df = df.withColumn("_pair", F.explode(F.arrays_zip(words, "_next"))).drop(words, "_next")
-    first, second = F.col("_pair")[words], F.col("_pair")["_next"]
-    df = df.withColumns({"_f": F.lower(first), "_s": F.lower(second), "_fs": ending(first), "_ss": ending(second)}).drop("_pair")
-    both, shape, word = F.col("_s").isNotNull(), F.lit(-1), script(F.col("_f"))
-    df = df.withColumns({
-        "_one": F.struct(shape.alias("script"), bucket(F.col("_fs")).alias("bucket")),
-        "_two": F.when(both, F.struct(shape.alias("script"), bucket(F.col("_fs"), F.col("_ss")).alias("bucket"))),
-        "_three": F.struct(word.alias("script"), bucket(F.col("_f"), buckets=FINE).alias("bucket")),
-        "_four": F.when(both, F.struct(word.alias("script"), bucket(F.col("_f"), F.col("_s"), buckets=FINE).alias("bucket"))),
-    }).drop("_f", "_s", "_fs", "_ss")
-    df = df.withColumn("_gram", F.explode(F.array("_one", "_two", "_three", "_four"))).drop("_one", "_two", "_three", "_four")
-    return df.filter("_gram IS NOT NULL").withColumns({"script": F.col("_gram.script"), "bucket": F.col("_gram.bucket")}).drop("_gram")
+    df = df.withColumns({"script": script(F.col("_pair")[words]), "_h": word_hash(F.col("_pair")[words]), "_s": F.col("_pair._next")}).drop("_pair")
+    two = F.when(F.col("_s").isNotNull(), pair_bucket(F.col("_h"), word_hash(F.col("_s"))))
+    df = df.withColumn("bucket", F.explode(F.array(word_bucket(F.col("_h")), two))).drop("_h", "_s")
+    return df.filter("bucket IS NOT NULL")
 
 
 def gram_counts(documents: DataFrame, labels: DataFrame, trusted: int = TRUSTED) -> DataFrame:
@@ -116,31 +90,15 @@ def gram_counts(documents: DataFrame, labels: DataFrame, trusted: int = TRUSTED)
     return written(rows.groupBy("script", "bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("_trusted").alias("target")), "grams")
 
 
-def shape_weights(counts: DataFrame, prior: float = PRIOR) -> DataFrame:
-    """Weight of every bucket of shapes: log of its target share over its raw share."""
-    counts = counts.filter("script = -1")
-    totals = counts.agg(F.sum("raw").alias("all_raw"), F.sum("target").alias("all_target"))
-    share = F.col("raw") / F.col("all_raw")
-    pull = F.greatest(F.lit(prior), F.col("all_target") / UNSEEN)
-    ratio = (F.col("target") + pull * share) / (F.col("all_target") + pull) / share
-    # The totals are one row.
-    joined = counts.withColumn("_k", F.lit(1)).join(F.broadcast(totals.withColumn("_k", F.lit(1))), "_k")
-    return joined.select("bucket", F.when(F.col("all_target") > 0, F.log(ratio)).otherwise(0.0).alias("weight"))
-
-
-def word_weights(counts: DataFrame) -> tuple[DataFrame, int]:
-    """Weight of every bucket of words, and the number of buckets they are numbered by."""
-    counts = counts.filter("script >= 0")
-    buckets, found = BUCKETS, counts.count()
-    while buckets < FINEST and buckets < 2 * found:
-        buckets *= 2  # FINE is a multiple, so the buckets of the count fold into these
+def weights(counts: DataFrame) -> DataFrame:
+    """(bucket, weight) of every bucket that occurs: the weight in whole ``1 / UNIT``."""
     # One row per script.
     totals = F.broadcast(counts.groupBy("script").agg(F.sum("raw").alias("all_raw"), F.sum("target").alias("all_target")))
-    expected = F.col("raw") * F.col("all_target") / F.col("all_raw")
-    folded = counts.join(totals, "script").groupBy(F.pmod("bucket", F.lit(buckets)).alias("bucket")).agg(F.sum("target").alias("target"), F.sum(expected).alias("expected"))
+    # In whole millionths, so that the sum does not depend on the order of the scripts.
+    expected = F.round(F.col("raw") * F.col("all_target") / F.col("all_raw") * 1e6).cast("long")
+    own = counts.join(totals, "script").groupBy("bucket").agg(F.sum("target").alias("target"), (F.sum(expected) / 1e6).alias("expected"))
     weight = F.log((F.col("target") + SUPPORT) / (F.col("expected") + SUPPORT))
-    # Four decimals, as the weights become text in the plan and the driver holds several copies of it.
-    return folded.select("bucket", F.round(F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), weight)), 4).alias("weight")), buckets
+    return own.select("bucket", F.round(F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), weight)) * UNIT).cast("int").alias("weight"))
 
 
 def statistics(df: DataFrame) -> DataFrame:
@@ -168,58 +126,36 @@ def statistics(df: DataFrame) -> DataFrame:
 STATISTICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def weight_array(weights: DataFrame, buckets: int = BUCKETS) -> Column:
-    """The fitted weights as one constant array: ``buckets`` numbers."""
-    by_bucket = dict(weights.select("bucket", "weight").collect())
-    return F.split(F.lit(",".join(repr(by_bucket.get(b, 0.0)) for b in range(buckets))), ",").cast("array<double>")
-
-
-class Model(NamedTuple):
-    """Both arrays of weights, ready for ``judged``."""
-
-    shapes: Column
-    words: Column
-    word_buckets: int
+def fit(documents: DataFrame, labels: DataFrame, trusted: int = TRUSTED) -> Column:
+    """The fitted weights as one constant array, a number for each bucket."""
+    by_bucket = dict(weights(gram_counts(documents, labels, trusted)).select("bucket", "weight").collect())
+    return F.split(F.lit(",".join(str(by_bucket.get(b, 0)) for b in range(2 * BUCKETS))), ",").cast("array<int>")
 
 
-def fit(documents: DataFrame, labels: DataFrame, trusted: int = TRUSTED, prior: float = PRIOR) -> Model:
-    counts = gram_counts(documents, labels, trusted)
-    words, buckets = word_weights(counts)
-    return Model(weight_array(shape_weights(counts, prior)), weight_array(words, buckets), buckets)
+def _score(words: str, model: Column) -> Column:
+    """Mean weight of all words and pairs."""
+    hashes = F.transform(words, word_hash)
+    after = F.slice(hashes, F.lit(2), F.greatest(F.size(words), F.lit(1)))
+    gram = lambda a, b: F.get(model, word_bucket(a)) + F.coalesce(F.get(model, pair_bucket(a, b)), F.lit(0))
+    total = F.aggregate(F.zip_with(hashes, after, gram), F.lit(0).cast("long"), lambda s, x: s + x)
+    return F.when(F.col("n_words") > 0, total / (UNIT * (2 * F.col("n_words") - 1))).otherwise(F.lit(0.0))
 
 
-def _mean_weight(grams: str, weights: Column, buckets: int) -> Column:
-    """Sum of the weights of all unigrams and bigrams over their number, in the order of the words."""
-
-    def gram_weight(gram, i):
-        after = F.get(grams, i + 1)
-        pair = F.when(after.isNotNull(), F.get(weights, bucket(gram, after, buckets=buckets)))
-        return F.get(weights, bucket(gram, buckets=buckets)) + F.coalesce(pair, F.lit(0.0))
-
-    total = F.aggregate(F.transform(grams, gram_weight), F.lit(0.0), lambda a, x: a + x)
-    return F.when(F.col("n_words") > 0, total / (2 * F.col("n_words") - 1)).otherwise(0.0)
-
-
-def judged(documents: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """``documents`` with the statistics, score, word_score, base_failed and kept of every row.
-
-    The n-grams of a text are summed in the order of its words, so a score is the same wherever
-    and however often it is computed.
-    """
-    df = statistics(documents).withColumns({"_shapes": F.transform("_words", ending), "_lower": F.transform("_words", F.lower)})
+def judged(documents: DataFrame, model: Column, threshold: float = THRESHOLD) -> DataFrame:
+    """``documents`` with the statistics, score, base_failed and kept of every row."""
+    df = statistics(documents)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    scores = {"score": _mean_weight("_shapes", model.shapes, BUCKETS), "word_score": _mean_weight("_lower", model.words, model.word_buckets)}
-    df = df.withColumns({**scores, "base_failed": failed}).drop("_words", "_shapes", "_lower")
-    df = df.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold) & (F.col("word_score") >= threshold))
+    df = df.withColumns({"score": _score("_words", model), "base_failed": failed}).drop("_words")
+    df = df.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
     # A generator keeps later filters above: pushed down, they would repeat the nested expressions
     # of every step below, and planning would take exponential time.
     return df.select(F.inline(F.array(F.struct(*df.columns))))
 
 
 def op8(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The contract's columns, with the scores."""
+    """The contract's columns, with the score."""
     model = fit(documents, labels)
-    return judged(documents.select("doc_id", "text"), model).select("doc_id", *STATISTICS, "base_failed", "kept", "score", "word_score")
+    return judged(documents.select("doc_id", "text"), model).select("doc_id", *STATISTICS, "base_failed", "kept", "score")
 
 
 def filtered(documents: DataFrame, labels: DataFrame) -> DataFrame:

@@ -42,6 +42,8 @@ KEYWORDS = {
     "password": 0, "passwd": 0, "secret": 0, "token": 0, "apikey": 0, "api_key": 0, "akia": 1,
     "ghp_": 3, "gho_": 3, "ghu_": 3, "ghs_": 3, "ghr_": 3, "npm_": 4, "eyj": 5, "-----begin ": 6,
 }
+# A token's first part; whether the rest follows does not depend on where in it the token starts.
+JWT_RUN = re.compile(rb"[A-Za-z0-9_-]+")
 BASE62 = b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 6, 20, 24
 
@@ -121,6 +123,8 @@ def scan_bytes(data: bytes) -> list[tuple[int, int, int]]:
             free[kind] = m.end()
             if holds(m):
                 found.append((start, kind, m.end()))
+        elif expression is JWT:
+            free[kind] = JWT_RUN.match(data, start).end()
     classes = data.translate(_HEX_CLASS)
     start = classes.find(_HEX_RUN)
     while start >= 0:

@@ -45,16 +45,18 @@ def intervals(events: DataFrame) -> DataFrame:
     return out.select("domain", F.col("listed").alias("since"), "until", F.when(F.col("_rank") == 2, "block").otherwise("allow").alias("action"))
 
 
-def judged(captures: DataFrame, events: DataFrame, last_day: Column) -> DataFrame:
+def judged(captures: DataFrame, events: DataFrame) -> DataFrame:
     """One row per capture (page_id, url, fetched) with its verdict.
 
     Adds host, n_active (domains with an active entry), entry (the most specific of them), since,
-    action and blocked. ``last_day`` bounds open intervals; no capture may be later.
+    action and blocked. Open intervals last until the day of the last capture.
     """
     month = lambda d: F.trunc(d, "month")
-    end = F.least(last_day, F.coalesce(F.date_sub("until", 1), last_day))
-    cut = intervals(events).filter(F.col("since") <= last_day)
-    cut = cut.withColumn("_month", F.explode(F.sequence(month(F.col("since")), month(end), F.expr("interval 1 month"))))
+    # One row.
+    last = F.broadcast(captures.agg(F.max("fetched").alias("_last")).withColumn("_k", F.lit(1)))
+    cut = intervals(events).withColumn("_k", F.lit(1)).join(last, "_k").filter("since <= _last").drop("_k")
+    end = F.least("_last", F.coalesce(F.date_sub("until", 1), F.col("_last")))
+    cut = cut.withColumn("_month", F.explode(F.sequence(month(F.col("since")), month(end), F.expr("interval 1 month")))).drop("_last")
     rows = captures.select("page_id", "fetched", host_of(F.col("url")).alias("host")).withColumn("_row", F.monotonically_increasing_id())
     asked = rows.withColumns({"domain": F.explode_outer(domains(F.col("host"))), "_month": month(F.col("fetched"))})
     active = (F.col("fetched") >= F.col("since")) & (F.col("until").isNull() | (F.col("fetched") < F.col("until")))
@@ -94,7 +96,7 @@ def op7(pages: DataFrame) -> DataFrame:
         event(F.date_add(day(4, 240), 240), F.when(_number(F.col("domain"), 5) % 2 == 0, "none").otherwise("block")),
     )
     listed = names.select("domain", F.inline(events))
-    return judged(captures, listed, F.date_add(first, DAYS - 1))
+    return judged(captures, listed)
 
 
 OP7_SQL = """
