@@ -7,7 +7,7 @@ two are negatively correlated, the share of agreeing values is an unbiased estim
 than that of as many independent minima. ``PERMUTATIONS`` evaluations give twice as many values.
 
 * *Signatures.* One pass over the texts, in numpy, per batch: every distinct set of a batch is one
-  stored row (set, values, bands, documents). Equal sets are one node from the first row on.
+  stored row (digests, values, bands, documents). Equal sets are one node from the first row on.
 * *Bands.* Four values each, two minima and two maxima of four different permutations, 32 bands: a
   pair at the threshold is missed by all of them with a probability of 5e-8.
 * *Candidates.* Buckets are never expanded into pairs at first: every node is compared with the first
@@ -16,9 +16,10 @@ than that of as many independent minima. ``PERMUTATIONS`` evaluations give twice
   others for a bucket with many, round by round; once no round finds a link, all pairs that are left.
 * *Estimate.* Pairs whose signatures agree in less than ``AGREE`` of the values go: at the threshold
   that is 5.6 standard deviations away (1e-8).
-* *Confirmation.* What is left is compared on the full sets. Pairs are sorted by their first node in
-  blocks of at most ``MEMBERS``, and the sets stream through; components are stars that never leave
-  the cluster.
+* *Confirmation.* What is left is compared on the full sets. They are made in a second pass, for one
+  document of each node that shares a bucket: a bitmap of ``FILTER`` bits keeps most other texts out
+  of the shuffle. Pairs are sorted by their first node in blocks of at most ``MEMBERS``, and the sets
+  stream through; components are stars that never leave the cluster.
 
 Every join is an equi-join; a hot bucket or pivot is one side with at most one row per key against
 another that Spark may split. Sets are 48-bit hashes of the shingles, compared in full.
@@ -51,6 +52,7 @@ AGREE = 77  # of 2 * PERMUTATIONS values
 MEMBERS = 256
 FEW = 256  # cross-component pairs of a bucket that are compared at once
 SET_BYTES = 6
+FILTER = 1 << 22
 _random = np.random.default_rng(13)
 FACTORS = _random.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SHIFTS = _random.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2)
@@ -107,9 +109,9 @@ def restored(data: bytes) -> np.ndarray:
 
 _DOC = pa.struct([("doc_id", pa.int64()), ("key", pa.int64())])
 _SIGNED = pa.schema(
-    [("node", pa.int64()), ("one", pa.int64()), ("two", pa.int64()), ("n", pa.int32()), ("values", pa.binary()), ("buckets", pa.list_(pa.int64())), ("shingles", pa.binary()), ("docs", pa.list_(_DOC))]
+    [("node", pa.int64()), ("one", pa.int64()), ("two", pa.int64()), ("n", pa.int32()), ("values", pa.binary()), ("buckets", pa.list_(pa.int64())), ("docs", pa.list_(_DOC))]
 )
-SIGNED = "node long, one long, two long, n int, values binary, buckets array<long>, shingles binary, docs array<struct<doc_id:long,key:long>>"
+SIGNED = "node long, one long, two long, n int, values binary, buckets array<long>, docs array<struct<doc_id:long,key:long>>"
 
 
 def _signed_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +136,7 @@ def _signed_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             rows = []
             for own, docs in zip(sets, found.values(), strict=True):
                 one, two = (int(np.bitwise_xor.reduce(tx.mixed(own + np.uint64(c))).astype(np.int64)) if len(own) else 0 for c in (1, 2))
-                signed = (next(marks).tobytes(), next(buckets), short(own)) if len(own) else (None, None, None)
+                signed = (next(marks).tobytes(), next(buckets)) if len(own) else (None, None)
                 rows.append((number, one, two, len(own), *signed, docs))
                 number += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SIGNED, strict=True)], schema=_SIGNED)
@@ -146,6 +148,40 @@ def signed(documents: DataFrame) -> DataFrame:
     return written(rows.mapInArrow(_signed_batches, SIGNED), "signed")
 
 
+def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The full sets of nodes, given one text of each."""
+    for batch in batches:
+        nodes = batch.column("node")
+        for part in tx.slices(batch.column("text")):
+            sets = [short(own) for own in shingle_sets(part.data, part.offsets)]
+            yield pa.RecordBatch.from_arrays([nodes.slice(part.rows.start, len(sets)), pa.array(sets, pa.binary())], names=["node", "shingles"])
+
+
+def bitmap(keys: DataFrame, bits: int = FILTER) -> np.ndarray:
+    """Which of ``bits`` places the column ``key`` takes."""
+    place = keys.select((F.pmod("key", F.lit(bits)) + 1).alias("at")).select((F.bitmap_bucket_number("at") - 1).alias("bucket"), F.bitmap_bit_position("at").alias("at"))
+    out = np.zeros((-(-bits // 32768), 4096), np.uint8)
+    for r in place.groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits")).collect():
+        out[r.bucket] = np.frombuffer(r.bits, np.uint8)
+    return out.ravel()
+
+
+def full_sets(documents: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Stored (node, shingles) of ``nodes`` (node, _name: doc_id and key of one of its documents)."""
+    taken = documents.sparkSession.sparkContext.broadcast(bitmap(nodes.select("_name.key")))
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("key").to_numpy() % FILTER
+            yield batch.filter(pa.array(taken.value[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1))
+
+    rows = named(documents).select(F.col("_name.doc_id"), F.col("_name.key"), F.col("_row.text").cast("string").alias("text"))
+    rows = rows.mapInArrow(asked, "doc_id long, key long, text string").select(F.struct("doc_id", "key").alias("_name"), "text")
+    # Rows of the same id and text are one text: the join's placement serves the grouping too.
+    texts = rows.join(nodes.hint("merge"), "_name").groupBy("_name").agg(F.first("node").alias("node"), F.first("text").alias("text"))
+    return written(texts.select("node", "text").mapInArrow(_set_batches, "node long, shingles binary"), "sets")
+
+
 def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose signatures agree in enough values."""
     for batch in batches:
@@ -172,8 +208,8 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["a", "b"])
 
 
-def confirmed(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Links (a, b) among distinct pairs (a, b) of nodes, on the full sets; ``rows`` are the signed nodes."""
+def confirmed(rows: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Links (a, b) among distinct pairs (a, b) of nodes, on their full ``sets``; ``rows`` have the signatures."""
     side = lambda x: rows.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("values").alias(f"v{x}"))
     both = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
     both = both.filter("100 * least(na, nb) >= %d * greatest(na, nb)" % NEED).select("a", "b", "va", "vb")
@@ -182,8 +218,8 @@ def confirmed(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     salted = near.join(blocks, "a").select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("salt"), "b")
     asked = salted.select("a", "salt", "b", F.col("b").alias("node"))
     asked = asked.unionByName(asked.select("a", "salt", F.lit(None).cast("long").alias("b"), F.col("a").alias("node")).distinct())
-    sets = asked.join(rows.select("node", "shingles").hint("merge"), "node").select("a", "salt", "b", "shingles")
-    return sets.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInArrow(_confirmed, "a long, b long")
+    met = asked.join(sets.hint("merge"), "node").select("a", "salt", "b", "shingles")
+    return met.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInArrow(_confirmed, "a long, b long")
 
 
 def _pairs(a: str, b: str):
@@ -207,18 +243,20 @@ def _across(members: DataFrame) -> DataFrame:
     return both.select("a", "b").distinct()
 
 
-def linked_nodes(rows: DataFrame) -> DataFrame:
+def linked_nodes(documents: DataFrame, rows: DataFrame) -> DataFrame:
     """(node, component) of all signed nodes that have a link."""
-    reps = rows.filter("n > 0").groupBy("one", "two", "n").agg(F.min("node").alias("node")).select("node")
-    reps = written(rows.select("node", "n", "values", "buckets", "shingles").join(reps, "node", "left_semi"), "nodes")
+    ids = rows.filter("n > 0").groupBy("one", "two", "n").agg(F.min("node").alias("node")).select("node")
+    reps = written(rows.select("node", "n", "values", "buckets", F.get("docs", F.lit(0)).alias("_name")).join(ids, "node", "left_semi"), "nodes")
     banded = reps.select("node", F.explode("buckets").alias("bucket"))
     firsts = banded.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot < last")
     lists = written(banded.join(firsts.select("bucket", "pivot"), "bucket"), "lists")
+    reps = written(reps.select("node", "n", "values", "_name").join(lists.select("node").distinct(), "node", "left_semi"), "candidates")
+    sets = full_sets(documents, reps.select("node", "_name"))
     # First round: the first node of the buckets that a node shares most of its bands with.
     shared = lists.filter("node <> pivot").groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("c"))
     best = shared.groupBy("node").agg(F.max(F.struct("c", "pivot")).alias("x"))
     tested = written(best.select(F.col("x.pivot").alias("a"), F.col("node").alias("b")), "pairs")
-    known = written(components(confirmed(reps, tested)), "components")
+    known = written(components(confirmed(reps, sets, tested)), "components")
     lists, every = lists.select("bucket", "node"), False
     while True:
         named, opened = _open_buckets(lists, known)
@@ -230,7 +268,7 @@ def linked_nodes(rows: DataFrame) -> DataFrame:
         pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         found = False
         if not pairs.isEmpty():
-            new = written(confirmed(reps, pairs), "links")
+            new = written(confirmed(reps, sets, pairs), "links")
             found = not new.isEmpty()
             if found:
                 known = written(extended(known, new), "components")
@@ -247,7 +285,7 @@ def linked(documents: DataFrame) -> DataFrame:
     A component's first document, which names it, is the one with the smallest (doc_id, key).
     """
     rows = signed(documents)
-    known = linked_nodes(rows)
+    known = linked_nodes(documents, rows)
     first = lambda d, k: F.min(F.struct(F.col(d).isNull().alias("none"), F.col(d).alias("doc_id"), F.col(k).alias("key")))
     # Per set, then per component: a third of the rows in one component are one row per set by then.
     own = rows.select("one", "two", "n", "node", F.inline("docs")).filter("n > 0")
