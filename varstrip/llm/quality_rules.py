@@ -1,15 +1,16 @@
 """Quality rules: text statistics and an n-gram log-likelihood ratio, all in built-in functions.
 
 Multinomials over hashed n-grams are counted for every document (raw corpus) and for the trusted
-target. The n-grams are whole lower-cased words as they stand, punctuation included, and pairs of
-neighbours; a word is hashed once, and words and pairs have ``BUCKETS`` buckets each. With e the
+target. The n-grams are whole lower-cased words as they stand, punctuation included, pairs of
+neighbours, and pairs of their shapes, in which a run of letters and digits is one ``a``. Words and
+pairs have ``BUCKETS`` buckets each, shapes ``SHAPES``. With e the
 count that the target would have at the raw rate, a bucket weighs log((count + SUPPORT) / (e +
 SUPPORT)), at most ``LIMIT`` either way: what the target lacks counts only as far as it was to be
 expected. The rate is that of the word's own script, so a script that the target lacks is no
 evidence. Weights are whole numbers, ``UNIT`` to one.
 
-A document's score is the mean weight of its n-grams (length-normalised); it is kept if the score
-reaches a fixed threshold and no base rule fails. Sums are whole, so a score does not depend on any
+A document's score is the weight of its n-grams over the number of its words; it is kept if the
+score reaches a fixed threshold and no base rule fails. Sums are whole, so a score does not depend on any
 order.
 
 The target is fitted on labelled rows, at most ``TRUSTED`` of them (the lowest ids, a parameter);
@@ -33,11 +34,12 @@ from varstrip.llm.store import written
 BLANKS = " \t\n\x0b\f\r"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
 SYMBOLS = "[#*$%&|<>]"
-BUCKETS = 1 << 17
+BUCKETS, SHAPES = 1 << 17, 1 << 14
+ALNUM_RUN = r"[\p{L}\p{M}\p{N}]+"
 TRUSTED = 20_000
 SUPPORT, LIMIT = 5.0, 3.0
 UNIT = 40  # so that a weight fits one signed byte
-THRESHOLD = -0.25
+THRESHOLD = -0.5
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
 
@@ -61,6 +63,21 @@ def pair_bucket(first: Column, second: Column) -> Column:
     return (first.bitwiseXOR(F.shiftrightunsigned(second, 20)).bitwiseAND(F.lit(BUCKETS - 1)) + BUCKETS).cast("int")
 
 
+def shape_bucket(first: Column, second: Column) -> Column:
+    """Bucket of two neighbouring shapes by their hashes: 2 * BUCKETS and on."""
+    return (first.bitwiseXOR(F.shiftrightunsigned(second, 20)).bitwiseAND(F.lit(SHAPES - 1)) + 2 * BUCKETS).cast("int")
+
+
+def shape_array(text: Column) -> Column:
+    """Shapes of the words, in order."""
+    return word_array(F.regexp_replace(text, ALNUM_RUN, "a"))
+
+
+def following(items: str | Column) -> Column:
+    """An array without its first item."""
+    return F.slice(items, F.lit(2), F.greatest(F.size(items), F.lit(1)))
+
+
 def script(word: Column) -> Column:
     """Number of a word's script by the block of its middle code point; Latin and all ASCII are 0."""
     point = F.ascii(F.substring(word, ((F.length(word) + 1) / 2).cast("int"), F.lit(1)))
@@ -68,14 +85,16 @@ def script(word: Column) -> Column:
     return F.when(F.octet_length(word) == F.length(word), 0).otherwise(block).cast("int")
 
 
-def gram_rows(df: DataFrame, words: str) -> DataFrame:
-    """``df`` with one row per n-gram (every word, and every word with its next): ``script`` and ``bucket``."""
-    df = df.withColumn("_next", F.slice(F.col(words), F.lit(2), F.greatest(F.size(words), F.lit(1))))
-    df = df.withColumn("_pair", F.explode(F.arrays_zip(words, "_next"))).drop(words, "_next")
-    df = df.withColumns({"script": script(F.col("_pair")[words]), "_h": word_hash(F.col("_pair")[words]), "_s": F.col("_pair._next")}).drop("_pair")
-    two = F.when(F.col("_s").isNotNull(), pair_bucket(F.col("_h"), word_hash(F.col("_s"))))
-    df = df.withColumn("bucket", F.explode(F.array(word_bucket(F.col("_h")), two))).drop("_h", "_s")
-    return df.filter("bucket IS NOT NULL")
+def gram_rows(df: DataFrame, words: str, shapes: str) -> DataFrame:
+    """``df`` with one row per n-gram, by two columns ``script`` and ``bucket``."""
+    df = df.withColumns({"_next": following(words), "_then": following(shapes)})
+    df = df.withColumn("_at", F.explode(F.arrays_zip(words, "_next", shapes, "_then"))).drop(words, "_next", shapes, "_then")
+    word, shape = F.col("_at")[words], F.col("_at")[shapes]
+    df = df.withColumns({"script": script(word), "_h": word_hash(word), "_s": F.xxhash64(shape), "_next": F.col("_at._next"), "_then": F.col("_at._then")}).drop("_at")
+    more = F.col("_next").isNotNull()
+    pairs = [pair_bucket(F.col("_h"), word_hash(F.col("_next"))), shape_bucket(F.col("_s"), F.xxhash64("_then"))]
+    df = df.withColumn("bucket", F.explode(F.array(word_bucket(F.col("_h")), *[F.when(more, x) for x in pairs])))
+    return df.drop("_h", "_s", "_next", "_then").filter("bucket IS NOT NULL")
 
 
 def gram_counts(documents: DataFrame, labels: DataFrame, trusted: int = TRUSTED) -> DataFrame:
@@ -85,8 +104,8 @@ def gram_counts(documents: DataFrame, labels: DataFrame, trusted: int = TRUSTED)
     """
     ids = labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy("doc_id").limit(trusted)
     ids = F.broadcast(ids.withColumn("_trusted", F.lit(1)))
-    docs = documents.select("doc_id", word_array(F.col("text")).alias("_words")).join(ids, "doc_id", "left")
-    rows = gram_rows(docs.select("_trusted", "_words"), "_words")
+    docs = documents.select("doc_id", word_array(F.col("text")).alias("_words"), shape_array(F.col("text")).alias("_shapes")).join(ids, "doc_id", "left")
+    rows = gram_rows(docs.select("_trusted", "_words", "_shapes"), "_words", "_shapes")
     return written(rows.groupBy("script", "bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("_trusted").alias("target")), "grams")
 
 
@@ -129,23 +148,24 @@ STATISTICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_wor
 def fit(documents: DataFrame, labels: DataFrame, trusted: int = TRUSTED) -> Column:
     """The fitted weights as one constant array, a number for each bucket."""
     by_bucket = dict(weights(gram_counts(documents, labels, trusted)).select("bucket", "weight").collect())
-    return F.split(F.lit(",".join(str(by_bucket.get(b, 0)) for b in range(2 * BUCKETS))), ",").cast("array<int>")
+    return F.split(F.lit(",".join(str(by_bucket.get(b, 0)) for b in range(2 * BUCKETS + SHAPES))), ",").cast("array<int>")
 
 
-def _score(words: str, model: Column) -> Column:
-    """Mean weight of all words and pairs."""
-    hashes = F.transform(words, word_hash)
-    after = F.slice(hashes, F.lit(2), F.greatest(F.size(words), F.lit(1)))
-    gram = lambda a, b: F.get(model, word_bucket(a)) + F.coalesce(F.get(model, pair_bucket(a, b)), F.lit(0))
-    total = F.aggregate(F.zip_with(hashes, after, gram), F.lit(0).cast("long"), lambda s, x: s + x)
-    return F.when(F.col("n_words") > 0, total / (UNIT * (2 * F.col("n_words") - 1))).otherwise(F.lit(0.0))
+def _score(words: str, shapes: str, model: Column) -> Column:
+    """Weight of all words and pairs over the number of words."""
+    hashes, forms = F.transform(words, word_hash), F.transform(shapes, lambda s: F.xxhash64(s))
+    weight = lambda b: F.coalesce(F.get(model, b), F.lit(0))
+    known = F.zip_with(hashes, following(hashes), lambda a, b: F.get(model, word_bucket(a)) + weight(pair_bucket(a, b)))
+    shaped = F.zip_with(forms, following(forms), lambda a, b: weight(shape_bucket(a, b)))
+    total = lambda grams: F.aggregate(grams, F.lit(0).cast("long"), lambda s, x: s + x)
+    return F.when(F.col("n_words") > 0, (total(known) + total(shaped)) / (UNIT * F.col("n_words"))).otherwise(F.lit(0.0))
 
 
 def judged(documents: DataFrame, model: Column, threshold: float = THRESHOLD) -> DataFrame:
     """``documents`` with the statistics, score, base_failed and kept of every row."""
-    df = statistics(documents)
+    df = statistics(documents).withColumn("_shapes", shape_array(F.col("text")))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    df = df.withColumns({"score": _score("_words", model), "base_failed": failed}).drop("_words")
+    df = df.withColumns({"score": _score("_words", "_shapes", model), "base_failed": failed}).drop("_words", "_shapes")
     df = df.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
     # A generator keeps later filters above: pushed down, they would repeat the nested expressions
     # of every step below, and planning would take exponential time.
