@@ -36,11 +36,11 @@ def word_hash(word):
 
 
 def buckets(text):
-    """The buckets of a text's words, pairs and pairs of shapes."""
+    """The buckets of a text's words, of its runs of punctuation, and of pairs of these."""
     h = [word_hash(w) for w in solid(text)]
-    s = [xxhash.xxh64(re.sub("[A-Za-z0-9]+", "a", w).encode(), seed=42).intdigest() for w in solid(text)]
-    n, m = quality_rules.BUCKETS, quality_rules.SHAPES
-    return [x >> 24 & n - 1 for x in h] + [n + ((a ^ b >> 20) & n - 1) for a, b in zip(h, h[1:])] + [2 * n + ((a ^ b >> 20) & m - 1) for a, b in zip(s, s[1:])]
+    r = [word_hash(x) for x in re.findall(r"[!-/:-@\[-`{-~]+", text or "")]
+    n, m = quality_rules.BUCKETS, quality_rules.MARKS
+    return [x >> 24 & n - 1 for x in h], [n + (x & m - 1) for x in r] + [n + m + ((a ^ b >> 20) & m - 1) for a, b in zip(r, r[1:])]
 
 
 def test_scores(frame, odd, labels):
@@ -49,16 +49,20 @@ def test_scores(frame, odd, labels):
     docs = [(d, t) for d, t in odd if (t or "").isascii()]  # one script
     docs += [(100 + i, " ".join(rng.choice(["Alpha", "beta,", "|", "gamma", "D-1"]) for _ in range(60))) for i in range(20)]
     trusted = {r.doc_id for r in labels.collect() if r.quality == 1 and r.doc_id is not None}
-    raw, target = Counter(), Counter()
-    for doc_id, text in docs:
-        raw.update(buckets(text))
-        target.update(buckets(text) if doc_id in trusted else [])
-    n, m, s = sum(raw.values()), sum(target.values()), quality_rules.SUPPORT
-    weight = {g: round(max(-quality_rules.LIMIT, min(quality_rules.LIMIT, math.log((target[g] + s) / (round(raw[g] * m / n * 1e6) / 1e6 + s)))) * quality_rules.UNIT) for g in raw}
+    weight = {}
+    for kind in (0, 1):  # each has its own rate
+        raw, target = Counter(), Counter()
+        for doc_id, text in docs:
+            raw.update(buckets(text)[kind])
+            target.update(buckets(text)[kind] if doc_id in trusted else [])
+        n, m, s = sum(raw.values()), sum(target.values()), quality_rules.SUPPORT
+        for g in raw:
+            ratio = math.log((target[g] + s) / (round(raw[g] * m / n * 1e6) / 1e6 + s))
+            weight[g] = round(max(-quality_rules.LIMIT, min(quality_rules.LIMIT, ratio)) * quality_rules.UNIT)
     got = {r.doc_id: r for r in quality_rules.op8(frame(docs), labels).collect()}
     for doc_id, text in docs:
-        gs = buckets(text)
-        want = sum(weight[g] for g in gs) / quality_rules.UNIT / len(solid(text)) if gs else 0.0
+        gs = sum(buckets(text), [])
+        want = sum(weight[g] for g in gs) / quality_rules.UNIT / max(1, len(solid(text)))
         assert got[doc_id].score == pytest.approx(want, abs=1e-9)
         assert got[doc_id].kept == (not got[doc_id].base_failed and got[doc_id].score >= quality_rules.THRESHOLD)
     assert len({r.score for r in got.values()}) > 10

@@ -1,12 +1,11 @@
 """Quality rules: text statistics and an n-gram log-likelihood ratio, all in built-in functions.
 
 Multinomials over hashed n-grams are counted for every document (raw corpus) and for the trusted
-target. The n-grams are whole lower-cased words as they stand, punctuation included, pairs of
-neighbours, and pairs of their shapes, in which a run of letters and digits is one ``a``. Words and
-pairs have ``BUCKETS`` buckets each, shapes ``SHAPES``. With e the
+target. The n-grams are whole lower-cased words as they stand, runs of punctuation, and pairs of
+neighbouring runs. Words have ``BUCKETS`` buckets, runs and their pairs ``MARKS`` each. With e the
 count that the target would have at the raw rate, a bucket weighs log((count + SUPPORT) / (e +
 SUPPORT)), at most ``LIMIT`` either way: what the target lacks counts only as far as it was to be
-expected. The rate is that of the word's own script, so a script that the target lacks is no
+expected. A word's rate is that of its own script, so a script that the target lacks is no
 evidence. Weights are whole numbers, ``UNIT`` to one.
 
 A document's score is the weight of its n-grams over the number of its words; it is kept if the
@@ -34,8 +33,9 @@ from varstrip.llm.store import written
 BLANKS = " \t\n\x0b\f\r"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
 SYMBOLS = "[#*$%&|<>]"
-BUCKETS, SHAPES = 1 << 17, 1 << 14
-ALNUM_RUN = r"[\p{L}\p{M}\p{N}]+"
+# Punctuation: the ASCII characters that are neither letters, digits, blanks nor controls.
+RUN = r"([!-/:-@\[-`{-~]+)"
+BUCKETS, MARKS = 1 << 17, 1 << 14
 TRUSTED = 20_000
 SUPPORT, LIMIT = 5.0, 3.0
 UNIT = 40  # so that a weight fits one signed byte
@@ -49,6 +49,16 @@ def word_array(text: Column) -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, BLANK_RUN, -1))
 
 
+def runs_of(text: Column) -> Column:
+    """Runs of punctuation, in order; NULL gives none."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(RUN))
+
+
+def following(items: str) -> Column:
+    """An array without its first item."""
+    return F.slice(items, F.lit(2), F.greatest(F.size(items), F.lit(1)))
+
+
 def word_hash(word: Column) -> Column:
     return F.xxhash64(F.lower(word))
 
@@ -58,24 +68,14 @@ def word_bucket(h: Column) -> Column:
     return F.shiftrightunsigned(h, 24).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
 
-def pair_bucket(first: Column, second: Column) -> Column:
-    """Bucket of a word and the next one by their hashes: BUCKETS to 2 * BUCKETS - 1."""
-    return (first.bitwiseXOR(F.shiftrightunsigned(second, 20)).bitwiseAND(F.lit(BUCKETS - 1)) + BUCKETS).cast("int")
-
-
-def shape_bucket(first: Column, second: Column) -> Column:
-    """Bucket of two neighbouring shapes by their hashes: 2 * BUCKETS and on."""
-    return (first.bitwiseXOR(F.shiftrightunsigned(second, 20)).bitwiseAND(F.lit(SHAPES - 1)) + 2 * BUCKETS).cast("int")
+def run_bucket(h: Column) -> Column:
+    """Bucket of a run by its hash: the next MARKS."""
+    return (h.bitwiseAND(F.lit(MARKS - 1)) + BUCKETS).cast("int")
 
 
-def shape_array(text: Column) -> Column:
-    """Shapes of the words, in order."""
-    return word_array(F.regexp_replace(text, ALNUM_RUN, "a"))
-
-
-def following(items: str | Column) -> Column:
-    """An array without its first item."""
-    return F.slice(items, F.lit(2), F.greatest(F.size(items), F.lit(1)))
+def pair_bucket(first: Column, second: Column) -> Column:
+    """Bucket of two neighbouring runs by their hashes: the last MARKS."""
+    return (first.bitwiseXOR(F.shiftrightunsigned(second, 20)).bitwiseAND(F.lit(MARKS - 1)) + BUCKETS + MARKS).cast("int")
 
 
 def script(word: Column) -> Column:
@@ -85,16 +85,15 @@ def script(word: Column) -> Column:
     return F.when(F.octet_length(word) == F.length(word), 0).otherwise(block).cast("int")
 
 
-def gram_rows(df: DataFrame, words: str, shapes: str) -> DataFrame:
-    """``df`` with one row per n-gram, by two columns ``script`` and ``bucket``."""
-    df = df.withColumns({"_next": following(words), "_then": following(shapes)})
-    df = df.withColumn("_at", F.explode(F.arrays_zip(words, "_next", shapes, "_then"))).drop(words, "_next", shapes, "_then")
-    word, shape = F.col("_at")[words], F.col("_at")[shapes]
-    df = df.withColumns({"script": script(word), "_h": word_hash(word), "_s": F.xxhash64(shape), "_next": F.col("_at._next"), "_then": F.col("_at._then")}).drop("_at")
-    more = F.col("_next").isNotNull()
-    pairs = [pair_bucket(F.col("_h"), word_hash(F.col("_next"))), shape_bucket(F.col("_s"), F.xxhash64("_then"))]
-    df = df.withColumn("bucket", F.explode(F.array(word_bucket(F.col("_h")), *[F.when(more, x) for x in pairs])))
-    return df.drop("_h", "_s", "_next", "_then").filter("bucket IS NOT NULL")
+def gram_rows(texts: DataFrame) -> DataFrame:
+    """One row (_trusted, script, bucket) per n-gram of ``texts`` (_trusted, text); runs have script -1."""
+    words = texts.select("_trusted", F.explode(word_array(F.col("text"))).alias("_w"))
+    words = words.select("_trusted", script(F.col("_w")).alias("script"), word_bucket(word_hash(F.col("_w"))).alias("bucket"))
+    runs = texts.select("_trusted", F.transform(runs_of(F.col("text")), lambda x: F.xxhash64(x)).alias("_h"))
+    runs = runs.select("_trusted", F.explode(F.arrays_zip("_h", following("_h").alias("_g"))).alias("_at"))
+    h, g = F.col("_at._h"), F.col("_at._g")
+    runs = runs.select("_trusted", F.lit(-1).alias("script"), F.explode(F.array(run_bucket(h), F.when(g.isNotNull(), pair_bucket(h, g)))).alias("bucket"))
+    return words.unionByName(runs.filter("bucket IS NOT NULL"))
 
 
 def gram_counts(documents: DataFrame, labels: DataFrame, trusted: int = TRUSTED) -> DataFrame:
@@ -104,8 +103,7 @@ def gram_counts(documents: DataFrame, labels: DataFrame, trusted: int = TRUSTED)
     """
     ids = labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy("doc_id").limit(trusted)
     ids = F.broadcast(ids.withColumn("_trusted", F.lit(1)))
-    docs = documents.select("doc_id", word_array(F.col("text")).alias("_words"), shape_array(F.col("text")).alias("_shapes")).join(ids, "doc_id", "left")
-    rows = gram_rows(docs.select("_trusted", "_words", "_shapes"), "_words", "_shapes")
+    rows = gram_rows(documents.select("doc_id", "text").join(ids, "doc_id", "left").select("_trusted", "text"))
     return written(rows.groupBy("script", "bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("_trusted").alias("target")), "grams")
 
 
@@ -121,25 +119,27 @@ def weights(counts: DataFrame) -> DataFrame:
 
 
 def statistics(df: DataFrame) -> DataFrame:
-    """Add ``_words`` and the base statistics of ``text``."""
+    """Add ``_words``, ``_runs`` and the base statistics of ``text``."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    df = df.withColumns(
-        {
-            "_words": word_array(F.col("text")),
-            "n_symbols": (F.size(F.split(text, SYMBOLS, -1)) - 1).cast("long"),
-            "_lines": F.filter(F.split(text, "\n", -1), lambda line: F.trim(line, F.lit(BLANKS)) != ""),
-        }
-    )
-    df = df.withColumns({"n_words": F.size("_words").cast("long"), "word_chars": F.length(F.array_join("_words", "")).cast("long"), "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long")}).drop("_lines")
+    lines = F.filter(F.split(text, "\n", -1), lambda line: F.trim(line, F.lit(BLANKS)) != "")
+    df = df.withColumns({"_words": word_array(F.col("text")), "_runs": runs_of(F.col("text")), "_lines": lines})
+    # All symbols are punctuation.
+    symbols = F.size(F.split(F.array_join("_runs", ""), SYMBOLS, -1)) - 1
+    df = df.withColumns({
+        "n_words": F.size("_words").cast("long"), "word_chars": F.length(F.array_join("_words", "")).cast("long"), "n_symbols": symbols.cast("long"),
+        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
+    }).drop("_lines")
     # Three-word windows by hash; those found twice are neighbours once sorted.
-    window = lambda x, i: F.xxhash64(x, F.get("_words", i + 1), F.get("_words", i + 2))
-    df = df.withColumn("_windows", F.transform(F.slice("_words", F.lit(1), F.greatest(F.size("_words") - 2, F.lit(0))), window))
+    df = df.withColumn("_own", F.transform("_words", lambda x: F.xxhash64(x)))
+    window = lambda x, i: F.xxhash64(x, F.get("_own", i + 1), F.get("_own", i + 2))
+    df = df.withColumn("_windows", F.transform(F.slice("_own", F.lit(1), F.greatest(F.size("_own") - 2, F.lit(0))), window)).drop("_own")
     repeats = F.size(F.array_distinct("_windows")) < F.size("_windows")
     df = df.withColumn("_sorted", F.when(repeats, F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
-    twice = lambda e, k: F.when(F.coalesce((F.get("_sorted", k - 1)["h"] == e["h"]) | (F.get("_sorted", k + 1)["h"] == e["h"]), (F.get("_sorted", k - 1)["h"] == e["h"]), (F.get("_sorted", k + 1)["h"] == e["h"]), F.lit(False)), F.array(e["i"], e["i"] + 1, e["i"] + 2))
-    df = df.withColumn("_found", F.transform("_sorted", twice)).drop("_sorted", "_windows")
-    found = F.size(F.array_distinct(F.flatten(F.filter("_found", lambda x: x.isNotNull()))))
-    return df.withColumn("n_repeat_words", F.when(F.col("_found").isNull(), F.lit(0)).otherwise(found).cast("long")).drop("_found")
+    twice = lambda e, k: F.when(F.coalesce((F.get("_sorted", k - 1)["h"] == e["h"]), F.lit(False)) | F.coalesce((F.get("_sorted", k + 1)["h"] == e["h"]), F.lit(False)), e["i"])
+    df = df.withColumn("_found", F.sort_array(F.filter(F.transform("_sorted", twice), lambda i: i.isNotNull()))).drop("_sorted", "_windows")
+    # Places in order; each adds what the one before did not cover.
+    covered = F.aggregate("_found", F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n")), lambda s, i: F.struct(i.alias("last"), (s["n"] + F.least(F.lit(3), i - s["last"])).alias("n")))["n"]
+    return df.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("_found")
 
 
 STATISTICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -148,24 +148,19 @@ STATISTICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_wor
 def fit(documents: DataFrame, labels: DataFrame, trusted: int = TRUSTED) -> Column:
     """The fitted weights as one constant array, a number for each bucket."""
     by_bucket = dict(weights(gram_counts(documents, labels, trusted)).select("bucket", "weight").collect())
-    return F.split(F.lit(",".join(str(by_bucket.get(b, 0)) for b in range(2 * BUCKETS + SHAPES))), ",").cast("array<int>")
-
-
-def _score(words: str, shapes: str, model: Column) -> Column:
-    """Weight of all words and pairs over the number of words."""
-    hashes, forms = F.transform(words, word_hash), F.transform(shapes, lambda s: F.xxhash64(s))
-    weight = lambda b: F.coalesce(F.get(model, b), F.lit(0))
-    known = F.zip_with(hashes, following(hashes), lambda a, b: F.get(model, word_bucket(a)) + weight(pair_bucket(a, b)))
-    shaped = F.zip_with(forms, following(forms), lambda a, b: weight(shape_bucket(a, b)))
-    total = lambda grams: F.aggregate(grams, F.lit(0).cast("long"), lambda s, x: s + x)
-    return F.when(F.col("n_words") > 0, (total(known) + total(shaped)) / (UNIT * F.col("n_words"))).otherwise(F.lit(0.0))
+    return F.split(F.lit(",".join(str(by_bucket.get(b, 0)) for b in range(BUCKETS + 2 * MARKS))), ",").cast("array<int>")
 
 
 def judged(documents: DataFrame, model: Column, threshold: float = THRESHOLD) -> DataFrame:
     """``documents`` with the statistics, score, base_failed and kept of every row."""
-    df = statistics(documents).withColumn("_shapes", shape_array(F.col("text")))
+    weight = lambda b: F.coalesce(F.get(model, b), F.lit(0))
+    known = F.aggregate("_words", F.lit(0).cast("long"), lambda s, w: s + weight(word_bucket(word_hash(w))))
+    marked = F.zip_with("_hashes", following("_hashes"), lambda a, b: weight(run_bucket(a)) + weight(pair_bucket(a, b)))
+    marked = F.aggregate(marked, F.lit(0).cast("long"), lambda s, x: s + x)
+    score = F.when(F.col("n_words") > 0, (known + marked) / (UNIT * F.col("n_words"))).otherwise(F.lit(0.0))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    df = df.withColumns({"score": _score("_words", "_shapes", model), "base_failed": failed}).drop("_words", "_shapes")
+    df = statistics(documents).withColumn("_hashes", F.transform("_runs", lambda x: F.xxhash64(x)))
+    df = df.withColumns({"score": score, "base_failed": failed}).drop("_words", "_runs", "_hashes")
     df = df.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
     # A generator keeps later filters above: pushed down, they would repeat the nested expressions
     # of every step below, and planning would take exponential time.
