@@ -248,32 +248,33 @@ BENCHMARK = f"""
 candles AS (
   SELECT {ASSET} AS asset, date_trunc('hour', ts) AS timestamp, first(20e0 + value / 10e0 ORDER BY ts, event_id) AS open,
          max(20e0 + value / 10e0) AS high, min(20e0 + value / 10e0) AS low, last(20e0 + value / 10e0 ORDER BY ts, event_id) AS close
-  FROM ev WHERE event_id % 4 = 0 GROUP BY ALL)
+  FROM ev GROUP BY ALL)
 """
 
 HISTORY = """
 hist0 AS (
-  SELECT l.snapshot_ts, l.asset, l.expiry, l.strike, l.i, s.kind, s.u, CASE s.kind WHEN 'call' THEN l.call_mid ELSE l.put_mid END / 100e0 AS coin,
+  SELECT l.snapshot_ts, l.venue, l.asset, l.expiry, l.strike, l.i, s.kind, s.u, CASE s.kind WHEN 'call' THEN l.call_mid ELSE l.put_mid END / 100e0 AS coin,
          CASE s.kind WHEN 'call' THEN l.call_iv ELSE l.put_iv END * 100e0 AS mark_iv
-  FROM legs l CROSS JOIN (SELECT kind, u FROM (SELECT unnest(['call', 'put']) AS kind) CROSS JOIN (SELECT unnest([0, 1]) AS u)) s
-  WHERE l.venue = 'deribit'),
+  FROM legs l CROSS JOIN (SELECT kind, u FROM (SELECT unnest(['call', 'put']) AS kind) CROSS JOIN (SELECT unnest([0, 1]) AS u)) s),
 hist AS (
   SELECT CASE WHEN i % 17 = 5 AND u = 1 THEN snapshot_ts - INTERVAL 30 MINUTE ELSE snapshot_ts END AS timestamp,
-         concat_ws('-', asset, expiry, strike, kind) AS symbol, asset AS currency, kind AS type, strike AS strike_price, expiry AS expiration,
+         concat_ws('-', asset, expiry, strike, kind) AS symbol, venue, asset AS currency, kind AS type, strike AS strike_price, expiry AS expiration,
          CASE WHEN i % 13 = 0 THEN 0e0 ELSE coin * 0.99e0 END AS bid_price, coin * 1.01e0 + u * 0.01e0 AS ask_price, coin AS mark_price,
-         mark_iv, 100e0 AS underlying_price, CAST(epoch(snapshot_ts) AS BIGINT) * 10 + u * 5 + i % 3 AS arrival_seq
+         mark_iv, 100e0 + (CAST(epoch(snapshot_ts) AS BIGINT) * 10 + u * 5 + i % 3) % 7 * 0.125e0 AS underlying_price, CAST(epoch(snapshot_ts) AS BIGINT) * 10 + u * 5 + i % 3 AS arrival_seq
   FROM hist0),
-hour_rows AS (SELECT *, timestamp AS snapshot_ts, currency AS asset, expiration AS expiry FROM hist WHERE date_trunc('hour', timestamp) = timestamp)
+hour_rows AS (
+  SELECT *, timestamp AS snapshot_ts, currency AS asset, expiration AS expiry, first_value(underlying_price) OVER (PARTITION BY timestamp, venue, currency ORDER BY arrival_seq) AS spot
+  FROM hist WHERE date_trunc('hour', timestamp) = timestamp)
 """
 
 
 def listed_legs(name: str, quote: str) -> str:
     b, a, m = "COALESCE(bid_price, 0e0)", "COALESCE(ask_price, 0e0)", "COALESCE(mark_price, 0e0)"
-    price = {"mid": f"CASE WHEN {b} > 0 AND {a} > 0 THEN 0.5e0 * ({b} + {a}) ELSE {m} END", "mark": m}[quote]
+    price = {"mid": f"CASE WHEN {b} > 0 AND {a} > 0 THEN 0.5e0 * ({b} + {a}) ELSE {m} END", "mark": m, "bid": b, "ask": a}[quote]
     return f"""
-{name}_p AS (SELECT *, ({price}) * underlying_price AS p, COALESCE(mark_iv, 0e0) / 100e0 AS ivd FROM hour_rows),
+{name}_p AS (SELECT *, ({price}) * spot AS p, COALESCE(mark_iv, 0e0) / 100e0 AS ivd FROM hour_rows),
 {name}_w AS (
-  SELECT snapshot_ts, asset, expiry, strike_price AS strike, arg_max(p, arrival_seq) FILTER (WHERE type = 'call') AS call,
+  SELECT snapshot_ts, venue, asset, expiry, strike_price AS strike, any_value(spot) AS spot, arg_max(p, arrival_seq) FILTER (WHERE type = 'call') AS call,
          arg_max(p, arrival_seq) FILTER (WHERE type = 'put') AS put, arg_max(ivd, arrival_seq) FILTER (WHERE type = 'call') AS call_iv,
          arg_max(ivd, arrival_seq) FILTER (WHERE type = 'put') AS put_iv
   FROM {name}_p GROUP BY ALL),
@@ -287,31 +288,31 @@ def listed_variance(name: str, legs: str, intrinsic: bool = True) -> str:
     call = "CASE WHEN call + 1e-9 >= greatest(forward - strike, 0e0) THEN call ELSE 0e0 END" if intrinsic else "call"
     return f"""
 {name}_f AS (
-  SELECT snapshot_ts, asset, expiry, count(*) AS n, (epoch_us(expiry) - epoch_us(snapshot_ts)) / 1e6 / 31536000e0 AS t,
+  SELECT snapshot_ts, venue, asset, expiry, count(*) AS n, (epoch_us(expiry) - epoch_us(snapshot_ts)) / 1e6 / 31536000e0 AS t,
          first(strike + (call - put) ORDER BY abs(call - put), strike) FILTER (WHERE call > 1e-9 AND put > 1e-9) AS forward
-  FROM {legs} GROUP BY snapshot_ts, asset, expiry),
+  FROM {legs} GROUP BY snapshot_ts, venue, asset, expiry),
 {name}_k AS (
-  SELECT l.*, f.t, f.forward, max(CASE WHEN l.strike <= f.forward THEN l.strike END) OVER (PARTITION BY l.snapshot_ts, l.asset, l.expiry) AS k_zero
-  FROM {legs} l JOIN {name}_f f USING (snapshot_ts, asset, expiry) WHERE f.n >= 5 AND f.t > 0 AND f.forward IS NOT NULL),
+  SELECT l.*, f.t, f.forward, max(CASE WHEN l.strike <= f.forward THEN l.strike END) OVER (PARTITION BY l.snapshot_ts, l.venue, l.asset, l.expiry) AS k_zero
+  FROM {legs} l JOIN {name}_f f USING (snapshot_ts, venue, asset, expiry) WHERE f.n >= 5 AND f.t > 0 AND f.forward IS NOT NULL),
 {name}_m AS (SELECT * REPLACE ({put} AS put, {call} AS call) FROM {name}_k WHERE k_zero IS NOT NULL),
 {name}_q AS (
   SELECT *, CASE WHEN strike < k_zero THEN 'put' WHEN strike > k_zero THEN 'call' ELSE 'center' END AS side,
          CASE WHEN strike < k_zero THEN put WHEN strike > k_zero THEN call ELSE 0.5e0 * (put + call) END AS q FROM {name}_m),
 {name}_z AS (
   SELECT *, q <= 0 AND COALESCE(lag(q) OVER w <= 0, FALSE) AS pair FROM {name}_q
-  WINDOW w AS (PARTITION BY snapshot_ts, asset, expiry, side ORDER BY abs(strike - k_zero))),
+  WINDOW w AS (PARTITION BY snapshot_ts, venue, asset, expiry, side ORDER BY abs(strike - k_zero))),
 {name}_e AS (
-  SELECT *, bool_or(pair) OVER (PARTITION BY snapshot_ts, asset, expiry, side ORDER BY abs(strike - k_zero)) AS ended FROM {name}_z),
+  SELECT *, bool_or(pair) OVER (PARTITION BY snapshot_ts, venue, asset, expiry, side ORDER BY abs(strike - k_zero)) AS ended FROM {name}_z),
 {name}_strip AS (SELECT * FROM {name}_e WHERE side = 'center' OR (NOT ended AND q > 0)),
 {name}_d AS (
   SELECT *, CASE WHEN lag(strike) OVER w IS NOT NULL AND lead(strike) OVER w IS NOT NULL THEN 0.5e0 * (lead(strike) OVER w - lag(strike) OVER w)
                  WHEN lead(strike) OVER w IS NOT NULL THEN lead(strike) OVER w - strike ELSE strike - lag(strike) OVER w END AS delta_k
-  FROM {name}_strip WINDOW w AS (PARTITION BY snapshot_ts, asset, expiry ORDER BY strike)),
+  FROM {name}_strip WINDOW w AS (PARTITION BY snapshot_ts, venue, asset, expiry ORDER BY strike)),
 {name} AS (
-  SELECT snapshot_ts, asset, expiry, count(*) AS strikes, any_value(t) AS t, any_value(forward) AS forward, any_value(k_zero) AS k_zero,
+  SELECT snapshot_ts, venue, asset, expiry, count(*) AS strikes, any_value(t) AS t, any_value(forward) AS forward, any_value(k_zero) AS k_zero,
          2e0 / any_value(t) * sum(delta_k / (strike * strike) * q)
            - (any_value(forward) / any_value(k_zero) - 1e0) * (any_value(forward) / any_value(k_zero) - 1e0) / any_value(t) AS sigma_sq
-  FROM {name}_d WHERE delta_k IS NOT NULL GROUP BY snapshot_ts, asset, expiry)
+  FROM {name}_d WHERE delta_k IS NOT NULL GROUP BY snapshot_ts, venue, asset, expiry)
 """
 
 

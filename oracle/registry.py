@@ -385,14 +385,14 @@ add(
     "listed_vs_vanilla",
     (*BASELINE, c.listed_variance("v", "mid")),
     f"""
-, w AS (SELECT * FROM v_k WHERE k_zero IS NOT NULL AND strike > 50 AND strike < 200),
-u AS (SELECT snapshot_ts, asset, expiry, strike, t, forward AS f, 'call' AS kind, call AS quote_usd, call_iv AS iv FROM w
-      UNION ALL SELECT snapshot_ts, asset, expiry, strike, t, forward, 'put', put, put_iv FROM w),
+, w AS (SELECT * FROM v_k WHERE k_zero IS NOT NULL AND strike > 0.5e0 * spot AND strike < 2e0 * spot),
+u AS (SELECT snapshot_ts, venue, asset, expiry, strike, t, forward AS f, 'call' AS kind, call AS quote_usd, call_iv AS iv FROM w
+      UNION ALL SELECT snapshot_ts, venue, asset, expiry, strike, t, forward, 'put', put, put_iv FROM w),
 d AS (SELECT *, CASE WHEN iv > 0 THEN (ln(f / strike) + 0.5e0 * iv * iv * t) / (iv * sqrt(t)) END AS d1 FROM u),
 e AS (SELECT *, d1 - iv * sqrt(t) AS d2 FROM d),
 m AS (SELECT *, CASE WHEN kind = 'call' THEN CASE WHEN d1 IS NULL THEN greatest(f - strike, 0e0) ELSE f * {c.ncdf('d1')} - strike * {c.ncdf('d2')} END
                      ELSE CASE WHEN d1 IS NULL THEN greatest(strike - f, 0e0) ELSE strike * {c.ncdf('(-d2)')} - f * {c.ncdf('(-d1)')} END END AS model_usd FROM e)
-SELECT snapshot_ts, asset, expiry, kind, count(*) AS strikes, round(sum(quote_usd), 5) AS quote_usd, round(sum(model_usd), 5) AS model_usd,
+SELECT snapshot_ts, venue, asset, expiry, kind, count(*) AS strikes, round(sum(quote_usd), 4) AS quote_usd, round(sum(model_usd), 4) AS model_usd,
        round(max(quote_usd), 6) AS quote_max, round(max(model_usd), 6) AS model_max
 FROM m GROUP BY ALL
 """,
@@ -610,7 +610,7 @@ e AS (
 )
 add(
     "live_bar",
-    (c.EV, c.INDEX_TICKS.replace("index_ticks AS", "all_ticks AS"), "index_ticks AS (SELECT * FROM all_ticks WHERE seq % 2 = 0)", c.BARS, H1D),
+    (c.EV, c.INDEX_TICKS.replace("index_ticks AS", "all_ticks AS"), "index_ticks AS (SELECT * FROM all_ticks WHERE ts < TIMESTAMP '2024-01-30 12:00:00')", c.BARS, H1D),
     """
 , b AS (SELECT *, row_number() OVER (PARTITION BY index_id ORDER BY ts DESC) AS rk FROM h1d QUALIFY rk <= 30),
 t AS (SELECT index_id, value AS v, ts AS tts FROM all_ticks QUALIFY row_number() OVER (PARTITION BY index_id ORDER BY ts DESC, seq DESC) = 1)
@@ -667,15 +667,15 @@ add(
     "quote_selector",
     HIST,
     f"""
-SELECT currency, timestamp, round(sum(CASE WHEN {B0} > 0 AND {A0} > 0 THEN 0.5e0 * ({B0} + {A0}) ELSE {M0} END), 6) AS mid, round(sum({M0}), 6) AS mark,
+SELECT venue, currency, timestamp, round(sum(CASE WHEN {B0} > 0 AND {A0} > 0 THEN 0.5e0 * ({B0} + {A0}) ELSE {M0} END), 6) AS mid, round(sum({M0}), 6) AS mark,
        round(sum({B0}), 6) AS bid, round(sum({A0}), 6) AS ask FROM hist GROUP BY ALL
 """,
 )
-add("top_of_hour", HIST, "SELECT currency, timestamp, count(*) AS n FROM hour_rows GROUP BY ALL")
+add("top_of_hour", HIST, "SELECT venue, currency, timestamp, count(*) AS n FROM hour_rows GROUP BY ALL")
 add(
     "pivot_sides",
     BASELINE,
-    "SELECT snapshot_ts, asset, expiry, count(*) AS strikes, round(sum(call), 5) AS call, round(sum(put), 5) AS put, round(sum(iv), 5) AS iv, round(max(iv), 6) AS iv_max FROM mid GROUP BY ALL",
+    "SELECT snapshot_ts, venue, asset, expiry, count(*) AS strikes, round(sum(call), 5) AS call, round(sum(put), 5) AS put, round(sum(iv), 5) AS iv, round(max(iv), 6) AS iv_max FROM mid GROUP BY ALL",
 )
 ZERO = """
 zi AS (SELECT *, CAST((strike - 40) / 4 AS INTEGER) + day(snapshot_ts) AS zi FROM mid),
@@ -687,19 +687,19 @@ WING = (*BASELINE, ZERO, c.listed_variance("v", "zeroed"))
 add(
     "wing_termination",
     WING,
-    "SELECT snapshot_ts, asset, expiry, side, count(*) AS strikes, min(strike) AS lowest, max(strike) AS highest, sum(strike) AS strike_sum, round(sum(q), 5) AS q FROM v_strip GROUP BY ALL",
+    "SELECT snapshot_ts, venue, asset, expiry, side, count(*) AS strikes, min(strike) AS lowest, max(strike) AS highest, sum(strike) AS strike_sum, round(sum(q), 5) AS q FROM v_strip GROUP BY ALL",
 )
-add("strike_intervals", WING, "SELECT snapshot_ts, asset, expiry, count(*) AS strikes, sum(delta_k) AS width, sum(delta_k * strike) AS weighted FROM v_d WHERE delta_k IS NOT NULL GROUP BY ALL")
+add("strike_intervals", WING, "SELECT snapshot_ts, venue, asset, expiry, count(*) AS strikes, sum(delta_k) AS width, sum(delta_k * strike) AS weighted FROM v_d WHERE delta_k IS NOT NULL GROUP BY ALL")
 LISTED = (*BASELINE, c.listed_variance("v", "mid"))
-add("listed_variance", LISTED, "SELECT snapshot_ts, asset, expiry, strikes, k_zero, round(forward, 6) AS forward, round(sigma_sq, 6) AS sigma_sq FROM v")
+add("listed_variance", LISTED, "SELECT snapshot_ts, venue, asset, expiry, strikes, k_zero, round(forward, 6) AS forward, round(sigma_sq, 6) AS sigma_sq FROM v")
 add(
     "resample_last",
     HIST,
     """
-, b AS (SELECT *, max(date_trunc('hour', timestamp)) OVER (PARTITION BY currency ORDER BY arrival_seq, asq RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS bucket
+, b AS (SELECT *, max(date_trunc('hour', timestamp)) OVER (PARTITION BY venue, currency ORDER BY arrival_seq, asq RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS bucket
         FROM (SELECT *, upper(currency) || '-' || upper(strftime(expiration, '%-d%b%y')) || '-' || CAST(strike_price AS INTEGER) || '-' || CASE type WHEN 'call' THEN 'C' ELSE 'P' END AS asq FROM hist)),
-l AS (SELECT currency, asq, bucket, max(arrival_seq) AS arrival_seq, last(ask_price ORDER BY arrival_seq, timestamp) AS ask_price FROM b GROUP BY ALL)
-SELECT currency, bucket AS timestamp, count(*) AS rows, count(DISTINCT asq) AS symbols, CAST(sum(arrival_seq) AS BIGINT) AS arrival_sum, round(sum(ask_price), 5) AS ask_sum FROM l GROUP BY ALL
+l AS (SELECT venue, currency, asq, bucket, max(arrival_seq) AS arrival_seq, last(ask_price ORDER BY arrival_seq, timestamp) AS ask_price FROM b GROUP BY ALL)
+SELECT venue, currency, bucket AS timestamp, count(*) AS rows, count(DISTINCT asq) AS symbols, CAST(sum(arrival_seq) AS BIGINT) AS arrival_sum, round(sum(ask_price), 5) AS ask_sum FROM l GROUP BY ALL
 """.replace("ORDER BY arrival_seq, asq RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW", "ORDER BY arrival_seq, asq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"),
 )
 SER = (c.EV, c.BASE, LEVELS, c.BENCHMARK, """
@@ -733,64 +733,63 @@ add("worst_errors", SER, "SELECT index_id, snapshot_ts, round(ab, 6) AS abs_err
 
 
 def listed_index(name: str, var: str, legs: str, near: str = "arg_max") -> str:
-    """CTE {name}: index per (snapshot, asset) from listed variances."""
+    """CTE {name}: index per (snapshot, venue, asset) from listed variances."""
     return f"""
-{name}_c AS (SELECT f.snapshot_ts, f.asset, f.expiry, f.t, v.sigma_sq FROM {var}_f f LEFT JOIN {var} v USING (snapshot_ts, asset, expiry) WHERE f.n >= 5 AND f.t > 0),
-{name}_p AS (SELECT snapshot_ts, asset, {near}({{'t': t, 's': sigma_sq}}, t) FILTER (WHERE t >= 7e0/365e0 AND t < 30e0/365e0) AS a,
+{name}_c AS (SELECT f.snapshot_ts, f.venue, f.asset, f.expiry, f.t, v.sigma_sq FROM {var}_f f LEFT JOIN {var} v USING (snapshot_ts, venue, asset, expiry) WHERE f.n >= 5 AND f.t > 0),
+{name}_p AS (SELECT snapshot_ts, venue, asset, {near}({{'t': t, 's': sigma_sq}}, t) FILTER (WHERE t >= 7e0/365e0 AND t < 30e0/365e0) AS a,
                     arg_min({{'t': t, 's': sigma_sq}}, t) FILTER (WHERE t > 30e0/365e0) AS z FROM {name}_c GROUP BY ALL),
-{name}_s AS (SELECT DISTINCT snapshot_ts, asset FROM hour_rows),
+{name}_s AS (SELECT DISTINCT snapshot_ts, venue, asset FROM hour_rows),
 {name}_t AS (SELECT s.*, a, z, (a.t * a.s * (z.t * 525600e0 - 43200e0) + z.t * z.s * (43200e0 - a.t * 525600e0)) / (z.t * 525600e0 - a.t * 525600e0) * 525600e0 / 43200e0 AS total
-             FROM {name}_s s LEFT JOIN {name}_p USING (snapshot_ts, asset)),
+             FROM {name}_s s LEFT JOIN {name}_p USING (snapshot_ts, venue, asset)),
 {name}_u AS (SELECT *, CASE WHEN a IS NULL OR z IS NULL THEN 'no_expiry_pair' WHEN a.s IS NULL OR z.s IS NULL THEN 'compute_err:thin_strip'
                             WHEN a.s < 0 OR z.s < 0 THEN 'compute_err:negative_variance' WHEN total < 0 THEN 'compute_err:interpolation' ELSE 'ok' END AS status FROM {name}_t),
-{name} AS (SELECT snapshot_ts, asset, status, CASE WHEN status = 'ok' THEN 100e0 * sqrt(total) END AS index_value FROM {name}_u)
+{name} AS (SELECT snapshot_ts, venue, asset, status, CASE WHEN status = 'ok' THEN 100e0 * sqrt(total) END AS index_value FROM {name}_u)
 """
 
 
 NEAREST = """
-near_b AS (SELECT r.snapshot_ts, r.asset, first(c.close ORDER BY abs(epoch_us(r.snapshot_ts) - epoch_us(c.timestamp)), c.timestamp DESC) AS benchmark
+near_b AS (SELECT r.snapshot_ts, r.venue, r.asset, first(c.close ORDER BY abs(epoch_us(r.snapshot_ts) - epoch_us(c.timestamp)), c.timestamp DESC) AS benchmark
            FROM res r JOIN candles c ON c.asset = r.asset AND c.timestamp BETWEEN r.snapshot_ts - INTERVAL 30 MINUTE AND r.snapshot_ts + INTERVAL 30 MINUTE GROUP BY ALL),
-back AS (SELECT r.*, b.benchmark FROM res r LEFT JOIN near_b b USING (snapshot_ts, asset))
+back AS (SELECT r.*, b.benchmark FROM res r LEFT JOIN near_b b USING (snapshot_ts, venue, asset))
 """
 BACK = (*LISTED, c.BENCHMARK, listed_index("res", "v", "mid"), NEAREST)
-add("listed_backtest", BACK, "SELECT snapshot_ts, asset, status, round(index_value, 5) AS index_value, benchmark FROM back")
+add("listed_backtest", BACK, "SELECT snapshot_ts, venue, asset, status, round(index_value, 5) AS index_value, benchmark FROM back")
 add(
     "status_breakdown",
     BACK,
     """
-, g AS (SELECT asset, strftime(snapshot_ts, '%Y-%m-%d') AS date, count(*) FILTER (WHERE status = 'ok') AS ok, count(*) FILTER (WHERE status = 'no_expiry_pair') AS no_expiry_pair,
+, g AS (SELECT venue, asset, strftime(snapshot_ts, '%Y-%m-%d') AS date, count(*) FILTER (WHERE status = 'ok') AS ok, count(*) FILTER (WHERE status = 'no_expiry_pair') AS no_expiry_pair,
                count(*) FILTER (WHERE starts_with(status, 'compute_err')) AS compute_err, count(*) AS n FROM back GROUP BY ALL)
-SELECT asset, date, ok, no_expiry_pair, compute_err, round(ok / n, 6) AS success_rate, ok / n >= 0.95e0 AS passed FROM g
+SELECT venue, asset, date, ok, no_expiry_pair, compute_err, round(ok / n, 6) AS success_rate, ok / n >= 0.95e0 AS passed FROM g
 """,
 )
 # The fitted backtest reuses the chain maths on the historical legs.
 FITTED_LEGS = """
-legs AS (SELECT snapshot_ts, 'deribit' AS venue, asset, expiry, strike, snapshot_ts AS latest_ts, call AS call_mid, put AS put_mid,
+legs AS (SELECT snapshot_ts, venue, asset, expiry, strike, snapshot_ts AS latest_ts, call AS call_mid, put AS put_mid,
                 CASE WHEN iv > 1e-3 THEN iv END AS call_iv, CAST(NULL AS DOUBLE) AS put_iv FROM mid)
 """
 _raw = c.LEGS.replace("\nlegs AS (", "\nraw_legs AS (")
 FITTED = (
     c.EV, c.BASE, _raw, c.HISTORY.replace("FROM legs l", "FROM raw_legs l"), c.listed_legs("mid", "mid"), FITTED_LEGS, c.CHAINS, c.PICKED, c.SIDES, SPLINE,
     c.SEGMENTS, c.VARIANCE, c.VENUE_INDEX, c.BENCHMARK,
-    "fitted AS (SELECT v.snapshot_ts, v.asset, v.value AS index_value, c.close AS benchmark FROM venue_index v JOIN candles c ON c.asset = v.asset AND c.timestamp = v.snapshot_ts WHERE v.status = 'ok')",
+    "fitted AS (SELECT v.snapshot_ts, v.venue, v.asset, v.value AS index_value, c.close AS benchmark, c.open AS benchmark_open FROM venue_index v JOIN candles c ON c.asset = v.asset AND c.timestamp = v.snapshot_ts WHERE v.status = 'ok')",
 )
-add("fitted_backtest", FITTED, "SELECT snapshot_ts, asset, round(index_value, 5) AS index_value, benchmark FROM fitted", True)
+add("fitted_backtest", FITTED, "SELECT snapshot_ts, venue, asset, round(index_value, 5) AS index_value, benchmark FROM fitted", True)
 
-_variants = (
-    ("baseline", "mid_on", "arg_max", "close"), ("mark", "mark_on", "arg_max", "close"), ("min-near", "mid_on", "arg_min", "close"),
-    ("open", "mid_on", "arg_max", "open"), ("no-intrinsic", "mid_off", "arg_max", "close"), ("mark+min-near", "mark_on", "arg_min", "close"),
-    ("mark+min-near+open", "mark_on", "arg_min", "open"),
-)
-_sweep = [c.listed_legs("mark", "mark"), c.listed_variance("mid_on", "mid"), c.listed_variance("mark_on", "mark"), c.listed_variance("mid_off", "mid", False)]
-_sweep += [listed_index(f"r{i}", v, "", near) for i, (_, v, near, _f) in enumerate(_variants)]
+# The whole product of quote, intrinsic filter, near rule and field.
+_grid = [(q, on, near, field) for q in ("mid", "mark", "bid", "ask") for on in ("on", "off") for near in ("max", "min") for field in ("close", "open")]
+_sweep = [c.listed_legs(q, q) for q in ("mark", "bid", "ask")]
+_sweep += [c.listed_variance(f"{q}_{on}", q, on == "on") for q in ("mid", "mark", "bid", "ask") for on in ("on", "off")]
+_sweep += [listed_index(f"r_{q}_{on}_{near}", f"{q}_{on}", "", f"arg_{near}") for q, on, near, field in _grid if field == "close"]
 _rows = " UNION ALL ".join(
-    f"SELECT '{label}' AS variant, (r.index_value - c.{field}) / c.{field} AS rel FROM r{i} r JOIN candles c ON c.asset = r.asset AND c.timestamp = r.snapshot_ts WHERE r.status = 'ok'"
-    for i, (label, _v, _n, field) in enumerate(_variants)
+    f"SELECT '{q}/{on}/{near}/{field}' AS variant, r.asset, (r.index_value - c.{field}) / c.{field} AS rel FROM r_{q}_{on}_{near} r JOIN candles c ON c.asset = r.asset AND c.timestamp = r.snapshot_ts WHERE r.status = 'ok'"
+    for q, on, near, field in _grid
 )
+_rows += " UNION ALL SELECT 'fitted/max/close', asset, (index_value - benchmark) / benchmark FROM fitted UNION ALL SELECT 'fitted/max/open', asset, (index_value - benchmark_open) / benchmark_open FROM fitted"
 add(
     "variant_sweep",
-    (*FITTED, *_sweep, f"sweep AS (SELECT *, abs(rel) AS ab FROM ({_rows} UNION ALL SELECT 'fitted', (index_value - benchmark) / benchmark FROM fitted))"),
-    f"SELECT variant, {SUMMARY} FROM sweep GROUP BY variant",
+    (*FITTED, *_sweep, f"sweep AS (SELECT *, abs(rel) AS ab FROM ({_rows}))"),
+    f"SELECT variant, asset, {SUMMARY} FROM sweep GROUP BY variant, asset",
     True,
 )
 add(

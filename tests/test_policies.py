@@ -3,12 +3,13 @@
 import random
 from datetime import datetime, timedelta, timezone
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from varstrip.operators import benchmark, ordered, outlier, perp, quality, rollup, thinning
+from varstrip.operators import benchmark, index, ordered, outlier, perp, quality, rollup, shares, thinning
 from varstrip.params import OutlierConfig, PerpConfig, QualityConfig, ThinningConfig
 from varstrip.plans import inputs
 from varstrip.sources import historical, sinks
@@ -96,6 +97,138 @@ def test_triggers_match_a_scan(spark):
     assert got == want
 
 
+def test_busy_quarter_joins_one_row_per_order(spark):
+    """A hundred thousand marks in a quarter of an hour: ties of a second, monotone runs, late placements."""
+    rng = random.Random(5)
+    marks = [("X", i, 900 * 1000 + i * 900 // 100_000, 1_000_000 + (i if i < 50_000 else 100_000 - i) + rng.randint(-3, 3)) for i in range(100_000)]
+    orders = [(i, "X", rng.random() < 0.5, 1_000_000 + rng.randint(-10, 50_010), 900 * 1000 + rng.randint(-2000, 900)) for i in range(300)]
+    m = spark.createDataFrame(marks, "index_id string, seq bigint, at bigint, mark bigint")
+    o = spark.createDataFrame(orders, "order_id bigint, index_id string, trigger_above boolean, trigger_price bigint, placed_at bigint")
+    quarters, days, indices = perp.mark_levels(m)
+    assert (quarters.count(), days.count(), indices.count()) == (1, 1, 1)
+    rows = perp.triggered_orders(o, m).collect()
+    want = {}
+    for i, _, above, price, placed in orders:
+        hit = next(((t, x) for _, _, t, x in marks if t >= placed and (x >= price if above else x <= price)), None)
+        if hit:
+            want[i] = hit
+    assert {r.order_id: (r.executed_at, r.executed_mark) for r in rows} == want
+    assert len(rows) == len(want) < len(orders)
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 10, 999, 1001, 20_000])
+def test_quantiles_by_rank(spark, n):
+    rng = random.Random(n)
+    values = [rng.choice([0.25, 0.5, rng.random(), rng.random() * 1e9]) for _ in range(n)]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)] * 3, "v double")
+    shares = {"low": 0.0, "a": 0.01, "median": 0.5, "p95": 0.95, "high": 1.0}
+    got = benchmark.quantiles(df, "v", shares).collect()[0].asDict()
+    for name, p in shares.items():
+        assert got[name] == pytest.approx(float(np.quantile(values, p)), rel=1e-12), name
+    # Nothing but distinct values inside a bracket is ordered.
+    assert benchmark.quantiles(df.filter("false"), "v", shares).collect()[0].asDict() == dict.fromkeys(shares)
+
+
+def test_newest_rows_of_pieces(spark):
+    rng = random.Random(2)
+    rows = [(k, START + timedelta(hours=h), float(h)) for k, n in (("a", 4000), ("b", 3), ("c", 700)) for h in rng.sample(range(6000), n)]
+    bars = spark.createDataFrame(rows, "index_id string, ts timestamp, close double")
+    for limit in (1, 2, 700, 5000):
+        got = sorted((r.index_id, r.close) for r in rollup.latest_bars(bars, limit).collect())
+        want = sorted(x for k in "abc" for x in sorted(((i, c) for i, _, c in rows if i == k), reverse=True)[:limit])
+        assert got == want
+
+
+def brute_ledger(flows, changes):
+    """One flow after the other."""
+    supply = total = reserved = 0
+    balances, out = {}, []
+    moves = [(at, seq, kind, holder, amount, 0, 0) for seq, at, holder, kind, amount in flows] + [(at, seq, kind, None, 0, a, r) for seq, at, kind, a, r in changes]
+    for at, seq, kind, holder, amount, a, r in sorted(moves, key=lambda m: m[:3]):
+        if holder is None:
+            total, reserved = total + a, reserved + r
+            continue
+        own = balances.get(holder, 0)
+        if kind == "deposit":
+            new = 0 if amount <= 0 or (supply and total <= 0) else amount * supply // total if supply else amount
+            status = "zero_assets" if amount <= 0 else "vault_insolvent" if supply and total <= 0 else "ok" if new else "zero_shares"
+            paid = amount if status == "ok" else 0
+        else:
+            pay = amount * max(total, 0) // supply if supply else 0
+            status = "zero_shares" if amount <= 0 else "insufficient_shares" if amount > own else "zero_assets" if not pay else "exceeds_available" if pay > max(total - reserved, 0) else "ok"
+            new, paid = (-amount, -pay) if status == "ok" else (0, 0)
+        supply, total, balances[holder] = supply + new, total + paid, own + new
+        out.append((seq, status, new, paid, own + new, supply, total, reserved))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("chunk", [50, 700, 10_000])
+def test_share_ledger_matches_a_sequential_fold(spark, chunk):
+    """Losses, dust, refusals of every kind, an emptied vault, ties of a second; any cutting into chunks."""
+    rng = random.Random(7)
+    flows, changes = [], []
+    for i in range(400):
+        at, holder = rng.randint(0, 5000), f"h{rng.randint(0, 9)}"
+        if rng.random() < 0.6:
+            flows.append((2 * i, at, holder, "deposit", rng.choice([0, 1, 7, rng.randint(1, 10**6), 10**12])))
+        else:
+            flows.append((2 * i, at, holder, "withdraw", rng.choice([0, 1, rng.randint(1, 10**6), 10**11, 10**12])))
+        changes.append((2 * i + 1, rng.randint(0, 5000), "close", rng.randint(-(10**5), 10**5), rng.randint(-(10**5), 10**5)))
+    changes.append((1, 2500, "liquidation", -(10**15), 0))  # insolvent from here, until money comes back
+    changes.append((3, 2800, "open_fee", 10**15 + 12345, 0))
+    changes += [(5, 3500, "open_fee", 0, 10**16), (7, 4200, "close", 0, -(10**16))]  # nothing is available between
+    f = spark.createDataFrame(flows, "seq bigint, at bigint, holder string, kind string, amount bigint")
+    c = spark.createDataFrame(changes, "seq bigint, at bigint, kind string, assets bigint, reserved bigint")
+    ledger = shares.share_ledger(f, c, chunk)
+    got = sorted((r.seq, r.status, *(int(r[x]) for x in ("shares", "assets", "balance", "supply", "total_assets", "reserved"))) for r in ledger.collect())
+    want = brute_ledger(flows, changes)
+    assert got == want
+    assert {w[1] for w in want} == {"ok", "zero_assets", "zero_shares", "vault_insolvent", "insufficient_shares", "exceeds_available"}
+    last = want and brute_ledger(flows, changes)
+    totals = shares.vault_totals(ledger, c).collect()[0]
+    assert int(totals.supply) == sum(w[2] for w in last) == sum(int(r.shares) for r in shares.holder_shares(ledger).collect())
+    claims = perp.lp_claims(shares.holder_shares(ledger), shares.vault_totals(ledger, c)).collect()[0]
+    assert claims.within
+
+
+def test_share_ledger_of_nothing(spark):
+    f = spark.createDataFrame([], "seq bigint, at bigint, holder string, kind string, amount bigint")
+    c = spark.createDataFrame([(1, 5, "close", 3, 4)], "seq bigint, at bigint, kind string, assets bigint, reserved bigint")
+    assert shares.share_ledger(f, c).count() == 0
+    assert shares.vault_totals(shares.share_ledger(f, c), c).collect()[0].assets == 3
+
+
+def test_silent_slots(spark):
+    """An empty hour gives a row with a reason for every slot and index."""
+    times = [START + timedelta(minutes=m) for m in (0, 1, 2, 62, 63)]
+    legs = spark.createDataFrame([(t, "btc") for t in times] + [(times[1], "eth")], "snapshot_ts timestamp, asset string")
+    results = spark.createDataFrame([("BTCV30", t, 50.0) for t in times[:4]] + [("ETHV30", times[1], 60.0)], "index_id string, snapshot_ts timestamp, value double")
+    rows = index.publish_rows(index.snapshot_grid(legs), results).collect()
+    assert len(rows) == 2 * 64
+    got = {(r.index_id, int((r.snapshot_ts - START).total_seconds() // 60)): (r.status, r.value) for r in rows}
+    assert got["BTCV30", 2] == ("ok", 50.0) and got["BTCV30", 63] == ("no_venues_live", None) and got["ETHV30", 0] == ("missing_asset", None)
+    assert all(got[i, m] == ("no_quotes", None) for i in ("BTCV30", "ETHV30") for m in range(3, 62))
+    assert index.snapshot_grid(legs.filter("false")).count() == 0
+
+
+def test_polls_in_quiet_stretches(spark):
+    """Marks stop for hours: heartbeats go on, and the walk sees every poll."""
+    marks = [("A", 1, 30, 100), ("B", 2, 95, 200), ("A", 3, 100, 101), ("B", 4, 20_000, 230), ("A", 5, 200_000, 101)]
+    m = spark.createDataFrame(marks, "index_id string, seq bigint, at bigint, mark bigint")
+    pairs = thinning.poll_pairs(m, "A", "B", 60, bucket_seconds=7200)
+    polls = sorted(map(tuple, pairs.collect()))
+    assert [p[0] for p in polls] == list(range(120, 200_041, 60))
+    cfg = ThinningConfig(deviation_bps=500, heartbeat_seconds=3600)
+    want, state = [], None
+    for p in polls:
+        why = thinning.reason_to_emit(state, *p, 500, 3600)
+        if why:
+            state = p
+            want.append((*p, why))
+    assert sorted(map(tuple, thinning.thin(pairs, cfg, 7200).collect())) == want
+    assert [w[0] for w in want if w[3] == "deviation"] == [20_040] and sum(w[3] == "heartbeat" for w in want) > 50
+
+
 @pytest.mark.parametrize("chunk", [600, 7200, 86_400])
 def test_thinning_matches_a_single_walk(spark, chunk):
     rng = random.Random(chunk)

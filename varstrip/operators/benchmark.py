@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from varstrip.functions.scalar import bucket_start
@@ -52,15 +52,50 @@ def relative_errors(df: DataFrame, value: str = "index_value", benchmark: str =
     return df.withColumn("hit", F.col("abs_err") <= HIT_TOLERANCE)
 
 
+def quantiles(df: DataFrame, column: str, shares: dict[str, float], accuracy: int = 1000) -> DataFrame:
+    """One row with exact quantiles of a whole column, linear between the two nearest ranks.
+
+    A mergeable sketch, whose rank error is at most 1 / ``accuracy`` of the rows, brackets each
+    quantile. Rows below the bracket are only counted; those inside, a few thousandths, are reduced
+    to distinct values with their counts, and only these are put in order. Columns of up to
+    ``accuracy`` rows are not bracketed. NULLs are left out.
+    """
+    df = df.filter(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("x"))
+    slack = 3.0 / accuracy  # the sketch's error, and one rank as its ranks count from one
+    edges = [F.array(*[F.lit(min(1.0, max(0.0, p + s))) for p in shares.values()]) for s in (-slack, slack)]
+    ends = df.agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx("x", e, accuracy).alias(name) for e, name in zip(edges, ("_lows", "_highs"), strict=True)])
+    # One row.
+    names = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(p).alias("p")) for name, p in shares.items()])
+    asked = ends.select("n", F.inline(F.arrays_zip(names.alias("q"), F.col("_lows").alias("low"), F.col("_highs").alias("high")))).select("n", "q.*", "low", "high")
+    rows = df.withColumn("_k", F.lit(1)).join(F.broadcast(asked.groupBy(F.lit(1).alias("_k")).agg(F.collect_list(F.struct(*asked.columns)).alias("_q"))), "_k")
+    few = F.col("q.n") <= accuracy
+    met = rows.select("x", F.explode("_q").alias("q")).filter(few | (F.col("x") <= F.col("q.high")))
+    inside = few | (F.col("x") >= F.col("q.low"))
+    value = F.when(inside, F.col("x"))  # NULL stands for all rows below
+    counts = met.groupBy("q", value.alias("x")).agg(F.count(F.lit(1)).alias("c"))
+    order = Window.partitionBy("q").orderBy(F.col("x").asc_nulls_first())
+    counts = counts.withColumns({"_upto": F.sum("c").over(order)})
+    at = F.col("q.p") * (F.col("q.n") - 1)
+    low, high = F.floor(at), F.ceil(at)
+    pick = lambda rank: F.min(F.when(F.col("_upto") > rank, F.col("x")))
+    found = counts.groupBy("q").agg(pick(low).alias("a"), pick(high).alias("b"))
+    value = F.col("a") + (F.col("b") - F.col("a")) * (at - low)
+    return found.agg(*[F.max(F.when(F.col("q.name") == name, value)).alias(name) for name in shares])
+
+
 def error_summary(errors: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """n, bias, median and p95 absolute error, share of hits; over all rows or per group."""
-    return errors.groupBy(*(by or [])).agg(
-        F.count("rel_err").alias("n"),
-        F.avg("rel_err").alias("bias"),
-        F.median("abs_err").alias("median_abs"),
-        F.percentile("abs_err", F.lit(0.95)).alias("p95_abs"),
-        F.avg(F.col("hit").cast("double")).alias("hit_share"),
-    )
+    """n, bias, median and p95 absolute error, share of hits; over all rows or per group.
+
+    Groups are a day of one asset or a variant. Over all rows the quantiles are selected by rank in
+    parallel, as an exact percentile of everything would be one task.
+    """
+    simple = [F.count("rel_err").alias("n"), F.avg("rel_err").alias("bias"), F.avg(F.col("hit").cast("double")).alias("hit_share")]
+    if by:
+        out = errors.groupBy(*by).agg(*simple, F.median("abs_err").alias("median_abs"), F.percentile("abs_err", F.lit(0.95)).alias("p95_abs"))
+    else:
+        ranks = quantiles(errors, "abs_err", {"median_abs": 0.5, "p95_abs": 0.95})
+        out = errors.agg(*simple).withColumn("_k", F.lit(1)).join(F.broadcast(ranks.withColumn("_k", F.lit(1))), "_k")
+    return out.select(*(by or []), "n", "bias", "median_abs", "p95_abs", "hit_share")
 
 
 def correlation(df: DataFrame, by: list[str], value: str = "index_value", benchmark: str = "benchmark") -> DataFrame:
@@ -116,8 +151,8 @@ def clean_candles(candles: DataFrame, start: str | None = None, end: str | None
     return df
 
 
-def resample_last(rows: DataFrame, cadence: int = 60, arrival_bucket: int = 1_000_000) -> DataFrame:
-    """Last row per symbol and bucket by arrival order.
+def resample_last(rows: DataFrame, cadence: int = 60, arrival_bucket: int = 1_000_000, keys: tuple[str, ...] = ("currency",)) -> DataFrame:
+    """Last row per symbol and bucket by arrival order, within each series of ``keys``.
 
     A late row, whose own bucket is already past, counts toward the bucket that is open when
     it arrives: the running maximum of buckets in arrival order. ``arrival_bucket`` is the
@@ -125,11 +160,11 @@ def resample_last(rows: DataFrame, cadence: int = 60, arrival_bucket: int = 1_00
     """
     own = bucket_start(F.col("timestamp"), cadence)
     piece = F.floor(F.col("arrival_seq") / arrival_bucket)
-    df = running(rows, ["currency"], ["arrival_seq", "symbol"], piece, {"bucket": ("max", own)})
-    rest = [c for c in df.columns if c not in ("currency", "symbol", "bucket", "timestamp")]
+    df = running(rows, [*keys], ["arrival_seq", "symbol"], piece, {"bucket": ("max", own)})
+    rest = [c for c in df.columns if c not in (*keys, "symbol", "bucket", "timestamp")]
     last = F.max_by(F.struct(*rest), F.struct("arrival_seq", "timestamp")).alias("_row")
-    out = df.groupBy("currency", "symbol", "bucket").agg(last)
-    return out.select("currency", "symbol", F.col("bucket").alias("timestamp"), "_row.*")
+    out = df.groupBy(*keys, "symbol", "bucket").agg(last)
+    return out.select(*keys, "symbol", F.col("bucket").alias("timestamp"), "_row.*")
 
 
 def stage_diff(left: DataFrame, right: DataFrame, keys: list[str], stages: list[tuple[str, float]]) -> DataFrame:

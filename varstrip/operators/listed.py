@@ -33,6 +33,12 @@ def top_of_hour(rows: DataFrame, ts: str = "timestamp") -> DataFrame:
     return rows.filter(F.col(ts) == F.date_trunc("hour", ts))
 
 
+def with_spot(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """One spot per snapshot: the ``underlying_price`` of its first row by ``order`` for all of them."""
+    snapshot = Window.partitionBy(*keys)
+    return rows.withColumn("underlying_price", F.min_by("underlying_price", F.struct(*order)).over(snapshot))
+
+
 def pivot_sides(rows: DataFrame, price: Column, keys: list[str], order: str, both: bool = True) -> DataFrame:
     """Call and put price and IV side by side per strike, last value by ``order``.
 

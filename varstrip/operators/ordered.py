@@ -41,6 +41,13 @@ def last_rows(df: DataFrame, parts: list[str]) -> DataFrame:
     return df.groupBy(*parts).agg(F.max_by(whole, "_n").alias("_last")).select(*parts, "_last.*")
 
 
+def carried(rows: DataFrame, carry: DataFrame, parts: list[str]) -> DataFrame:
+    """Every row with the one row of its part; NULL-safe, as a plain equality would add filters to one side only."""
+    carry = carry.withColumnsRenamed({c: f"_of_{c}" for c in parts})
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in parts]
+    return rows.join(carry, same, "left").drop(*[f"_of_{c}" for c in parts])
+
+
 def running(
     df: DataFrame,
     keys: list[str],
@@ -69,7 +76,7 @@ def running(
     carry = last_rows(local, parts).select(
         *parts, *[_KINDS[k][0](f"_local_{n}").over(earlier).alias(f"_carry_{n}") for n, (k, _) in values.items()]
     )
-    joined = local.join(carry, parts, "left")
+    joined = carried(local, carry, parts)
 
     def combined(name: str, column: str) -> Column:
         return _KINDS[values[name][0]][1](F.col(f"_carry_{name}"), F.col(column))
@@ -91,6 +98,6 @@ def previous(
     carry = last_rows(local, parts).select(
         *parts, F.lag("_row._own").over(Window.partitionBy(*keys).orderBy("_bucket")).alias("_carry")
     )
-    joined = local.join(carry, parts, "left")
+    joined = carried(local, carry, parts)
     chosen = F.when(F.col("_local").isNotNull(), F.col("_local")).otherwise(F.col("_carry"))
     return joined.select(*[F.col(f"_row.{c}").alias(c) for c in df.columns if c not in columns], *[chosen[n].alias(n) for n in columns])

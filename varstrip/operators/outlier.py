@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from varstrip.functions.scalar import bucket_start, is_finite
 from varstrip.operators.index import median_of
-from varstrip.operators.ordered import dealt, last_rows, running
+from varstrip.operators.ordered import carried, dealt, last_rows, running
 from varstrip.params import OutlierConfig
 
 TICK = ["index_id", "snapshot_ts"]
@@ -53,7 +53,7 @@ def streaks(values: DataFrame, config: OutlierConfig = OutlierConfig(), bucket_s
     earlier = Window.partitionBy(*VENUE).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     days = last_rows(rows, parts).withColumn("_base", F.coalesce(F.sum("_total").over(earlier), F.lit(0)))
     days = days.withColumn("_base_reset", F.max(F.col("_base") + F.col("_last")).over(earlier))
-    rows = rows.join(days.select(*parts, "_base", "_base_reset"), parts)
+    rows = carried(rows, days.select(*parts, "_base", "_base_reset"), parts)
     seen = F.col("_base") + F.col("_total")
     reset = F.coalesce(F.col("_base") + F.col("_last"), F.col("_base_reset"), F.lit(0))
     own = [F.col(f"_row.{c}").alias(c) for c in df.columns]

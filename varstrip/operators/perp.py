@@ -181,51 +181,70 @@ def liquidation_settlement(ended: DataFrame, config: PerpConfig = DEFAULTS) -> D
     return df.withColumn("vault_gain", wide(wide(F.col("collateral")) - F.col("reward")))
 
 
-# Nested search windows in seconds, each a multiple of the next.
-TRIGGER_LEVELS = (30 * DAY, DAY, 900)
+QUARTER = 900
 
 
-def triggered_orders(orders: DataFrame, marks: DataFrame, levels: tuple[int, ...] = TRIGGER_LEVELS) -> DataFrame:
-    """First mark at or after placement that meets each order's trigger.
+def _best(rows: Column, reach) -> Column:
+    """First element of an ordered array that ``reach`` accepts, or NULL."""
+    return F.get(F.filter(rows, reach), F.lit(0))
+
+
+def mark_levels(marks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Marks as search levels, each one row per key with an ordered array of what lies below.
 
-    Orders that never trigger are absent. Marks are summarised by the extremes of nested time
-    windows. An order looks for the first window that reaches its trigger, coarse to fine, and
-    meets single marks only inside one finest window per level, so no order is ever paired
-    with all marks of its index however many there are.
+    Quarters (index_id, quarter): seconds with their extremes and their *records*, the marks that
+    exceed (or undercut) all earlier ones of that second. Days: extremes of their quarters. Indices:
+    extremes of their days.
     """
-    n = len(levels)
-    finest = n - 1
-    ids = ["order_id", "index_id", "trigger_above", "trigger_price", "placed_at"]
-    m = marks.select("index_id", "seq", "at", "mark", *[F.floor(F.col("at") / w).alias(f"_m{i}") for i, w in enumerate(levels)])
-    o = orders.select(*ids, *[F.floor(F.col("placed_at") / w).alias(f"_o{i}") for i, w in enumerate(levels)])
-
-    def extremes(i: int) -> DataFrame:
-        keys = ["index_id", *([f"_m{i - 1}"] if i else []), f"_m{i}"]
-        return m.groupBy(*keys).agg(F.max("mark").alias("_high"), F.min("mark").alias("_low"))
-
-    reach = F.when(F.col("trigger_above"), F.col("_high") >= F.col("trigger_price")).otherwise(
-        F.col("_low") <= F.col("trigger_price")
-    )
-    found = o.select(*ids, F.col(f"_o{finest}").alias("_w"))
-    for i in range(n):
-        parent = {f"_o{i - 1}": f"_m{i - 1}"} if i else {}
-        side = o.withColumnsRenamed(parent).join(extremes(i), ["index_id", *parent.values()])
-        hits = side.filter((F.col(f"_m{i}") > F.col(f"_o{i}")) & reach).groupBy(*ids).agg(F.min(f"_m{i}").alias(f"_m{i}"))
-        for d in range(i + 1, n):
-            inner = hits.join(extremes(d), ["index_id", f"_m{d - 1}"]).filter(reach)
-            hits = inner.groupBy(*ids).agg(F.min(f"_m{d}").alias(f"_m{d}"))
-        found = found.unionByName(hits.select(*ids, F.col(f"_m{finest}").alias("_w")))
-
-    hit = F.when(F.col("trigger_above"), F.col("mark") >= F.col("trigger_price")).otherwise(
-        F.col("mark") <= F.col("trigger_price")
-    )
-    pairs = found.join(m.withColumnRenamed(f"_m{finest}", "_w"), ["index_id", "_w"])
-    first = pairs.filter(hit & (F.col("at") >= F.col("placed_at"))).groupBy("order_id").agg(
-        F.min(F.struct("at", "seq", "mark")).alias("_hit")
-    )
-    return orders.join(first, "order_id").select(
-        *orders.columns, F.col("_hit.at").alias("executed_at"), F.col("_hit.mark").alias("executed_mark")
+    inside = Window.partitionBy("index_id", "at").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    m = marks.select("index_id", "seq", "at", "mark").withColumns({"_high": F.max("mark").over(inside), "_low": F.min("mark").over(inside)})
+    record = F.struct("seq", "mark")
+    seconds = m.groupBy("index_id", "at").agg(
+        F.max("mark").alias("high"), F.min("mark").alias("low"),
+        F.sort_array(F.collect_list(F.when(F.col("_high").isNull() | (F.col("mark") > F.col("_high")), record))).alias("highs"),
+        F.sort_array(F.collect_list(F.when(F.col("_low").isNull() | (F.col("mark") < F.col("_low")), record))).alias("lows"),
     )
+    ends = [F.max("high").alias("high"), F.min("low").alias("low")]
+    below = lambda *c: F.sort_array(F.collect_list(F.struct(*c))).alias("below")
+    quarters = seconds.groupBy("index_id", F.floor(F.col("at") / QUARTER).alias("quarter")).agg(*ends, below("at", "high", "low", "highs", "lows"))
+    days = quarters.groupBy("index_id", F.floor(F.col("quarter") * QUARTER / DAY).alias("day")).agg(*ends, below("quarter", "high", "low"))
+    return quarters, days, days.groupBy("index_id").agg(below("day", "high", "low"))
+
+
+def triggered_orders(orders: DataFrame, marks: DataFrame) -> DataFrame:
+    """First mark at or after placement that meets each order's trigger.
+
+    Orders that never trigger are absent. An order looks for the rest of its own quarter of an hour,
+    then for the first later quarter of its day, then for the first later day and its first quarter,
+    in arrays of extremes; in the second that is found, the first of its few records that meets the
+    trigger is the mark. Every join finds at most one row per order, however many marks there are.
+    """
+    quarters, days, indices = mark_levels(marks)
+    reach = lambda x: F.when(F.col("trigger_above"), x["high"] >= F.col("trigger_price")).otherwise(x["low"] <= F.col("trigger_price"))
+    o = orders.select(F.struct(*orders.columns).alias("_row"), *[F.col(c) for c in ("order_id", "index_id", "trigger_above", "trigger_price", "placed_at")])
+    o = o.withColumns({"_quarter": F.floor(F.col("placed_at") / QUARTER), "_day": F.floor(F.col("placed_at") / DAY)})
+
+    def met(second: Column) -> Column:
+        """The mark in a second that reaches the trigger."""
+        exact = _best(F.when(F.col("trigger_above"), second["highs"]).otherwise(second["lows"]), lambda r: F.when(F.col("trigger_above"), r["mark"] >= F.col("trigger_price")).otherwise(r["mark"] <= F.col("trigger_price")))
+        return F.when(second.isNotNull(), F.struct(second["at"].alias("at"), exact["mark"].alias("mark")))
+
+    def looked_up(df: DataFrame, level: DataFrame, key: str, name: str) -> DataFrame:
+        """``df`` with the array ``below`` of the node whose number is in the column ``name``."""
+        # Orders that look nothing up get keys of their own, not one common NULL.
+        own = F.coalesce(F.col(name), -1 - F.pmod(F.xxhash64("order_id"), F.lit(1 << 16)))
+        return df.withColumn("_key", own).join(level.select("index_id", F.col(key).alias("_key"), "below"), ["index_id", "_key"], "left").drop("_key")
+
+    o = looked_up(o, quarters, "quarter", "_quarter").withColumn("_hit", met(_best(F.col("below"), lambda s: (s["at"] >= F.col("placed_at")) & reach(s)))).drop("below")
+    later = _best(F.col("below"), lambda q: (q["quarter"] > F.col("_quarter")) & reach(q))["quarter"]
+    o = looked_up(o, days, "day", "_day").withColumn("_next", F.when(F.col("_hit").isNull(), later)).drop("below")
+    # One row per index, with a number or two per day of its history.
+    o = o.join(F.broadcast(indices), "index_id", "left")
+    day = _best(F.col("below"), lambda d: (d["day"] > F.col("_day")) & reach(d))["day"]
+    o = o.withColumn("_then", F.when(F.col("_hit").isNull() & F.col("_next").isNull(), day)).drop("below")
+    o = looked_up(o, days, "day", "_then").withColumn("_next", F.coalesce("_next", _best(F.col("below"), reach)["quarter"])).drop("below")
+    o = looked_up(o, quarters, "quarter", "_next").withColumn("_hit", F.coalesce("_hit", met(_best(F.col("below"), reach))))
+    return o.filter("_hit IS NOT NULL").select("_row.*", F.col("_hit.at").alias("executed_at"), F.col("_hit.mark").alias("executed_mark"))
 
 
 def executions(triggered: DataFrame, lives: DataFrame) -> DataFrame:

@@ -10,6 +10,10 @@ from varstrip.operators.ordered import previous
 from varstrip.params import HISTORY_DEFAULT_LIMIT, HISTORY_INTERVALS, HISTORY_MAX_LIMIT, TIMEFRAMES
 
 
+# Bars of one index are ranked in pieces of so much time.
+PIECE_SECONDS = 30 * 86_400
+
+
 def tick_order(order: list[str] | None) -> Column:
     """Order of ticks: a timestamp column, and a sequence number if given."""
     when, *sequence = order or ["ts"]
@@ -80,8 +84,15 @@ def latest_bars(bars: DataFrame, limit: int = HISTORY_DEFAULT_LIMIT, index_id: s
     if index_id is not None:
         newest = bars.filter(F.col("index_id") == index_id).orderBy(F.desc("ts")).limit(limit)
         return newest.orderBy("ts")
-    newest_first = Window.partitionBy("index_id").orderBy(F.desc("ts"))
-    return bars.withColumn("_rank", F.row_number().over(newest_first)).filter(F.col("_rank") <= limit).drop("_rank")
+    # Of every piece of time only its newest ones go on, so that a key's last step has few rows.
+    day = bucket_start(F.col("ts"), PIECE_SECONDS).alias("_piece")
+    counts = bars.groupBy("index_id", day).agg(F.count(F.lit(1)).alias("_n"))
+    after = F.expr("sum(_n) OVER (PARTITION BY index_id ORDER BY _piece DESC) - _n")
+    wanted = counts.withColumn("_after", after).filter(F.col("_after") < limit).drop("_n")
+    rows = bars.withColumn("_piece", bucket_start(F.col("ts"), PIECE_SECONDS)).join(wanted, ["index_id", "_piece"])
+    newest_first = Window.partitionBy("index_id", "_piece").orderBy(F.desc("ts"))
+    rank = F.row_number().over(newest_first) + F.col("_after")
+    return rows.withColumn("_rank", rank).filter(F.col("_rank") <= limit).drop("_rank", "_piece", "_after")
 
 
 def timeframe(bars: DataFrame, name: str, index_id: str | None = None) -> DataFrame:

@@ -513,8 +513,8 @@ def smile_points(spark, sf):
 @query
 def listed_vs_vanilla(spark, sf):
     v = backtest.vanilla_ratio(backtest.snapshot_rows(inputs.history_chain(spark, sf)))
-    return v.groupBy("snapshot_ts", "asset", "expiry", "kind").agg(
-        F.count(F.lit(1)).alias("strikes"), r(F.sum("quote_usd"), 5).alias("quote_usd"), r(F.sum("model_usd"), 5).alias("model_usd"),
+    return v.groupBy(*CHAIN, "kind").agg(
+        F.count(F.lit(1)).alias("strikes"), r(F.sum("quote_usd"), 4).alias("quote_usd"), r(F.sum("model_usd"), 4).alias("model_usd"),
         r(F.max("quote_usd")).alias("quote_max"), r(F.max("model_usd")).alias("model_max"),
     )
 
@@ -728,7 +728,7 @@ def ema_overlay(spark, sf):
 @query
 def live_bar(spark, sf):
     t = inputs.index_ticks(spark, sf)
-    old = t.filter(F.col("seq") % 2 == 0)
+    old = t.filter(F.col("ts") < F.lit("2024-01-30 12:00:00").cast("timestamp"))  # the last bar is half a day old
     bars = rollup.latest_bars(rollup.history(rollup.minute_bars(old, ["ts", "seq"]), "1d"), 30)
     return rollup.patch_live_bar(bars, rollup.latest_value(t, ["ts", "seq"])).drop("avg_confidence")
 
@@ -777,18 +777,18 @@ def _rows(spark, sf):
 @query
 def quote_selector(spark, sf):
     h = inputs.history_chain(spark, sf)
-    return h.groupBy("currency", "timestamp").agg(*[r(F.sum(listed.quote_price(h, q))).alias(q) for q in listed.QUOTES])
+    return h.groupBy("venue", "currency", "timestamp").agg(*[r(F.sum(listed.quote_price(h, q))).alias(q) for q in listed.QUOTES])
 
 
 @query
 def top_of_hour(spark, sf):
-    return listed.top_of_hour(inputs.history_chain(spark, sf)).groupBy("currency", "timestamp").agg(F.count(F.lit(1)).alias("n"))
+    return listed.top_of_hour(inputs.history_chain(spark, sf)).groupBy("venue", "currency", "timestamp").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
 def pivot_sides(spark, sf):
     legs = backtest.listed_legs(_rows(spark, sf))
-    return legs.groupBy("snapshot_ts", "asset", "expiry").agg(
+    return legs.groupBy(*CHAIN).agg(
         F.count(F.lit(1)).alias("strikes"), *[r(F.sum(c), 5).alias(c) for c in ("call", "put", "iv")], r(F.max("iv")).alias("iv_max")
     )
 
@@ -797,7 +797,7 @@ def pivot_sides(spark, sf):
 def wing_termination(spark, sf):
     legs = _zeroed(backtest.listed_legs(_rows(spark, sf)))
     s = listed.otm_strip(listed.with_forward(legs, listed.CHAIN), listed.CHAIN)
-    return s.groupBy("snapshot_ts", "asset", "expiry", "side").agg(
+    return s.groupBy(*CHAIN, "side").agg(
         F.count(F.lit(1)).alias("strikes"), F.min("strike").alias("lowest"), F.max("strike").alias("highest"),
         F.sum("strike").alias("strike_sum"), r(F.sum("q"), 5).alias("q"),
     )
@@ -815,7 +815,7 @@ def _zeroed(legs: DataFrame) -> DataFrame:
 def strike_intervals(spark, sf):
     legs = _zeroed(backtest.listed_legs(_rows(spark, sf)))
     s = listed.otm_strip(listed.with_forward(legs, listed.CHAIN), listed.CHAIN)
-    return listed.strike_intervals(s, listed.CHAIN).filter("delta_k IS NOT NULL").groupBy("snapshot_ts", "asset", "expiry").agg(
+    return listed.strike_intervals(s, listed.CHAIN).filter("delta_k IS NOT NULL").groupBy(*CHAIN).agg(
         F.count(F.lit(1)).alias("strikes"), F.sum("delta_k").alias("width"), F.sum(F.col("delta_k") * F.col("strike")).alias("weighted"),
     )
 
@@ -823,14 +823,14 @@ def strike_intervals(spark, sf):
 @query
 def listed_variance(spark, sf):
     v = listed.listed_variance(backtest.listed_legs(_rows(spark, sf)), listed.CHAIN)
-    return v.select("snapshot_ts", "asset", "expiry", "strikes", "k_zero", r("forward").alias("forward"), r("sigma_sq").alias("sigma_sq"))
+    return v.select(*CHAIN, "strikes", "k_zero", r("forward").alias("forward"), r("sigma_sq").alias("sigma_sq"))
 
 
 @query
 def resample_last(spark, sf):
     h = inputs.history_chain(spark, sf)
-    s = bm.resample_last(h, 3600, 36_000 * 24)
-    return s.groupBy("currency", "timestamp").agg(
+    s = bm.resample_last(h, 3600, 36_000 * 24, ("venue", "currency"))
+    return s.groupBy("venue", "currency", "timestamp").agg(
         F.count(F.lit(1)).alias("rows"), F.countDistinct("symbol").alias("symbols"), F.sum("arrival_seq").alias("arrival_sum"),
         r(F.sum("ask_price"), 5).alias("ask_sum"),
     )
@@ -881,27 +881,24 @@ def worst_errors(spark, sf):
 @query
 def listed_backtest(spark, sf):
     b = backtest.listed_backtest(_rows(spark, sf), inputs.benchmark(spark, sf))
-    return b.select("snapshot_ts", "asset", "status", r("index_value", 5).alias("index_value"), "benchmark")
+    return b.select(*KEY, "status", r("index_value", 5).alias("index_value"), "benchmark")
 
 
 @query
 def status_breakdown(spark, sf):
     b = backtest.listed_backtest(_rows(spark, sf), inputs.benchmark(spark, sf)).withColumn("date", F.date_format("snapshot_ts", "yyyy-MM-dd"))
-    return rounded(bm.status_breakdown(b, ["asset", "date"], ["ok", "no_expiry_pair", "compute_err"]), "success_rate")
+    return rounded(bm.status_breakdown(b, ["venue", "asset", "date"], ["ok", "no_expiry_pair", "compute_err"]), "success_rate")
 
 
 @query
 def fitted_backtest(spark, sf):
     b = backtest.fitted_backtest(_rows(spark, sf), inputs.benchmark(spark, sf))
-    return b.select("snapshot_ts", "asset", r("index_value", 5).alias("index_value"), "benchmark")
+    return b.select(*KEY, r("index_value", 5).alias("index_value"), "benchmark")
 
 
 @query
 def variant_sweep(spark, sf):
-    rows, candles = _rows(spark, sf), inputs.benchmark(spark, sf)
-    listed_rows = backtest.variant_sweep(rows, candles)
-    fitted = bm.error_summary(bm.relative_errors(backtest.fitted_backtest(rows, candles))).withColumn("variant", F.lit("fitted"))
-    return rounded(listed_rows.unionByName(fitted), "bias", "median_abs", "p95_abs", "hit_share")
+    return rounded(backtest.variant_sweep(_rows(spark, sf), inputs.benchmark(spark, sf)), "bias", "median_abs", "p95_abs", "hit_share")
 
 
 @query

@@ -181,8 +181,8 @@ def index_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly candles per asset; hours without a sampled event are missing."""
-    ev = events(spark, sf_dir).filter(c("event_id") % 4 == 0)
+    """Hourly candles per asset; hours without an event are missing."""
+    ev = events(spark, sf_dir)
     by = F.struct("ts", "event_id")
     level = F.lit(20.0) + c("value") / F.lit(10.0)
     return ev.groupBy(asset_of(c("user_id")).alias("asset"), bucket_start(c("ts"), HOUR).alias("timestamp")).agg(
@@ -194,8 +194,8 @@ def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def history_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Historical snapshot rows in coin prices, in arrival order, some of them late."""
-    legs = chain_quotes(spark, sf_dir).filter(c("venue") == "deribit")
+    """Historical snapshot rows of every venue in coin prices, in arrival order, some of them late."""
+    legs = chain_quotes(spark, sf_dir)
     i = ((c("strike") - 40) / 4).cast("int")
     coin = c("mid") / F.lit(100.0)
     rows = legs.select(
@@ -207,6 +207,7 @@ def history_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
             c("strike").cast("int").cast("string"),
             F.when(c("kind") == "call", "C").otherwise("P"),
         ).alias("symbol"),
+        "venue",
         c("asset").alias("currency"),
         c("kind").alias("type"),
         c("strike").alias("strike_price"),
@@ -215,7 +216,6 @@ def history_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
         (coin * F.lit(1.01)).alias("ask_price"),
         coin.alias("mark_price"),
         (c("iv") * F.lit(100.0)).alias("mark_iv"),
-        F.lit(100.0).alias("underlying_price"),
         i.alias("i"),
     )
     # Two updates per instrument and hour; every 17th strike's second one is an hour late.
@@ -225,6 +225,7 @@ def history_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return updates.select(
         F.when(late, seconds_after(c("timestamp"), F.lit(-1800))).otherwise(c("timestamp")).alias("timestamp"),
         "symbol",
+        "venue",
         "currency",
         "type",
         "strike_price",
@@ -233,7 +234,8 @@ def history_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
         (c("ask_price") + c("u") * F.lit(0.01)).alias("ask_price"),
         "mark_price",
         "mark_iv",
-        "underlying_price",
+        # The spot moves from update to update.
+        (F.lit(100.0) + (arrival % 7) * F.lit(0.125)).alias("underlying_price"),
         arrival.alias("arrival_seq"),
     )
 
