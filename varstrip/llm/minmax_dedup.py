@@ -148,15 +148,6 @@ def signed(documents: DataFrame) -> DataFrame:
     return written(rows.mapInArrow(_signed_batches, SIGNED), "signed")
 
 
-def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The full sets of nodes, given one text of each."""
-    for batch in batches:
-        nodes = batch.column("node")
-        for part in tx.slices(batch.column("text")):
-            sets = [short(own) for own in shingle_sets(part.data, part.offsets)]
-            yield pa.RecordBatch.from_arrays([nodes.slice(part.rows.start, len(sets)), pa.array(sets, pa.binary())], names=["node", "shingles"])
-
-
 def bitmap(keys: DataFrame, bits: int = FILTER) -> np.ndarray:
     """Which of ``bits`` places the column ``key`` takes."""
     place = keys.select((F.pmod("key", F.lit(bits)) + 1).alias("at")).select((F.bitmap_bucket_number("at") - 1).alias("bucket"), F.bitmap_bit_position("at").alias("at"))
@@ -173,13 +164,17 @@ def full_sets(documents: DataFrame, nodes: DataFrame) -> DataFrame:
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.column("key").to_numpy() % FILTER
-            yield batch.filter(pa.array(taken.value[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1))
+            batch = batch.filter(pa.array(taken.value[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1))
+            for part in tx.slices(batch.column("text")):
+                names = [batch.column(c).slice(part.rows.start, part.rows.stop - part.rows.start) for c in ("doc_id", "key")]
+                sets = [short(own) for own in shingle_sets(part.data, part.offsets)]
+                yield pa.RecordBatch.from_arrays([*names, pa.array(sets, pa.binary())], names=["doc_id", "key", "shingles"])
 
     rows = named(documents).select(F.col("_name.doc_id"), F.col("_name.key"), F.col("_row.text").cast("string").alias("text"))
-    rows = rows.mapInArrow(asked, "doc_id long, key long, text string").select(F.struct("doc_id", "key").alias("_name"), "text")
-    # Rows of the same id and text are one text: the join's placement serves the grouping too.
-    texts = rows.join(nodes.hint("merge"), "_name").groupBy("_name").agg(F.first("node").alias("node"), F.first("text").alias("text"))
-    return written(texts.select("node", "text").mapInArrow(_set_batches, "node long, shingles binary"), "sets")
+    rows = rows.mapInArrow(asked, "doc_id long, key long, shingles binary").select(F.struct("doc_id", "key").alias("_name"), "shingles")
+    # Rows of the same id and text have one set: the join's placement serves the grouping too.
+    sets = rows.join(nodes.hint("merge"), "_name").groupBy("_name").agg(F.first("node").alias("node"), F.first("shingles").alias("shingles"))
+    return written(sets.select("node", "shingles"), "sets")
 
 
 def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
