@@ -34,6 +34,29 @@ def test_stages_keep_columns_and_odd_rows(spark, small, odd):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, small).count() == docs.count()
 
 
+def test_stages_keep_columns_of_clashing_names(spark, small, odd):
+    """Columns named like the operators' own come back as they went in."""
+    own = ["_own", "_id", "_key", "_name", "_row", "_doc", "key", "node", "row", "block", "shard", "n_words", "kept", "_words", "component_id", "contaminated", "spans", "score"]
+    docs = spark.createDataFrame([(d, t, "en", "s", None if t is None else len(t)) for d, t in odd], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.selectExpr("*", *[f"concat('{c}', doc_id) AS {c}" for c in own])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, small)
+        assert out.schema.names == docs.schema.names, name
+        rows = out.collect()
+        assert rows and all(r[c] == f"{c}{r.doc_id}" for r in rows for c in own), name
+        docs = spark.createDataFrame(rows, docs.schema)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, small).count() == docs.count()
+
+
+def test_repeated_rows_become_the_first_one(spark, small):
+    """Of rows equal in id and text the one whose other columns come first stays, wherever it lies."""
+    text = " ".join(f"w{i % 7}x{i}" for i in range(80))
+    rows = [(1, text, "z"), (1, text, "a"), (1, text, None), (2, text, "0")]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, lang string").repartition(3)
+        assert [tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, small).collect()] == [(1, text, None)]
+
+
 def test_stages_take_empty_tables(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:

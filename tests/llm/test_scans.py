@@ -1,5 +1,8 @@
 """Index search, secrets, licences and byte-pair encoding against their brute-force versions."""
 
+import base64
+import time
+
 import public_tokenizers
 import pytest
 from brute import op1, op3, op6, op9
@@ -63,6 +66,27 @@ def test_checked_tokens(frame):
     assert got == {1: f"github:2:{2 + len(good)}", 2: "", 3: f"jwt:0:{len(token)}", 4: "", 5: ""}
 
 
+@pytest.mark.parametrize("unit", ["eyJ", "eyJ.", "eyJab.eyJ-", "-----BEGIN PRIVATE KEY-----\nAAAA\n", "token ", "AKIA", "api_key=\"x\" "])
+def test_long_failing_texts_are_scanned_once(unit):
+    """Five megabytes of starts that never end; the base kinds as ever."""
+    text = unit * (5_000_000 // len(unit))
+    began = time.monotonic()
+    spans = secret_scan.scan_bytes(text.encode())
+    assert time.monotonic() - began < 30
+    if unit == "AKIA":
+        assert spans == [(0, 1, len(text))]
+    else:
+        assert spans == []
+
+
+def test_token_after_a_failing_start():
+    """A start that fails hides nothing that begins behind its run."""
+    good = base64.urlsafe_b64encode(b'{"alg":"x"}').rstrip(b"=").decode()
+    for text in (f"eyJ {good}.eyJhIjoxfQ.sig", f"eyJ.{good}.eyJhIjoxfQ.sig", f"eyJab/{good}.eyJhIjoxfQ.sig"):
+        (start, kind, end), = secret_scan.scan_bytes(text.encode())
+        assert (text[start:end], kind) == (f"{good}.eyJhIjoxfQ.sig", 5)
+
+
 def test_redaction(frame):
     docs = frame([(1, "é password=hunter22 end"), (2, None), (3, "clean")])
     out = secret_scan.redact(docs)
