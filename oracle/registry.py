@@ -392,7 +392,7 @@ d AS (SELECT *, CASE WHEN iv > 0 THEN (ln(f / strike) + 0.5e0 * iv * iv * t) / (
 e AS (SELECT *, d1 - iv * sqrt(t) AS d2 FROM d),
 m AS (SELECT *, CASE WHEN kind = 'call' THEN CASE WHEN d1 IS NULL THEN greatest(f - strike, 0e0) ELSE f * {c.ncdf('d1')} - strike * {c.ncdf('d2')} END
                      ELSE CASE WHEN d1 IS NULL THEN greatest(strike - f, 0e0) ELSE strike * {c.ncdf('(-d2)')} - f * {c.ncdf('(-d1)')} END END AS model_usd FROM e)
-SELECT snapshot_ts, venue, asset, expiry, kind, count(*) AS strikes, round(sum(quote_usd), 4) AS quote_usd, round(sum(model_usd), 4) AS model_usd,
+SELECT snapshot_ts, venue, asset, expiry, kind, count(*) AS strikes, round(sum(quote_usd), 6) AS quote_usd, round(sum(model_usd), 6) AS model_usd,
        round(max(quote_usd), 6) AS quote_max, round(max(model_usd), 6) AS model_max
 FROM m GROUP BY ALL
 """,

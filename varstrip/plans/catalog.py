@@ -514,7 +514,7 @@ def smile_points(spark, sf):
 def listed_vs_vanilla(spark, sf):
     v = backtest.vanilla_ratio(backtest.snapshot_rows(inputs.history_chain(spark, sf)))
     return v.groupBy(*CHAIN, "kind").agg(
-        F.count(F.lit(1)).alias("strikes"), r(F.sum("quote_usd"), 4).alias("quote_usd"), r(F.sum("model_usd"), 4).alias("model_usd"),
+        F.count(F.lit(1)).alias("strikes"), r(F.sum("quote_usd")).alias("quote_usd"), r(F.sum("model_usd")).alias("model_usd"),
         r(F.max("quote_usd")).alias("quote_max"), r(F.max("model_usd")).alias("model_max"),
     )
 
