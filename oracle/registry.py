@@ -185,6 +185,8 @@ FROM legs WHERE put_mid IS NOT NULL GROUP BY ALL
 F = (*T, c.FLAGS)
 add("tick_rule_flags", F, "SELECT seq, arrival_ts, NOT (age BETWEEN 0 AND 5) AS stale, crossed, wide, below FROM flags")
 add("tick_drop_reasons", F, "SELECT drop_reason, count(*) AS ticks FROM classified GROUP BY ALL")
+_tuned = c.FLAGS.replace("BETWEEN 0 AND 5", "BETWEEN 0 AND 3").replace("> 0.30e0", "> 0.1e0").replace("mid + 0.01e0", "mid + 2.5e0")
+add("tuned_drop_reasons", (*T, _tuned), "SELECT drop_reason, count(*) AS ticks FROM classified GROUP BY ALL")
 add("clean_ticks", F, "SELECT seq, venue, asset, expiry, strike, kind, bid, ask, mid, iv, received_at, arrival_ts FROM classified WHERE drop_reason = 'pass'")
 add(
     "tick_dedup",
@@ -490,6 +492,17 @@ FROM verdict WHERE newly_dropped OR newly_restored
 """,
     True,
 )
+add(
+    "outlier_counters",
+    (c.EV, c.BASE, LEVELS, tracker(0.02, 3)),
+    """
+, live AS (SELECT index_id, snapshot_ts, count(*) FILTER (WHERE active) AS n FROM verdict GROUP BY ALL)
+SELECT index_id, 'outlier_dropped' AS counter, venue AS label, count(*) AS n FROM verdict WHERE newly_dropped GROUP BY ALL
+UNION ALL SELECT index_id, 'outlier_restored', venue, count(*) FROM verdict WHERE newly_restored GROUP BY ALL
+UNION ALL SELECT index_id, 'active_venues', 'newest', arg_max(n, snapshot_ts) FROM live GROUP BY index_id
+""",
+    True,
+)
 add("active_and_dropped", OUT, "SELECT index_id, snapshot_ts, venue, value, active FROM verdict", True)
 add(
     "median_blend",

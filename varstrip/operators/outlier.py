@@ -117,3 +117,13 @@ def transitions(evaluated: DataFrame) -> DataFrame:
         "deviation",
         "streak",
     )
+
+
+def counters(evaluated: DataFrame) -> DataFrame:
+    """What an operator watches, in long form (index_id, counter, label, n): drops and restorations of
+    each venue so far, and the active venues at the newest tick."""
+    moves = [F.struct(F.lit(f"outlier_{k}").alias("counter"), F.col("venue").alias("label"), F.count_if(f"newly_{k}").alias("n")) for k in ("dropped", "restored")]
+    drops = evaluated.groupBy("index_id", "venue").agg(F.array(*moves).alias("_c")).select("index_id", F.inline("_c")).filter("n > 0")
+    live = evaluated.groupBy(*TICK).agg(F.count_if("active").alias("n"))
+    gauge = live.groupBy("index_id").agg(F.max_by("n", "snapshot_ts").alias("n"))
+    return drops.unionByName(gauge.select("index_id", F.lit("active_venues").alias("counter"), F.lit("newest").alias("label"), "n"))

@@ -16,7 +16,7 @@ from varstrip.functions import pricing, scalar
 from varstrip.functions.instruments import GRAMMARS, decompose
 from varstrip.operators import benchmark as bm
 from varstrip.operators import chain, health, index, listed, outlier, perp, quality, rollup, shares, strip, thinning
-from varstrip.params import INDEX_DIMENSION, OutlierConfig, ThinningConfig
+from varstrip.params import INDEX_DIMENSION, OutlierConfig, QualityConfig, ThinningConfig
 from varstrip.plans import backtest, frames, index_pipeline, inputs
 from varstrip.session import prepare
 from varstrip.sources import historical, messages, sinks, venues
@@ -257,6 +257,13 @@ def tick_drop_reasons(spark, sf):
     return quality.filtered_counts(inputs.raw_ticks(spark, sf))
 
 
+@query
+def tuned_drop_reasons(spark, sf):
+    """The tick filter with thresholds read from settings."""
+    config = QualityConfig.from_dict({"max_age_secs": 3, "max_spread_ratio": 0.1, "intrinsic_tolerance": 2.5})
+    return quality.filtered_counts(inputs.raw_ticks(spark, sf), config)
+
+
 @query
 def clean_ticks(spark, sf):
     return quality.passing(inputs.raw_ticks(spark, sf)).select("seq", "venue", "asset", "expiry", "strike", "kind", "bid", "ask", "mid", "iv", "received_at", "arrival_ts")
@@ -575,6 +582,12 @@ def outlier_transitions(spark, sf):
     return rounded(t, "deviation", digits=9)
 
 
+@query
+def outlier_counters(spark, sf):
+    """Drop counters and the gauge of active venues, under a policy that drops often."""
+    return outlier.counters(outlier.evaluate(_levels(spark, sf), OutlierConfig(threshold=0.02, streak=3)))
+
+
 @query
 def active_and_dropped(spark, sf):
     """Active venues first, dropped ones after, in one table."""
