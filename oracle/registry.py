@@ -1013,3 +1013,16 @@ add(
 SELECT venue, asset, 'no_next_expiry' AS status, count(*) AS n FROM s GROUP BY ALL
 """,
 )
+
+# ---------------------------------------------------------------- streams and sinks, there and back
+add("streamed_bars", BARS, BAR)
+add(
+    "streamed_ticks",
+    F,
+    """
+, one AS (SELECT DISTINCT venue, asset, expiry, strike, kind, received_at FROM classified WHERE drop_reason = 'pass')
+SELECT venue, asset, kind, count(*) AS n, sum(strike) AS strikes FROM one GROUP BY ALL
+""",
+)
+add("streamed_index", IDX, "SELECT index_id, ts, min(value) AS value, min(confidence) AS confidence FROM index_ticks GROUP BY ALL")
+add("tick_table", T, "SELECT seq, venue, asset, strike, kind, received_at AS ts FROM ticks WHERE received_at >= TIMESTAMP '2024-01-10' AND received_at < TIMESTAMP '2024-01-12'")

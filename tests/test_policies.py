@@ -13,6 +13,7 @@ from varstrip.operators import benchmark, index, ordered, outlier, perp, quality
 from varstrip.params import OutlierConfig, PerpConfig, QualityConfig, ThinningConfig
 from varstrip.plans import inputs
 from varstrip.sources import historical, sinks
+from varstrip.streaming import index_sink
 from varstrip.streaming import rollup as stream_rollup
 from varstrip.streaming import snapshots as stream_snapshots
 from varstrip.streaming import ticks as stream_ticks
@@ -308,6 +309,23 @@ def test_index_sink_ignores_replays(spark, small, tmp_path):
     assert spark.read.parquet(path).count() == rows.select("index_id", "ts").distinct().count()
 
 
+def test_streamed_index_batches_replayed_and_overlapping(spark, tmp_path):
+    """A batch written again, and one that overlaps earlier ones, leave every key once."""
+    rows = lambda *hours: spark.createDataFrame([("X", START + timedelta(hours=h), float(h)) for h in hours], "index_id string, ts timestamp, value double")
+    path = str(tmp_path / "index")
+    read = lambda: sorted((int((r.ts - START).total_seconds() // 3600), r.batch) for r in index_sink.read_index(spark, path).collect())
+    assert index_sink.read_index(spark, path) is None
+    index_sink.write_batch(rows(1, 2, 2, 800), 0, path)
+    index_sink.write_batch(rows(2, 3, 1500), 1, path)
+    want = [(1, 0), (2, 0), (3, 1), (800, 0), (1500, 1)]
+    assert read() == want
+    for epoch, hours in ((0, (1, 2, 2, 800)), (1, (2, 3, 1500)), (0, (1, 2, 2, 800))):
+        index_sink.write_batch(rows(*hours), epoch, path)
+        assert read() == want
+    index_sink.write_batch(rows(), 2, path)
+    assert read() == want
+
+
 def run(query):
     q = query.start()
     try:

@@ -17,7 +17,7 @@ CHECKED = [
     "tick_drop_reasons", "tuned_drop_reasons", "outlier_counters", "tick_dedup", "quality_counters", "snapshot_overlap", "latest_quotes", "latest_legs", "chain_forwards",
     "expiry_picker", "normal_cdf", "option_prices", "expiry_variance", "interpolation_cases", "outlier_state", "blended_index",
     "minute_bars", "history_5m", "ema_overlay", "live_bar", "pipeline_checks", "listed_variance", "resample_last",
-    "benchmark_nearest", "error_summary", "position_values", "position_endings", "order_executions", "liquidation_settlements", "triggered_orders", "vault_history", "share_ledger", "vault_report", "lp_claims", "thinned_polls", "published_rows", "variant_sweep", "listed_backtest", "newest_bars",
+    "benchmark_nearest", "error_summary", "position_values", "position_endings", "order_executions", "liquidation_settlements", "triggered_orders", "vault_history", "share_ledger", "vault_report", "lp_claims", "thinned_polls", "published_rows", "streamed_bars", "streamed_ticks", "streamed_index", "tick_table", "variant_sweep", "listed_backtest", "newest_bars",
 ]
 
 

@@ -17,10 +17,13 @@ from varstrip.functions.instruments import GRAMMARS, decompose
 from varstrip.operators import benchmark as bm
 from varstrip.operators import chain, health, index, listed, outlier, perp, quality, rollup, shares, strip, thinning
 from varstrip.params import INDEX_DIMENSION, OutlierConfig, QualityConfig, ThinningConfig
-from varstrip.plans import backtest, frames, index_pipeline, inputs
+from varstrip.plans import backtest, frames, index_pipeline, inputs, round_trips
 from varstrip.session import prepare
 from varstrip.sources import historical, messages, sinks, venues
 from varstrip.sources.shared import stored
+from varstrip.streaming import index_sink
+from varstrip.streaming import rollup as stream_rollup
+from varstrip.streaming import ticks as stream_ticks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1137,3 +1140,42 @@ def mark_staleness(spark, sf):
 def thinned_polls(spark, sf):
     pairs = thinning.poll_pairs(inputs.marks(spark, sf), *INDEX_IDS, 900)
     return thinning.thin(pairs, ThinningConfig(deviation_bps=1500, heartbeat_seconds=7200))
+
+
+# ---------------------------------------------------------------- streams and sinks, there and back
+
+
+@query
+def streamed_bars(spark, sf):
+    """Minute bars of a stream of files, merged from the parts of its batches."""
+    folder = round_trips.streamed(inputs.index_ticks(spark, sf), "bars", lambda s, at: stream_rollup.write_bars(s, f"{at}/table", f"{at}/checkpoint"))
+    b = stream_rollup.read_bars(spark, f"{folder}/table")
+    return b.select("index_id", "bucket", "open", "high", "low", "close", "count", r(rollup.avg_confidence(), 9).alias("avg_confidence"))
+
+
+@query
+def streamed_ticks(spark, sf):
+    """Passing ticks of a stream of files, each update once, as the table has them."""
+    def fork(source, at):
+        return stream_ticks.fork(stream_ticks.clean_stream(source, now="arrival_ts"), f"{at}/table", f"{at}/topic", f"{at}/checkpoint")
+
+    folder = round_trips.streamed(inputs.raw_ticks(spark, sf), "ticks", fork, files=1)
+    return spark.read.parquet(f"{folder}/table").groupBy("venue", "asset", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("strike").alias("strikes"))
+
+
+@query
+def streamed_index(spark, sf):
+    """The index table of a stream in which half of the rows come twice, in other batches."""
+    t = inputs.index_ticks(spark, sf).drop("seq")
+    twice = t.unionByName(t.filter(F.second("ts") % 2 == 0))
+    folder = round_trips.streamed(twice, "index", lambda s, at: index_sink.write_index(s, f"{at}/table", f"{at}/checkpoint"))
+    return index_sink.read_index(spark, f"{folder}/table").select("index_id", "ts", "value", "confidence")
+
+
+@query
+def tick_table(spark, sf):
+    """Ticks of two days read back from the month-partitioned table."""
+    t = inputs.raw_ticks(spark, sf)
+    path = round_trips.new_folder(t, "tick-table")
+    sinks.write_option_ticks(t, path, 4)
+    return sinks.read_option_ticks(spark, path, "2024-01-10", "2024-01-12").select("seq", "venue", "asset", "strike", "kind", "ts")
