@@ -192,6 +192,27 @@ def test_share_ledger_matches_a_sequential_fold(spark, chunk):
     assert claims.within
 
 
+def test_share_ledger_is_folded_batch_by_batch(spark):
+    """A task hands on outcomes before it has read its chunk to the end, and keeps state across batches and wide amounts."""
+    flows = [(i, i // 3, f"h{i % 4}", "withdraw" if i % 5 == 4 else "deposit", 10**17 + 7 * i) for i in range(300)]
+    changes = [(1000 + i, 20 * i, "close", 10**17 * (-1) ** i, i) for i in range(5)]
+    f = spark.createDataFrame(flows, "seq bigint, at bigint, holder string, kind string, amount bigint")
+    c = spark.createDataFrame(changes, "seq bigint, at bigint, kind string, assets bigint, reserved bigint")
+    rows = shares.ledger_events(f, c, 1000).select("chunk", "at", "seq", "kind", "holder", "amount", "assets", "reserved").orderBy("at", "seq", "kind")
+    read = []
+    out = shares._fold(read.append(b) or b for b in rows.toArrow().to_batches(max_chunksize=10))
+    first = next(out)
+    assert len(read) == 1 and 0 < first.num_rows <= 10
+    assert sum(b.num_rows for b in out) + first.num_rows == len(flows)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = sorted((r.seq, r.status, *(int(r[x]) for x in ("shares", "assets", "balance", "supply", "total_assets", "reserved"))) for r in shares.share_ledger(f, c, 40).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == brute_ledger(flows, changes)
+    assert max(g[5] for g in got) > 2**63
+
+
 def test_share_ledger_of_nothing(spark):
     f = spark.createDataFrame([], "seq bigint, at bigint, holder string, kind string, amount bigint")
     c = spark.createDataFrame([(1, 5, "close", 3, 4)], "seq bigint, at bigint, kind string, assets bigint, reserved bigint")

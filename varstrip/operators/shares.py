@@ -10,16 +10,18 @@ entry is what the chunks before it produced, the result is the sequential one. T
 final at once and each round makes at least the next one final; as a wrong entry changes a chunk's
 own minting only in proportion to what it mints, a few rounds are enough in practice.
 
-A task holds one chunk; ``chunk_seconds`` must follow the volume. Summaries are one row per chunk and
+A task walks through its chunk in Spark's sorted order and holds the balances of the chunk's holders
+and one batch of rows, however many rows a chunk has; ``chunk_seconds`` sets how many tasks share the
+work. Summaries are one row per chunk and
 one per chunk and holder in it. Rounds are written to the shared folder, so building a ledger runs
 jobs, and a lost executor costs its part of one round.
 """
 
 from __future__ import annotations
 
-from decimal import Decimal
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +30,10 @@ from varstrip.sources.shared import stored
 
 CHUNK_SECONDS = 5 * 86_400
 OUTCOME = f"chunk long, at long, seq long, kind string, holder string, requested {WIDE}, status string, shares {WIDE}, assets {WIDE}, balance {WIDE}, supply {WIDE}, total_assets {WIDE}, reserved {WIDE}"
+EVENT = ["chunk", "at", "seq", "kind", "holder", "amount", "assets", "reserved"]
+_AMOUNT = pa.decimal128(38, 0)
+_TYPES = {"long": pa.int64(), "string": pa.string(), WIDE: _AMOUNT}
+_OUTCOME = pa.schema([(name, _TYPES[kind]) for name, kind in (c.split() for c in OUTCOME.split(", "))])
 # Rows that carry the entry state into a chunk's task, before all times.
 VAULT, BALANCE, START = "vault", "balance", -(1 << 62)
 
@@ -54,34 +60,60 @@ def redeemed(shares: int, balance: int, supply: int, total: int, reserved: int)
     return ("ok", assets) if assets <= max(total - reserved, 0) else ("exceeds_available", 0)
 
 
-def _fold(rows: pd.DataFrame) -> pd.DataFrame:
-    """Outcomes of one chunk's flows; its rows of kind ``vault`` and ``balance`` hold the state it starts from."""
-    rows = rows.sort_values(["at", "seq", "kind"], kind="stable")
-    supply = total = reserved = 0
+def _values(column: pa.Array) -> list:
+    """Python values of a column; amounts, nearly always below 2^63, by way of machine words."""
+    if column.type != _AMOUNT:
+        return column.to_pylist()
+    try:
+        return column.cast(pa.int64()).to_pylist()
+    except pa.ArrowInvalid:
+        return [None if x is None else int(x) for x in column.to_pylist()]
+
+
+def _column(values: tuple, kind: pa.DataType) -> pa.Array:
+    if kind != _AMOUNT:
+        return pa.array(values, kind)
+    try:
+        return pa.array(values, pa.int64()).cast(_AMOUNT)
+    except (OverflowError, pa.ArrowInvalid):
+        return pa.array(values, _AMOUNT)
+
+
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Outcomes of the flows of sorted chunks, batch by batch; a chunk's first rows, of kind ``vault``
+    and ``balance``, hold the state it starts from."""
+    current, supply, total, reserved = object(), 0, 0, 0
     balances: dict[str, int] = {}
-    out = []
-    for row in rows.itertuples(index=False):
-        if row.kind == VAULT:
-            supply, total, reserved = int(row.amount), int(row.assets), int(row.reserved)
-        elif row.kind == BALANCE:
-            balances[row.holder] = int(row.amount)
-        elif row.kind in ("deposit", "withdraw"):
-            requested, balance = int(row.amount), balances.get(row.holder, 0)
-            if row.kind == "deposit":
-                status, shares = minted(requested, supply, total)
-                assets = requested if status == "ok" else 0
+    for batch in batches:
+        out = []
+        for chunk, at, seq, kind, holder, amount, assets, reserve in zip(*(_values(batch.column(c)) for c in EVENT), strict=True):
+            if chunk != current:
+                current, supply, total, reserved, balances = chunk, 0, 0, 0, {}
+            if kind == VAULT:
+                supply, total, reserved = int(amount), int(assets), int(reserve)
+            elif kind == BALANCE:
+                balances[holder] = int(amount)
+            elif kind in ("deposit", "withdraw"):
+                requested, balance = int(amount), balances.get(holder, 0)
+                if kind == "deposit":
+                    status, shares = minted(requested, supply, total)
+                    paid = requested if status == "ok" else 0
+                else:
+                    status, paid = redeemed(requested, balance, supply, total, reserved)
+                    shares, paid = (-requested, -paid) if status == "ok" else (0, 0)
+                supply, total = supply + shares, total + paid
+                balances[holder] = balance + shares
+                out.append((chunk, at, seq, kind, holder, requested, status, shares, paid, balance + shares, supply, total, reserved))
             else:
-                status, assets = redeemed(requested, balance, supply, total, reserved)
-                shares, assets = (-requested, -assets) if status == "ok" else (0, 0)
-            supply, total = supply + shares, total + assets
-            balances[row.holder] = balance + shares
-            out.append((row.chunk, row.at, row.seq, row.kind, row.holder, requested, status, shares, assets, balance + shares, supply, total, reserved))
-        else:
-            total, reserved = total + int(row.assets), reserved + int(row.reserved)
-    frame = pd.DataFrame(out, columns=["chunk", "at", "seq", "kind", "holder", "requested", "status", "shares", "assets", "balance", "supply", "total_assets", "reserved"], dtype=object)
-    for c in ("requested", "shares", "assets", "balance", "supply", "total_assets", "reserved"):
-        frame[c] = frame[c].map(Decimal)
-    return frame
+                total, reserved = total + int(assets), reserved + int(reserve)
+        columns = zip(*out, strict=True) if out else [()] * len(_OUTCOME)
+        yield pa.RecordBatch.from_arrays([_column(c, f.type) for c, f in zip(columns, _OUTCOME, strict=True)], schema=_OUTCOME)
+
+
+def _folded(rows: DataFrame) -> DataFrame:
+    """Outcomes of all chunks in ``rows``. Spark sorts a chunk, so its task holds balances and one batch of rows."""
+    order = [F.col(c).asc_nulls_last() for c in ("at", "seq", "kind")]
+    return rows.select(*EVENT).repartition("chunk").sortWithinPartitions("chunk", *order).mapInArrow(_fold, OUTCOME)
 
 
 def ledger_events(flows: DataFrame, changes: DataFrame, chunk_seconds: int = CHUNK_SECONDS) -> DataFrame:
@@ -135,7 +167,7 @@ def share_ledger(flows: DataFrame, changes: DataFrame, chunk_seconds: int = CHUN
                 return outcomes
             rows = events.unionByName(entries).join(moved, "chunk", "left_semi")
             kept = outcomes.join(moved, "chunk", "left_anti")
-        found = rows.groupBy("chunk").applyInPandas(_fold, OUTCOME)
+        found = _folded(rows)
         outcomes = stored(found if kept is None else kept.unionByName(found), "vault-outcomes")
         entries, last = stored(_entries(outcomes, events), "vault-entries"), entries
 
