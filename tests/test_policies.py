@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from varstrip.operators import benchmark, index, ordered, outlier, perp, quality, rollup, shares, thinning
 from varstrip.params import OutlierConfig, PerpConfig, QualityConfig, ThinningConfig
-from varstrip.plans import inputs
+from varstrip.plans import inputs, round_trips
 from varstrip.sources import historical, sinks
 from varstrip.streaming import index_sink
 from varstrip.streaming import rollup as stream_rollup
@@ -373,6 +373,23 @@ def test_streamed_ticks_equal_the_batch(spark, small, tmp_path):
     assert spark.read.parquet(str(tmp_path / "topic")).count() == want
 
 
+def test_a_streamed_batch_may_be_many_files(spark, small):
+    """Batches and rows are the same however many files a batch is dealt over."""
+    t = inputs.raw_ticks(spark, small)
+
+    def fork(source, at):
+        return stream_ticks.fork(stream_ticks.clean_stream(source, now="arrival_ts"), f"{at}/table", f"{at}/topic", f"{at}/checkpoint")
+
+    n, want = t.count(), quality.deduplicate(quality.passing(t)).count()
+    for batches, file_rows, files in ((1, n, 1), (1, n // 5 + 1, 5), (1, 10**6, 1)):
+        folder = round_trips.streamed(t, "many", fork, batches, file_rows)
+        stored = spark.read.parquet(f"{folder}/in")
+        assert len(stored.inputFiles()) == files and stored.count() == n
+        table = spark.read.parquet(f"{folder}/table")
+        assert table.count() == want
+        assert [r.batch for r in table.select("batch").distinct().collect()] == [0]
+
+
 def test_streamed_legs_equal_the_batch(spark, small, tmp_path):
     from varstrip.operators.chain import assign_snapshots, latest_legs
 

@@ -1159,7 +1159,7 @@ def streamed_ticks(spark, sf):
     def fork(source, at):
         return stream_ticks.fork(stream_ticks.clean_stream(source, now="arrival_ts"), f"{at}/table", f"{at}/topic", f"{at}/checkpoint")
 
-    folder = round_trips.streamed(inputs.raw_ticks(spark, sf), "ticks", fork, files=1)
+    folder = round_trips.streamed(inputs.raw_ticks(spark, sf), "ticks", fork, batches=1)
     return spark.read.parquet(f"{folder}/table").groupBy("venue", "asset", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("strike").alias("strikes"))
 
 
