@@ -29,6 +29,12 @@ def test_raw_ticks_are_hash_aggregated(spark, small, name):
     assert "SortAggregate" not in plan and "Sort [" not in plan
 
 
+def test_frames_are_built_and_parsed_once(spark, small):
+    """One JSON text and one parse per frame, also where only the rejected rows are asked for."""
+    plan = QUERIES["venue_reject_counts"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == plan.count("StructsToJsonEvaluator") == 3
+
+
 def test_building_queries_runs_no_job(spark, small, monkeypatch):
     reads = []
     plain = DataFrameReader.parquet

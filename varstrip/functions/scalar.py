@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varstrip.params import PUBLISH_INTERVAL_SECONDS, SECONDS_PER_YEAR
@@ -12,6 +12,15 @@ NUMBER_PATTERN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 RFC3339_MILLIS = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a costly column that is computed once per row, however often it is read.
+
+    A plain column is copied into every expression and pushed-down filter that names it; the
+    output of a generator, here of one row each, is not.
+    """
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
 def is_finite(x: Column) -> Column:
     """True only for ordinary numbers. Spark treats NaN as equal to itself and above all else."""
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))

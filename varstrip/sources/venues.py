@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from varstrip import schemas
 from varstrip.functions.instruments import decompose
-from varstrip.functions.scalar import clean_decimal, clean_long, two_sided_mid
+from varstrip.functions.scalar import clean_decimal, clean_long, once, two_sided_mid
 
 NAN = float("nan")
 
@@ -37,7 +37,7 @@ def _as_ticks(df: DataFrame, venue: str, reason: Column, **values: Column) -> Da
 
 def decode_deribit(frames: DataFrame) -> DataFrame:
     """Subscription ticker frames; prices are in coin and become USD, IV is in percent."""
-    msg = frames.withColumn("msg", F.from_json("frame", schemas.DERIBIT_FRAME))
+    msg = once(frames, "msg", F.from_json("frame", schemas.DERIBIT_FRAME))
     msg = msg.filter(
         (F.col("msg.method") == "subscription")
         & F.col("msg.error").isNull()
@@ -45,7 +45,7 @@ def decode_deribit(frames: DataFrame) -> DataFrame:
     )
     channel = F.col("msg.params.channel")
     msg = msg.withColumn("instrument", F.regexp_extract(channel, r"^ticker\.(.*)\.[^.]*$", 1))
-    msg = msg.withColumn("name", decompose(F.col("instrument"), "deribit"))
+    msg = once(msg, "name", decompose(F.col("instrument"), "deribit"))
     data = F.col("msg.params.data")
     usd_bid = data["best_bid_price"] * data["underlying_price"]
     usd_ask = data["best_ask_price"] * data["underlying_price"]
@@ -72,9 +72,9 @@ def decode_deribit(frames: DataFrame) -> DataFrame:
 
 def decode_okx(frames: DataFrame) -> DataFrame:
     """Option summary pushes: many rows per frame, no prices, IV already a fraction."""
-    msg = frames.withColumn("msg", F.from_json("frame", schemas.OKX_FRAME)).filter(F.col("msg.event").isNull())
+    msg = once(frames, "msg", F.from_json("frame", schemas.OKX_FRAME)).filter(F.col("msg.event").isNull())
     rows = msg.withColumn("row", F.explode("msg.data")).filter(F.col("row.instType") == "OPTION")
-    rows = rows.withColumn("name", decompose(F.col("row.instId"), "okx"))
+    rows = once(rows, "name", decompose(F.col("row.instId"), "okx"))
     millis = clean_long(F.col("row.ts"))
     nothing = F.lit(None).cast("double")
     return _as_ticks(
@@ -94,12 +94,12 @@ def decode_okx(frames: DataFrame) -> DataFrame:
 
 def decode_bybit(frames: DataFrame) -> DataFrame:
     """Ticker pushes in USD; the mark IV wins over the two-sided IV midpoint."""
-    msg = frames.withColumn("msg", F.from_json("frame", schemas.BYBIT_FRAME))
+    msg = once(frames, "msg", F.from_json("frame", schemas.BYBIT_FRAME))
     ack = F.coalesce(F.col("msg.op") == "subscribe", F.lit(False)) | F.coalesce(
         F.col("msg.type") == "COMMAND_RESP", F.lit(False)
     )
     msg = msg.filter(~ack & F.col("msg.topic").startswith("tickers."))
-    msg = msg.withColumn("name", decompose(F.col("msg.data.symbol"), "bybit"))
+    msg = once(msg, "name", decompose(F.col("msg.data.symbol"), "bybit"))
     data = F.col("msg.data")
     bid, ask = clean_decimal(data["bidPrice"]), clean_decimal(data["askPrice"])
     side_iv = two_sided_mid(clean_decimal(data["bidIv"]), clean_decimal(data["askIv"]))
