@@ -1,8 +1,10 @@
 """The Jaccard join against brute force over all pairs."""
 
 import random
+import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import op4
 
@@ -48,6 +50,46 @@ def test_chains_that_no_pivot_sees(frame):
     assert rows(jaccard_join.op4(frame(docs))) == want
 
 
+def test_searches_move_sets_only(spark, frame):
+    """The texts stay where they are stored: no join or exchange of a search holds them."""
+    docs = [(i, f"one two three four five six {'seven' if i % 2 else 'eight'}") for i in range(4)]
+    stored = jaccard_join.an.blocks(frame(docs).coalesce(1))
+    pairs = spark.createDataFrame([(0, 1, 1)], "query long, node long, blocks int")
+    links = jaccard_join.search(stored, pairs)
+    plan = links._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan
+    assert not re.search(r"Join .*block#", plan)
+    assert links.count() == 0
+
+
+def test_rounds_of_a_group_of_near_copies(frame, monkeypatch):
+    """Copies of one text, most of them linked with each other but not all with the pivot."""
+    monkeypatch.setattr(jaccard_join, "CROSS", 64)
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(200)]
+    docs = []
+    for i in range(200):
+        words = list(base)
+        for _ in range(rng.randrange(9)):
+            words[rng.randrange(200)] = f"e{rng.randrange(4)}"
+        docs.append((i, " ".join(words)))
+    assert rows(jaccard_join.op4(frame(docs))) == sorted(op4(docs), key=str)
+
+
+@pytest.mark.parametrize("every", [False, True])
+def test_candidates_of_a_list(every):
+    """All pairs that may link, or a few for every member outside the largest component."""
+    n = 200
+    table = pa.table({"token": [5] * n, "node": range(n), "n": [100] * n, "place": [0] * 150 + [20] * 50, "component": [0] * 100 + [*range(100, n)]})
+    columns = {k: pa.array(v, pa.int64()) for k, v in table.to_pydict().items()}
+    got = jaccard_join.candidates(0, every)(pa.table(columns)).to_pylist()
+    pairs = {(r["query"], r["node"]) for r in got if r["token"] is None}
+    # Nothing after place 14 of 100 shingles can make up for what no partner shares before.
+    assert all(a < b < 150 for a, b in pairs)
+    assert len(pairs) == (100 * 50 + 50 * 49 // 2 if every else 50 + 49)
+    assert [r["token"] for r in got if r["token"] is not None] == ([] if every else [5])
+
+
 def test_whole_small_table(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     listed = sorted((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect())

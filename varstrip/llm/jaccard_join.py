@@ -10,8 +10,11 @@ Documents are sets of five-word shingles; two link if their similarity is at lea
 * Connected documents need no further comparison, so lists are not expanded into pairs. Each
   document is first compared with the first member of a list it shares most with. Then all pairs of
   a list that lie in different components and pass the length and position filters are compared, so
-  no link between different components is lost. A list with very many such pairs is first compared
-  with one member of its largest component, round by round until a round finds nothing new.
+  no link between different components is lost. In a list with very many such pairs the members outside
+  its largest component first meet one member of that and one of their own, then four times as many
+  every round, until a round finds nothing new: a group of near copies is one component by then.
+* A round makes the sets that it compares where the texts lie, by a bitmap of ``FILTER`` bits of the
+  nodes; only sets are moved.
 * A comparison is a T-occurrence search: the members of a block are indexed by shingle, and a query
   needs T occurrences in the lists of its own shingles. DivideSkip sets the L longest lists aside,
   merges the short ones with a heap, keeps members with T - L occurrences, and probes the long
@@ -35,11 +38,12 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varstrip.llm import anchors as an
 from varstrip.llm import text as tx
+from varstrip.llm.bitmaps import bitmap, holds
 from varstrip.llm.components import components, extended
 from varstrip.llm.rows import named, one_of_each_name
 from varstrip.llm.store import written
@@ -50,6 +54,7 @@ CHUNKS = 64
 SEEDS = 6  # postings per document that look for a partner in a round
 MEMBERS = 256
 SET_BYTES = 6
+FILTER = 33_554_393  # a prime: nodes of different blocks share their low bits
 CROSS = 4096  # pairs of different components that a list may have to be compared at once
 MU = 0.02  # weight of a probe in DivideSkip's choice of L
 
@@ -94,14 +99,14 @@ def block_sets(b: an.Block) -> Sets:
     return Sets(node, np.cumsum([0, *map(len, kept)]), np.concatenate(kept) if kept else np.zeros(0, np.uint64))
 
 
-def needed(n):
+def needed(n, need: int = NEED):
     """Least overlap of a set of n shingles with any partner."""
-    return -(-NEED * n // 100)
+    return -(-need * n // 100)
 
 
-def overlap_needed(n, m):
+def overlap_needed(n, m, need: int = NEED):
     """Least overlap that makes sets of n and m shingles similar enough."""
-    return -(-NEED * (n + m) // (100 + NEED))
+    return -(-need * (n + m) // (100 + need))
 
 
 _DOCS = pa.struct([("doc_id", pa.int64()), ("key", pa.int64()), ("node", pa.int64()), ("n", pa.int64())])
@@ -120,8 +125,12 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             docs = [{"doc_id": d, "key": h, "node": node_id(b.block, k) if k >= 0 else None, "n": int(size[k]) if k >= 0 else 0} for d, h, k in zip(b.doc_ids, keys, s.node.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([None], pa.binary()), pa.array([docs], pa.list_(_DOCS))], names=names)
     if counts.any():
-        parts = [an.packed(x.astype(np.uint64)) for x in np.split(counts, CHUNKS)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array(parts, pa.binary()), pa.array([None] * CHUNKS, pa.list_(_DOCS))], names=names)
+        yield pa.RecordBatch.from_arrays([*chunks_of(counts), pa.array([None] * CHUNKS, pa.list_(_DOCS))], names=names)
+
+
+def chunks_of(counts: np.ndarray) -> list[pa.Array]:
+    """A task's sketch as columns (chunk, counts)."""
+    return [pa.array(range(CHUNKS), pa.int32()), pa.array([an.packed(x.astype(np.uint64)) for x in np.split(counts, CHUNKS)], pa.binary())]
 
 
 def _summed(table: pa.Table) -> pa.Table:
@@ -129,15 +138,18 @@ def _summed(table: pa.Table) -> pa.Table:
     return pa.table({"chunk": table.column("chunk").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
 
 
+def sketched(chunks: DataFrame) -> np.ndarray:
+    """The sum of all tasks' sketches (chunk, counts)."""
+    sums = chunks.groupBy("chunk").applyInArrow(_summed, "chunk int, counts binary").orderBy("chunk").collect()
+    sketch = np.concatenate([np.frombuffer(r.counts, np.uint64) for r in sums]) if sums else np.zeros(SKETCH, np.uint64)
+    return sketch.astype(np.int64)
+
+
 def node_id(block: int, number: int) -> int:
     """A node of the link graph: blocks have a task's number above bit 32 and few rows below."""
     return ((block >> 32) << 40) | ((block & 0xFFFF) << 24) | number
 
 
-def block_of(node: Column) -> Column:
-    return F.shiftleft(F.shiftright(node, 40), 32).bitwiseOR(F.shiftright(node, 24).bitwiseAND(F.lit(0xFFFF)))
-
-
 def ordered(s: Sets, counts: np.ndarray) -> np.ndarray:
     """Shingles of every set in the order of the corpus: (sketched count, hash)."""
     group, _ = tx.runs(np.diff(s.first))
@@ -224,22 +236,24 @@ def divide_skip(query: np.ndarray, members: list[np.ndarray]) -> np.ndarray:
     return np.where(out >= need, out, 0)
 
 
-def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sets that a search asks of a block."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            b = an.opened(batch, i)
-            s = block_sets(b)
-            base = node_id(b.block, 0)
-            asked = batch.column("asked")[i].as_py()
-            for k in range(0, len(asked), 2000):
-                some = asked[k : k + 2000]
-                sets = []
-                for x in some:
-                    own = s.shingles[s.first[x["node"] - base] : s.first[x["node"] - base + 1]]
-                    sets.append(np.ascontiguousarray(own.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SET_BYTES]).tobytes())
-                columns = [pa.array([x[c] for x in some], t) for c, t in (("query", pa.int64()), ("salt", pa.int32()), ("node", pa.int64()))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(sets, pa.binary())], names=["query", "salt", "node", "shingles"])
+def _set_batches(taken):
+    """Sets of the nodes that a search may ask for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                nodes = node_id(batch.column("block")[i].as_py(), 0) + np.arange(len(batch.column("doc_ids")[i]))
+                asked = holds(taken.value, nodes, FILTER)
+                if not asked.any():
+                    continue
+                s = block_sets(an.opened(batch, i))
+                asked = np.flatnonzero(asked[: len(s.first) - 1])
+                for k in range(0, len(asked), 2000):
+                    some = asked[k : k + 2000]
+                    sets = [np.ascontiguousarray(s.shingles[s.first[x] : s.first[x + 1]].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SET_BYTES]).tobytes() for x in some.tolist()]
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes[some], pa.int64()), pa.array(sets, pa.binary())], names=["node", "shingles"])
+
+    return run
 
 
 def _search(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -260,10 +274,12 @@ def search(stored: DataFrame, pairs: DataFrame) -> DataFrame:
     """Links (a, b) among distinct pairs (query, node): every query meets blocks of its members."""
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).select("query", "salt", "node")
     asked = salted.unionByName(salted.select("query", "salt", F.col("query").alias("node")).distinct())
-    asked = asked.groupBy(block_of(F.col("node")).alias("block")).agg(F.collect_list(F.struct("query", "salt", "node")).alias("asked"))
+    nodes = pairs.select(F.explode(F.array("query", "node")).alias("key"))
+    taken = stored.sparkSession.sparkContext.broadcast(bitmap(nodes, FILTER))
+    sets = stored.select("block", "offsets", "doc_ids", "data").mapInArrow(_set_batches(taken), "node long, shingles binary")
     # The same plan at every size: what is asked grows with the corpus, so it is not broadcast.
-    sets = stored.join(asked.hint("merge"), "block").mapInArrow(_set_batches, "query long, salt int, node long, shingles binary")
-    return sets.groupBy("query", "salt").applyInArrow(_search, "a long, b long")
+    met = sets.join(asked.hint("merge"), "node").select("query", "salt", "node", "shingles")
+    return met.groupBy("query", "salt").applyInArrow(_search, "a long, b long")
 
 
 def _with_blocks(pairs: DataFrame) -> DataFrame:
@@ -281,45 +297,64 @@ def _pairs_of_lists(starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray,
     return i, j
 
 
-def _candidates(every: bool):
+def _lists_of(token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the runs of equal tokens."""
+    fresh = np.ones(len(token), bool)
+    fresh[1:] = token[1:] != token[:-1]
+    start = np.flatnonzero(fresh)
+    return start, np.diff(np.append(start, len(token)))
+
+
+def candidates(turn: int, every: bool, need: int = NEED):
     """Pairs of a part's lists in different components that may reach the overlap they need.
 
-    A list with more than ``CROSS`` such pairs gives its members but one for each component the
-    first member of its largest component to compare with, and stays open, unless ``every``.
+    Unless ``every``, a list with more than ``CROSS`` pairs of different components stays open: the
+    members outside its largest component meet the first 4 ** ``turn`` of that one and as many
+    neighbours of their own. The order is by hash, so lists of the same nodes give the same pairs.
     """
+    some = 4**turn
 
     def run(table: pa.Table) -> pa.Table:
-        c = {x: table.column(x).to_numpy() for x in ("token", "node", "n", "place", "component")}
-        order = np.lexsort((c["component"], c["token"]))
-        c = {k: v[order].astype(np.int64) for k, v in c.items()}
-        fresh = np.flatnonzero(np.concatenate([[True], c["token"][1:] != c["token"][:-1]]))
-        counts = np.diff(np.append(fresh, len(order)))
-        several = c["component"][fresh] != c["component"][fresh + counts - 1]
-        fresh, counts = fresh[several], counts[several]
+        c = {x: table.column(x).to_numpy().astype(np.int64) for x in ("token", "node", "n", "place", "component")}
+        order = np.lexsort((c["node"], c["component"], c["token"]))
+        c = {k: v[order] for k, v in c.items()}
+        # What follows a member's place must do for the smallest partner that its list can have.
+        start, counts = _lists_of(c["token"])
+        least = np.maximum(np.repeat(np.minimum.reduceat(c["n"], start), counts), needed(c["n"], need))
+        keep = c["n"] - c["place"] >= overlap_needed(c["n"], least, need)
+        c = {k: v[keep] for k, v in c.items()}
+        start, counts = _lists_of(c["token"])
+        several = c["component"][start] != c["component"][start + counts - 1]
+        start, counts = start[several], counts[several]
 
         def may_link(i, j):
             best = np.minimum(c["n"][i] - c["place"][i], c["n"][j] - c["place"][j])
-            return (c["component"][i] != c["component"][j]) & (best >= overlap_needed(c["n"][i], c["n"][j]))
+            return (c["component"][i] != c["component"][j]) & (best >= overlap_needed(c["n"][i], c["n"][j], need))
 
         found, still_open = [], []
-        small = counts <= 64
-        for k in range(0, int(small.sum()), 4096):
-            i, j = _pairs_of_lists(fresh[small][k : k + 4096], counts[small][k : k + 4096])
+
+        def compare(i, j):
             hit = may_link(i, j)
             found.append((c["node"][i[hit]], c["node"][j[hit]]))
-        for start, count in zip(fresh[~small].tolist(), counts[~small].tolist(), strict=True):
-            rows = np.arange(start, start + count)
-            _, at, sizes = np.unique(c["component"][rows], return_index=True, return_counts=True)
+
+        small = counts <= 64
+        for k in range(0, int(small.sum()), 4096):
+            compare(*_pairs_of_lists(start[small][k : k + 4096], counts[small][k : k + 4096]))
+        for first, count in zip(start[~small].tolist(), counts[~small].tolist(), strict=True):
+            rows = np.arange(first, first + count)
+            component, sizes = np.unique(c["component"][rows], return_counts=True)
             if not every and (count * count - int((sizes**2).sum())) // 2 > CROSS:
-                still_open.append(int(c["token"][start]))
-                pivot = np.full(count, start + at[sizes.argmax()])
-                hit = may_link(rows, pivot)
-                found.append((c["node"][rows[hit]], c["node"][pivot[hit]]))
+                still_open.append(int(c["token"][first]))
+                by_hash = rows[np.argsort(tx.mixed(c["node"][rows].astype(np.uint64)), kind="stable")]
+                largest = c["component"][by_hash] == component[sizes.argmax()]
+                others = by_hash[~largest]
+                for pivot in by_hash[largest][:some].tolist():
+                    compare(others, np.full(len(others), pivot))
+                for back in range(1, min(some + 1, len(others))):
+                    compare(others[back:], others[:-back])
                 continue
             for i in rows[1:].tolist():
-                j = np.arange(start, i)
-                hit = j[may_link(np.full(len(j), i), j)]
-                found.append((np.full(len(hit), c["node"][i]), c["node"][hit]))
+                compare(np.full(i - first, i), np.arange(first, i))
         a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
         opened = pa.array([None] * pairs.shape[1] + still_open, pa.int64())
@@ -338,9 +373,7 @@ def linked(documents: DataFrame) -> DataFrame:
     stored = an.blocks(documents)
     columns = ["block", "offsets", "doc_ids", "keys", "data"]
     counted = written(stored.select(*columns).mapInArrow(_count_batches, "chunk int, counts binary, docs array<struct<doc_id:long,key:long,node:long,n:long>>"), "sketch", "zstd")
-    sums = counted.filter("chunk >= 0").groupBy("chunk").applyInArrow(_summed, "chunk int, counts binary").orderBy("chunk").collect()
-    sketch = np.concatenate([np.frombuffer(r.counts, np.uint64) for r in sums]) if sums else np.zeros(SKETCH, np.uint64)
-    sketch = spark.sparkContext.broadcast(sketch.astype(np.int64))
+    sketch = spark.sparkContext.broadcast(sketched(counted.filter("chunk >= 0").select("chunk", "counts")))
     docs = counted.filter("chunk < 0").select(F.inline("docs"))
 
     parts = an.parts_for(stored)
@@ -352,11 +385,11 @@ def linked(documents: DataFrame) -> DataFrame:
     pairs = written(_with_blocks(first.select(F.least("node", "x.pivot").alias("query"), F.greatest("node", "x.pivot").alias("node")).distinct()), "pairs")
     tested = pairs.select("query", "node")
     known = written(components(search(stored, pairs)), "components")
-    lists, every = lists.select("token", "node", "n", "place"), False
+    lists, every, turn = lists.select("token", "node", "n", "place"), False, 0
     while True:
         named = lists.join(known.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
         part = F.pmod(F.xxhash64("token"), F.lit(parts)).alias("part")
-        found = written(named.select(part, *named.columns).groupBy("part").applyInArrow(_candidates(every), "query long, node long, token long"), "candidates")
+        found = written(named.select(part, *named.columns).groupBy("part").applyInArrow(candidates(turn, every), "query long, node long, token long"), "candidates")
         pairs = found.filter("query IS NOT NULL").select("query", "node").distinct().join(tested, ["query", "node"], "left_anti")
         pairs = written(_with_blocks(pairs), "pairs")
         opened = found.filter("token IS NOT NULL").select("token")
@@ -369,6 +402,7 @@ def linked(documents: DataFrame) -> DataFrame:
             break
         # Only open lists are looked at again; whole ones, once a round finds no link.
         lists, every = lists.join(opened, "token", "left_semi"), new is None or new.isEmpty()
+        turn += 1
     named = docs.join(known, "node", "left").select("doc_id", "key", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("_c"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("_first")
     out = named.join(named.filter("_c IS NOT NULL").groupBy("_c").agg(first), "_c", "left")
