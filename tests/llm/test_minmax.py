@@ -54,6 +54,33 @@ def test_chains_thresholds_and_groups_of_copies(spark, monkeypatch):
     assert found(spark, rows) == want
 
 
+def test_copies_below_the_threshold_are_not_paired(spark, monkeypatch):
+    """Texts that share bands with each other but mostly no link: their pairs stay few, their links whole."""
+    written, pairs = minmax_dedup.written, []
+
+    def counted(df, name, *how):
+        out = written(df, name, *how)
+        if name in ("pairs", "near"):
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(minmax_dedup, "written", counted)
+    rng = random.Random(11)
+    base = [f"v{i}" for i in range(150)]
+    rows = []
+    for k in range(400):
+        words = list(base)
+        for at in rng.sample(range(150), 12):
+            words[at] = f"new{k}x{at}"
+        rows.append((k, " ".join(words)))
+        if k % 20 == 0:
+            words[rng.randrange(150)] = "other"
+            rows.append((1000 + k, " ".join(words)))
+    assert found(spark, rows) == sorted(op13(rows))
+    # A pivot of each of the 32 bands at most, not all pairs.
+    assert max(pairs) < 40 * len(rows)
+
+
 def test_repeated_rows_null_ids_and_empty_tables(spark):
     text = "some words that stand here more than once today"
     rows = [(4, text), (4, text), (None, text), (2, text.upper()), (None, None), (9, " "), (None, "alone here")]

@@ -13,7 +13,10 @@ than that of as many independent minima. ``PERMUTATIONS`` evaluations give twice
 * *Candidates.* Buckets are never expanded into pairs at first: every node is compared with the first
   node of the bucket series that it shares most with. From then on only nodes of different components
   meet: all such pairs of a bucket with few of them, the largest component's first node against the
-  others for a bucket with many, round by round; once no round finds a link, all pairs that are left.
+  others for a bucket with many, round by round. Once no round finds a link, the nodes that are left
+  in such buckets are many and near each other, but mostly below the threshold: of their pairs only
+  those are made that share one of the prefix shingles, rare ones first, that any link must share
+  (lengths and positions allowing). Buckets decide who is left, the estimate and the sets who links.
 * *Estimate.* Pairs whose signatures agree in less than ``AGREE`` of the values go: at the threshold
   that is 5.6 standard deviations away (1e-8).
 * *Confirmation.* What is left is compared on the full sets. They are made in a second pass, for one
@@ -40,7 +43,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from varstrip.llm import jaccard_join as jj
 from varstrip.llm import text as tx
+from varstrip.llm.bitmaps import bitmap, holds
 from varstrip.llm.components import components, extended
 from varstrip.llm.rows import named, one_of_each_name
 from varstrip.llm.store import written
@@ -53,6 +58,7 @@ MEMBERS = 256
 FEW = 256  # cross-component pairs of a bucket that are compared at once
 SET_BYTES = 6
 FILTER = 1 << 22
+POSTINGS = 100_000  # prefix shingles that one task compares
 _random = np.random.default_rng(13)
 FACTORS = _random.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SHIFTS = _random.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2)
@@ -148,23 +154,13 @@ def signed(documents: DataFrame) -> DataFrame:
     return written(rows.mapInArrow(_signed_batches, SIGNED), "signed")
 
 
-def bitmap(keys: DataFrame, bits: int = FILTER) -> np.ndarray:
-    """Which of ``bits`` places the column ``key`` takes."""
-    place = keys.select((F.pmod("key", F.lit(bits)) + 1).alias("at")).select((F.bitmap_bucket_number("at") - 1).alias("bucket"), F.bitmap_bit_position("at").alias("at"))
-    out = np.zeros((-(-bits // 32768), 4096), np.uint8)
-    for r in place.groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits")).collect():
-        out[r.bucket] = np.frombuffer(r.bits, np.uint8)
-    return out.ravel()
-
-
 def full_sets(documents: DataFrame, nodes: DataFrame) -> DataFrame:
     """Stored (node, shingles) of ``nodes`` (node, _name: doc_id and key of one of its documents)."""
-    taken = documents.sparkSession.sparkContext.broadcast(bitmap(nodes.select("_name.key")))
+    taken = documents.sparkSession.sparkContext.broadcast(bitmap(nodes.select("_name.key"), FILTER))
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column("key").to_numpy() % FILTER
-            batch = batch.filter(pa.array(taken.value[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1))
+            batch = batch.filter(pa.array(holds(taken.value, batch.column("key").to_numpy(), FILTER)))
             for part in tx.slices(batch.column("text")):
                 names = [batch.column(c).slice(part.rows.start, part.rows.stop - part.rows.start) for c in ("doc_id", "key")]
                 sets = [short(own) for own in shingle_sets(part.data, part.offsets)]
@@ -238,6 +234,61 @@ def _across(members: DataFrame) -> DataFrame:
     return both.select("a", "b").distinct()
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The task's sketch of the shingles of its sets."""
+    counts = np.zeros(jj.SKETCH, np.int64)
+    for batch in batches:
+        tokens = restored(b"".join(batch.column("shingles").to_pylist()))
+        counts += np.bincount((tokens % np.uint64(jj.SKETCH)).astype(np.int64), minlength=jj.SKETCH)
+    if counts.any():
+        yield pa.RecordBatch.from_arrays(jj.chunks_of(counts), names=["chunk", "counts"])
+
+
+_PLACED = "token long, node long, n int, place int, component long"
+
+
+def _placed(sketch):
+    """Prefix shingles of sets: all that a link can have as its first common one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [restored(data) for data in batch.column("shingles").to_pylist()]
+            if not sets:
+                continue
+            size = np.array([len(x) for x in sets])
+            s = jj.Sets(np.zeros(0, np.int64), np.concatenate([[0], np.cumsum(size)]), np.concatenate(sets))
+            number, place = tx.runs(size - jj.needed(size, NEED) + 1)
+            token = jj.ordered(s, sketch.value)[s.first[number] + place]
+            node, component = (batch.column(c).to_numpy()[number] for c in ("node", "component"))
+            columns = zip((token.view(np.int64), node, size[number], place, component), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in columns], names=["token", "node", "n", "place", "component"])
+
+    return run
+
+
+def _by_prefix(sets: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ``members`` (node, component) of different components that may link."""
+    own = written(members.join(sets.hint("merge"), "node"), "members")
+    sketch = members.sparkSession.sparkContext.broadcast(jj.sketched(own.mapInArrow(_counted, "chunk int, counts binary")))
+    placed = written(own.mapInArrow(_placed(sketch), _PLACED), "placed")
+    parts = 1 + placed.count() // POSTINGS
+    part = F.pmod(F.xxhash64("token"), F.lit(parts)).alias("part")
+    found = placed.select(part, "*").groupBy("part").applyInArrow(jj.candidates(0, True, NEED), "query long, node long, token long")
+    return found.select(F.col("query").alias("a"), F.col("node").alias("b")).distinct()
+
+
+def _compared(reps: DataFrame, sets: DataFrame, pairs: DataFrame, known: DataFrame, tested: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+    """``known`` and ``tested`` after those of ``pairs`` that are new, and whether a link was found."""
+    pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+    if pairs.isEmpty():
+        return known, tested, False
+    new = written(confirmed(reps, sets, pairs), "links")
+    found = not new.isEmpty()
+    if found:
+        known = written(extended(known, new), "components")
+    return known, tested.unionByName(pairs), found
+
+
 def linked_nodes(documents: DataFrame, rows: DataFrame) -> DataFrame:
     """(node, component) of all signed nodes that have a link."""
     ids = rows.filter("n > 0").groupBy("one", "two", "n").agg(F.min("node").alias("node")).select("node")
@@ -252,26 +303,22 @@ def linked_nodes(documents: DataFrame, rows: DataFrame) -> DataFrame:
     best = shared.groupBy("node").agg(F.max(F.struct("c", "pivot")).alias("x"))
     tested = written(best.select(F.col("x.pivot").alias("a"), F.col("node").alias("b")), "pairs")
     known = written(components(confirmed(reps, sets, tested)), "components")
-    lists, every = lists.select("bucket", "node"), False
+    lists, narrow = lists.select("bucket", "node"), False
     while True:
         named, opened = _open_buckets(lists, known)
-        few = opened if every else opened.filter(F.col("cross") <= FEW)
-        pairs = _across(named.join(few.select("bucket"), "bucket"))
-        many = opened.limit(0) if every else opened.filter(F.col("cross") > FEW)
+        many = opened.filter(F.col("cross") > FEW)
+        pairs = _across(named.join(opened.filter(F.col("cross") <= FEW).select("bucket"), "bucket"))
         others = named.join(many.select("bucket", "pivot", "main"), "bucket").filter("component <> main")
         pairs = pairs.unionByName(others.select(*_pairs("node", "pivot"))).distinct()
-        pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        found = False
-        if not pairs.isEmpty():
-            new = written(confirmed(reps, sets, pairs), "links")
-            found = not new.isEmpty()
-            if found:
-                known = written(extended(known, new), "components")
-            tested = tested.unionByName(pairs)
+        known, tested, found = _compared(reps, sets, pairs, known, tested)
         if many.isEmpty():
             return known
-        # Only buckets with many pairs are looked at again; whole ones, once a round finds no link.
-        lists, every = named.join(many.select("bucket"), "bucket", "left_semi").select("bucket", "node"), not found
+        if narrow and not found:
+            break
+        # Only buckets with many pairs are looked at again.
+        lists, narrow = named.join(many.select("bucket"), "bucket", "left_semi").select("bucket", "node"), True
+    # The last round found no link: all members of such buckets are compared, in whatever bucket they are.
+    return _compared(reps, sets, _by_prefix(sets, named.select("node", "component").distinct()), known, tested)[0]
 
 
 def linked(documents: DataFrame) -> DataFrame:
