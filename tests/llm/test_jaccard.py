@@ -138,3 +138,44 @@ def test_components(spark):
     for node, component in want:
         expected.setdefault(component, set()).add(node)
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expected.values()))
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_prints_drop_no_link(spark, seed):
+    """Pairs at and above the threshold pass, of any two lengths; most pairs far below are dropped."""
+    rng = np.random.default_rng(seed)
+    sets = []
+    for size in (1, 5, 63, 64, 65, 300, 800):
+        base = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+        for change in (0, 0.05, 0.14, 0.25, 0.6, 1):
+            fresh = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+            sets.append(np.unique(np.concatenate([base[int(change * size) :], fresh[: int(change * size)]])))
+            sets.append(np.unique(np.concatenate([base, fresh[: int(change * size / 3)]])))
+    prints = spark.createDataFrame([(i, len(x), bytearray(jaccard_join.parity_print(x))) for i, x in enumerate(sets)], "node long, n long, bits binary")
+    every = [(i, j) for j in range(len(sets)) for i in range(j)]
+    kept = {tuple(r) for r in jaccard_join.plausible(prints, spark.createDataFrame(every, "query long, node long")).collect()}
+    both = {(i, j): len(np.intersect1d(sets[i], sets[j])) for i, j in every}
+    union = {(i, j): len(sets[i]) + len(sets[j]) - both[i, j] for i, j in every}
+    linked = {p for p in every if 4 * both[p] >= 3 * union[p]}
+    assert len(linked) > 30
+    assert linked <= kept
+    far = [p for p in every if 2 * both[p] <= union[p] and min(len(sets[p[0]]), len(sets[p[1]])) >= 300]
+    assert len(far) > 100
+    assert sum(p in kept for p in far) <= len(far) // 20
+
+
+def test_searches_make_asked_sets_only(frame, monkeypatch):
+    """A block with one document asked for makes one set."""
+    stored = jaccard_join.an.blocks(frame([(i, f"a{i} b c d e f g h") for i in range(50)]).coalesce(1))
+    batch = stored.select("block", "offsets", "doc_ids", "data").toArrow().to_batches()[0]
+    taken = np.zeros(jaccard_join.FILTER // 8 + 1, np.uint8)
+    taken[37 // 8] |= 1 << (37 % 8)
+
+    class Taken:
+        value = taken
+
+    made, inner = [], jaccard_join._slice_sets
+    monkeypatch.setattr(jaccard_join, "_slice_sets", lambda data, offsets: made.append(len(offsets) - 1) or inner(data, offsets))
+    out = [r for b in jaccard_join._set_batches(Taken)([batch]) for r in b.to_pylist()]
+    assert made == [1]
+    assert [(r["node"], len(r["shingles"])) for r in out] == [(37, 4 * jaccard_join.SET_BYTES)]

@@ -13,8 +13,11 @@ Documents are sets of five-word shingles; two link if their similarity is at lea
   no link between different components is lost. In a list with very many such pairs the members outside
   its largest component first meet one member of that and one of their own, then four times as many
   every round, until a round finds nothing new: a group of near copies is one component by then.
-* A round makes the sets that it compares where the texts lie, by a bitmap of ``FILTER`` bits of the
-  nodes; only sets are moved.
+* Pairs whose *prints* differ too much are dropped before any set is made. A print has one bit per
+  place that a set's shingles are hashed to: whether their number there is odd. Sets differ in at least
+  as many shingles as their prints in bits, so no link is lost. Prints are stored by the first pass.
+* A round makes the sets that it compares, and no others, where the texts lie, by a bitmap of ``FILTER``
+  bits of the nodes; only sets are moved.
 * A comparison is a T-occurrence search: the members of a block are indexed by shingle, and a query
   needs T occurrences in the lists of its own shingles. DivideSkip sets the L longest lists aside,
   merges the short ones with a heap, keeps members with T - L occurrences, and probes the long
@@ -56,6 +59,7 @@ MEMBERS = 256
 SET_BYTES = 6
 FILTER = 33_554_393  # a prime: nodes of different blocks share their low bits
 CROSS = 4096  # pairs of different components that a list may have to be compared at once
+LEAST_PRINT = 64  # bits of the shortest print; longer ones have a power of two, n to 2 n
 MU = 0.02  # weight of a probe in DivideSkip's choice of L
 
 
@@ -99,6 +103,26 @@ def block_sets(b: an.Block) -> Sets:
     return Sets(node, np.cumsum([0, *map(len, kept)]), np.concatenate(kept) if kept else np.zeros(0, np.uint64))
 
 
+def rows_of(s: Sets) -> np.ndarray:
+    """Row of its block at which each set comes first: the number that its node is known by."""
+    number, row = np.unique(s.node, return_index=True)
+    return row[number >= 0]
+
+
+def parity_print(shingles: np.ndarray) -> bytes:
+    """One bit per place: whether an odd number of shingles is hashed to it."""
+    bits = max(LEAST_PRINT, 1 << (len(shingles) - 1).bit_length())
+    counts = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((counts & 1).astype(bool)).tobytes()
+
+
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """A print as it is with ``size`` bytes."""
+    while len(bits) > size:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
+
+
 def needed(n, need: int = NEED):
     """Least overlap of a set of n shingles with any partner."""
     return -(-need * n // 100)
@@ -110,10 +134,12 @@ def overlap_needed(n, m, need: int = NEED):
 
 
 _DOCS = pa.struct([("doc_id", pa.int64()), ("key", pa.int64()), ("node", pa.int64()), ("n", pa.int64())])
+_PRINTS = pa.struct([("node", pa.int64()), ("n", pa.int64()), ("bits", pa.binary())])
+COUNTED = "chunk int, counts binary, docs array<struct<doc_id:long,key:long,node:long,n:long>>, prints array<struct<node:long,n:long,bits:binary>>"
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["chunk", "counts", "docs"]
+    names = ["chunk", "counts", "docs", "prints"]
     counts = np.zeros(SKETCH, np.int64)
     for batch in batches:
         for i in range(batch.num_rows):
@@ -122,10 +148,12 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             counts += np.bincount((s.shingles % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
             size = np.diff(s.first)
             keys = batch.column("keys")[i].as_py()
-            docs = [{"doc_id": d, "key": h, "node": node_id(b.block, k) if k >= 0 else None, "n": int(size[k]) if k >= 0 else 0} for d, h, k in zip(b.doc_ids, keys, s.node.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([None], pa.binary()), pa.array([docs], pa.list_(_DOCS))], names=names)
+            nodes = [node_id(b.block, x) for x in rows_of(s).tolist()]
+            docs = [{"doc_id": d, "key": h, "node": nodes[k] if k >= 0 else None, "n": int(size[k]) if k >= 0 else 0} for d, h, k in zip(b.doc_ids, keys, s.node.tolist(), strict=True)]
+            prints = [{"node": x, "n": int(size[k]), "bits": parity_print(s.shingles[s.first[k] : s.first[k + 1]])} for k, x in enumerate(nodes)]
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([None], pa.binary()), pa.array([docs], pa.list_(_DOCS)), pa.array([prints], pa.list_(_PRINTS))], names=names)
     if counts.any():
-        yield pa.RecordBatch.from_arrays([*chunks_of(counts), pa.array([None] * CHUNKS, pa.list_(_DOCS))], names=names)
+        yield pa.RecordBatch.from_arrays([*chunks_of(counts), pa.array([None] * CHUNKS, pa.list_(_DOCS)), pa.array([None] * CHUNKS, pa.list_(_PRINTS))], names=names)
 
 
 def chunks_of(counts: np.ndarray) -> list[pa.Array]:
@@ -163,7 +191,7 @@ def _posting_batches(sketch, parts: int):
             for i in range(batch.num_rows):
                 b = an.opened(batch, i)
                 s = block_sets(b)
-                size = np.diff(s.first)
+                size, row = np.diff(s.first), rows_of(s)
                 number, place = tx.runs(size - needed(size) + 1)
                 shingle = ordered(s, counts)[s.first[number] + place]
                 # The seeds of a set are its prefix shingles with the smallest hashes.
@@ -177,7 +205,7 @@ def _posting_batches(sketch, parts: int):
                 for lo, hi in zip(at, [*at[1:], len(order)], strict=True):
                     x = order[lo:hi]
                     short = shingle[x].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SET_BYTES]
-                    rows.append(an.packed(short, number[x].astype(np.uint32), size[number[x]].astype(np.uint32), place[x].astype(np.uint32), (rank[x] < SEEDS).view(np.uint8)))
+                    rows.append(an.packed(short, row[number[x]].astype(np.uint32), size[number[x]].astype(np.uint32), place[x].astype(np.uint32), (rank[x] < SEEDS).view(np.uint8)))
                 yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([b.block] * len(own), pa.int64()), pa.array(rows, pa.binary())], names=["part", "block", "postings"])
 
     return run
@@ -243,15 +271,18 @@ def _set_batches(taken):
         for batch in batches:
             for i in range(batch.num_rows):
                 nodes = node_id(batch.column("block")[i].as_py(), 0) + np.arange(len(batch.column("doc_ids")[i]))
-                asked = holds(taken.value, nodes, FILTER)
-                if not asked.any():
+                asked = np.flatnonzero(holds(taken.value, nodes, FILTER))
+                if not len(asked):
                     continue
-                s = block_sets(an.opened(batch, i))
-                asked = np.flatnonzero(asked[: len(s.first) - 1])
-                for k in range(0, len(asked), 2000):
-                    some = asked[k : k + 2000]
-                    sets = [np.ascontiguousarray(s.shingles[s.first[x] : s.first[x + 1]].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SET_BYTES]).tobytes() for x in some.tolist()]
-                    yield pa.RecordBatch.from_arrays([pa.array(nodes[some], pa.int64()), pa.array(sets, pa.binary())], names=["node", "shingles"])
+                b = an.opened(batch, i)
+                texts = [b.data[b.offsets[x] : b.offsets[x + 1]] for x in asked.tolist()]
+                some = an.Block(b.block, asked.tolist(), np.cumsum([0, *map(len, texts)]), np.concatenate(texts))
+                for _, data, offsets, base in an.slices_of(some):
+                    doc, hashes = _slice_sets(data, offsets)
+                    edges = np.searchsorted(doc, np.arange(len(offsets)))
+                    short = np.ascontiguousarray(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SET_BYTES])
+                    sets = [short[lo:hi].tobytes() for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes[asked[base : base + len(sets)]], pa.int64()), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
     return run
 
@@ -270,6 +301,39 @@ def _search(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([query] * len(hits), pa.int64()), "b": pa.array(hits, pa.int64())})
 
 
+def _print_batches(taken):
+    """Prints of the nodes that are asked for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(holds(taken.value, batch.column("node").to_numpy(), FILTER)))
+
+    return run
+
+
+def _may_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose prints differ in no more bits than linked sets may differ in shingles."""
+    for batch in batches:
+        n, m = (batch.column(c).to_numpy() for c in ("query_n", "node_n"))
+        most = n + m - 2 * overlap_needed(n, m)
+        keep = np.zeros(batch.num_rows, bool)
+        for i, (a, b) in enumerate(zip(batch.column("query_bits").to_pylist(), batch.column("node_bits").to_pylist(), strict=True)):
+            size = min(len(a), len(b))
+            differ = folded(np.frombuffer(a, np.uint8), size) ^ folded(np.frombuffer(b, np.uint8), size)
+            keep[i] = np.bitwise_count(differ).sum() <= most[i]
+        yield batch.select(["query", "node"]).filter(pa.array(keep))
+
+
+def plausible(prints: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (query, node) that may link by their ``prints`` (node, n, bits)."""
+    nodes = pairs.select(F.explode(F.array("query", "node")).alias("key"))
+    taken = prints.sparkSession.sparkContext.broadcast(bitmap(nodes, FILTER))
+    asked = prints.mapInArrow(_print_batches(taken), "node long, n long, bits binary")
+    side = lambda c: asked.select(F.col("node").alias(c), F.col("n").alias(f"{c}_n"), F.col("bits").alias(f"{c}_bits"))
+    met = side("node").join(side("query").join(pairs.hint("merge"), "query").hint("merge"), "node")
+    return met.select("query", "query_n", "query_bits", "node", "node_n", "node_bits").mapInArrow(_may_link, "query long, node long")
+
+
 def search(stored: DataFrame, pairs: DataFrame) -> DataFrame:
     """Links (a, b) among distinct pairs (query, node): every query meets blocks of its members."""
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).select("query", "salt", "node")
@@ -372,9 +436,9 @@ def linked(documents: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     stored = an.blocks(documents)
     columns = ["block", "offsets", "doc_ids", "keys", "data"]
-    counted = written(stored.select(*columns).mapInArrow(_count_batches, "chunk int, counts binary, docs array<struct<doc_id:long,key:long,node:long,n:long>>"), "sketch", "zstd")
+    counted = written(stored.select(*columns).mapInArrow(_count_batches, COUNTED), "sketch", "zstd")
     sketch = spark.sparkContext.broadcast(sketched(counted.filter("chunk >= 0").select("chunk", "counts")))
-    docs = counted.filter("chunk < 0").select(F.inline("docs"))
+    docs, prints = (counted.filter("chunk < 0").select(F.inline(c)) for c in ("docs", "prints"))
 
     parts = an.parts_for(stored)
     sent = stored.select(*columns).mapInArrow(_posting_batches(sketch, parts), "part long, block long, postings binary")
@@ -382,8 +446,8 @@ def linked(documents: DataFrame) -> DataFrame:
     # First round: every node meets the first node of the lists that it shares most of its seeds with.
     seeds = lists.filter("pivot IS NOT NULL").groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("n"))
     first = seeds.groupBy("node").agg(F.max(F.struct("n", "pivot")).alias("x"))
-    pairs = written(_with_blocks(first.select(F.least("node", "x.pivot").alias("query"), F.greatest("node", "x.pivot").alias("node")).distinct()), "pairs")
-    tested = pairs.select("query", "node")
+    tested = written(first.select(F.least("node", "x.pivot").alias("query"), F.greatest("node", "x.pivot").alias("node")).distinct(), "pairs")
+    pairs = written(_with_blocks(plausible(prints, tested)), "pairs")
     known = written(components(search(stored, pairs)), "components")
     lists, every, turn = lists.select("token", "node", "n", "place"), False, 0
     while True:
@@ -391,13 +455,15 @@ def linked(documents: DataFrame) -> DataFrame:
         part = F.pmod(F.xxhash64("token"), F.lit(parts)).alias("part")
         found = written(named.select(part, *named.columns).groupBy("part").applyInArrow(candidates(turn, every), "query long, node long, token long"), "candidates")
         pairs = found.filter("query IS NOT NULL").select("query", "node").distinct().join(tested, ["query", "node"], "left_anti")
-        pairs = written(_with_blocks(pairs), "pairs")
-        opened = found.filter("token IS NOT NULL").select("token")
+        fresh = written(pairs, "pairs")
+        # A table of its own: its size is known when it is joined, and few tokens do not move all lists.
+        opened = written(found.filter("token IS NOT NULL").select("token"), "open")
         new = None
-        if not pairs.isEmpty():
+        if not fresh.isEmpty():
+            tested = tested.unionByName(fresh)
+            pairs = written(_with_blocks(plausible(prints, fresh)), "pairs")
             new = written(search(stored, pairs), "links")
             known = written(extended(known, new), "components")
-            tested = tested.unionByName(pairs.select("query", "node"))
         if opened.isEmpty():
             break
         # Only open lists are looked at again; whole ones, once a round finds no link.
