@@ -41,6 +41,17 @@ def test_decontamination_of_nothing(frame, spark, odd):
     assert decontaminate.op1(frame([]), empty).count() == 0
 
 
+def test_shards_are_bounded(spark):
+    """No shard is made from more text than a slice has, a longer document apart: workers keep that memory."""
+    docs = [(i, f"w{i} " + "some words of a text " * 10_000) for i in range(24)] + [(99, "long " * 600_000)]
+    index = decontaminate.build_index(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1))
+    size = {i: len(text) for i, text in docs}
+    shards = [r.doc_ids for r in index.select("doc_ids").collect()]
+    assert sorted(i for ids in shards for i in ids) == sorted(size)
+    assert all(sum(size[i] for i in ids) <= decontaminate.tx.SLICE_BYTES for ids in shards if 99 not in ids)
+    assert [99] in shards
+
+
 def test_proximity(frame, spark):
     docs = frame([(1, "red x x green x blue"), (2, "red " + "x " * 30 + "green blue"), (3, "blue green red"), (4, None)])
     bench = spark.createDataFrame([("p", "red green blue")], "item_id string, text string")

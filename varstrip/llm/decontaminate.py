@@ -6,7 +6,8 @@ every shard once and nothing has to be shuffled by term: a term that fills a thi
 is spread over all shards. Search starts from the postings of a phrase's rarest term in the shard
 and intersects the offset-adjusted postings of the other terms, next rarest first.
 
-Terms are kept as 64-bit hashes. The benchmark is sent to the tasks in blocks of at most
+A shard has at most ``text.SLICE_BYTES`` of text, or one longer document: hashing takes many times
+that, and a worker keeps what it once took beside later stages. Terms are kept as 64-bit hashes. The benchmark is sent to the tasks in blocks of at most
 ``BLOCK_BYTES`` of text, one pass over the index per block, however large it is.
 
 Defined results: a NULL text has no words; a document of any length stays in one shard; repeated
@@ -43,7 +44,7 @@ def _index_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     shard = TaskContext.get().partitionId() << 32
     for batch in batches:
         ids = batch.column(0)
-        for s in tx.slices(batch.column(1), 2 * tx.SLICE_BYTES):
+        for s in tx.slices(batch.column(1)):
             w = tx.words(s.data, s.offsets, tx.ALNUM, fold=True)
             order = np.argsort(w.hashes, kind="stable")
             ordered = w.hashes[order]
